@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm.common import read_table
 
 
+def op1_hmm_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.hmm import score_corpus
+
+    return score_corpus(read_table(spark, sf_dir, "documents"))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.decontaminate import report
+
+    return report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.neardup import near_duplicates
 
