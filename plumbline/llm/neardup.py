@@ -34,7 +34,7 @@ from plumbline.llm.textvec import Words, doc_chunks, mix, stream, windows
 SHINGLE = 5
 ROWS, BANDS = 5, 40
 HASHES = ROWS * BANDS // 2
-BLOCK = 512
+BLOCK = 256
 SAMPLE = 8
 
 _U = np.uint64
@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # one row of bands for each distinct set
     reps = (
-        some.join(classes.select(F.col("rep").alias("doc_id"), F.col("p0").alias("q0"), F.col("p1").alias("q1")), "doc_id")
+        some.join(classes.select(F.col("rep").alias("doc_id"), F.col("p0").alias("q0"), F.col("p1").alias("q1")).hint("merge"), "doc_id")
         .where("p0 = q0 and p1 = q1")
         .select("doc_id", "bands")
     )
@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     blocks = F.when(F.col("n") <= BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (BLOCK * 0.75))))
     placed = written(groups.join(sizes, "grp").select("node", "grp", "n", blocks.cast("long").alias("block")), "placed")
     members = written(
-        base.where("doc_id is not null").join(placed.withColumnRenamed("node", "doc_id"), "doc_id")
+        base.where("doc_id is not null").join(placed.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id")
         .select("grp", "block", "n", F.col("doc_id").alias("node"), "text"),
         "members",
     )
@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = components(links.union(same_id), "classes")
     labels = written(labels.select(F.col("node").alias("rep"), "component"), "labels")
     known = written(classes.join(labels, "rep", "left").select("p0", "p1", "n_shingles", F.coalesce("component", "rep").alias("component")), "class-ids")
-    out = rows.select("doc_id", "n_shingles", "p0", "p1").join(known, ["p0", "p1", "n_shingles"], "left")
+    out = rows.select("doc_id", "n_shingles", "p0", "p1").join(known.hint("merge"), ["p0", "p1", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
