@@ -15,6 +15,12 @@ def op1_hmm_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(read_table(spark, sf_dir, "documents"))
 
 
+def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.bpe import digests, encode
+
+    return digests(encode(read_table(spark, sf_dir, "documents")))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.decontaminate import report
 
