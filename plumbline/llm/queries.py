@@ -21,12 +21,25 @@ def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode(read_table(spark, sf_dir, "documents")))
 
 
+def op4_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.rules import apply_rules, learn_rules
+
+    docs = read_table(spark, sf_dir, "documents")
+    return apply_rules(docs, learn_rules(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.decontaminate import report
 
     return report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op8_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.attention import classify
+
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.neardup import near_duplicates
 
