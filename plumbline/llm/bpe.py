@@ -17,6 +17,7 @@ labels along the path decodes.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections.abc import Iterator
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import text_bytes
 
-#: Entries of the word table and of the transition table of a worker; when full, they start anew.
+#: Entries of a generation of the word tables and of the transition table of a worker.  A full word
+#: table becomes the old generation, which the next one draws on, so frequent words stay.
 WORDS = 300_000
 ARCS = 1_500_000
 #: Documents per Arrow batch that goes back.
@@ -52,7 +54,14 @@ class Automaton:
                 self.born[w], self.left[w], self.right[w] = rank, a, b
         self.last = len(merges)
         self.ids = {t: i for t, i in vocab.items() if i in self.born}
-        self.longest = max(len(t.removesuffix(end)) for t in vocab)
+        #: labels by what they read: those that end a word, and beginnings of the others (-1: no label)
+        self.finals = {t.removesuffix(end): i for t, i in self.ids.items() if t.endswith(end)}
+        self.begins: dict[str, int] = {}
+        for t, i in self.ids.items():
+            if not t.endswith(end):
+                for k in range(1, len(t)):
+                    self.begins.setdefault(t[:k], -1)
+                self.begins[t] = i
         self.table: dict[int, bool] = {}
 
     def arc(self, state: int, label: int) -> bool:
@@ -84,40 +93,47 @@ class Automaton:
 
     def read(self, word: str) -> list[int]:
         """The path of a word, given as base symbols; its last symbol takes the end mark."""
-        n, ids, longest, table = len(word), self.ids, self.longest, self.table
-        whole = ids.get(word + self.end)
+        whole = self.ids.get(word + self.end)
         if whole is not None:
             return [whole]
         # Depth first, longest label first.  A prefix has one path, so a place that led nowhere is
         # never entered again.
-        last = word + self.end
-        path, starts, dead = [], [], set()
-        state, at, to = -1, 0, min(longest, n)
+        n, begins, finals, table = len(word), self.begins, self.finals, self.table
+        path, held, dead = [], [], set()
+        state, at, labels = -1, 0, None
         while True:
-            while to > at:
-                if to not in dead:
-                    label = ids.get(last[at:] if to == n else word[at:to])
-                    if label is not None:
-                        if state < 0:
-                            break
-                        key = state << 20 | label
-                        there = table.get(key)
-                        if there is None:
-                            there = self.arc(state, label)
-                        if there:
-                            break
-                to -= 1
-            if to > at:
+            if labels is None:  # the labels that match here, shortest first
+                labels = []
+                for to in range(at + 1, n):
+                    label = begins.get(word[at:to])
+                    if label is None:
+                        break
+                    if label >= 0:
+                        labels.append((label, to))
+                label = finals.get(word[at:])
+                if label is not None:
+                    labels.append((label, n))
+            while labels:
+                label, to = labels.pop()
+                if to in dead:
+                    continue
+                if state >= 0:
+                    there = table.get(state << 20 | label)
+                    if there is None:
+                        there = self.arc(state, label)
+                    if not there:
+                        continue
                 path.append(label)
                 if to == n:
                     return path
-                starts.append(at)
-                state, at, to = label, to, min(to + longest, n)
+                held.append((at, labels))
+                state, at, labels = label, to, None
+                break
             else:
                 if not path:
                     raise ValueError(f"no path for {word!r}")
                 dead.add(at)
-                to, at = at - 1, starts.pop()
+                at, labels = held.pop()
                 path.pop()
                 state = path[-1] if path else -1
 
@@ -161,14 +177,27 @@ class Encoder:
         self._symbols = byte_symbols()
         self._path = path
         self._library = None
-        self.words: dict[bytes, tuple[list[int], str]] = {}
+        self.words: dict[bytes, list[int]] = {}
+        self.old_words: dict[bytes, list[int]] = {}
         self.paths: dict[str, list[int]] = {}
+        self.old_paths: dict[str, list[int]] = {}
 
     def _split(self, piece: str) -> Iterator[str]:
         """Words of a piece as byte symbols."""
-        if piece.isascii():
-            for word in _ASCII.findall(piece.lower()):
-                yield word if word.isprintable() else "".join(self._symbols[b] for b in word.encode())
+        low = piece.lower()
+        if low.isascii():
+            if low.isalpha():
+                yield low
+                return
+            for word in _ASCII.findall(low):
+                yield word if word.isprintable() else "".join([self._symbols[b] for b in word.encode()])
+            return
+        # precomposed Latin letters are their own normal form, and lower-case one by one
+        stem, tail = (low[:-1], low[-1]) if low[-1] in ".,;:!?" else (low, "")
+        if stem.isalpha() and max(stem) < "\u0250":
+            yield "".join([self._symbols[b] for b in stem.encode()])
+            if tail:
+                yield tail
             return
         if self._library is None:  # Unicode normal forms and classes are the library's
             from tokenizers import Tokenizer
@@ -177,39 +206,49 @@ class Encoder:
         for word, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(piece)):
             yield word
 
-    def piece(self, raw: bytes) -> tuple[list[int], str]:
+    def piece(self, raw: bytes) -> list[int]:
         text = raw.decode("utf-8", "replace")
+        if self._specials is None or "<|" not in text:
+            return self._words(text)
         path: list[int] = []
-        for part in self._specials.split(text) if self._specials and "<|" in text else [text]:
+        for part in self._specials.split(text):
             if part in self.special:
                 path.append(self.special[part])
             elif part:
-                for word in self._split(part):
-                    known = self.paths.get(word)
-                    if known is None:
-                        known = self.automaton.read(word)
-                        if len(word) <= 64:
-                            if len(self.paths) >= WORDS // 2:
-                                self.paths.clear()
-                            self.paths[word] = known
-                    path += known
-        return path, self.automaton.emit(path)
+                path += self._words(part)
+        return path
+
+    def _words(self, text: str) -> list[int]:
+        path: list[int] = []
+        for word in self._split(text):
+            known = self.paths.get(word)
+            if known is None:
+                known = self.old_paths.get(word)
+                if known is None:
+                    known = self.automaton.read(word)
+                if len(word) <= 64:
+                    if len(self.paths) >= WORDS // 2:
+                        self.old_paths, self.paths = self.paths, {}
+                    self.paths[word] = known
+            path = path + known if path else known
+        return path
 
     def encode(self, text: bytes) -> tuple[list[int], str]:
         """Ids of a whole text, and the labels they emit, joined as the file's (absent) decoder does."""
-        words, ids, labels = self.words, [], []
+        words, ids = self.words, []
         for raw in text.split():
             held = words.get(raw)
             if held is None:
-                held = self.piece(raw)
+                held = self.old_words.get(raw)
+                if held is None:
+                    held = self.piece(raw)
                 if len(raw) <= 64:
                     if len(words) >= WORDS:
-                        words.clear()
+                        self.old_words, words = words, {}
+                        self.words = words
                     words[raw] = held
-            if held[0]:
-                ids += held[0]
-                labels.append(held[1])
-        return ids, " ".join(labels)
+            ids += held
+        return ids, self.automaton.emit(ids)
 
 
 @lru_cache(2)
@@ -226,6 +265,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def _encode(path_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path_of())
+        gc.freeze()  # the tables hold no cycles; walking them again and again would cost more than reading
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
