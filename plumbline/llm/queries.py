@@ -28,6 +28,12 @@ def op4_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(docs, learn_rules(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op5_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.toxicity import classify
+
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.decontaminate import report
 
