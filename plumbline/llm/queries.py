@@ -21,6 +21,12 @@ def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode(read_table(spark, sf_dir, "documents")))
 
 
+def op3_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.warc import round_trip
+
+    return round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op4_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.rules import apply_rules, learn_rules
 
