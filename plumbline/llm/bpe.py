@@ -303,12 +303,13 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "token_ids").mapInArrow(_decode(path_of), "doc_id long, decoded string")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and the hashes of ids and decoded text."""
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_tokens, the hashes of ids and decoded text, and more columns of ``encode``."""
     joined = F.array_join(F.col("token_ids").cast("array<string>"), " ")
     return encoded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *more,
     )

@@ -46,6 +46,13 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.common import scratch_dir
+    from plumbline.llm.rollup import replay
+
+    return replay(read_table(spark, sf_dir, "documents"), scratch_dir(spark, "rollup")).totals()
+
+
 def op8_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.attention import classify
 
@@ -58,9 +65,17 @@ def op9_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.licences import document_paths, scan
+
+    return scan(document_paths(read_table(spark, sf_dir, "documents")))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    from plumbline.llm import licences, rollup
+
+    return {"op7_token_rollup": rollup.ORACLE, "op10_licence_scan": licences.ORACLE}

@@ -26,7 +26,7 @@ from plumbline.llm.textvec import KEEP, Words, _lut, doc_chunks, mix, windows
 MOST = 6000
 RULES, LITERALS = 12, 4
 #: A rule must reject this share of low-quality rows among those it covers, on either part.
-PRECISION = 0.9
+PRECISION = 0.97
 
 SYMBOLS = _lut(b"#*$%&|<>")
 _NEWLINE = _lut(b"\n")
@@ -177,15 +177,22 @@ def _grow(table: dict[str, np.ndarray], bad: np.ndarray, rows: np.ndarray) -> Ru
     return tuple(rule)
 
 
-def _prune(rule: Rule, table: dict[str, np.ndarray], bad: np.ndarray, rows: np.ndarray) -> Rule:
+def _prune(rule: Rule, table: dict[str, np.ndarray], bad: np.ndarray, rows: np.ndarray, left: np.ndarray) -> Rule:
+    """The shortest beginning that is no worse on ``rows`` and covers no more good ones of ``left``,
+    or as few as one in a hundred."""
+
     def worth(r: Rule) -> float:
         hit = _covers(r, table) & rows
         p, n = (hit & bad).sum(), (hit & ~bad).sum()
         return (p - n) / (p + n) if p + n else -1.0
 
-    best, value = rule, worth(rule)
+    def good(r: Rule) -> int:
+        hit = _covers(r, table) & left
+        return 0 if (hit & ~bad).sum() <= 0.01 * hit.sum() else int((hit & ~bad).sum())
+
+    best, value, most = rule, worth(rule), good(rule)
     for k in range(len(rule) - 1, 0, -1):
-        if worth(rule[:k]) >= value:
+        if worth(rule[:k]) >= value and good(rule[:k]) <= most:
             best, value = rule[:k], worth(rule[:k])
     return best
 
@@ -202,7 +209,7 @@ def learn(table: dict[str, np.ndarray], bad: np.ndarray, seed: int = 1) -> list[
         rule = _grow(table, bad, left & (part > 0))
         if not rule:
             break
-        rule = _prune(rule, table, bad, left & (part == 0))
+        rule = _prune(rule, table, bad, left & (part == 0), left)
         hit = _covers(rule, table) & left
         good = [(hit & rows & bad).sum() / max(1, (hit & rows).sum()) for rows in (part > 0, part == 0)]
         if (hit & bad).sum() < 3 or min(good[0], good[1] if (hit & (part == 0)).any() else 1.0) < PRECISION:
