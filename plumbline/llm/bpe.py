@@ -31,8 +31,8 @@ from plumbline.llm.common import text_bytes
 
 #: Entries of a generation of the word tables and of the transition table of a worker.  A full word
 #: table becomes the old generation, which the next one draws on, so frequent words stay.
-WORDS = 300_000
-ARCS = 1_500_000
+WORDS = 120_000
+ARCS = 300_000
 #: Documents per Arrow batch that goes back.
 ROWS = 256
 
@@ -233,6 +233,11 @@ class Encoder:
             path = path + known if path else known
         return path
 
+    def forget(self) -> None:
+        """Empty the word tables: the worker may serve other stages next."""
+        self.words, self.old_words, self.paths, self.old_paths = {}, {}, {}, {}
+        self.automaton.table.clear()
+
     def encode(self, text: bytes) -> tuple[list[int], str]:
         """Ids of a whole text, and the labels they emit, joined as the file's (absent) decoder does."""
         words, ids = self.words, []
@@ -271,6 +276,7 @@ def _encode(path_of):
                 part = batch.slice(i, ROWS)
                 done = [own.encode(x.as_py()) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in done], pa.list_(pa.int32())), pa.array([x[1] for x in done], pa.string())], ["doc_id", "token_ids", "decoded"])
+        own.forget()
 
     return run
 

@@ -370,6 +370,7 @@ def _score(scorer_of):
             for i in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(i, TOGETHER)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scorer.scores(part.column(2).to_pylist()), pa.float64())], ["doc_id", "held_out", "score"])
+        scorer.none, scorer.active = set(), {}  # the worker may serve other stages next
 
     return run
 
