@@ -459,8 +459,9 @@ def parse(lines: DataFrame, vendors: DataFrame, hold_out: tuple[str, ...] = ())
     """
     rows = lines.where("role = 'config'").join(vendors.select("device_id", "vendor"), "device_id")
     out = None
+    present = {r.vendor for r in vendors.select("vendor").distinct().collect()}  # at most as many as grammars
     for vendor, parser in PARSERS.items():
-        if vendor in hold_out:
+        if vendor in hold_out or vendor not in present:
             continue
         own = parser(rows.where(F.col("vendor") == vendor))
         more = folded(own)
