@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import text_bytes
+from plumbline.llm.common import give_back, text_bytes
 
 #: Entries of a generation of the word tables and of the transition table of a worker.  A full word
 #: table becomes the old generation, which the next one draws on, so frequent words stay.
-WORDS = 120_000
+WORDS = 300_000
 ARCS = 300_000
 #: Documents per Arrow batch that goes back.
 ROWS = 256
@@ -233,11 +233,6 @@ class Encoder:
             path = path + known if path else known
         return path
 
-    def forget(self) -> None:
-        """Empty the word tables: the worker may serve other stages next."""
-        self.words, self.old_words, self.paths, self.old_paths = {}, {}, {}, {}
-        self.automaton.table.clear()
-
     def encode(self, text: bytes) -> tuple[list[int], str]:
         """Ids of a whole text, and the labels they emit, joined as the file's (absent) decoder does."""
         words, ids = self.words, []
@@ -270,13 +265,17 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def _encode(path_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path_of())
-        gc.freeze()  # the tables hold no cycles; walking them again and again would cost more than reading
+        gc.disable()  # the tables hold no cycles; walking them again and again would cost more than reading
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
                 done = [own.encode(x.as_py()) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in done], pa.list_(pa.int32())), pa.array([x[1] for x in done], pa.string())], ["doc_id", "token_ids", "decoded"])
-        own.forget()
+        # the worker may serve other stages next: tables and automaton go
+        del own
+        encoder.cache_clear()
+        gc.enable()
+        give_back()
 
     return run
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import text_bytes, written
+from plumbline.llm.common import give_back, text_bytes, written
 from plumbline.llm.components import components
 from plumbline.llm.textvec import Words, doc_chunks, mix, stream, windows
 
@@ -93,6 +93,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.column(0).slice(i, n), pa.array(size), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), pa.array(raw, pa.binary())],
                 ["doc_id", "n_shingles", "p0", "p1", "bands"],
             )
+    give_back()
 
 
 def _bucket_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
