@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import community_marker, hash_algorithm, wildcard_prefix
 from plumbline.operators.panxml import SHIPPED, read_group
+from plumbline.sources.tables import staged
 
 FACT = "struct<path:string,op:string,entity:int,value:string,secret:string>"
 FACTS = "device_id string, file string, line_no int, sub int, path string, op string, entity int, value string, secret string, claim boolean"
@@ -78,14 +79,11 @@ def on(pattern: str, *facts: Column, where: Column | None = None, claim: bool =
 
 def apply(rows: DataFrame, statements: list[On]) -> DataFrame:
     """Facts of the first statement that matches each line."""
-    number: Column = F.lit(None).cast("int")
-    for k in range(len(statements) - 1, -1, -1):
-        number = F.when(statements[k].test(), k).otherwise(number)
+    # one flat conditional each: nested ones would cost the optimiser more than the data costs
+    number = reduce(lambda acc, ks: acc.when(ks[1].test(), ks[0]), enumerate(statements), F.when(F.lit(False), -1))
     hit = rows.withColumn("k", number).where("k is not null")
-    made: Column = F.array().cast(f"array<{FACT}>")
-    for k, s in enumerate(statements):
-        if s.facts:
-            made = F.when(F.col("k") == k, F.array(*s.facts)).otherwise(made)
+    made = reduce(lambda acc, ks: acc.when(F.col("k") == ks[0], F.array(*ks[1].facts)) if ks[1].facts else acc, enumerate(statements), F.when(F.lit(False), F.array().cast(f"array<{FACT}>")))
+    made = F.coalesce(made, F.array().cast(f"array<{FACT}>"))
     claims = F.col("k").isin(*[k for k, s in enumerate(statements) if s.claim])
     out = hit.select("device_id", "file", "line_no", F.explode_outer(F.filter(made, lambda f: f["path"].isNotNull())).alias("f"), claims.alias("claim"))
     sub = F.row_number().over(W.partitionBy("device_id", "file", "line_no").orderBy(F.lit(0))) - 1
@@ -422,7 +420,7 @@ def folded(facts: DataFrame) -> DataFrame:
     of = lambda p, c="value": F.when(F.col("path") == p, F.col(c))
     line = lambda p: of(p, "line_no")
     yes = F.when((F.col("path") == "~telnet_line") & (F.col("value") == "true"), F.col("line_no"))
-    managed = seen.where("path like 'interfaces.%'").groupBy("device_id", "file", "entity").agg(
+    managed = seen.where("path like 'interfaces.%' and vendor in ('cisco', 'arista')").groupBy("device_id", "file", "entity").agg(
         F.max(F.when(F.col("path") == "interfaces.is_mgmt", F.col("value"))).alias("m"), F.max_by(of("interfaces.acl_in"), line("interfaces.acl_in")).alias("acl"), F.max(line("interfaces.acl_in")).alias("acl_line")
     ).where("m = 'true' and acl is not null").groupBy("device_id", "file").agg(F.min(F.struct("entity", "acl", "acl_line")).alias("first"))
     a = seen.groupBy("device_id", "file").agg(
@@ -451,26 +449,24 @@ def folded(facts: DataFrame) -> DataFrame:
     )
 
 
+_BLANK = {"path": "string", "op": "string", "entity": "int", "value": "string", "secret": "string"}
+
+
 def parse(lines: DataFrame, vendors: DataFrame, hold_out: tuple[str, ...] = ()) -> DataFrame:
     """Facts of all configuration lines; ``vendors`` holds device_id and vendor.
 
-    The managed-interface reading applies to indented grammars only; a vendor in ``hold_out`` is read
-    by no parser.
+    What the statements write is staged once; whole-file readings are then folded from that table.  A
+    vendor in ``hold_out`` is read by no parser.
     """
     rows = lines.where("role = 'config'").join(vendors.select("device_id", "vendor"), "device_id")
-    out = None
     present = {r.vendor for r in vendors.select("vendor").distinct().collect()}  # at most as many as grammars
-    for vendor, parser in PARSERS.items():
-        if vendor in hold_out or vendor not in present:
-            continue
-        own = parser(rows.where(F.col("vendor") == vendor))
-        more = folded(own)
-        if vendor not in ("cisco", "arista"):
-            more = more.where("not (path = 'mgmt.mgmt_acl')")
-        both = own.where("path is null or path not like '~%' or path = '~error'").unionByName(more)
-        # an observation still claims its line
-        both = both.unionByName(own.where("path like '~%' and path <> '~error'").select("device_id", "file", "line_no", "sub", *(F.lit(None).cast(t).alias(n) for n, t in (("path", "string"), ("op", "string"), ("entity", "int"), ("value", "string"), ("secret", "string"))), "claim"))
-        out = both if out is None else out.unionByName(both)
-    shows = lines.where("role = 'show_output'").select("device_id", "file", "line_no", F.lit(0).alias("sub"), *(F.lit(None).cast(t).alias(n) for n, t in (("path", "string"), ("op", "string"), ("entity", "int"), ("value", "string"), ("secret", "string"))), F.lit(True).alias("claim"))
-    return shows if out is None else out.unionByName(shows)
-
+    shows = lines.where("role = 'show_output'").select("device_id", "file", "line_no", F.lit(0).alias("sub"), *(F.lit(None).cast(t).alias(n) for n, t in _BLANK.items()), F.lit(True).alias("claim"))
+    own = [parser(rows.where(F.col("vendor") == vendor)).withColumn("vendor", F.lit(vendor)) for vendor, parser in PARSERS.items() if vendor in present and vendor not in hold_out]
+    if not own:
+        return shows
+    raw = staged(reduce(DataFrame.unionByName, own), "statements")
+    more = folded(raw)
+    observed = F.col("path").like("~%") & (F.col("path") != "~error")
+    # an observation claims its line and is no fact
+    kept = raw.drop("vendor").withColumns({n: F.when(F.coalesce(observed, F.lit(False)), F.lit(None).cast(t)).otherwise(F.col(n)) for n, t in _BLANK.items() if n != "path"} | {"path": F.when(F.coalesce(observed, F.lit(False)), F.lit(None)).otherwise(F.col("path"))})
+    return kept.unionByName(more).unionByName(shows)
