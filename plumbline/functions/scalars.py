@@ -94,8 +94,7 @@ def mask_prefix(mask: Column) -> Column:
     """Prefix length of a contiguous netmask; null for others."""
     n = ipv4_number(mask)
     bits = F.bit_count(n).cast("int")
-    whole = F.lit(0xFFFFFFFF).cast("long")
-    return F.when(n == F.shiftleft(F.lit(0xFFFFFFFF).cast("long"), F.lit(32) - bits).bitwiseAND(whole), bits)
+    return F.when(n == (F.lit(1 << 32) - F.pow(F.lit(2.0), F.lit(32) - bits)).cast("long"), bits)
 
 
 def wildcard_prefix(wildcard: Column) -> Column:

@@ -167,18 +167,20 @@ def grammar(lines: DataFrame) -> DataFrame:
     )
 
 
-def tree(lines: DataFrame) -> DataFrame:
-    """Lines of indented files with depth and context: the headers of strictly lesser indent above.
+def tree(lines: DataFrame, levels: int = 24) -> DataFrame:
+    """Lines of indented files with kind, depth and context: the headers of strictly lesser indent above.
 
-    The parent of a line is the last line above it with less indentation; chains of parents are read
-    level by level from the last header at each indent, as long as no lesser one came after it.
+    The header of an indent is open while the last statement with at most that indent is the last one
+    with exactly that indent; so the chain follows from two running values per indent, without a stack.
+    Indents of ``levels`` and more count as ``levels - 1``.
     """
     w = W.partitionBy("device_id", "file").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    kept = lines.withColumn("kind", F.when(F.col("text") == "", "blank").when(F.col("text").rlike(COMMENTS), "comment").otherwise("statement"))
-    heads = F.collect_list(F.when(F.col("kind") == "statement", F.struct("line_no", "indent", "text"))).over(w)
-    # from the nearest line up, keep those that are less indented than everything kept so far
-    climb = F.aggregate(
-        F.reverse(F.col("above")), F.struct(F.col("indent").alias("least"), F.array().cast("array<string>").alias("path")),
-        lambda acc, h: F.when(h["indent"] < acc["least"], F.struct(h["indent"].alias("least"), F.concat(F.array(h["text"]), acc["path"]).alias("path"))).otherwise(acc),
-    )
-    return kept.withColumn("above", F.when(F.col("kind") == "statement", F.slice(heads, -F.least(F.size(heads), F.lit(400)), 400)).otherwise(F.array().cast("array<struct<line_no:int,indent:int,text:string>>"))).withColumn("context", climb["path"]).drop("above").withColumn("depth", F.size("context"))
+    kind = F.when(F.col("text") == "", "blank").when(F.col("text").rlike(COMMENTS), "comment").otherwise("statement")
+    kept = lines.withColumn("kind", kind).withColumn("__i", F.least("indent", F.lit(levels - 1)))
+    at = lambda test: F.last(F.when((F.col("kind") == "statement") & test, F.struct("line_no", "text")), True).over(w)
+    own = [at(F.col("__i") == k) for k in range(levels - 1)]
+    upto = [at(F.col("__i") <= k) for k in range(levels - 1)]
+    kept = kept.withColumn("__own", F.array(*own)).withColumn("__upto", F.array(*(u["line_no"] for u in upto)))
+    places = F.filter(F.sequence(F.lit(0), F.lit(levels - 2)), lambda k: (k < F.col("__i")) & F.coalesce(F.get("__own", k)["line_no"] == F.get("__upto", k), F.lit(False)))
+    context = F.when(F.col("kind") == "statement", F.transform(places, lambda k: F.get("__own", k)["text"])).otherwise(F.array().cast("array<string>"))
+    return kept.withColumn("context", context).withColumn("depth", F.size("context")).drop("__i", "__own", "__upto")
