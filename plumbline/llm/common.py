@@ -22,25 +22,19 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/plumbline/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "none") -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here, and a lost executor
-    costs a reread instead of a recomputation."""
+    costs a reread instead of a recomputation.
+
+    These tables are mostly hashes and ids, which don't compress, and a codec per small file costs
+    executors memory outside of the heap; tables of texts ask for a codec.
+    """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete the files of a table made by ``written`` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def give_back() -> None:
     """Return a worker's free memory to the system at the end of a task: the worker lives on, idle."""
     import ctypes
