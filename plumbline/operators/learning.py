@@ -74,3 +74,87 @@ def evidence(ranked: DataFrame, query_id: str) -> DataFrame:
 def families(residue: DataFrame) -> DataFrame:
     """Unread lines by shape: file, shape, n, first line, lines."""
     return residue.withColumn("shape", line_shape(F.col("text"))).groupBy("device_id", "file", "shape").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"), F.array_sort(F.collect_list("line_no")).alias("lines"))
+
+
+#: What the fields of a document are called: path, transform, words that name it (heavier first), phrases.
+VOCABULARY = [
+    ("mgmt.telnet_enabled", "to_bool", "telnet inbound transport", ["telnet server enable", "allow telnet input"]),
+    ("mgmt.ssh.enabled", "to_bool", "ssh sshd stelnet", ["ssh server enable", "secure shell on"]),
+    ("mgmt.ssh.version", "to_int", "protocol version ssh", ["ssh protocol version 2"]),
+    ("mgmt.ssh.max_attempts", "to_int", "retries attempts authentication-retries", ["ssh authentication retries 3"]),
+    ("mgmt.http_enabled", "to_bool", "http www web", ["http server enable", "web management http"]),
+    ("mgmt.https_enabled", "to_bool", "https ssl secure-server", ["https server enable"]),
+    ("mgmt.idle_timeout_min", "to_int", "timeout idle-timeout idle", ["idle timeout 10", "session idle-timeout 5"]),
+    ("mgmt.login_banner", "presence", "banner header motd", ["login banner text", "header shell information"]),
+    ("mgmt.mgmt_acl", "identity", "acl access-class allowed", ["management acl inbound name"]),
+    ("aaa.enabled", "presence", "aaa authentication-scheme", ["aaa authentication login"]),
+    ("aaa.servers", "collect", "tacacs radius hwtacacs", ["radius server address", "tacacs host address"]),
+    ("aaa.accounting", "presence", "accounting", ["accounting exec start"]),
+    ("aaa.password_policy.min_length", "to_int", "min-length length password", ["password minimum length 8"]),
+    ("snmp.version", "to_int", "v3 version usm", ["snmp agent version 3"]),
+    ("snmp.communities", "collect_redacted", "community", ["snmp community read name"]),
+    ("logging.servers", "collect", "syslog loghost logging info-center", ["syslog host address", "logging remote server"]),
+    ("logging.level", "identity", "severity trap level", ["logging severity level"]),
+    ("ntp.servers", "collect", "ntp ntp-service unicast-server", ["ntp server address"]),
+    ("ntp.authenticated", "presence", "authentication-keyid ntp-authentication trusted-key", ["ntp authentication enable"]),
+    ("services.discovery_protocols", "to_bool", "lldp cdp discovery", ["lldp enable"]),
+    ("services.source_routing", "to_bool", "source-route source-routing", ["ip source route"]),
+    ("device.hostname", "identity", "sysname hostname host-name", ["system name"]),
+]
+LEAST_SIMILAR, LEAST_SURE, ACCEPTED = 0.12, 0.2, 0.85
+
+
+def field_vectors(spark) -> DataFrame:
+    """Vectors of the vocabulary's fields: names weigh 3, 2, 1, 1 ..., words of phrases 0.5."""
+    rows = []
+    for path, _, names, phrases in VOCABULARY:
+        rows += [(path, w, float(max(1, 3 - k))) for k, w in enumerate(names.split())]
+        rows += [(path, w, 0.5) for p in phrases for w in p.split()]
+    df = spark.createDataFrame(rows, "path string, word string, weight double")
+    return vectors(df.select("path", F.explode(features(F.col("word"), F.col("weight"))).alias("f")).select("path", "f.*"), "path")
+
+
+def propose(residue: DataFrame) -> DataFrame:
+    """device_id, file, line_no, path, transform, match, confidence for unread lines that a field resembles.
+
+    ``match`` keeps the line's grammar words and lets its data vary; the last datum is the value.
+    """
+    spark = residue.sparkSession
+    ident = F.concat_ws("\x1f", "device_id", "file", F.col("line_no").cast("string"))
+    rows = residue.where("text <> ''").withColumn("line", ident)
+    asked = rows.select("line", F.explode(words(F.col("text"))).alias("w")).select("line", F.explode(features(F.col("w"), F.lit(1.0))).alias("f")).select("line", "f.*")
+    ranked = rank(asked, field_vectors(spark), "line", "path", 3)
+    fields = spark.createDataFrame([(p, t, n.split()) for p, t, n, _ in VOCABULARY], "path string, transform string, names array<string>")
+    own = rows.select("line", "device_id", "file", "line_no", "text", words(F.col("text")).alias("own"))
+    ranked = ranked.join(F.broadcast(fields), "path").join(own, "line").withColumn("keyword", F.arrays_overlap("own", "names"))
+    best = evidence(ranked, "line").where((F.col("place") == 1) & (F.col("score") >= LEAST_SIMILAR) & (F.col("confidence") >= LEAST_SURE))
+    from plumbline.functions.scalars import is_data
+
+    tokens = F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")
+    escaped = lambda w: F.regexp_replace(w, r"([\\.^$|?*+()\[\]{}])", r"\\$1")
+    last = F.size(tokens) - 1
+    part = lambda w, i: F.when(is_data(w) | ((i == last) & ~F.col("transform").isin("presence", "negated_presence") & (last > 0)), F.when(i == last, r"(?P<value>\S+)").otherwise(r"\S+")).otherwise(escaped(w))
+    pattern = F.concat(F.lit("^"), F.array_join(F.transform(tokens, part), r"\s+"))
+    return best.select("device_id", "file", "line_no", "path", "transform", pattern.alias("match"), F.round("confidence", 4).alias("confidence"))
+
+
+def accepted(proposals: DataFrame, least: float = ACCEPTED) -> DataFrame:
+    """Proposals sure enough to apply without a person."""
+    return proposals.where(F.col("confidence") >= least)
+
+
+def mappings(proposals: DataFrame, most: int = 1000) -> list:
+    """Distinct mappings of proposals, for a pack; more than ``most`` are refused."""
+    from plumbline.operators.packs import Mapping, PackError
+
+    rows = proposals.groupBy("path", "match", "transform").agg(F.max("confidence").alias("c")).orderBy(F.col("c").desc(), "path", "match").limit(most + 1).collect()
+    if len(rows) > most:
+        raise PackError("too many mappings for one pack")
+    return [Mapping(r.path, r.match, r.transform, 2, r.c) for r in rows]
+
+
+def held_out(proposals: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row over truth (device_id, file, line_no, path): fields right among the lines that have one."""
+    rows = truth.join(proposals.select("device_id", "file", "line_no", F.col("path").alias("said")), ["device_id", "file", "line_no"], "left")
+    right = F.count_if(F.col("path") == F.col("said"))
+    return rows.agg(F.count("*").alias("lines"), F.count("said").alias("proposed"), right.alias("right"), F.bround(F.coalesce(F.try_divide(right.cast("double"), F.count("*")), F.lit(0.0)), 4).alias("accuracy"))
