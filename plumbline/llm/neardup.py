@@ -288,8 +288,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not large.isEmpty():
         links = _merge_large(members.where(F.col("n") > BLOCK), found, links)
 
-    labels = components(links.union(same_id), "classes")
-    labels = written(labels.select(F.col("node").alias("rep"), "component"), "labels")
+    labels = components(links.union(same_id), "classes").select(F.col("node").alias("rep"), "component")
     known = written(classes.join(labels, "rep", "left").select("p0", "p1", "n_shingles", F.coalesce("component", "rep").alias("component")), "class-ids")
     out = rows.select("doc_id", "n_shingles", "p0", "p1").join(known.hint("merge"), ["p0", "p1", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
@@ -298,21 +297,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _merge_large(members: DataFrame, found: DataFrame, links: DataFrame) -> DataFrame:
     """The exact way for groups of more than one block."""
-    placed = found.withColumnRenamed("a", "node")
-    level = placed.where("sampled").select("grp", "node", "block")
+    # classes so far follow from labels alone; what they leave apart only costs comparisons
+    texts = members.select("node", "text")
+    ids = members.select("grp", "node").distinct()
+    state = written(ids.join(found.select(F.col("a").alias("node"), F.col("b").alias("cls")), "node"), "state")
+    level = found.join(ids.select("grp").distinct(), "grp", "left_semi").where("sampled").select("grp", F.col("a").alias("node"), "block")
     while True:
         # rows that stand for their blocks meet, 48 blocks at a time
         level = level.withColumn("block", F.floor(F.col("block") / 48).cast("long"))
-        meet = written(level.join(members.select("node", "text"), "node").select("grp", "block", "node", "text"), "merge")
+        meet = level.join(texts, "node").select("grp", "block", "node", "text")
         merged = written(meet.groupBy("grp", "block").applyInArrow(_block_classes, _LINKS_DDL), "merge-links")
         links = links.union(merged.select("a", "b"))
+        tops = state.join(merged.select(F.col("a").alias("node"), F.col("b").alias("top")), "node").groupBy("cls").agg(F.min("top").alias("top"))
+        state = written(state.join(tops, "cls", "left").select("grp", "node", F.least("cls", "top").alias("cls")), "state")
         level = merged.where("sampled").select("grp", F.col("a").alias("node"), "block")
         if merged.where("block > 0").isEmpty():
             break
-    so_far = components(links, "so-far")
-    state = written(
-        members.select("grp", "node").distinct().join(so_far, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("cls")), "state"
-    )
     from pyspark.sql import Window
 
     counts = state.groupBy("grp", "cls").agg(F.count("*").alias("c"))
@@ -326,6 +326,6 @@ def _merge_large(members: DataFrame, found: DataFrame, links: DataFrame) -> Data
     asked = rows.where("cls <> main").select("grp", "node", "cls", F.lit(True).alias("asked"), F.explode(F.transform(F.sequence(F.lit(0).cast("long"), n_all - 1), lambda j: grid(ask_block, j))).alias("block"))
     against = rows.select("grp", "node", "cls", F.lit(False).alias("asked"), F.explode(F.transform(F.sequence(F.lit(0).cast("long"), n_ask - 1), lambda i: grid(i, all_block))).alias("block"))
     pairs = asked.union(against).groupBy("grp", "block", "node", "cls").agg(F.max("asked").alias("asked"))
-    pairs = pairs.join(members.select("node", "text"), "node")
+    pairs = pairs.join(texts, "node")
     cross = written(pairs.groupBy("grp", "block").applyInArrow(_cross_links, _LINKS_DDL), "cross-links")
     return links.union(cross.select("a", "b"))
