@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fold_of, text_bytes
+from plumbline.llm.common import fold_of, text_bytes, written
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, modulus: int | None = None, held: int | None = None) -> DataFrame:
@@ -29,13 +29,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, m
     return texts.join(F.broadcast(chosen), "__id").select("__id", "text", F.col("__label").alias("label"))
 
 
+def fitting(sizes: dict[int, int], most_bytes: int) -> int:
+    """The largest length that texts can be read up to so that all of them fit; ``sizes`` has how many
+    texts there are of each length."""
+    left, n = most_bytes, sum(sizes.values())
+    for size in sorted(sizes):
+        if size * n > left:
+            return left // n
+        left -= size * sizes[size]
+        n -= sizes[size]
+    return max(sizes, default=0)
+
+
 def to_driver(sample: DataFrame, most_bytes: int) -> tuple[list[bytes], np.ndarray]:
-    """The sample's texts and labels, in the order of their ids' hash, up to so many bytes."""
-    texts, labels, size = [], [], 0
-    for row in sample.orderBy(F.xxhash64("__id"), "__id", "text").toLocalIterator():
-        size += len(row.text)
-        if size > most_bytes:
-            break
+    """The sample's texts and labels, in the order of their ids' hash: all rows, in so many bytes.
+
+    Where the whole texts don't fit, the longest are read up to one length, so no text costs another
+    its place; a text of at most ``most_bytes`` over the number of rows is always whole.
+    """
+    sample = written(sample, "labelled", "zstd")
+    sizes = {r.size: r.n for r in sample.groupBy(F.length("text").alias("size")).agg(F.count("*").alias("n")).collect()}
+    texts, labels = [], []
+    order = (F.xxhash64("__id"), "__id", "text")
+    for row in sample.withColumn("text", F.substring("text", 1, fitting(sizes, most_bytes))).orderBy(*order).toLocalIterator():
         texts.append(bytes(row.text))
         labels.append(row.label)
     return texts, np.array(labels, dtype=np.int64)
