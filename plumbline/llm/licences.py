@@ -8,6 +8,10 @@ template that are no anchors hold less than ``LEAST`` squared of its length.  A
 of its own takes the licence of the licence files of its directory or of the nearest ancestor that has
 one, by equi-joins on directory paths.
 
+Full licence texts, grants across lines, names and SPDX tags come from ``licence_names``: what they say
+replaces a notice of another licence with a smaller cosine (full texts and SPDX tags any), and stands
+where no notice is.
+
 Everything is DataFrame operations; what comes to the driver are the frequencies of template words.
 """
 
@@ -20,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import written
+from plumbline.llm.licence_names import read
 
 LEAST = 0.5
 #: Fixed notices; each stands for a licence.
@@ -115,7 +120,11 @@ def scan(files: DataFrame) -> DataFrame:
     )
     best = F.array(*(F.struct(F.round(F.col(f"d{i}") / F.col("norm"), 6).alias("cosine"), F.lit(-i).alias("order"), F.lit(k).alias("licence")) for i, k in enumerate(TEMPLATES)))
     scored = sums.select("path", F.array_max(best).alias("b")).where(F.col("b.cosine") >= LEAST)
-    own = written(scored.groupBy("path").agg(F.max("b").alias("b")).select("path", "b.cosine", "b.order", "b.licence"), "notices")
+    own = scored.groupBy("path").agg(F.max("b").alias("b")).select("path", "b.cosine", "b.order", "b.licence")
+    more = read(base).select("path", F.struct("cosine", F.lit(-len(TEMPLATES)).alias("order"), "licence", "rank").alias("more"))
+    differs = F.col("licence").isNull() | (F.col("licence") != F.col("more.licence")) & ((F.col("cosine") < F.col("more.cosine")) | (F.col("more.rank") >= 2))
+    chosen = lambda c: F.when(F.col("more").isNotNull() & differs, F.col(f"more.{c}")).otherwise(F.col(c)).alias(c)
+    own = written(own.hint("merge").join(more, "path", "full").select("path", chosen("cosine"), chosen("order"), chosen("licence")), "notices")
 
     # the licence of each directory that has licence files
     held = own.where(is_licence).select(folder.alias("dir"), F.struct(F.col("cosine"), F.col("order"), F.lit(0)).alias("rank"), "path", "licence", "cosine")
