@@ -8,14 +8,17 @@ The plan, whose steps are all linear in the distinct texts but for the last reso
    one partial aggregate and never meet in a bucket;
 2. each map task joins its own rows of a bucket by a star and sends one row per bucket on, so that
    a hot bucket brings at most one row per task to the shuffle;
-3. the connected groups of the bucket graph are cut into blocks, and in each block the links are
-   confirmed on full sets; a group of more than ``BLOCK`` texts is first merged block by block,
-   and then what stayed outside of its largest class is compared with the whole group, in blocks;
-4. classes are the connected components of the confirmed links.
+3. the connected groups of the bucket graph are cut into blocks of at most ``BLOCK`` texts and about
+   ``WEIGHT`` shingles, and in each block the links are confirmed on full sets; a group of several
+   blocks is first merged block by block, and then what stayed outside of its largest class is
+   compared with the whole group, in blocks;
+4. classes are the connected components of the confirmed links, and of the versions of one doc_id.
 
 Two texts that share a bucket are hence always compared or already known to be in one class: no
 bucket is capped.  A pair at the threshold shares no bucket with a chance of (1 - 0.75^5)^40, about
-2e-5, and falls for larger similarities.
+2e-5, if both ends of a permutation are independent, as they nearly are in large sets; in the smallest
+ones (three shingles of four shared) they aren't, and it is about 2e-4.  Both fall for larger
+similarities.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ SHINGLE = 5
 ROWS, BANDS = 5, 40
 HASHES = ROWS * BANDS // 2
 BLOCK = 256
+#: Shingles of a block, about: a block's sets take some 100 MB of a worker at most.
+WEIGHT = 2_000_000
 SAMPLE = 8
 
 _U = np.uint64
@@ -266,45 +271,59 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     across = shared.select("a", F.min("a").over(Window.partitionBy("key")).alias("b"))
-    same_id = (
-        classes.groupBy("rep").count().where("count > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    )
     candidates = stars.where("key is null").select("a", "b").union(across)
     groups = components(candidates, "groups")
     groups = written(groups.select(F.col("node"), F.col("component").alias("grp")), "groups")
-    sizes = written(groups.groupBy("grp").agg(F.count("*").alias("n")), "group-sizes")
+    weights = classes.groupBy(F.col("rep").alias("node")).agg(F.sum("n_shingles").alias("weight"))
+    sizes = groups.join(weights.hint("merge"), "node").groupBy("grp").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    # blocks of a group, and how many of its rows one holds
+    parts = F.greatest(F.when(F.col("n") <= BLOCK, F.lit(1)).otherwise(F.ceil(F.col("n") / (BLOCK * 0.75))), F.least("n", F.ceil(F.col("weight") / WEIGHT)))
+    sizes = written(sizes.withColumn("parts", parts.cast("long")).withColumn("per", F.ceil(F.col("n") / F.col("parts")).cast("long")), "group-sizes")
     # the texts of grouped sets, once per distinct text of a node
-    blocks = F.when(F.col("n") <= BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (BLOCK * 0.75))))
-    placed = written(groups.join(sizes, "grp").select("node", "grp", "n", blocks.cast("long").alias("block")), "placed")
+    blocks = F.pmod(F.xxhash64("node"), F.col("parts"))
+    placed = written(groups.join(sizes, "grp").select("node", "grp", "parts", blocks.cast("long").alias("block")), "placed")
     members = written(
         base.where("doc_id is not null").join(placed.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id")
-        .select("grp", "block", "n", F.col("doc_id").alias("node"), "text"),
+        .select("grp", "block", "parts", F.col("doc_id").alias("node"), "text"),
         "members",
     )
     found = written(members.select("grp", "block", "node", "text").groupBy("grp", "block").applyInArrow(_block_classes, _LINKS_DDL), "block-links")
     links = found.select("a", "b")
 
-    large = sizes.where(F.col("n") > BLOCK)
+    large = sizes.where("parts > 1")
     if not large.isEmpty():
-        links = _merge_large(members.where(F.col("n") > BLOCK), found, links)
+        links = _merge_large(members.where("parts > 1"), found, links, large.select("grp", "per"))
 
-    labels = components(links.union(same_id), "classes").select(F.col("node").alias("rep"), "component")
+    labels = components(links.union(_versions(some, classes)), "classes").select(F.col("node").alias("rep"), "component")
     known = written(classes.join(labels, "rep", "left").select("p0", "p1", "n_shingles", F.coalesce("component", "rep").alias("component")), "class-ids")
     out = rows.select("doc_id", "n_shingles", "p0", "p1").join(known.hint("merge"), ["p0", "p1", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _merge_large(members: DataFrame, found: DataFrame, links: DataFrame) -> DataFrame:
-    """The exact way for groups of more than one block."""
+def _versions(some: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that share a doc_id; most corpora have none."""
+    key = F.struct("p0", "p1", "n_shingles")
+    several = written(some.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("doc_id"), "versions")
+    if several.isEmpty():
+        return classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    held = some.join(several, "doc_id").select("doc_id", "p0", "p1", "n_shingles").distinct().join(classes, ["p0", "p1", "n_shingles"]).select("doc_id", "rep")
+    held = written(held, "version-classes")
+    least = held.groupBy("doc_id").agg(F.min("rep").alias("b"))
+    return held.join(least, "doc_id").select(F.col("rep").alias("a"), "b")
+
+
+def _merge_large(members: DataFrame, found: DataFrame, links: DataFrame, per: DataFrame) -> DataFrame:
+    """The exact way for groups of more than one block; ``per`` has how many rows a group's blocks hold."""
     # classes so far follow from labels alone; what they leave apart only costs comparisons
     texts = members.select("node", "text")
     ids = members.select("grp", "node").distinct()
     state = written(ids.join(found.select(F.col("a").alias("node"), F.col("b").alias("cls")), "node"), "state")
     level = found.join(ids.select("grp").distinct(), "grp", "left_semi").where("sampled").select("grp", F.col("a").alias("node"), "block")
+    fan = F.greatest(F.lit(2), F.least(F.lit(48), F.floor(F.col("per") / 4)))
     while True:
-        # rows that stand for their blocks meet, 48 blocks at a time
-        level = level.withColumn("block", F.floor(F.col("block") / 48).cast("long"))
+        # rows that stand for their blocks meet, up to 48 blocks at a time, fewer where texts are long
+        level = level.join(per, "grp").withColumn("block", F.floor(F.col("block") / fan).cast("long")).drop("per")
         meet = level.join(texts, "node").select("grp", "block", "node", "text")
         merged = written(meet.groupBy("grp", "block").applyInArrow(_block_classes, _LINKS_DDL), "merge-links")
         links = links.union(merged.select("a", "b"))
@@ -318,8 +337,8 @@ def _merge_large(members: DataFrame, found: DataFrame, links: DataFrame) -> Data
     counts = state.groupBy("grp", "cls").agg(F.count("*").alias("c"))
     main = counts.groupBy("grp").agg(F.max(F.struct("c", "cls")).alias("m"), F.sum("c").alias("all")).select("grp", F.col("m.cls").alias("main"), (F.col("all") - F.col("m.c")).alias("out"), F.col("all"))
     main = written(main.where(F.col("out") > 0), "outside")
-    rows = state.join(main, "grp")
-    n_ask, n_all = F.ceil(F.col("out") / BLOCK), F.ceil(F.col("all") / BLOCK)
+    rows = state.join(main, "grp").join(per, "grp")
+    n_ask, n_all = F.ceil(F.col("out") / F.col("per")), F.ceil(F.col("all") / F.col("per"))
     ask_block = F.pmod(F.xxhash64("node", F.lit(1)), n_ask)
     all_block = F.pmod(F.xxhash64("node", F.lit(2)), n_all)
     grid = lambda i, j: (i * n_all + j).cast("long")

@@ -82,3 +82,16 @@ def test_very_long_text(spark):
     long = " ".join(f"w{i % 9973}" for i in range(60_000))
     rows = [(1, long), (2, long + " end"), (3, "short text of five words here")]
     assert [c for _, _, c in result(spark, rows)] == [1, 1, 3]
+
+
+def test_versions_of_one_id_share_their_links(spark):
+    a, b = "a b c d e f g h i j", "q r s t u v w x y z"
+    assert result(spark, [(3, a), (5, a), (5, b), (8, b + " x")]) == [(3, 6, 3), (5, 6, 3), (5, 6, 3), (8, 7, 3)]
+    rows = [(k // 2, t) for k, t in enumerate(texts(5, 8, 6, 3))] + [(900, a), (901, b), (900, b)]
+    assert result(spark, rows) == brute(rows)
+
+
+def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "WEIGHT", 300)
+    rows = list(enumerate(texts(6, 3, 20, 3)))
+    assert result(spark, rows) == brute(rows)
