@@ -1,18 +1,21 @@
 """Byte-pair encoding by an automaton built from the merges.
 
-The automaton reads tokens.  It starts with one state that loops on every base symbol.  The gadget
-of a merge (u, v) -> w cuts, in rank order, the path u then v: the state reached by u is copied
+Two machines.  The first reads tokens.  It starts with one state that loops on every base symbol.  The
+gadget of a merge (u, v) -> w cuts, in rank order, the path u then v: the state reached by u is copied
 without its v arc, the u arcs lead to the copy, and every state with a u arc gets a w arc to where v
-led.  After all merges its paths are exactly the encodings, so each word has one path.
-
-Two facts keep the tables small.  The state that a token leads to depends on the token alone, so a
-state is named by its token (and the rank up to which its cuts count); and an arc of a state either
-was there when the state was copied or came with a merge of that arc's left part.  ``Automaton``
-therefore stores, per token, the rank it came with and its two parts, and, per cut arc, the rank of
-the cut; ``arc`` answers whether a state has an arc by following those entries, and keeps the answer
-in the transition table.  A word is read left to right: each prefix is a path of its own, and its
-last token is the one label that ends there and continues the path of what is before.  Emitting the
-labels along the path decodes.
+led.  After all merges its paths are exactly the encodings, so each word has one path, and so has each
+beginning of a word.  Two facts keep it small: the state that a token leads to depends on the token
+alone, so a state is named by its token (and the rank up to which its cuts count); and an arc of a
+state either was there when the state was copied or came with a merge of that arc's left part.
+``Automaton`` therefore stores, per token, the rank it came with and its two parts, and, per cut arc,
+the rank of the cut.
+
+The second reads symbols and is deterministic.  Its state is what the first machine's single path to
+here leaves open: the longest read suffix that begins a label, and the last label of the path to each
+place in it.  A symbol leads on to the one label that ends at it and continues the path of what is
+before; ``step`` finds it and enters it in the transition table, so each state and symbol is worked out
+once and then is a look-up.  A word takes one transition per symbol, without going back; from its end
+the labels chain to its beginning.  Emitting them decodes.
 """
 
 from __future__ import annotations
@@ -29,9 +32,10 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import give_back, text_bytes
 
-#: Entries of a generation of the word tables and of the transition table of a worker.  A full word
-#: table becomes the old generation, which the next one draws on, so frequent words stay.
+#: Entries of a generation of the word tables of a worker.  A full word table becomes the old generation,
+#: which the next one draws on, so frequent words stay.
 WORDS = 300_000
+#: Entries of the transition table; a full one starts anew.
 ARCS = 300_000
 #: Documents per Arrow batch that goes back.
 ROWS = 256
@@ -52,27 +56,57 @@ class Automaton:
             if a in self.born and b in self.born and w not in self.born and self._follow(a, b, rank - 1):
                 self.cut[a, b] = rank
                 self.born[w], self.left[w], self.right[w] = rank, a, b
-        self.last = len(merges)
+        self.rank = len(merges)
         self.ids = {t: i for t, i in vocab.items() if i in self.born}
-        #: labels by what they read: those that end a word, and beginnings of the others (-1: no label)
+        #: labels by what they read, those that end a word apart, with their lengths; beginnings of labels
         self.finals = {t.removesuffix(end): i for t, i in self.ids.items() if t.endswith(end)}
-        self.begins: dict[str, int] = {}
-        for t, i in self.ids.items():
-            if not t.endswith(end):
-                for k in range(1, len(t)):
-                    self.begins.setdefault(t[:k], -1)
-                self.begins[t] = i
-        self.table: dict[int, bool] = {}
+        self.inner = {t: i for t, i in self.ids.items() if not t.endswith(end)}
+        self.size = {i: len(t) for part in (self.finals, self.inner) for t, i in part.items()}
+        self.begins = {t[:k] for part in (self.finals, self.inner) for t in part for k in range(1, len(t))}
+        self._empty()
+
+    def _empty(self) -> None:
+        """The transition table with nothing but the start."""
+        start = ("", (-1,))
+        self.states, self.index, self.last = [start], {start: 0}, [-1]
+        self.next: dict[int, int] = {}
+        self.ends: dict[int, int] = {}
 
     def arc(self, state: int, label: int) -> bool:
-        """Whether the state that ``state`` leads to has an arc ``label``."""
-        key = state << 20 | label
-        found = self.table.get(key)
-        if found is None:
-            if len(self.table) >= ARCS:
-                self.table.clear()
-            found = self.table[key] = self._follow(state, label, self.last)
-        return found
+        """Whether the state that ``state`` leads to has an arc ``label``; the start (-1) has all."""
+        return state < 0 or self._follow(state, label, self.rank)
+
+    def step(self, state: int, symbol: str) -> int:
+        """The transition of a symbol that doesn't end the word, entered in the table."""
+        suffix, lasts = self.states[state]
+        read = suffix + symbol
+        label = self._only(self.inner, read, lasts)
+        lasts = (*lasts, label)
+        k = 0
+        while k < len(read) and read[k:] not in self.begins:
+            k += 1
+        to = (read[k:], lasts[k:])
+        number = self.index.get(to)
+        if number is None:
+            number = self.index[to] = len(self.states)
+            self.states.append(to)
+            self.last.append(label)
+        self.next[state << 21 | ord(symbol)] = number
+        return number
+
+    def finish(self, state: int, symbol: str) -> int:
+        """The label that the last symbol of a word completes, entered in the table."""
+        suffix, lasts = self.states[state]
+        label = self.ends[state << 21 | ord(symbol)] = self._only(self.finals, suffix + symbol, lasts)
+        return label
+
+    def _only(self, labels: dict[str, int], read: str, lasts: tuple[int, ...]) -> int:
+        """The one label that ends ``read`` and continues the path before it."""
+        for k, before in enumerate(lasts):
+            label = labels.get(read[k:])
+            if label is not None and self.arc(before, label):
+                return label
+        raise ValueError(f"no path for {read!r}")
 
     def _follow(self, state: int, label: int, upto: int) -> bool:
         born, cut = self.born, self.cut
@@ -96,46 +130,23 @@ class Automaton:
         whole = self.ids.get(word + self.end)
         if whole is not None:
             return [whole]
-        # Depth first, longest label first.  A prefix has one path, so a place that led nowhere is
-        # never entered again.
-        n, begins, finals, table = len(word), self.begins, self.finals, self.table
-        path, held, dead = [], [], set()
-        state, at, labels = -1, 0, None
-        while True:
-            if labels is None:  # the labels that match here, shortest first
-                labels = []
-                for to in range(at + 1, n):
-                    label = begins.get(word[at:to])
-                    if label is None:
-                        break
-                    if label >= 0:
-                        labels.append((label, to))
-                label = finals.get(word[at:])
-                if label is not None:
-                    labels.append((label, n))
-            while labels:
-                label, to = labels.pop()
-                if to in dead:
-                    continue
-                if state >= 0:
-                    there = table.get(state << 20 | label)
-                    if there is None:
-                        there = self.arc(state, label)
-                    if not there:
-                        continue
-                path.append(label)
-                if to == n:
-                    return path
-                held.append((at, labels))
-                state, at, labels = label, to, None
-                break
-            else:
-                if not path:
-                    raise ValueError(f"no path for {word!r}")
-                dead.add(at)
-                at, labels = held.pop()
-                path.pop()
-                state = path[-1] if path else -1
+        if len(self.next) + len(self.ends) > ARCS:
+            self._empty()
+        table, last, state, labels = self.next, self.last, 0, []
+        for symbol in word[:-1]:
+            to = table.get(state << 21 | ord(symbol))
+            state = self.step(state, symbol) if to is None else to
+            labels.append(last[state])
+        label = self.ends.get(state << 21 | ord(word[-1]))
+        if label is None:
+            label = self.finish(state, word[-1])
+        path, at = [label], len(word) - self.size[label]
+        while at:
+            label = labels[at - 1]
+            path.append(label)
+            at -= self.size[label]
+        path.reverse()
+        return path
 
     def emit(self, path: list[int]) -> str:
         return " ".join(map(self.labels.__getitem__, path))

@@ -88,3 +88,24 @@ def test_frame(spark, library):
 def test_decode(spark, library):
     df = spark.createDataFrame([(1, [320, 49407]), (2, None), (3, [])], "doc_id long, token_ids array<int>")
     assert {r.doc_id: r.decoded for r in decode(df).collect()} == {1: library.decode([320, 49407], skip_special_tokens=False), 2: "", 3: ""}
+
+
+def test_one_transition_per_symbol(own):
+    machine = own.automaton
+    machine._empty()
+    word = "zqxjzqxjk" * 50
+    path = machine.read(word)
+    # a periodic word soon meets its own states again, and reading it a second time adds none
+    held = len(machine.states), len(machine.next), len(machine.ends)
+    assert held[0] <= 30 and machine.read(word) == path and held == (len(machine.states), len(machine.next), len(machine.ends))
+    assert "".join(machine.labels[t] for t in path) == word + "</w>"
+
+
+def test_a_full_table_starts_anew(own, library, monkeypatch):
+    from plumbline.llm import bpe
+
+    monkeypatch.setattr(bpe, "ARCS", 20)
+    rng = random.Random(3)
+    for _ in range(60):
+        same(own, library, "".join(rng.choice("abcdefgh z") for _ in range(60)))
+        assert len(own.automaton.next) <= 90
