@@ -76,6 +76,6 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracles() -> dict[str, str]:
-    from plumbline.llm import licences, rollup
+    from plumbline.llm import licences, rollup, warc
 
-    return {"op7_token_rollup": rollup.ORACLE, "op10_licence_scan": licences.ORACLE}
+    return {"op3_warc_source": warc.ORACLE, "op7_token_rollup": rollup.ORACLE, "op10_licence_scan": licences.ORACLE}

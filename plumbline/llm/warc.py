@@ -1,10 +1,14 @@
 """WARC archives as a Spark data source, for reading and writing.
 
-Files hold one gzip member per record.  A member's extra field ``sl`` gives its compressed and its
-inflated length, so a reader seeks past records that it doesn't want; members of other writers, which
-lack the field, are inflated and dropped.  The reader plans partitions over files, inflates the first
-kilobytes of a record, parses its headers, tests the pushed predicates on record type and headers, and
-inflates the payload only of records that pass, and only if payloads are asked for.
+Files that are written hold one gzip member per record.  A member's extra field ``sl`` gives its
+compressed and its inflated length, so a reader seeks past records that it doesn't want; members of
+other writers, which lack the field, are inflated and dropped.  Plain archives (``.warc``) are read by
+their records' lengths.  The reader plans partitions over files and over ranges of large packed ones
+(a record belongs to the range in which its member begins; a member's start is told by its magic and by
+inflating to a record's first bytes), inflates the first kilobytes of a record, parses its headers,
+tests the pushed predicates on record type and headers, and inflates the payload only of records that
+pass, and only if payloads are asked for.  A payload's length comes from the lengths that the standard
+has: of the record less its HTTP head, and of a revisit what its HTTP head says.
 
 Writers put files in a pending folder; the commit moves those of the tasks that succeeded, so lost
 executors and repeated tasks leave nothing behind.
@@ -23,7 +27,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -73,7 +77,6 @@ def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refe
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {' '.join((url or '').split())}",
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Payload-Length: {len(payload)}",
     ]
     if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{_ID}{'' if refers_to is None else refers_to}>"]
@@ -99,16 +102,30 @@ def _page(value: str | None) -> int | None:
     return int(text) if text.lstrip("-").isdigit() else None
 
 
-def fields(h: dict[str, str]) -> dict:
+def payload_length(h: dict[str, str], after: bytes) -> int | None:
+    """Bytes of the payload: what the record holds behind its HTTP head, or what a revisit's head says.
+
+    ``after`` is the beginning of the record's block; None if it doesn't tell."""
+    held = int(h["content-length"]) if h.get("content-length", "").isdigit() else None
+    if "application/http" not in h.get("content-type", ""):
+        return held
+    http = headers(after)
+    if http is None:
+        return None
+    if h.get("warc-type") == "revisit":
+        return int(http["content-length"]) if http.get("content-length", "").isdigit() else None
+    return None if held is None else held - int(http[" end"])
+
+
+def fields(h: dict[str, str], length: int | None = None) -> dict:
     """The columns that headers give."""
-    length = h.get("x-payload-length")
     return {
         "page_id": _page(h.get("warc-record-id")),
         "record_id": h.get("warc-record-id", "").strip("<>"),
         "record_type": h.get("warc-type"),
         "target_uri": h.get("warc-target-uri"),
         "warc_date": h.get("warc-date"),
-        "payload_bytes": int(length) if length is not None else None,
+        "payload_bytes": length,
         "payload_digest": h.get("warc-payload-digest", "").removeprefix("sha1:") or None,
         "refers_to": _page(h.get("warc-refers-to")) if "warc-refers-to" in h else None,
     }
@@ -118,66 +135,145 @@ def fields(h: dict[str, str]) -> dict:
 SEEN = {"records": 0, "payloads": 0}
 
 
-def read_file(file, wanted, payloads: bool) -> Iterator[dict]:
-    """Records of an open file that ``wanted(fields)`` accepts."""
-    at, size = 0, file.size()
-    while at < size:
+class _Packed:
+    """The gzip member of one record, inflated only as far as it is asked for."""
+
+    def __init__(self, file, at: int):
         file.seek(at)
         start = file.read(HEAD)
         if len(start) < 18 or start[:2] != b"\x1f\x8b":
             raise ValueError(f"no gzip member at {at}")
-        skip, inflated = 0, 0
+        self.file, self.at, self.skip = file, at, 0
         if start[3] & 4:
             (extra,) = struct.unpack_from("<H", start, 10)
             if start[12:14] == b"sl" and extra >= 12:
-                skip, inflated = struct.unpack_from("<II", start, 16)
-        machine = zlib.decompressobj(31)
-        text = machine.decompress(start, HEAD * 4)
-        left = machine.unconsumed_tail
-        read = len(start)
-        found = headers(text)
-        while found is None and not machine.eof:
-            more = left or file.read(HEAD)
-            if not more:
-                raise ValueError(f"the record at {at} is cut off")
-            if not left:
-                read += len(more)
-            text += machine.decompress(more, HEAD * 4)
-            left = machine.unconsumed_tail
-            found = headers(text)
+                (self.skip,) = struct.unpack_from("<I", start, 16)
+        self.machine = zlib.decompressobj(31)
+        self.text = self.machine.decompress(start, HEAD * 4)
+        self.left, self.read = self.machine.unconsumed_tail, len(start)
+
+    def more(self, size: int, most: int = 0) -> bool:
+        """Inflate on; false at the member's end."""
+        if self.machine.eof:
+            return False
+        data = self.left or self.file.read(size)
+        if not data:
+            raise ValueError(f"the record at {self.at} is cut off")
+        if not self.left:
+            self.read += len(data)
+        self.text += self.machine.decompress(data, most)
+        self.left = self.machine.unconsumed_tail
+        return True
+
+    def whole(self) -> bytes:
+        parts = [self.text]
+        self.text = b""
+        while self.more(1 << 16):
+            parts.append(self.text)
+            self.text = b""
+        self.text = b"".join(parts)
+        return self.text
+
+    def next(self, block_end: int | None) -> int:
+        """Where the next member begins; members without lengths are inflated for that."""
+        if self.skip:
+            return self.at + self.skip
+        while self.more(1 << 16):
+            self.text = b""
+        return self.at + self.read - len(self.machine.unused_data)
+
+
+class _Plain:
+    """A record of an archive that isn't packed."""
+
+    def __init__(self, file, at: int):
+        file.seek(at)
+        self.file, self.at = file, at
+        self.text = file.read(HEAD * 4)
+        if not self.text.startswith(b"WARC/"):
+            raise ValueError(f"no record at {at}")
+
+    def more(self, size: int, most: int = 0) -> bool:
+        data = self.file.read(size)
+        self.text += data
+        return bool(data)
+
+    def upto(self, end: int) -> bytes:
+        if end > len(self.text):
+            self.text += self.file.read(end - len(self.text))
+        if end > len(self.text):
+            raise ValueError(f"the record at {self.at} is cut off")
+        return self.text
+
+    def next(self, block_end: int | None) -> int:
+        if block_end is None:
+            raise ValueError(f"the record at {self.at} has no length")
+        return self.at + block_end + 4
+
+
+def first_member(file, start: int, end: int) -> int:
+    """The first place in [start, end) where a member begins that inflates to a record; else end."""
+    at, keep = start, b""
+    while at < end:
+        file.seek(at)
+        data = file.read(1 << 20)
+        if not data:
+            return end
+        hit = data.find(b"\x1f\x8b\x08")
+        while hit >= 0 and at + hit < end:
+            file.seek(at + hit)
+            try:
+                if zlib.decompressobj(31).decompress(file.read(HEAD), 5) == b"WARC/":
+                    return at + hit
+            except zlib.error:
+                pass
+            hit = data.find(b"\x1f\x8b\x08", hit + 1)
+        at += max(1, len(data) - 2)
+    return end
+
+
+def read_file(file, wanted, payloads: bool, start: int = 0, end: int | None = None) -> Iterator[dict]:
+    """Records of an open file that begin in [start, end) and that ``wanted(fields)`` accepts."""
+    size = file.size()
+    end = size if end is None else min(end, size)
+    file.seek(0)
+    plain = file.read(5) == b"WARC/"
+    at = start if plain or not start else first_member(file, start, end)
+    while at < end:
+        record = _Plain(file, at) if plain else _Packed(file, at)
+        found = headers(record.text)
+        while found is None and record.more(HEAD, HEAD * 4):
+            found = headers(record.text)
         SEEN["records"] += 1
-        row = fields(found or {})
+        body_at = int(found[" end"]) if found else 0
+        block = int(found["content-length"]) if found and found.get("content-length", "").isdigit() else None
+        length = None
+        if found:
+            # the HTTP head tells the payload's length; only a very long one takes more reading
+            most = body_at + (1 << 20 if block is None else block)
+            while "application/http" in found.get("content-type", "") and b"\r\n\r\n" not in record.text[body_at:most] and len(record.text) < most:
+                if not record.more(HEAD, HEAD * 4):
+                    break
+            length = payload_length(found, record.text[body_at:most])
+        row = fields(found or {}, length)
         accepted = found is not None and wanted(row)
-        if accepted and not (payloads and row["record_type"] == "response"):
+        inflate = accepted and payloads and row["record_type"] == "response"
+        if accepted and not inflate:
             yield row | {"payload": None}
-        if skip and not (accepted and payloads and row["record_type"] == "response"):
-            at += skip
-            continue
-        parts = [text]
-        while not machine.eof:
-            more = left or file.read(1 << 16)
-            if not more:
-                raise ValueError(f"the record at {at} is cut off")
-            if not left:
-                read += len(more)
-            parts.append(machine.decompress(more))
-            left = machine.unconsumed_tail
-        if accepted and payloads and row["record_type"] == "response":
+        if inflate:
             SEEN["payloads"] += 1
-            whole = b"".join(parts)
-            a = int(found[" end"])
-            block = whole[a : a + int(found.get("content-length", len(whole) - a))]
-            body = block.partition(b"\r\n\r\n")[2] if "application/http" in found.get("content-type", "") else block
-            yield row | {"payload": body}
-        at += skip or read - len(machine.unused_data)
+            text = record.upto(body_at + block) if plain and block is not None else record.whole() if not plain else record.text
+            whole = text[body_at : body_at + block] if block is not None else text[body_at:]
+            payload = whole.partition(b"\r\n\r\n")[2] if "application/http" in found.get("content-type", "") else whole
+            yield row | {"payload": payload}
+        at = record.next(None if block is None else body_at + block)
 
 
-@dataclass
 class Files(InputPartition):
-    paths: list
+    """Ranges (path, first byte, last byte + 1) of files; a whole file's range ends at None."""
 
-    def __init__(self, paths):
-        self.paths = paths
+    def __init__(self, ranges: list):
+        self.ranges = ranges
 
 
 _TESTS = {
@@ -214,12 +310,18 @@ class WarcReader(DataSourceReader):
             raise FileNotFoundError(self.path)
         found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
         files = sorted((x.path, x.size) for x in found if x.type == fs.FileType.File and x.path.endswith((".warc.gz", ".warc")) and "/_" not in x.path[len(root) :])
-        out, held, size = [], [], 0
+        ranges = []
         for path, n in files:
+            if path.endswith(".warc") or n <= 2 * PARTITION_BYTES:
+                ranges.append((path, 0, None, n))
+            else:
+                ranges += [(path, k, min(n, k + PARTITION_BYTES), PARTITION_BYTES) for k in range(0, n, PARTITION_BYTES)]
+        out, held, size = [], [], 0
+        for path, first, last, n in ranges:
             if held and size + n > PARTITION_BYTES:
                 out.append(Files(held))
                 held, size = [], 0
-            held.append(path)
+            held.append((path, first, last))
             size += n
         if held:
             out.append(Files(held))
@@ -231,9 +333,9 @@ class WarcReader(DataSourceReader):
         wanted = lambda row: all(t(row[name], value) for t, name, value in tests)
         rows: list[dict] = []
         size = 0
-        for path in partition.paths:
+        for path, first, last in partition.ranges:
             with system.open_input_file(path) as file:
-                for row in read_file(file, wanted, self.payloads):
+                for row in read_file(file, wanted, self.payloads, first, last):
                     rows.append(row)
                     size += len(row["payload"] or b"")
                     if len(rows) >= ROWS or size >= 1 << 22:
@@ -312,8 +414,10 @@ class WarcSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known to the session, and let Spark hand it predicates (off in Spark by default)."""
     spark.dataSource.register(WarcSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    if spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") != "true":
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def records(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -340,8 +444,46 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+def base32_sha1(payload: Column) -> Column:
+    """The bare base-32 SHA-1 of bytes: five hex digits are four letters."""
+    digest = F.sha1(payload)
+    letters = []
+    for k in range(8):
+        bits = F.conv(F.substring(digest, 5 * k + 1, 5), 16, 10).cast("int")
+        letters += [F.substring(F.lit(ALPHABET), F.shiftright(bits, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
+    return F.concat(*letters)
+
+
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Write the archives to the shared folder and read the records' headers back."""
-    path = scratch_dir(pages.sparkSession, "warc")
+    """Write the archives to the shared folder and read the records back.
+
+    Responses are read with their payloads, whose lengths and digests are taken anew and must agree with
+    the headers; of revisits, which hold none, only the headers are read, by a pushed predicate.
+    """
+    spark = pages.sparkSession
+    path = scratch_dir(spark, "warc")
     archive(pages, path, least)
-    return read(pages.sparkSession, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    whole = read(spark, path).where("record_type = 'response'")
+    whole = whole.withColumns({"found_bytes": F.length("payload").cast("long"), "found_digest": base32_sha1(F.col("payload"))})
+    same = F.col("payload_bytes").eqNullSafe(F.col("found_bytes")) & F.col("payload_digest").eqNullSafe(F.col("found_digest"))
+    checked = F.when(same, F.col("found_digest")).otherwise(F.raise_error(F.concat(F.lit("the payload of "), F.col("record_id"), F.lit(" isn't what its headers say"))))
+    responses = whole.select("page_id", F.col("found_bytes").alias("payload_bytes"), checked.alias("payload_digest"), "record_type", "refers_to")
+    revisits = read(spark, path, payload=False).where("record_type = 'revisit'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return responses.unionByName(revisits)
+
+
+def _oracle() -> str:
+    """The rows of ``round_trip`` of the table ``pages``, without archives."""
+    letters = " || ".join(f"substr('{ALPHABET}', 1 + ((('0x' || substr(sha, {5 * k + 1}, 5))::INTEGER >> {s}) & 31), 1)" for k in range(8) for s in (15, 10, 5, 0))
+    return f"""
+SELECT page_id, octet_length(encode(html)) AS payload_bytes, {letters} AS payload_digest,
+       CASE WHEN holder IS NULL OR page_id IS NOT DISTINCT FROM holder THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM holder THEN holder END AS refers_to
+FROM (SELECT page_id, html, sha1(html) AS sha, max(page_id) OVER (PARTITION BY html) AS holder FROM (SELECT page_id, coalesce(html, '') AS html FROM pages))
+"""
+
+
+ORACLE = _oracle()
