@@ -111,24 +111,26 @@ class Bags:
     def attention(self, x: np.ndarray, begin: np.ndarray) -> np.ndarray:
         return self._forward((x - self.mean) / self.scale, begin)["w"]
 
+    def gradient(self, x: np.ndarray, begin: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss, for scaled features."""
+        p, f, at = self.p, self._forward(x, begin), begin[:-1]
+        h, w, bag = f["h"], f["w"], f["bag"]
+        dy = (f["y"] - label) / len(label)
+        dz = dy[:, None] * p["o"]
+        along = (h * dz[bag]).sum(axis=1)
+        de = w * (along - np.add.reduceat(w * along, at)[bag])
+        dv = (de[:, None] * p["a"]) * f["su"] * (1 - f["tv"] ** 2)
+        du = (de[:, None] * p["a"]) * f["tv"] * f["su"] * (1 - f["su"])
+        dh = (w[:, None] * dz[bag] + dv @ p["v"].T + du @ p["u"].T) * (1 - h**2)
+        return {"w": x.T @ dh, "b": dh.sum(axis=0), "v": h.T @ dv, "u": h.T @ du, "a": (f["tv"] * f["su"]).T @ de, "o": f["z"].T @ dy, "c": dy.sum(keepdims=True)}
+
     def fit(self, x: np.ndarray, begin: np.ndarray, label: np.ndarray, steps: int = STEPS) -> Bags:
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
         x = (x - self.mean) / self.scale
-        at = begin[:-1]
-        weight = np.full(len(label), 1.0 / len(label))
         m1, m2 = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         for step in range(1, steps + 1):
-            p, f = self.p, self._forward(x, begin)
-            h, w, bag = f["h"], f["w"], f["bag"]
-            dy = (f["y"] - label) * weight
-            dz = dy[:, None] * p["o"]
-            along = (h * dz[bag]).sum(axis=1)
-            de = w * (along - np.add.reduceat(w * along, at)[bag])
-            dv = (de[:, None] * p["a"]) * f["su"] * (1 - f["tv"] ** 2)
-            du = (de[:, None] * p["a"]) * f["tv"] * f["su"] * (1 - f["su"])
-            dh = (w[:, None] * dz[bag] + dv @ p["v"].T + du @ p["u"].T) * (1 - h**2)
-            grads = {"w": x.T @ dh, "b": dh.sum(axis=0), "v": h.T @ dv, "u": h.T @ du, "a": (f["tv"] * f["su"]).T @ de, "o": f["z"].T @ dy, "c": dy.sum(keepdims=True)}
-            for k, g in grads.items():
+            p = self.p
+            for k, g in self.gradient(x, begin, label).items():
                 g = g + DECAY * p[k]
                 m1[k] = 0.9 * m1[k] + 0.1 * g
                 m2[k] = 0.999 * m2[k] + 0.001 * g * g
@@ -174,8 +176,10 @@ def _score(model_of):
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus: int = 5, held: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs`` (doc_id, text).
 
-    A null text is empty, and an empty text is a bag of one empty passage.  Without labelled rows every
-    score is 0.5.  Repeated rows are scored each; other columns are never read.
+    A null text is empty, and an empty text is a bag of one empty passage.  A very long text is a bag of
+    as many passages as it has, all of them read.  A score on the threshold is predicted 1; equal texts
+    get equal scores.  Without labelled rows every score is 0.5.  Repeated rows are scored each; other
+    columns are never read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, "quality", modulus, held))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of(modulus) == held).alias("held_out"), text_bytes().alias("text"))

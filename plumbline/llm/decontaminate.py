@@ -110,6 +110,32 @@ def _scan(windows_of):
     return run
 
 
+def cleaned(data: np.ndarray, offsets: np.ndarray, sought: Windows) -> Iterator[bytes]:
+    """The texts of a chunk without the words of their hits, from the first word's first byte to the last
+    word's last; what stood before and behind stays as it is."""
+    words = Words(data, offsets, FOLD)
+    found = find(sought, data, offsets)[1]
+    raw = data.tobytes()
+    for d in range(len(offsets) - 1):
+        a, b = int(offsets[d]), int(offsets[d + 1])
+        parts = []
+        for first, last in merged(found[d][0]) if d in found else []:
+            k = int(words.first[d])
+            parts.append(raw[a : int(words.starts[k + first])])
+            a = int(words.ends[k + last - 1])
+        yield b"".join([*parts, raw[a:b]])
+
+
+def _cut(windows_of):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sought = windows_of()
+        for batch in batches:
+            texts = [t for _, _, data, offsets in doc_chunks(batch.column(batch.num_columns - 1)) for t in cleaned(data, offsets, sought)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())], batch.schema.names)
+
+    return run
+
+
 def _without(windows_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sought = windows_of()
@@ -210,5 +236,40 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """All rows of ``docs`` with their columns; hit words are cut out of the text, null texts stay null.
+
+    Words are told to be hit in the text as it was, one slice of the benchmark after the other, so a cut
+    never makes a new hit within a slice.  No shuffle.
+    """
+    spark = docs.sparkSession
+    raw = docs.withColumn("__text_bytes", text_bytes())
+    for held in _slices(benchmark):
+        shared = spark.sparkContext.broadcast(held)
+        raw = raw.mapInArrow(_cut(lambda b=shared: b.value), raw.schema)
+    text = F.when(F.col("text").isNotNull(), F.col("__text_bytes").cast(docs.schema["text"].dataType))
+    return raw.withColumn("text", text).select(*docs.columns)
+
+
 def sha256_of(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+#: The rows of ``report`` of the tables documents and benchmark, by joining all windows.
+ORACLE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item, w, least(10, len(w)) AS size FROM (
+    SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)
+  WHERE len(w) > 0
+), sought AS (
+  SELECT DISTINCT item, size, array_to_string(w[k : k + size - 1], ' ') AS win FROM items, UNNEST(range(1, len(w) - size + 2)) AS u(k)
+), places AS (
+  SELECT r, size, k, array_to_string(w[k : k + size - 1], ' ') AS win FROM docs, (SELECT DISTINCT size FROM sought), UNNEST(range(1, greatest(len(w) - size + 2, 1))) AS u(k)
+), hits AS (SELECT r, k, size, item FROM places JOIN sought USING (size, win)),
+hit_words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS p FROM hits) GROUP BY r),
+named AS (SELECT r, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS names FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit_words USING (r) LEFT JOIN named USING (r)
+"""

@@ -76,6 +76,12 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracles() -> dict[str, str]:
-    from plumbline.llm import licences, rollup, warc
-
-    return {"op3_warc_source": warc.ORACLE, "op7_token_rollup": rollup.ORACLE, "op10_licence_scan": licences.ORACLE}
+    from plumbline.llm import decontaminate, licences, neardup, rollup, warc
+
+    return {
+        "op3_warc_source": warc.ORACLE,
+        "op6_benchmark_decontamination": decontaminate.ORACLE,
+        "op7_token_rollup": rollup.ORACLE,
+        "op9_minmax_near_duplicates": neardup.ORACLE,
+        "op10_licence_scan": licences.ORACLE,
+    }

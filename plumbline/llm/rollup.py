@@ -5,12 +5,17 @@ delete only a before, a revised count both.  A batch is folded to signed sums pe
 tokenizer_version) and committed as one Parquet folder ``batch=<id>`` that is renamed into place, so a
 batch counts once however often it is sent, and one that failed half way counts not at all.  Totals
 are sums over committed batches; ``compact`` folds them into one base, which remembers its batches.
+
+A tokenizer version is a name and a way to count: a pattern whose matches are tokens (``counted``), or a
+vocabulary file (``counted_by_vocabulary``).
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +33,26 @@ def counted(pattern: str, text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(pattern)), F.lit(0)).cast("long")
 
 
+def counted_by_vocabulary(docs: DataFrame, path: str | None = None, text: str = "text", name: str = "n_tokens") -> DataFrame:
+    """``docs`` with the number of tokens that the vocabulary file gives each text; null texts have none.
+
+    A column of that name is replaced.  A scan without shuffle; words that repeat are encoded once a worker.
+    """
+    from plumbline.llm.bpe import encoder, tokenizer_path
+    from plumbline.llm.common import text_bytes
+
+    own = docs.drop(name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = encoder(path or tokenizer_path())
+        for batch in batches:
+            counts = [len(reader.encode(x.as_py())[0]) for x in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], [*batch.schema.names[:-1], name])
+
+    schema = own.schema.add(name, "long")
+    return own.withColumn("__text_bytes", text_bytes(text)).mapInArrow(run, schema)
+
+
 def image(source: str | Column, lang: str | Column, version: Column, n: Column) -> Column:
     """An image; it is never null itself, also if its parts are."""
     return F.struct(F.col(source) if isinstance(source, str) else source, F.col(lang) if isinstance(lang, str) else lang, version, n).cast(IMAGE)
@@ -94,6 +119,7 @@ class Rollup:
         return self._publish(pending, f"batch={batch}")
 
     def _deltas(self) -> tuple[DataFrame, list[str]]:
+        """Rows of the newest base and of the batches since, and the names of all batches in them."""
         base, held = self._base()
         fresh = [n for n in self._names("batch=") if n.removeprefix("batch=") not in held]
         folders = [f"{self.path}/{n}" for n in fresh] + ([f"{self.path}/{base}/totals"] if base else [])
@@ -101,19 +127,26 @@ class Rollup:
             return self.spark.createDataFrame([], SCHEMA), []
         return self.spark.read.schema(SCHEMA).parquet(*folders), sorted(held | {n.removeprefix("batch=") for n in fresh})
 
+    @staticmethod
+    def _summed(deltas: DataFrame) -> DataFrame:
+        return deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
+
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, docs, tokens; groups that came to nothing are left out."""
-        deltas, _ = self._deltas()
-        return deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
+        return self._summed(self._deltas()[0])
 
     def compact(self) -> None:
-        """Fold all committed batches into a new base."""
-        _, batches = self._deltas()
+        """Fold the batches committed so far into a new base.
+
+        Its totals and its names come from one listing: a batch that is committed meanwhile is in
+        neither, and counts from its own folder.
+        """
+        deltas, batches = self._deltas()
         if not batches:
             return
         pending = f"{self.path}/_pending-{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{pending}/totals")
-        self.spark.createDataFrame([(b,) for b in batches], "batch string").coalesce(1).write.json(f"{pending}/batches")
+        self._summed(deltas).write.parquet(f"{pending}/totals")
+        self.spark.createDataFrame([(b,) for b in batches], "batch string").write.json(f"{pending}/batches")
         number = len(self._names("base="))
         self._publish(pending, f"base={number:012d}")
 

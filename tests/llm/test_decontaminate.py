@@ -5,7 +5,7 @@ import random
 import re
 
 from plumbline.llm import decontaminate
-from plumbline.llm.decontaminate import report, scan, without_contaminated
+from plumbline.llm.decontaminate import report, scan, without_contaminated, without_spans
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -85,3 +85,24 @@ def test_filter_drops_hit_rows(spark):
 def test_spans(spark):
     got = scan(spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string"), spark.createDataFrame([(1, "b c"), (2, "c d"), (3, "e")], "item_id long, text string")).first()
     assert [(s.first, s.last) for s in got.spans] == [(1, 5)]
+
+
+def test_spans_are_cut_out(spark):
+    items = [(1, "one two three"), (2, "three four"), (3, "x")]
+    rows = [(1, "Keep: one, TWO  three four! end.", "a", 1), (2, None, "b", 2), (3, "", "c", 3), (4, "one two", "d", 4), (5, "x", None, 5), (5, "é x\nx y", None, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_hit int")
+    got = without_spans(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(str, (r.text for r in got.collect()))) == sorted(["Keep: ! end.", "None", "", "one two", "", "é  y"])
+    assert got.columns == df.columns
+
+
+def test_cut_texts_keep_all_other_words(spark):
+    docs, items = tables(7)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    hit = {}
+    for r in brute(docs, items):
+        hit.setdefault(r[0], []).append(r[1] - r[2])
+    left = {}
+    for r in without_spans(df, bench).collect():
+        left.setdefault(r.doc_id, []).append(len(WORD.findall(lower(r.text))))
+    assert {d: sorted(v) for d, v in left.items()} == {d: sorted(v) for d, v in hit.items()}

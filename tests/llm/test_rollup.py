@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm.rollup import Rollup, image, none, replay
+from plumbline.llm.rollup import Rollup, counted_by_vocabulary, image, none, replay
 
 CHANGE = "bs string, bl string, bv string, bn long, s string, l string, v string, n long"
 
@@ -60,6 +60,39 @@ def test_like_recounting(spark, tmp_path):
     assert Rollup(spark, f"file://{tmp_path}/r").committed() == ["b0", "b1", "b2", "b3"]
 
 
+def test_a_batch_committed_during_compaction_counts_once(spark, tmp_path, monkeypatch):
+    rollup = Rollup(spark, f"file://{tmp_path}/r")
+    rollup.commit("a", changes(spark, [(None, ("s", "l", "1", 3))]))
+    summed = Rollup._summed
+
+    def late(deltas):
+        monkeypatch.setattr(Rollup, "_summed", staticmethod(summed))
+        Rollup(spark, f"file://{tmp_path}/r").commit("b", changes(spark, [(None, ("s", "l", "1", 4))]))
+        return summed(deltas)
+
+    monkeypatch.setattr(Rollup, "_summed", staticmethod(late))
+    rollup.compact()
+    assert totals(rollup) == {("s", "l", "1"): (2, 7)} and rollup.committed() == ["a", "b"]
+    rollup.compact()
+    assert totals(rollup) == {("s", "l", "1"): (2, 7)}
+
+
+def test_counts_of_a_vocabulary(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from plumbline.llm.bpe import tokenizer_path
+
+    library = Tokenizer.from_file(tokenizer_path())
+    rows = [(1, "Hello, World! it's antidisestablishmentarianism", "en", 5), (2, None, "fr", 6), (3, "", None, None), (1, "x " * 3000, "en", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_tokens int")
+    got = counted_by_vocabulary(docs)
+    want = sorted((d, len(library.encode(t or "", add_special_tokens=False).ids)) for d, t, _, _ in rows)
+    assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == want and set(got.columns) == set(docs.columns)
+    rollup = Rollup(spark, f"file://{tmp_path}/r")
+    rollup.commit("a", got.select(none().alias("before"), image(F.lit("s"), "lang", F.lit("word_bpe_49k"), F.col("n_tokens")).alias("after")))
+    assert sum(n for _, n in totals(rollup).values()) == sum(n for _, n in want)
+
+
 def test_failed_and_empty_batches(spark, tmp_path):
     rollup = Rollup(spark, f"file://{tmp_path}/r")
     assert totals(rollup) == {} and rollup.committed() == []
