@@ -359,8 +359,8 @@ WITH RECURSIVE words AS (
     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k : k + 4], ' '))) END AS s FROM words
 ), sizes AS (SELECT doc_id, len(s) AS n FROM sets),
 shingles AS (SELECT doc_id, unnest(s) AS x FROM sets),
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
-links AS (SELECT a, b FROM both JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * both.n >= 75 * (p.n + q.n - both.n)),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared s JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * s.n >= 75 * (p.n + q.n - s.n)),
 ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(doc_id, node) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT r.doc_id, w.b FROM reach r JOIN ways w ON w.a = r.node)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
