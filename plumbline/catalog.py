@@ -6,8 +6,6 @@ documents for files, their lines for configuration lines, conversations for bloc
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,27 +14,10 @@ from plumbline.functions import scalars
 from plumbline.operators import identity, learning, relational
 from plumbline.plans import rules
 from plumbline.plans.assertions import compile_assertion
+from plumbline.registry import ORACLES, QUERIES, query, table
 from plumbline.sources import bundle
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, and the SQL that it must agree with."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -462,3 +443,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of all orders, their score and worst failures."""
     found = rules.findings(_orders(spark, sf_dir), _RULES, vendor="")
     return rules.summary(found)
+
+
+# the queries over rendered configurations register themselves
+from plumbline import catalog_devices, catalog_graph, catalog_text  # noqa: E402, F401

@@ -9,32 +9,33 @@ from pyspark.sql import functions as F
 
 MARK = "<redacted>"
 
-_VERBS = "add|set|read|write|ro|rw|read-only|read-write|cipher|simple"
 #: Fixed: what stands before a secret (kept), and the secret, in the order in which they apply.
 SECRETS = [
-    (r"(?i)(\bsecret\s+\d\s+)(\S+)", ""),
-    (r"(?i)(\bpassword\s+\d\s+)(\S+)", ""),
-    (r"(?i)(\bsecret\s+)(?!\d\s)(\S+)", ""),
-    (r"(?i)(\bpassword\s+)(?!\d\s)(\S+)", ""),
-    (r"(?i)(\bsnmp-server\s+community\s+)(\S+)", ""),
-    (r"(?i)(\bcommunity\b.*?\bname=)(\S+)", ""),
-    (r"(?i)(\bname=)(\S+)(?=.*\bcommunity)", ""),
-    (rf"(?i)(\bcommunity\s+(?:(?:{_VERBS})\s+)*)(?!name=|(?:{_VERBS})\s)([^\s=]+)(?=\s|$)", ""),
-    (r"(?i)(^|\s)(\$\d+[a-z]?\$\S+)", ""),
-    (r"(?i)(\bcipher\s+)(\S+)", ""),
-    (r"(%\^%#)(\S+?)(?=%\^%#)", ""),
-    (r"(?i)(\bkey\s+\d\s+)(\S+)", ""),
-    (r"(?i)(\bpre-shared-key\s+)(\S+)", ""),
-    (r"(?i)(\bauthentication-key\s+)(\S+)", ""),
-    (r"(?i)(\bencrypted-password\s+)(\S+)", ""),
-    (r"(?i)(\bplain-text-password\s+)(\S+)", ""),
-    (r"(?i)(\bset\s+passwd\s+)(\S+)", ""),
-    (r"(?i)(\bset\s+psksecret\s+)(\S+)", ""),
-    (r"(?i)(\bpassword=)(\S+)", ""),
-    (r"(?i)(\bsecret=)(\S+)", ""),
-    (r"(?i)(\bpsk=)(\S+)", ""),
-    (r"(?i)(\bkey=)(\S+)", ""),
+    r"(?i)(\bsecret\s+\d\s+)(\S+)",
+    r"(?i)(\bpassword\s+\d\s+)(\S+)",
+    r"(?i)(\bsecret\s+)(?!\d\s)(\S+)",
+    r"(?i)(\bpassword\s+)(?!\d\s)(\S+)",
+    r"(?i)(\bsnmp-server\s+community\s+)(\S+)",
+    r"(?i)(\bcommunity\b.*?\bname=)(\S+)",
+    r"(?i)(\bname=)(\S+)(?=.*\bcommunity)",
+    r"(?i)(\bcommunity\s+(?:(?:add|set|read|write|ro|rw|read-only|read-write|cipher|simple)\s+)*)(?!name=|(?:add|set|read|write|ro|rw|read-only|read-write|cipher|simple)\s)([^\s=]+)(?=\s|$)",
+    r"(?i)(^|\s)(\$\d+[a-z]?\$\S+)",
+    r"(?i)(\bcipher\s+)(\S+)",
+    r"(%\^%#)(\S+?)(?=%\^%#)",
+    r"(?i)(\bkey\s+\d\s+)(\S+)",
+    r"(?i)(\bpre-shared-key\s+)(\S+)",
+    r"(?i)(\bauthentication-key\s+)(\S+)",
+    r"(?i)(\bencrypted-password\s+)(\S+)",
+    r"(?i)(\bplain-text-password\s+)(\S+)",
+    r"(?i)(\bset\s+passwd\s+)(\S+)",
+    r"(?i)(\bset\s+psksecret\s+)(\S+)",
+    r"(?i)(\bpassword=)(\S+)",
+    r"(?i)(\bsecret=)(\S+)",
+    r"(?i)(\bpsk=)(\S+)",
+    r"(?i)(\bkey=)(\S+)",
 ]
+#: What every line that a pattern meets holds: a quick test before the patterns.
+HINT = r"(?i)secret|passw|community|\$\d|cipher|%\^%#|key|psk"
 #: Fixed: hash algorithms by type number and by prefix.
 BY_TYPE = {"0": "plaintext", "4": "sha256", "5": "md5", "7": "reversible", "8": "pbkdf2", "9": "scrypt"}
 BY_PREFIX = {"$1$": "md5", "$5$": "sha256", "$6$": "sha512", "$8$": "pbkdf2", "$9$": "scrypt", "$2a$": "bcrypt", "$2b$": "bcrypt", "$2y$": "bcrypt"}
@@ -57,9 +58,11 @@ DETECTORS = [
 
 def redact(line: Column) -> Column:
     """A line with its secrets replaced; everything else stays in place."""
-    for pattern, _ in SECRETS:
-        line = F.regexp_replace(line, pattern, "$1" + MARK)
-    return line
+    clean = line
+    for pattern in SECRETS:
+        clean = F.regexp_replace(clean, pattern, "$1" + MARK)
+    # most lines hold none of the words that a pattern needs
+    return F.when(line.rlike(HINT), clean).otherwise(line)
 
 
 def redact_literal(line: Column, secret: Column) -> Column:
@@ -90,6 +93,40 @@ def ipv4_number(text: Column) -> Column:
     return F.when(good, ((p[0] * 256 + p[1]) * 256 + p[2]) * 256 + p[3])
 
 
+def address_digits(text: Column) -> Column:
+    """An address as hex digits, 8 of IPv4 and 32 of IPv6; null if it is none."""
+    v4 = F.lpad(F.lower(F.hex(ipv4_number(text))), 8, "0")
+    low = F.lower(text)
+    halves = F.split(low, "::")
+    groups = lambda t: F.filter(F.split(t, ":"), lambda x: x != "")
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    lost = F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0))
+    whole = F.concat(left, F.array_repeat(F.lit("0"), lost), right)
+    short = F.contains(low, F.lit("::"))
+    good = low.rlike("^[0-9a-f:]*$") & (F.size(halves) <= 2) & (F.size(whole) == 8) & F.when(short, lost > 0).otherwise(low.rlike("^[^:]+(:[^:]+){7}$")) & ~F.exists(whole, lambda g: F.length(g) > 4) & ~low.rlike("^:[^:]|[^:]:$")
+    return F.when(F.contains(text, F.lit(":")), F.when(good, F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))).otherwise(v4)
+
+
+def leading_bits(digits: Column, length: Column) -> Column:
+    """The first ``length`` bits of an address as hex digits, the last one filled with zeros."""
+    rest = length % 4
+    nibble = F.conv(F.substring(digits, F.floor(length / 4).cast("int") + 1, F.lit(1)), 16, 10).cast("int")
+    part = F.lower(F.hex(nibble - nibble % F.pow(F.lit(2.0), 4 - rest).cast("int")))
+    return F.concat(F.left(digits, F.floor(length / 4).cast("int")), F.when(rest > 0, F.coalesce(part, F.lit(""))).otherwise(""))
+
+
+def digits_address(digits: Column) -> Column:
+    """The usual text of an address: dotted, or groups with the first longest run of zero groups left out."""
+    pair = lambda k: F.conv(F.substring(digits, 2 * k + 1, 2), 16, 10)
+    v4 = F.concat_ws(".", *(pair(k) for k in range(4)))
+    groups = F.concat_ws(":", *(F.lower(F.conv(F.substring(digits, 4 * k + 1, 4), 16, 16)) for k in range(8)))
+    v6 = groups
+    for n in range(2, 9):  # the longest run wins, so it is tried last and stands outermost
+        run = f"^(|.*?:)0(?::0){{{n - 1}}}(|:.*)$"
+        v6 = F.when(groups.rlike(run), F.concat(F.regexp_replace(F.regexp_extract(groups, run, 1), ":$", ""), F.lit("::"), F.regexp_replace(F.regexp_extract(groups, run, 2), "^:", ""))).otherwise(v6)
+    return F.when(F.length(digits) == 8, v4).otherwise(v6)
+
+
 def mask_prefix(mask: Column) -> Column:
     """Prefix length of a contiguous netmask; null for others."""
     n = ipv4_number(mask)
@@ -108,7 +145,7 @@ def to_bool(text: Column) -> Column:
 
 
 def port_number(word: Column) -> Column:
-    out = F.coalesce(F.expr("cast(null as int)"), F.when(word.rlike(r"^\d+$"), word.try_cast("int")), F.lit(-1))
+    out = F.coalesce(F.when(word.rlike(r"^\d+$"), word.try_cast("int")), F.lit(-1))
     for k, v in PORTS.items():
         out = F.when(word == k, v).otherwise(out)
     return out

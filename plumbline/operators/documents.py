@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import credential_fingerprint, redact
+from plumbline.functions.scalars import MARK, credential_fingerprint, redact
 
 #: The scalar and list paths of a document, by kind; struct sections follow from their names.
 SCALARS = {
@@ -42,7 +42,7 @@ def _struct(prefix: str, made: dict[str, Column], extra: dict[str, Column] | Non
     return F.when(some, F.struct(*(c.alias(k) for k, c in inner.items())))
 
 
-def documents(facts: DataFrame, devices: DataFrame, salt: bytes = b"local") -> DataFrame:
+def documents(facts: DataFrame, devices: DataFrame) -> DataFrame:
     """One document per row of ``devices`` (device_id, vendor, os, confidence_bp, identity columns).
 
     A later write of a path wins; lists keep the order of the file; sections that nothing was written to
@@ -82,7 +82,7 @@ def documents(facts: DataFrame, devices: DataFrame, salt: bytes = b"local") -> D
     users = members.where("path like 'aaa.local_users.%'").groupBy("device_id", "file", "entity").agg(
         *fields("aaa.local_users", ["name", "privilege", "hash"]), F.max("secret").alias("secret")
     )
-    user = F.struct(F.col("file").alias("f"), F.col("entity").alias("e"), F.struct("name", F.col("privilege").cast("int").alias("privilege"), "hash", F.when(F.coalesce(F.length("secret"), F.lit(0)) > 0, credential_fingerprint(salt, F.trim("secret"))).alias("hash_fingerprint")).alias("x"))
+    user = F.struct(F.col("file").alias("f"), F.col("entity").alias("e"), F.struct("name", F.col("privilege").cast("int").alias("privilege"), "hash", F.col("secret").alias("hash_fingerprint")).alias("x"))
     users = users.groupBy("device_id").agg(F.transform(F.array_sort(F.collect_list(user)), lambda r: r["x"]).alias("local_users"))
 
     names = members.where("path = 'acls.name'").select("device_id", "file", F.col("entity").alias("acl"), F.col("value").alias("acl_name"))
@@ -128,7 +128,23 @@ def residue(lines: DataFrame, facts: DataFrame) -> DataFrame:
     return lines.join(facts.where("claim").select("device_id", "file", "line_no").distinct(), ["device_id", "file", "line_no"], "left_anti")
 
 
-def evidence(found: DataFrame, facts: DataFrame, lines: DataFrame) -> DataFrame:
+def scrubbed(line: Column, secrets: Column, salt: bytes) -> Column:
+    """A redacted line without words whose fingerprint is among the device's secrets, quotes aside.
+
+    Secrets are known by their fingerprints only; a line whose device has none is redacted by patterns.
+    """
+    clean = redact(line)
+    words = F.array_distinct(F.transform(F.split(F.trim(clean), r"\s+"), lambda w: F.regexp_replace(w, "^[\"';,]+|[\"';,]+$", "")))
+    known = F.filter(words, lambda w: (F.length(w) >= 2) & (w != MARK) & F.array_contains(secrets, credential_fingerprint(salt, w)))
+    return F.when(F.size(F.coalesce(secrets, F.array().cast("array<string>"))) == 0, clean).otherwise(F.aggregate(known, clean, lambda text, w: F.replace(text, w, F.lit(MARK))))
+
+
+def secrets_of(facts: DataFrame) -> DataFrame:
+    """device_id, secrets: the fingerprints of a device's secrets."""
+    return facts.where("secret is not null").groupBy("device_id").agg(F.collect_set("secret").alias("secrets"))
+
+
+def evidence(found: DataFrame, facts: DataFrame, lines: DataFrame, salt: bytes = b"local") -> DataFrame:
     """device_id, rule_id, ir_path, file, line_no, raw and excerpt: at most five citations per finding.
 
     A path cites its last write; a list or a section that was written member by member cites the first.
@@ -144,8 +160,8 @@ def evidence(found: DataFrame, facts: DataFrame, lines: DataFrame) -> DataFrame:
     hits = hits.withColumn("n", F.row_number().over(W.partitionBy("device_id", "rule_id").orderBy("k"))).where(F.col("n") <= EVIDENCE)
     hits = hits.select("device_id", "rule_id", "ir_path", "n", F.col("at.file").alias("file"), F.col("at.line_no").alias("line_no"))
     around = hits.withColumn("near", F.explode(F.sequence(F.col("line_no") - RADIUS, F.col("line_no") + RADIUS)))
-    clean = lines.select("device_id", "file", F.col("line_no").alias("near"), redact(F.col("raw")).alias("clean"))
-    joined = around.join(clean, ["device_id", "file", "near"])
+    near = lines.select("device_id", "file", F.col("line_no").alias("near"), "raw")
+    joined = around.join(near, ["device_id", "file", "near"]).join(secrets_of(facts), "device_id", "left").withColumn("clean", scrubbed(F.col("raw"), F.col("secrets"), salt))
     return joined.groupBy("device_id", "rule_id", "ir_path", "n", "file", "line_no").agg(
         F.max(F.when(F.col("near") == F.col("line_no"), F.col("clean"))).alias("raw"),
         F.array_sort(F.collect_list(F.struct(F.col("near").alias("line"), F.col("clean").alias("text"), (F.col("near") == F.col("line_no")).alias("cited")))).alias("excerpt"),

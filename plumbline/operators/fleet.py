@@ -1,8 +1,11 @@
 """The fleet graph: segments, trust, adjacency, reachability, correlations and the ranking of fixes.
 
-Nodes and edges are tables.  Containment of an address in a declared network is an equi-join on
-(prefix length, leading bits); reachability runs breadth first, all (segment, port) sweeps at once, at
-most six segments deep.
+Nodes and edges are tables.  Addresses are runs of hex digits, eight of IPv4 and 32 of IPv6, so
+containment in a declared network is an equi-join on (digits, prefix length, leading bits) for both.
+Reachability runs breadth first, all (segment, port) sweeps at once, at most six segments deep.
+
+What most steps read is one table, ``members``: a row per interface and segment.  It is worked out and
+staged once (``graph``) and handed on.
 """
 
 from __future__ import annotations
@@ -11,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import ipv4_number, port_matches
+from plumbline.functions.scalars import address_digits, digits_address, leading_bits, port_matches
+from plumbline.operators.relational import pairs_within
 from plumbline.sources.tables import staged
 
 HOPS, ENTRIES, PATHS, DEVICES = 6, 8, 10, 12
@@ -32,23 +36,15 @@ def _range(cidr: str) -> tuple[int, int]:
     return lo, lo + (1 << (32 - int(n))) - 1
 
 
-def is_global(number: Column) -> Column:
-    out = F.lit(True)
+def is_global(digits: Column) -> Column:
+    """Whether an IPv4 address is globally routable; false for others."""
+    number, out = F.conv(F.left(digits, F.lit(8)), 16, 10).cast("long"), F.length(digits) == 8
     for cidr in PRIVATE:
         lo, hi = _range(cidr)
         out = out & ~((number >= lo) & (number <= hi))
     return out
 
 
-def dotted(number: Column) -> Column:
-    part = lambda k: F.shiftright(number, 8 * k).bitwiseAND(F.lit(255).cast("long")).cast("string")
-    return F.concat_ws(".", part(3), part(2), part(1), part(0))
-
-
-def leading(number: Column, length: Column) -> Column:
-    return F.floor(number / F.pow(F.lit(2.0), 32 - length)).cast("long")
-
-
 def interfaces(docs: DataFrame) -> DataFrame:
     """One row per interface of ``docs``."""
     acls = F.coalesce("acls", F.array().cast(docs.schema["acls"].dataType))
@@ -57,48 +53,84 @@ def interfaces(docs: DataFrame) -> DataFrame:
     return rows.select("device_id", "place", "i.*", entries.alias("entries"))
 
 
-def memberships(docs: DataFrame) -> DataFrame:
-    """device_id, place, name, segment, inferred: the networks of interface addresses (IPv4).
+def graph(docs: DataFrame) -> DataFrame:
+    """``members(docs)``, staged: what the other steps of a fleet read."""
+    return staged(members(docs), "members")
 
-    A bare address joins the first declared network that holds it, else its /24.  An interface with one
-    inferred network is inferred in all of them.
+
+def members(docs: DataFrame) -> DataFrame:
+    """device_id, place, name, segment, inferred, trust, shutdown, entries: interfaces in their networks.
+
+    A bare address joins the first declared network that holds it, else its /24 (/64 in IPv6).  An
+    interface with one inferred network is inferred in all of them.  Trust: management before untrusted
+    words before a global IPv4 network before internal.
     """
-    rows = interfaces(docs).select("device_id", "place", "name", F.posexplode("addresses").alias("n", "address"))
-    number = ipv4_number(F.split_part("address", F.lit("/"), F.lit(1)))
-    rows = rows.withColumn("ip", number).withColumn("length", F.when(F.contains("address", F.lit("/")), F.split_part("address", F.lit("/"), F.lit(2)).try_cast("int"))).where("ip is not null")
-    own = rows.where("length is not null").withColumn("bits", leading(F.col("ip"), F.col("length")))
-    declared = own.groupBy("length", "bits").agg(F.min(F.struct("device_id", "place", "n")).alias("order"))
-    lengths = F.array(*(F.lit(k) for k in range(33)))
-    bare = rows.where("length is null").drop("length").withColumn("length", F.explode(lengths)).withColumn("bits", leading(F.col("ip"), F.col("length")))
-    hit = bare.join(declared, ["length", "bits"]).groupBy("device_id", "place", "name", "n", "ip").agg(F.min_by(F.struct("length", "bits"), "order").alias("net"))
-    lost = rows.where("length is null").join(hit.select("device_id", "place", "n"), ["device_id", "place", "n"], "left_anti").select("device_id", "place", "name", "n", "ip", F.struct(F.lit(24).alias("length"), leading(F.col("ip"), F.lit(24)).alias("bits")).alias("net"))
-    all_ = own.select("device_id", "place", "name", "n", "ip", F.struct("length", "bits").alias("net"), F.lit(False).alias("inf")).unionByName(hit.withColumn("inf", F.lit(True))).unionByName(lost.withColumn("inf", F.lit(True)))
-    base = (F.col("net.bits") * F.pow(F.lit(2.0), 32 - F.col("net.length"))).cast("long")
-    segment = F.concat(dotted(base), F.lit("/"), F.col("net.length").cast("string"))
-    shared = F.max("inf").over(W.partitionBy("device_id", "place"))
-    return all_.select("device_id", "place", "name", segment.alias("segment"), base.alias("base"), shared.alias("inferred")).distinct()
-
-
-def classified(docs: DataFrame) -> DataFrame:
-    """Interfaces with trust: management before untrusted words before global addresses before internal."""
-    outside = memberships(docs).groupBy("device_id", "place").agg(F.max(is_global(F.col("base"))).alias("outside"))
+    rows = interfaces(docs).select("device_id", "place", "name", "zone", "description", "shutdown", "is_mgmt", "entries", F.posexplode("addresses").alias("n", "address"))
+    digits = address_digits(F.split_part("address", F.lit("/"), F.lit(1)))
+    bits = F.length("digits") * 4
+    rows = rows.withColumn("digits", digits).withColumn("length", F.when(F.contains("address", F.lit("/")), F.split_part("address", F.lit("/"), F.lit(2)).try_cast("int")))
+    rows = rows.where((F.col("digits").isNotNull()) & (F.col("length").isNull() | ((F.col("length") >= 0) & (F.col("length") <= bits)) & F.contains("address", F.lit("/"))))
+    own = rows.where("length is not null").withColumn("bits", leading_bits(F.col("digits"), F.col("length")))
+    declared = own.groupBy(F.length("digits").alias("size"), "length", "bits").agg(F.min(F.struct("device_id", "place", "n")).alias("order"))
+    bare = rows.where("length is null").drop("length").withColumn("size", F.length("digits")).withColumn("length", F.explode(F.sequence(F.lit(0), bits))).withColumn("bits", leading_bits(F.col("digits"), F.col("length")))
+    keys = ["device_id", "place", "name", "n"]
+    found = bare.join(declared, ["size", "length", "bits"], "left").groupBy(*keys).agg(
+        F.min_by(F.struct("length", "bits"), "order").alias("net"), *(F.first(c).alias(c) for c in ("digits", "zone", "description", "shutdown", "is_mgmt", "entries"))
+    )
+    usual = F.when(F.length("digits") == 8, 24).otherwise(64)
+    found = found.withColumn("net", F.coalesce("net", F.struct(usual.alias("length"), leading_bits(F.col("digits"), usual).alias("bits")))).withColumn("inf", F.lit(True))
+    every = own.withColumn("net", F.struct("length", "bits")).withColumn("inf", F.lit(False)).select(*found.columns).unionByName(found)
+    base = F.rpad("net.bits", F.length("digits"), F.lit("0"))
+    every = every.withColumn("base", base).withColumn("segment", F.concat(digits_address(F.col("base")), F.lit("/"), F.col("net.length").cast("string")))
+    w = W.partitionBy("device_id", "place")
+    every = every.withColumn("inferred", F.max("inf").over(w)).withColumn("outside", F.max(is_global(F.col("base"))).over(w))
+    every = every.withColumn("trust", _trust(F.col("outside")))
+    once = F.row_number().over(W.partitionBy("device_id", "place", "segment").orderBy("n"))
+    return every.withColumn("k", once).where("k = 1").select("device_id", "place", "name", "segment", "base", "inferred", "trust", "shutdown", "entries")
+
+
+def _trust(outside: Column) -> Column:
     text = F.concat_ws(" ", F.coalesce("zone", F.lit("")), F.coalesce("description", F.lit("")))
-    rows = interfaces(docs).join(outside, ["device_id", "place"], "left")
-    trust = F.when(F.col("is_mgmt") | text.rlike(MANAGEMENT), "management").when(text.rlike(UNTRUSTED) | F.coalesce("outside", F.lit(False)), "untrusted").otherwise("internal")
-    return rows.withColumn("trust", trust)
+    return F.when(F.col("is_mgmt") | text.rlike(MANAGEMENT), "management").when(text.rlike(UNTRUSTED) | F.coalesce(outside, F.lit(False)), "untrusted").otherwise("internal")
+
 
+def classified(docs: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """All interfaces with their trust, also those without an address."""
+    held = members(docs) if held is None else held
+    outside = held.groupBy("device_id", "place").agg(F.max(is_global(F.col("base"))).alias("outside"))
+    return interfaces(docs).join(outside, ["device_id", "place"], "left").withColumn("trust", _trust(F.col("outside")))
 
-def nodes(docs: DataFrame) -> DataFrame:
-    """id, kind, label of devices, interfaces, segments, services and shared credentials."""
+
+def nodes(docs: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """id, kind, label of devices, interfaces, segments, services and shared credentials; the last label of
+    an id counts."""
+    held = members(docs) if held is None else held
     d = docs.select(F.concat(F.lit("device:"), "device_id").alias("id"), F.lit("device").alias("kind"), F.coalesce("device.hostname", "device_id").alias("label"))
     i = interfaces(docs).select(F.concat_ws(":", F.lit("iface"), "device_id", "name"), F.lit("interface"), F.col("name"))
-    s = memberships(docs).select(F.concat(F.lit("segment:"), "segment"), F.lit("segment"), F.col("segment"))
+    s = held.select(F.concat(F.lit("segment:"), "segment"), F.lit("segment"), F.col("segment"))
     v = trusts(docs).select("service", F.lit("service"), F.regexp_replace(F.regexp_replace("service", "^service:", ""), ":", " "))
     c = credentials(docs).select(F.concat(F.lit("credential:"), "fingerprint"), F.lit("credential"), F.left("fingerprint", F.lit(8)))
     every = d.union(i).union(s).union(v).union(c)
     return every.groupBy("id").agg(F.max("kind").alias("kind"), F.max("label").alias("label"))
 
 
+def edges(docs: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """src, dst, kind: interfaces of devices, their segments, trusted services and shared credentials."""
+    held = members(docs) if held is None else held
+    one = F.concat_ws(":", F.lit("iface"), "device_id", "name")
+    has = interfaces(docs).select(F.concat(F.lit("device:"), "device_id").alias("src"), one.alias("dst"), F.lit("has").alias("kind"))
+    inside = held.select(one, F.concat(F.lit("segment:"), "segment"), F.lit("member"))
+    leans = trusts(docs).select("src", "service", F.lit("trusts"))
+    keeps = holders(docs).select(F.concat(F.lit("device:"), "device_id"), F.concat(F.lit("credential:"), "fingerprint"), F.lit("credential"))
+    return has.union(inside).union(leans).union(keeps).distinct()
+
+
+def neighbours(links: DataFrame, of: DataFrame) -> DataFrame:
+    """id, neighbour: the other ends of the edges at the nodes ``of`` (id), whichever way they point."""
+    both = links.select(F.col("src").alias("id"), F.col("dst").alias("neighbour")).union(links.select("dst", "src"))
+    return both.join(of.select("id").distinct(), "id").distinct()
+
+
 def trusts(docs: DataFrame) -> DataFrame:
     """Edges from devices to the syslog, ntp and aaa hosts that they depend on."""
     listed = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(p).alias("hosts")) for k, p in (("syslog", "logging.servers"), ("ntp", "ntp.servers"), ("aaa", "aaa.servers"))))
@@ -106,51 +138,94 @@ def trusts(docs: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("device:"), "device_id").alias("src"), F.concat_ws(":", F.lit("service"), "kind", "host").alias("service")).distinct()
 
 
-def credentials(docs: DataFrame) -> DataFrame:
-    """fingerprint, accounts, devices of credentials that two or more accounts hold."""
+def holders(docs: DataFrame) -> DataFrame:
+    """fingerprint, device_id, account, n_accounts of credentials that two or more accounts hold."""
     rows = docs.select("device_id", F.explode("aaa.local_users").alias("u")).where("u.hash_fingerprint is not null")
-    found = rows.groupBy(F.col("u.hash_fingerprint").alias("fingerprint")).agg(F.sort_array(F.collect_list(F.concat_ws(":", "device_id", F.col("u.name")))).alias("accounts"), F.sort_array(F.collect_set("device_id")).alias("devices"))
-    return found.where(F.size("accounts") >= 2)
+    rows = rows.select(F.col("u.hash_fingerprint").alias("fingerprint"), "device_id", F.concat_ws(":", "device_id", F.col("u.name")).alias("account"))
+    counts = rows.groupBy("fingerprint").agg(F.count("*").alias("n_accounts")).where("n_accounts >= 2")
+    return rows.join(counts, "fingerprint")
+
+
+def credentials(docs: DataFrame) -> DataFrame:
+    """fingerprint, accounts (the first by name, ``DEVICES`` at most), n_accounts, devices, n_devices of
+    credentials that two or more accounts hold.
+
+    Counts cover all holders and are partial aggregates; the lists are of what is shown.
+    """
+    held = holders(docs)
+    devices = held.select("fingerprint", "device_id").distinct()
+    place = lambda c: F.row_number().over(W.partitionBy("fingerprint").orderBy(c))
+    first = held.withColumn("k", place("account")).where(F.col("k") <= DEVICES).groupBy("fingerprint", "n_accounts").agg(F.sort_array(F.collect_list("account")).alias("accounts"))
+    known = devices.withColumn("k", place("device_id")).groupBy("fingerprint").agg(F.count("*").alias("n_devices"), F.sort_array(F.collect_list(F.when(F.col("k") <= DEVICES, F.col("device_id")))).alias("devices"))
+    return first.join(known, "fingerprint")
+
 
+def segments(docs: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """segment, interfaces, devices, links: the adjacency of a fleet by classes.
 
-def adjacency(docs: DataFrame) -> DataFrame:
-    """Pairs of interfaces of different devices on one segment, each once: an equi-join on the segment."""
-    m = memberships(docs).withColumn("ord", F.struct("device_id", "place"))
-    a, b = (m.select("segment", F.col("ord").alias(x), F.concat_ws(":", "device_id", "name").alias(f"{x}_name")) for x in ("a", "b"))
-    return a.join(b, "segment").where("a < b and a.device_id <> b.device_id").select(F.col("a_name").alias("a"), F.col("b_name").alias("b"), "segment")
+    Interfaces of different devices on one segment are adjacent; ``links`` counts such pairs, which need
+    not be made: all pairs less those within a device.
+    """
+    held = members(docs) if held is None else held
+    own = held.groupBy("segment", "device_id").agg(F.count("*").alias("n"))
+    pairs = lambda c: F.col(c) * (F.col(c) - 1) / 2
+    sums = own.groupBy("segment").agg(F.sum("n").alias("interfaces"), F.count("*").alias("devices"), F.sum(pairs("n")).alias("same"))
+    return sums.select("segment", "interfaces", "devices", (pairs("interfaces") - F.col("same")).cast("long").alias("links"))
+
+
+def adjacency(docs: DataFrame, most: int, held: DataFrame | None = None) -> DataFrame:
+    """Pairs of interfaces of different devices on one segment, each once: an equi-join on the segment.
+
+    A segment with more than ``most`` interfaces raises: its pairs are told by ``segments``.
+    """
+    held = members(docs) if held is None else held
+    m = held.withColumn("who", F.struct("device_id", "place", F.concat_ws(":", "device_id", "name").alias("label")))
+    pairs = pairs_within(m, "segment", "who", most).where("a.device_id <> b.device_id")
+    return pairs.select(F.col("a.label").alias("a"), F.col("b.label").alias("b"), "segment")
 
 
 def permits(entries: Column, port: Column) -> Column:
-    """Whether an access list lets a port pass: the first entry that decides; null without a list."""
-    decides = lambda e: F.coalesce(F.lower(e["protocol"]), F.lit("")).isin("ip", "tcp", "any", "") & (e["dst_port"].isNull() | port_matches(e["dst_port"], port))
+    """Whether an access list lets a port pass: the first entry that decides; null without a list.
+
+    Entries whose action is neither permit nor deny decide nothing.
+    """
+    decides = lambda e: F.coalesce(F.lower(e["protocol"]), F.lit("")).isin("ip", "tcp", "any", "") & (e["dst_port"].isNull() | port_matches(e["dst_port"], port)) & e["action"].isin("permit", "deny")
     first = F.get(F.filter(entries, decides), F.lit(0))["action"]
     return F.when(entries.isNull() | (F.size(entries) == 0), F.lit(None).cast("boolean")).otherwise(F.coalesce(first == "permit", F.lit(False)))
 
 
-def sweeps(docs: DataFrame) -> DataFrame:
-    """start, port, device_id, interface, hops, inferred, depth: first arrivals of all sweeps.
+def entry_groups(held: DataFrame) -> DataFrame:
+    """start, from, at: the untrusted interfaces that are up, by segment, at most ``ENTRIES`` of each."""
+    rows = held.where("trust = 'untrusted' and not shutdown").withColumn("n", F.row_number().over(W.partitionBy("segment").orderBy("device_id", "place")))
+    return rows.where(F.col("n") <= ENTRIES).select(F.col("segment").alias("start"), F.col("device_id").alias("from"), F.col("name").alias("at"))
+
+
+def sweeps(held: DataFrame) -> DataFrame:
+    """start, port, device_id, interface, hops, inferred, depth: first arrivals of all sweeps over ``members``.
 
     Sweeps start on the segments of untrusted interfaces that are up, one per segment and port; a
     segment is entered once per sweep, over its first interface in the order of devices.
     """
-    ifaces = classified(docs)
-    m = memberships(docs).join(ifaces.select("device_id", "place", "shutdown", "trust", "entries"), ["device_id", "place"]).where("not shutdown")
-    m = staged(m, "members")
-    ports = F.array(*(F.lit(p) for _, p in SERVICES.values()))
-    starts = m.where("trust = 'untrusted'").select(F.col("segment").alias("start")).distinct().withColumn("port", F.explode(ports))
+    ports = [p for _, p in SERVICES.values()]
+    m = held.where("not shutdown")
+    # which ports an interface lets in is worked out once, before the sweeps
+    open_ = F.filter(F.array(*(F.when(F.coalesce(permits(F.col("entries"), F.lit(p)), F.lit(True)), F.lit(p)) for p in ports)), lambda p: p.isNotNull())
+    m = staged(m.select("segment", "device_id", "place", "name", F.col("inferred").alias("inf"), "trust", open_.alias("ports")), "ways")
+    starts = m.where("trust = 'untrusted'").select(F.col("segment").alias("start")).distinct().withColumn("port", F.explode(F.array(*map(F.lit, ports))))
     front = starts.select("start", "port", F.col("start").alias("segment"), F.array("start").alias("hops"), F.lit(False).alias("inferred"))
     seen, found = front.select("start", "port", "segment"), None
+    outs = m.select("device_id", F.col("place").alias("out"), F.col("name").alias("out_name"), "segment", F.col("inf").alias("out_inf"))
     for depth in range(HOPS):
-        enter = front.join(m.select("segment", "device_id", "place", "name", "entries", F.col("inferred").alias("inf")), "segment")
-        enter = enter.where(F.coalesce(permits(F.col("entries"), F.col("port")), F.lit(True)))
+        enter = front.join(m.drop("trust"), "segment").where(F.array_contains("ports", F.col("port")))
         here = enter.select(
             "start", "port", "device_id", F.col("name").alias("interface"), "place", F.concat("hops", F.array(F.concat_ws(":", "device_id", "name"))).alias("way"), "hops", (F.col("inferred") | F.col("inf")).alias("inferred"), F.lit(depth).alias("depth")
         )
         found = here if found is None else found.unionByName(here)
-        onward = here.join(m.select("device_id", F.col("place").alias("out"), F.col("name").alias("out_name"), "segment", F.col("inferred").alias("inf")), "device_id").where("out <> place")
-        onward = onward.join(seen, ["start", "port", "segment"], "left_anti")
+        if depth == HOPS - 1:
+            break
+        onward = here.join(outs, "device_id").where("out <> place").join(seen, ["start", "port", "segment"], "left_anti")
         order = F.struct("device_id", "place", "out")
-        step = onward.groupBy("start", "port", "segment").agg(F.min_by(F.struct(F.concat("hops", F.array(F.concat_ws(":", "device_id", "out_name"), F.col("segment"))).alias("hops"), (F.col("inferred") | F.col("inf")).alias("inferred")), order).alias("x"))
+        step = onward.groupBy("start", "port", "segment").agg(F.min_by(F.struct(F.concat("hops", F.array(F.concat_ws(":", "device_id", "out_name"), F.col("segment"))).alias("hops"), (F.col("inferred") | F.col("out_inf")).alias("inferred")), order).alias("x"))
         front = staged(step.select("start", "port", "segment", "x.*"), "front")
         if front.isEmpty():
             break
@@ -159,32 +234,46 @@ def sweeps(docs: DataFrame) -> DataFrame:
     return found.withColumn("n", first).where("n = 1").select("start", "port", "device_id", "interface", F.col("way").alias("hops"), "inferred", "depth")
 
 
-def exposures(docs: DataFrame) -> DataFrame:
+EVIDENCE = "array<struct<device:string,ir_path:string,detail:string>>"
+
+
+def exposures(docs: DataFrame, held: DataFrame) -> DataFrame:
     """Per device and management service without an access list: the untrusted ways in."""
     on = F.array(*(F.when(F.col(p), F.struct(F.lit(s).alias("service"), F.lit(port).alias("port"))) for s, (p, port) in SERVICES.items()))
     open_ = docs.where("mgmt.mgmt_acl is null").select("device_id", F.coalesce("device.hostname", "device_id").alias("label"), F.explode(F.filter(on, lambda s: s.isNotNull())).alias("s")).select("device_id", "label", "s.*")
-    members = staged(memberships(docs), "memberships")
-    entry = classified(docs).where("trust = 'untrusted' and not shutdown").join(members.select("device_id", "place", F.col("segment").alias("start")), ["device_id", "place"])
-    entry = entry.withColumn("n", F.row_number().over(W.partitionBy("start").orderBy("device_id", "place"))).where(F.col("n") <= ENTRIES)
-    entry = entry.select("start", F.col("device_id").alias("from"), F.col("name").alias("at"))
-    ways = sweeps(docs).join(open_, ["device_id", "port"]).join(entry, "start")
+    ways = sweeps(held).join(open_, ["device_id", "port"]).join(entry_groups(held), "start")
     source = F.concat_ws(":", "from", "at")
     direct = (F.col("from") == F.col("device_id")) & (F.col("at") == F.col("interface"))
     path = F.struct(source.alias("source"), F.when(direct, source).otherwise(F.concat_ws(":", "device_id", "interface")).alias("target"), F.when(direct, F.array(source)).otherwise(F.concat(F.array(source), "hops")).alias("hops"), (F.col("inferred") & ~direct).alias("inferred"))
-    found = ways.groupBy("device_id", "label", "service").agg(F.array_sort(F.collect_set(path)).alias("all"), F.size(F.collect_set(source)).alias("entry_points"), F.max(F.col("inferred") & ~direct).alias("inf"))
+    found = ways.groupBy("device_id", "label", "service").agg(F.array_sort(F.collect_set(path)).alias("all"), F.array_sort(F.collect_set(source)).alias("sources"), F.max(F.col("inferred") & ~direct).alias("inf"))
+    n = F.size("sources")
+    host = lambda s: F.split_part(s, F.lit(":"), F.lit(1))
+    more = F.when(n > 4, F.concat(F.lit(" and "), (n - 4).cast("string"), F.lit(" more"))).otherwise("")
+    cited = F.concat(
+        F.array(F.struct(F.col("device_id").alias("device"), F.lit("mgmt.mgmt_acl").alias("ir_path"), F.lit("no management access list, so every host that gets there may try").alias("detail"))),
+        F.transform(F.slice("sources", 1, 3), lambda s: F.struct(host(s).alias("device"), F.lit("interfaces[]").alias("ir_path"), F.concat(F.lit("untrusted interface "), F.regexp_replace(s, "^[^:]*:", "")).alias("detail"))),
+    )
+    fixes = F.concat(F.array(F.concat(F.lit("Apply a management access list on "), "label", F.lit(" (CIS-NET-1.4.1): it cuts every path at once"))), F.transform(F.slice("sources", 1, 3), lambda s: F.concat(F.lit("Or filter "), "service", F.lit(" inbound on "), s)))
     return found.select(
         F.upper(F.concat_ws("-", F.lit("FLEET-EXPOSURE"), "device_id", "service")).alias("id"), F.lit("critical").alias("severity"),
-        F.concat(F.col("label"), F.lit(": "), F.col("service"), F.lit(" management is reachable from "), F.col("entry_points").cast("string"), F.lit(" untrusted entry points")).alias("title"),
-        F.slice(F.sort_array(F.array_distinct(F.concat(F.array("device_id"), F.transform("all", lambda p: F.split_part(p["source"], F.lit(":"), F.lit(1)))))), 1, DEVICES).alias("devices"),
-        F.slice("all", 1, PATHS).alias("paths"), F.when(F.col("inf"), "inferred").otherwise("asserted").alias("confidence"), F.col("device_id").alias("target"),
+        F.concat(F.col("label"), F.lit(": "), F.col("service"), F.lit(" management is reachable from "), n.cast("string"), F.when(n == 1, " untrusted entry point").otherwise(" untrusted entry points")).alias("title"),
+        F.concat("label", F.lit(" has no management access list, and "), "service", F.lit(" is reachable from "), F.array_join(F.slice("sources", 1, 4), ", "), more, F.lit(". An audit of one device can't see a path across several.")).alias("summary"),
+        F.slice(F.sort_array(F.array_distinct(F.concat(F.array("device_id"), F.transform("all", lambda p: host(p["source"]))))), 1, DEVICES).alias("devices"),
+        F.slice("all", 1, PATHS).alias("paths"), F.when(F.col("inf"), "inferred").otherwise("asserted").alias("confidence"), F.col("device_id").alias("target"), fixes.alias("remediation"), cited.cast(EVIDENCE).alias("evidence"),
     )
 
 
 def ntp_drift(docs: DataFrame) -> DataFrame:
-    """One finding if some devices authenticate time and others don't."""
+    """One finding if some devices authenticate time and others don't: how many, and the first by name."""
     yes = F.coalesce("ntp.authenticated", F.lit(False))
-    a = docs.agg(F.count_if(yes).alias("n"), F.sort_array(F.collect_list(F.when(~yes, F.col("device_id")))).alias("devices"))
-    return a.where("n > 0 and size(devices) > 0").select(F.lit("FLEET-NTP-DRIFT").alias("id"), F.lit("high").alias("severity"), F.lit("Time is authenticated on some devices only").alias("title"), "devices")
+    counts = docs.agg(F.count_if(yes).alias("n"), F.count_if(~yes).alias("without"))
+    names = docs.where(~yes).select("device_id").orderBy("device_id").limit(DEVICES).agg(F.sort_array(F.collect_list("device_id")).alias("devices"))
+    both = counts.where("n > 0 and without > 0").crossJoin(F.broadcast(names))  # one row each
+    return both.select(
+        F.lit("FLEET-NTP-DRIFT").alias("id"), F.lit("high").alias("severity"), F.lit("Time is authenticated on some devices only").alias("title"),
+        F.concat(F.col("n").cast("string"), F.lit(" devices authenticate NTP and "), F.col("without").cast("string"), F.lit(" don't, so their clocks, and logs, can be told apart by nobody.")).alias("summary"), "devices",
+        F.array(F.lit("Authenticate NTP on every device (CIS-NET-4.1.1)")).alias("remediation"), F.transform("devices", lambda d: F.struct(d.alias("device"), F.lit("ntp.authenticated").alias("ir_path"), F.lit("not authenticated").alias("detail"))).cast(EVIDENCE).alias("evidence"),
+    )
 
 
 def covers(a: Column, b: Column) -> Column:
@@ -195,8 +284,9 @@ def covers(a: Column, b: Column) -> Column:
         x, y = F.coalesce(a[f], F.lit("any")), F.coalesce(b[f], F.lit("any"))
         net = lambda t: F.when(t == "any", "0.0.0.0/0").otherwise(t)
         n = lambda t: F.split_part(net(t), F.lit("/"), F.lit(2)).try_cast("int")
-        ip = lambda t: ipv4_number(F.split_part(net(t), F.lit("/"), F.lit(1)))
-        out = out & F.coalesce((n(x) <= n(y)) & (leading(ip(x), n(x)) == leading(ip(y), n(x))), F.lit(False))
+        ip = lambda t: address_digits(F.split_part(net(t), F.lit("/"), F.lit(1)))
+        inside = (F.length(ip(x)) == F.length(ip(y))) & (n(x) <= n(y)) & (leading_bits(ip(x), n(x)) == leading_bits(ip(y), n(x)))
+        out = out & ((x == "any") | F.coalesce(inside, F.lit(False)))
     return out
 
 
@@ -205,28 +295,79 @@ def shadows(docs: DataFrame) -> DataFrame:
     rows = docs.select("device_id", F.explode("acls").alias("a")).select("device_id", F.col("a.name").alias("acl"), F.col("a.entries").alias("e"), F.posexplode("a.entries").alias("k", "late"))
     first = F.get(F.filter(F.slice("e", F.lit(1), F.col("k")), lambda x: covers(x, F.col("late"))), F.lit(0))
     hit = rows.withColumn("early", first).where("early is not null")
+    number = lambda c: F.col(f"{c}.seq").cast("string")
+    same = F.col("early.action") == F.col("late.action")
     return hit.select(
-        F.concat_ws("-", F.lit("FLEET-SHADOW"), "device_id", "acl", F.col("late.seq").cast("string")).alias("id"), F.when(F.col("early.action") == F.col("late.action"), "medium").otherwise("high").alias("severity"),
-        F.concat(F.lit("ACL "), F.col("acl"), F.lit(" entry "), F.col("late.seq").cast("string"), F.lit(" on "), F.col("device_id"), F.lit(" never fires")).alias("title"), F.array("device_id").alias("devices"), F.col("early.seq").alias("covered_by"),
+        F.concat_ws("-", F.lit("FLEET-SHADOW"), "device_id", "acl", number("late")).alias("id"), F.when(same, "medium").otherwise("high").alias("severity"),
+        F.concat(F.lit("ACL "), F.col("acl"), F.lit(" entry "), number("late"), F.lit(" on "), F.col("device_id"), F.lit(" never fires")).alias("title"),
+        F.concat(F.lit("Entry "), number("early"), F.lit(" ("), "early.raw", F.lit(") takes everything that entry "), number("late"), F.lit(" ("), "late.raw", F.lit(") would"), F.when(same, ".").otherwise(", and does the opposite.")).alias("summary"), F.array("device_id").alias("devices"), F.col("early.seq").alias("covered_by"),
+        F.array(F.concat(F.lit("Move entry "), number("late"), F.lit(" of "), "acl", F.lit(" before entry "), number("early"), F.lit(", or remove it"))).alias("remediation"),
+        F.array(F.struct(F.col("device_id").alias("device"), F.lit("acls[]").alias("ir_path"), F.col("late.raw").alias("detail"))).cast(EVIDENCE).alias("evidence"),
+    )
+
+
+def reuse(docs: DataFrame) -> DataFrame:
+    """A finding per credential that two or more accounts hold."""
+    n = F.col("n_accounts").cast("string")
+    return credentials(docs).select(
+        F.concat(F.lit("FLEET-CREDENTIAL-"), F.left("fingerprint", F.lit(8))).alias("id"), F.lit("high").alias("severity"), F.concat(F.lit("The same credential is configured on "), F.col("n_devices").cast("string"), F.lit(" devices")).alias("title"),
+        F.concat(n, F.lit(" accounts hold one secret: who has it has all of them.")).alias("summary"), "devices", F.array(F.lit("Give each device a credential of its own, or move accounts to central AAA (CIS-NET-5.1.1)")).alias("remediation"),
+        F.transform("accounts", lambda a: F.struct(F.split_part(a, F.lit(":"), F.lit(1)).alias("device"), F.lit("aaa.local_users[]").alias("ir_path"), a.alias("detail"))).cast(EVIDENCE).alias("evidence"),
     )
 
 
-def correlations(docs: DataFrame) -> DataFrame:
+def correlations(docs: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """All findings across devices, worst first."""
-    shared = credentials(docs).select(F.concat(F.lit("FLEET-CREDENTIAL-"), F.left("fingerprint", F.lit(8))).alias("id"), F.lit("high").alias("severity"), F.concat(F.lit("The same credential is configured on "), F.size("devices").cast("string"), F.lit(" devices")).alias("title"), "devices")
-    out = exposures(docs).unionByName(ntp_drift(docs), True).unionByName(shared, True).unionByName(shadows(docs).drop("covered_by"), True)
-    rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).when(F.col("severity") == "medium", 2).otherwise(3)
-    return out.orderBy(rank, "id")
+    held = graph(docs) if held is None else held
+    out = exposures(docs, held).unionByName(ntp_drift(docs), True).unionByName(reuse(docs), True).unionByName(shadows(docs).drop("covered_by"), True)
+    order = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).when(F.col("severity") == "medium", 2).otherwise(3)
+    return out.orderBy(order, "id")
 
 
 def rank(found: DataFrame) -> DataFrame:
-    """Actions ordered by what they cut: id, severity, paths_severed, correlations, score."""
+    """Actions ordered by what they cut: fix, action, severity, rule_id, devices, paths_severed, correlations,
+    score.
+
+    An exposure is mended at its target, which cuts all its paths, or at an entry, which cuts one of each.
+    """
     exposed = found.where("id like 'FLEET-EXPOSURE%'")
-    targets = exposed.select(F.concat(F.lit("mgmt-acl:"), "target").alias("fix"), F.lit("critical").alias("severity"), F.size("paths").alias("cut"), "id")
-    filters = exposed.select("id", F.explode("paths").alias("p")).select(F.concat(F.lit("filter:"), "p.source").alias("fix"), F.lit("high").alias("severity"), F.lit(1).alias("cut"), "id")
-    others = found.where("id not like 'FLEET-EXPOSURE%'").select(F.col("id").alias("fix"), "severity", F.lit(0).alias("cut"), "id")
+    after = lambda c: F.regexp_replace(c, "^[^:]*:", "")
+    host = F.split_part("p.source", F.lit(":"), F.lit(1))
+    targets = exposed.select(F.concat(F.lit("mgmt-acl:"), "target").alias("fix"), F.concat(F.lit("Apply a management access list on "), "target").alias("action"), F.lit("critical").alias("severity"), F.lit("CIS-NET-1.4.1").alias("rule_id"), F.array("target").alias("devices"), F.size("paths").alias("cut"), "id")
+    filters = exposed.select("id", F.explode("paths").alias("p")).select(F.concat(F.lit("filter:"), "p.source").alias("fix"), F.concat(F.lit("Filter management traffic inbound on "), after(F.col("p.source")), F.lit(" of "), host).alias("action"), F.lit("high").alias("severity"), F.lit("CIS-NET-6.1.1").alias("rule_id"), F.array(host).alias("devices"), F.lit(1).alias("cut"), "id")
+    rule = F.when(F.startswith("id", F.lit("FLEET-CREDENTIAL")), "CIS-NET-5.1.1").when(F.col("id") == "FLEET-NTP-DRIFT", "CIS-NET-4.1.1")
+    others = found.where("id not like 'FLEET-EXPOSURE%'").select(F.col("id").alias("fix"), F.coalesce(F.get("remediation", F.lit(0)), "title").alias("action"), "severity", rule.alias("rule_id"), "devices", F.lit(0).alias("cut"), "id")
     weight = F.lit(1)
     for k, v in WEIGHT.items():
         weight = F.when(F.col("severity") == k, v).otherwise(weight)
-    sums = targets.unionByName(filters).unionByName(others).groupBy("fix", "severity").agg(F.sum("cut").cast("int").alias("paths_severed"), F.sort_array(F.collect_set("id")).alias("correlations"))
+    sums = targets.unionByName(filters).unionByName(others).groupBy("fix", "severity").agg(
+        F.first("action", True).alias("action"), F.first("rule_id", True).alias("rule_id"), F.first("devices", True).alias("devices"), F.sum("cut").cast("int").alias("paths_severed"), F.sort_array(F.collect_set("id")).alias("correlations")
+    )
     return sums.withColumn("score", F.col("paths_severed") * 10 + weight).orderBy(F.col("score").desc(), "fix")
+
+
+def headline(found: DataFrame) -> DataFrame:
+    """One row: counts by severity, paths, and the sentence that says what one fix would cut."""
+    sums = found.agg(F.count("*").alias("findings"), *(F.count_if(F.col("severity") == s).alias(s) for s in WEIGHT), F.coalesce(F.sum(F.size(F.coalesce("paths", F.array().cast(found.schema["paths"].dataType)))), F.lit(0)).alias("attack_paths"))
+    top = rank(found).limit(1).agg(F.max("action").alias("action"), F.coalesce(F.max("paths_severed"), F.lit(0)).alias("cut"))
+    n = F.col("findings").cast("string")
+    text = (
+        F.when(F.col("findings") == 0, "No exposure across devices was found.")
+        .when(F.col("cut") > 1, F.concat(n, F.lit(" findings across devices over "), F.col("attack_paths").cast("string"), F.lit(" attack paths. One fix - "), "action", F.lit(" - cuts "), F.col("cut").cast("string"), F.lit(" of them.")))
+        .otherwise(F.concat(n, F.lit(" findings across devices that no audit of one device can see.")))
+    )
+    return sums.crossJoin(F.broadcast(top)).withColumn("headline", text).drop("action", "cut")
+
+
+def report(found: DataFrame) -> DataFrame:
+    """One row: the fleet's report as text. Findings and fixes are as many as are shown: a page of each."""
+    found = staged(found, "correlations")
+    line = F.concat(F.lit("- **"), "severity", F.lit("** "), "id", F.lit(": "), "title", F.lit("\n  "), F.coalesce("summary", F.lit("")), F.lit("\n  "), F.array_join(F.coalesce("remediation", F.array().cast("array<string>")), "; "))
+    order = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).when(F.col("severity") == "medium", 2).otherwise(3)
+    page = lambda df, by, c, name: df.orderBy(*by).limit(200).agg(F.transform(F.array_sort(F.collect_list(F.struct(*by_cols(by), c.alias("t")))), lambda x: x["t"]).alias(name))
+    by_cols = lambda by: [b.alias(f"k{k}") for k, b in enumerate(by)]
+    lines = page(found, [order, F.col("id")], line, "lines")
+    fix = F.concat(F.lit("1. "), "action", F.lit(" (cuts "), F.col("paths_severed").cast("string"), F.lit(" paths)"))
+    fixes = page(rank(found).withColumn("down", -F.col("score")), [F.col("down"), F.col("fix")], fix, "fixes")
+    body = F.concat_ws("\n\n", F.lit("# Fleet"), "headline", F.lit("## Findings"), F.array_join("lines", "\n"), F.lit("## Fixes"), F.array_join("fixes", "\n"))
+    return headline(found).crossJoin(F.broadcast(lines)).crossJoin(F.broadcast(fixes)).select(body.alias("report"))

@@ -68,9 +68,8 @@ def identity_values(lines: DataFrame) -> DataFrame:
     for key, patterns, show_only in PATTERNS:
         for k, p in enumerate(patterns):
             allowed = (F.col("role") == "show_output") if show_only else F.lit(True)
-            rank = k + 0
             hit = F.regexp_replace(F.regexp_extract("raw", p, 1), "^[\",;]+|[\",;]+$", "")
-            made.append(F.when(allowed & (hit != ""), F.struct(F.lit(key).alias("key"), F.lit(rank).alias("rank"), hit.alias("value"))))
+            made.append(F.when(allowed & (hit != ""), F.struct(F.lit(key).alias("key"), F.lit(k).alias("rank"), hit.alias("value"))))
     last = F.regexp_extract("raw", COMMENT_SERIAL, 1)
     made.append(F.when(last != "", F.struct(F.lit("serial").alias("key"), F.lit(99).alias("rank"), last.alias("value"))))
     found = lines.select("device_id", "file", "line_no", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("x")).select("device_id", "file", "line_no", "x.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,12 +11,24 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalars import line_shape
 
 
-def words(text: Column) -> Column:
-    """Lower-case words and the parts of hyphenated ones."""
+def words(text: Column, known: list[str] | None = None) -> Column:
+    """Lower-case words and the parts of hyphenated ones; with ``known``, a part of six or more letters that
+    isn't known also gives its first two halves that both are."""
     clean = F.regexp_replace(F.lower(text), r"[=/\"'{};:,()\[\]]", " ")
     found = F.regexp_extract_all(clean, F.lit("([a-z][a-z0-9+-]*)"), F.lit(1))
-    parts = lambda w: F.when(F.contains(w, F.lit("-")), F.filter(F.split(w, "-"), lambda p: F.length(p) > 1)).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.transform(found, lambda w: F.concat(F.array(w), parts(w))))
+    none = F.array().cast("array<string>")
+    hyphen = lambda w: F.contains(w, F.lit("-"))
+    parts = lambda w: F.when(hyphen(w), F.filter(F.split(w, "-"), lambda p: F.length(p) > 1)).otherwise(none)
+    every = lambda w: F.concat(F.array(w), parts(w))
+    if known:
+        held = F.array(*map(F.lit, known))
+        cuts = lambda p: F.filter(
+            F.transform(F.sequence(F.lit(3), F.length(p) - 3), lambda k: F.array(F.substring(p, F.lit(1), k), F.substring(p, k + 1, F.length(p)))), lambda h: F.size(F.array_except(h, held)) == 0
+        )
+        halves = lambda p: F.when((F.length(p) >= 6) & ~F.array_contains(held, p), F.coalesce(F.get(cuts(p), F.lit(0)), none)).otherwise(none)
+        own = lambda w: F.when(hyphen(w), parts(w)).otherwise(F.array(w))
+        every = lambda w: F.concat(F.array(w), parts(w), F.flatten(F.transform(own(w), halves)))
+    return F.flatten(F.transform(found, every))
 
 
 def trigrams(word: Column) -> Column:
@@ -38,17 +52,32 @@ def vectors(rows: DataFrame, ident: str) -> DataFrame:
     return weighed.join(norm, ident).select(ident, "feature", "idf", (F.col("w") / F.col("norm")).alias("v"))
 
 
+#: Most identities whose scores are summed side by side; more are ranked by a join.
+BESIDE = 64
+
+
 def rank(queries: DataFrame, vocabulary: DataFrame, query_id: str, ident: str, top: int) -> DataFrame:
     """query_id, ident, score, place: the best matches by cosine.
 
-    Queries meet the vocabulary feature by feature; one of their features that the vocabulary lacks
-    weighs nothing.
+    One of a query's features that the vocabulary lacks weighs nothing.  A vocabulary of at most
+    ``BESIDE`` identities is broadcast by feature, and a query's scores are sums beside each other, so
+    what is shuffled grows with the queries alone; a larger one is joined.
     """
-    sums = queries.groupBy(query_id, "feature").agg(F.sum("value").alias("tf"))
+    names = [r[0] for r in vocabulary.select(ident).distinct().orderBy(ident).limit(BESIDE + 1).collect()]
+    few = 0 < len(names) <= BESIDE
     idf = vocabulary.select("feature", "idf").distinct()
-    weighed = sums.join(idf, "feature").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = weighed.groupBy(query_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(vocabulary.select(ident, "feature", "v"), "feature").groupBy(query_id, ident).agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    # features that no identity has go before anything is shuffled
+    known = queries.join(F.broadcast(idf) if few else idf, "feature")
+    sums = known.groupBy(query_id, "feature", "idf").agg(F.sum("value").alias("tf")).withColumn("w", F.col("tf") * F.col("idf"))
+    if few:
+        held = vocabulary.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct(ident, "v"))).alias("vs"))
+        at = F.array(*(F.coalesce(F.try_element_at("vs", F.lit(n)), F.lit(0.0)) for n in names))
+        wide = sums.join(F.broadcast(held.select("feature", at.alias("vs"))), "feature").groupBy(query_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *(F.sum(F.col("w") * F.get("vs", F.lit(k))).alias(f"d{k}") for k in range(len(names))))
+        made = F.array(*(F.when(F.col(f"d{k}") > 0, F.struct((-F.round(F.col(f"d{k}") / F.col("norm"), 6)).alias("down"), F.lit(n).alias(ident))) for k, n in enumerate(names)))
+        best = F.slice(F.array_sort(F.filter(made, lambda x: x.isNotNull())), 1, top)
+        return wide.select(query_id, F.posexplode(best).alias("k", "b")).select(query_id, f"b.{ident}", (-F.col("b.down")).alias("score"), (F.col("k") + 1).alias("place"))
+    norm = sums.groupBy(query_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = sums.join(vocabulary.select(ident, "feature", "v"), "feature").groupBy(query_id, ident).agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     scored = dots.join(norm, query_id).select(query_id, ident, F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
     place = F.row_number().over(W.partitionBy(query_id).orderBy(F.col("score").desc(), ident))
     return scored.withColumn("place", place).where(F.col("place") <= top)
@@ -72,8 +101,10 @@ def evidence(ranked: DataFrame, query_id: str) -> DataFrame:
 
 
 def families(residue: DataFrame) -> DataFrame:
-    """Unread lines by shape: file, shape, n, first line, lines."""
-    return residue.withColumn("shape", line_shape(F.col("text"))).groupBy("device_id", "file", "shape").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"), F.array_sort(F.collect_list("line_no")).alias("lines"))
+    """Unread lines by their shape and that of the header above (column ``context``, where there is one):
+    file, shape, parent, n, first line, lines."""
+    parent = line_shape(F.coalesce(F.try_element_at("context", F.lit(-1)), F.lit(""))) if "context" in residue.columns else F.lit("")
+    return residue.withColumn("shape", line_shape(F.col("text"))).withColumn("parent", parent).groupBy("device_id", "file", "shape", "parent").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"), F.array_sort(F.collect_list("line_no")).alias("lines"))
 
 
 #: What the fields of a document are called: path, transform, words that name it (heavier first), phrases.
@@ -100,7 +131,15 @@ VOCABULARY = [
     ("services.discovery_protocols", "to_bool", "lldp cdp discovery", ["lldp enable"]),
     ("services.source_routing", "to_bool", "source-route source-routing", ["ip source route"]),
     ("device.hostname", "identity", "sysname hostname host-name", ["system name"]),
+    ("snmp.traps", "collect", "trap target-host snmp-trap", ["snmp trap target host address", "snmp trap enable"]),
+    ("logging.timestamps", "presence", "timestamps timestamp datetime", ["service timestamps log datetime", "info timestamp"]),
+    ("logging.buffered", "presence", "buffered logbuffer buffer", ["logging buffered size", "info logbuffer"]),
+    ("ntp.source", "identity", "source source-interface ntp", ["ntp source interface loopback", "ntp source-interface"]),
+    ("routing.neighbour_authentication", "presence", "message-digest neighbor md5", ["neighbor password", "ospf authentication message-digest"]),
+    ("services.proxy_arp", "to_bool", "proxy-arp arp proxy", ["ip proxy-arp", "arp proxy enable"]),
 ]
+KNOWN = sorted({w for _, _, names, phrases in VOCABULARY for t in (names, *phrases) for w in t.replace("-", " ").split() + t.split() if len(w) >= 3 and w[0].isalpha()})
+CONTEXT = 0.35
 LEAST_SIMILAR, LEAST_SURE, ACCEPTED = 0.12, 0.2, 0.85
 
 
@@ -115,27 +154,91 @@ def field_vectors(spark) -> DataFrame:
 
 
 def propose(residue: DataFrame) -> DataFrame:
-    """device_id, file, line_no, path, transform, match, confidence for unread lines that a field resembles.
+    """device_id, file, line_no, path, transform, match, value, place, confidence for unread lines that a field
+    resembles.
 
-    ``match`` keeps the line's grammar words and lets its data vary; the last datum is the value.
+    The last two headers above a line (column ``context``, where there is one) count a third.  The better of
+    the two best fields for which the line has a word of the right shape is proposed: a number for a
+    number, any second word for a name.  ``match`` keeps the line's grammar words and lets its data vary.
     """
+    from plumbline.functions.scalars import is_data, transform
+
     spark = residue.sparkSession
     ident = F.concat_ws("\x1f", "device_id", "file", F.col("line_no").cast("string"))
     rows = residue.where("text <> ''").withColumn("line", ident)
-    asked = rows.select("line", F.explode(words(F.col("text"))).alias("w")).select("line", F.explode(features(F.col("w"), F.lit(1.0))).alias("f")).select("line", "f.*")
+    above = F.slice("context", F.greatest(F.size("context") - 1, F.lit(1)), F.lit(2)) if "context" in residue.columns else F.array().cast("array<string>")
+    weigh = lambda text, v: F.flatten(F.transform(words(text, KNOWN), lambda w: features(w, F.lit(v))))
+    asked = rows.select("line", F.explode(F.concat(weigh(F.col("text"), 1.0), F.flatten(F.transform(above, lambda h: weigh(h, CONTEXT))))).alias("f")).select("line", "f.*")
     ranked = rank(asked, field_vectors(spark), "line", "path", 3)
     fields = spark.createDataFrame([(p, t, n.split()) for p, t, n, _ in VOCABULARY], "path string, transform string, names array<string>")
-    own = rows.select("line", "device_id", "file", "line_no", "text", words(F.col("text")).alias("own"))
-    ranked = ranked.join(F.broadcast(fields), "path").join(own, "line").withColumn("keyword", F.arrays_overlap("own", "names"))
-    best = evidence(ranked, "line").where((F.col("place") == 1) & (F.col("score") >= LEAST_SIMILAR) & (F.col("confidence") >= LEAST_SURE))
-    from plumbline.functions.scalars import is_data
-
     tokens = F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")
+    own = rows.select("line", "device_id", "file", "line_no", tokens.alias("tokens"), words(F.col("text"), KNOWN).alias("own"))
+    ranked = evidence(ranked.join(F.broadcast(fields), "path").join(own, "line").withColumn("keyword", F.arrays_overlap("own", "names")), "line")
+    last = F.size("tokens") - 1
+    numbers = F.filter(F.sequence(F.lit(0), last), lambda k: F.get("tokens", k).rlike(r"^\d+$"))
+    bare = F.col("transform").isin("presence", "negated_presence")
+    at = F.when(bare, F.lit(-1)).when(F.col("transform") == "to_int", F.coalesce(F.array_max(numbers), F.lit(-2))).otherwise(F.when(last > 0, last).otherwise(F.lit(-2)))
+    fit = ranked.withColumn("at", at).where((F.col("place") <= 2) & (F.col("at") > -2) & (F.col("score") >= LEAST_SIMILAR) & (F.col("confidence") >= LEAST_SURE))
+    first = F.row_number().over(W.partitionBy("line").orderBy("place"))
+    best = fit.withColumn("k", first).where("k = 1")
     escaped = lambda w: F.regexp_replace(w, r"([\\.^$|?*+()\[\]{}])", r"\\$1")
-    last = F.size(tokens) - 1
-    part = lambda w, i: F.when(is_data(w) | ((i == last) & ~F.col("transform").isin("presence", "negated_presence") & (last > 0)), F.when(i == last, r"(?P<value>\S+)").otherwise(r"\S+")).otherwise(escaped(w))
-    pattern = F.concat(F.lit("^"), F.array_join(F.transform(tokens, part), r"\s+"))
-    return best.select("device_id", "file", "line_no", "path", "transform", pattern.alias("match"), F.round("confidence", 4).alias("confidence"))
+    part = lambda w, i: F.when(i == F.col("at"), r"(?P<value>\S+)").when(is_data(w), r"\S+").otherwise(escaped(w))
+    pattern = F.concat(F.lit("^"), F.array_join(F.transform("tokens", part), r"\s+"))
+    raw, value = F.when(F.col("at") >= 0, F.get("tokens", F.col("at"))), F.lit(None).cast("string")
+    for name in sorted({t for _, t, _, _ in VOCABULARY}):
+        value = F.when(F.col("transform") == name, transform(name, raw)).otherwise(value)
+    return best.select("device_id", "file", "line_no", "path", "transform", pattern.alias("match"), value.alias("value"), "place", F.round("confidence", 4).alias("confidence"))
+
+
+def preview(mapping, lines: DataFrame, facts: DataFrame, secrets: DataFrame | None = None) -> DataFrame:
+    """device_id, file, line_no, text, value, applies: the lines that a mapping matches, whoever reads them.
+
+    It applies to lines that nothing claims and whose value its transform can make; the others are shown.
+    Texts are redacted.
+    """
+    from plumbline.functions.scalars import redact
+    from plumbline.operators.documents import residue
+    from plumbline.operators.packs import matched
+
+    mapping.check()
+    free = residue(lines, facts).select("device_id", "file", "line_no", F.lit(True).alias("free"))
+    hit, value = matched(mapping)
+    from plumbline.operators.packs import with_header
+
+    hits = with_header(lines.where("text <> ''")).where(hit).withColumn("value", value)
+    joined = hits.join(free, ["device_id", "file", "line_no"], "left")
+    return joined.select("device_id", "file", "line_no", redact(F.col("text")).alias("text"), "value", (F.col("value").isNotNull() & F.coalesce("free", F.lit(False))).alias("applies"))
+
+
+def confirm(held: list, mapping, lines: DataFrame, facts: DataFrame) -> list:
+    """``held`` with the mapping as a person confirms it: of tier 3 and without a confidence of its own.
+
+    A mapping that applies to no unread line is refused; one with the same pattern is replaced.
+    """
+    from dataclasses import replace
+
+    from plumbline.operators.packs import PackError
+
+    sure = replace(mapping, tier=3, confidence=1.0)
+    if preview(sure, lines, facts).where("applies").isEmpty():
+        raise PackError("the mapping matches no unread line")
+    return [*withdraw(held, mapping.match), sure]
+
+
+def withdraw(held: list, match: str) -> list:
+    """``held`` without the mapping of that pattern."""
+    return [m for m in held if m.match != match]
+
+
+def fingerprint(held: list) -> tuple[tuple[str, float], ...]:
+    """What tells a taught vendor: the one or two words that begin its patterns, five at most."""
+    heads: list[str] = []
+    for m in held:
+        found = re.match(r"\^([A-Za-z/][\w/-]*(?:\\s\+[A-Za-z][\w-]*)?)", m.match)
+        if found and found[1] not in heads:
+            heads.append(found[1])
+    weight = round(min(0.9, 1 / max(len(heads[:5]), 1) + 0.15), 2)
+    return tuple((rf"^\s*{h}\b", weight) for h in heads[:5])
 
 
 def accepted(proposals: DataFrame, least: float = ACCEPTED) -> DataFrame:
@@ -153,8 +256,22 @@ def mappings(proposals: DataFrame, most: int = 1000) -> list:
     return [Mapping(r.path, r.match, r.transform, 2, r.c) for r in rows]
 
 
-def held_out(proposals: DataFrame, truth: DataFrame) -> DataFrame:
-    """One row over truth (device_id, file, line_no, path): fields right among the lines that have one."""
-    rows = truth.join(proposals.select("device_id", "file", "line_no", F.col("path").alias("said")), ["device_id", "file", "line_no"], "left")
-    right = F.count_if(F.col("path") == F.col("said"))
-    return rows.agg(F.count("*").alias("lines"), F.count("said").alias("proposed"), right.alias("right"), F.bround(F.coalesce(F.try_divide(right.cast("double"), F.count("*")), F.lit(0.0)), 4).alias("accuracy"))
+def held_out(proposals: DataFrame, truth: DataFrame, least: float = ACCEPTED) -> DataFrame:
+    """One row over truth (device_id, file, line_no, path, value): lines with a truth, those proposed, right
+    fields, right values, and of all proposals sure enough how many are right or read a line without truth.
+
+    A line may have several true paths; a proposal is right if it names one of them.
+    """
+    keys = ["device_id", "file", "line_no"]
+    said = proposals.select(*keys, F.col("path").alias("said"), F.col("value").alias("said_value"), (F.col("confidence") >= least).alias("sure"))
+    known = truth.groupBy(*keys).agg(F.collect_set(F.struct("path", "value")).alias("known"))
+    rows = known.join(said, keys, "full")
+    field = F.coalesce(F.exists("known", lambda k: k["path"] == F.col("said")), F.lit(False))
+    value = F.coalesce(F.exists("known", lambda k: (k["path"] == F.col("said")) & k["value"].eqNullSafe(F.col("said_value"))), F.lit(False))
+    there = F.col("known").isNotNull()
+    sums = rows.agg(
+        F.count_if(there).alias("lines"), F.count_if(there & F.col("said").isNotNull()).alias("proposed"), F.count_if(field).alias("right"), F.count_if(value).alias("right_values"),
+        F.count_if("sure").alias("sure"), F.count_if(F.col("sure") & value).alias("sure_right"), F.count_if(F.col("sure") & ~there).alias("false_applies"),
+    )
+    rate = lambda a, b: F.bround(F.coalesce(F.try_divide(F.col(a).cast("double"), b), F.lit(0.0)), 4)
+    return sums.withColumns({"accuracy": rate("right", "lines"), "value_agreement": rate("right_values", "lines"), "precision": rate("sure_right", "sure")})

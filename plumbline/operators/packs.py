@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import transform
+from plumbline.functions.scalars import DETECTORS, transform
 from plumbline.operators.documents import SCALARS
 from plumbline.operators.ledger import canonical
 
@@ -41,6 +41,9 @@ class Mapping:
             raise PackError(f"{self.path} can't be learned")
         for p in filter(None, (self.match, self.within)):
             safe_pattern(p)
+            no_customer_data(p)
+        for text in (x for kv in self.values.items() for x in kv):
+            no_customer_data(str(text))
         transform(self.transform, F.lit("x"), self.values)
 
 
@@ -73,6 +76,15 @@ def safe_pattern(pattern: str) -> None:
         raise PackError(f"malformed pattern: {e}") from e
 
 
+def no_customer_data(pattern: str) -> None:
+    """Refuses patterns and values that show an address, a name or a secret of somebody's."""
+    plain = re.sub(r"\(\?P<\w+>", "(", pattern)
+    for form in (plain, re.sub(r"\\(?=[.$+/*?()\[\]{}|^-])", "", plain)):
+        for name, detector in DETECTORS:
+            if re.search(detector, form):
+                raise PackError(f"a pattern holds {name}")
+
+
 def admit(packs: list[Pack], trusted: set[str]) -> list[Pack]:
     """All packs, if every one of them has a trusted digest; none otherwise."""
     for p in packs:
@@ -96,25 +108,35 @@ def _java(pattern: str) -> str:
     return pattern.replace("(?P<", "(?<")
 
 
+def with_header(lines: DataFrame) -> DataFrame:
+    """Lines with the unindented line above an indented one."""
+    above = F.last(F.when(F.col("indent") == 0, F.col("text")), True).over(W.partitionBy("device_id", "file").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1))
+    return lines.withColumn("header", F.when(F.col("indent") > 0, above))
+
+
+def matched(m: Mapping) -> tuple[Column, Column]:
+    """Whether a mapping matches a line (text, header), and the value it makes of it, null if it can't."""
+    hit = F.col("text").rlike(_java(m.match))
+    if m.within:
+        hit = hit & F.coalesce(F.col("header").rlike(_java(m.within)), F.lit(False))
+    group = re.compile(m.match).groupindex.get("value")
+    raw = F.regexp_extract("text", _java(m.match), group) if group else F.lit("")
+    return hit, transform(m.transform, raw, dict(m.values))
+
+
 def apply(residue: DataFrame, devices: DataFrame, packs: list[Pack]) -> DataFrame:
     """Facts of the lines that mappings read; booleans that a line asserts stay true."""
-    header = F.last(F.when(F.col("indent") == 0, F.col("text")), True).over(W.partitionBy("device_id", "file").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1))
-    rows = residue.where("text <> ''").withColumn("header", F.when(F.col("indent") > 0, header)).join(devices.select("device_id", "vendor", "os"), "device_id")
+    rows = with_header(residue.where("text <> ''")).join(devices.select("device_id", "vendor", "os"), "device_id")
     out: Column = F.lit(None).cast("struct<path:string,op:string,value:string,tier:int,bp:int,pack:string>")
     ordered = [(p, m) for p in packs for m in p.mappings]
     for p, m in reversed(ordered):
         own = F.col("vendor") == p.vendor
         if p.os is not None:
             own = own & (F.col("os").isNull() | (F.col("os") == p.os))
-        hit = own & F.col("text").rlike(_java(m.match))
-        if m.within:
-            hit = hit & F.coalesce(F.col("header").rlike(_java(m.within)), F.lit(False))
-        group = re.compile(m.match).groupindex.get("value")
-        raw = F.regexp_extract("text", _java(m.match), group) if group else F.lit("")
-        value = transform(m.transform, raw, dict(m.values))
+        hit, value = matched(m)
         op = "append" if SCALARS.get(m.path) == "array" else "set"
         fact = F.struct(F.lit(m.path).alias("path"), F.lit(op).alias("op"), value.alias("value"), F.lit(m.tier).alias("tier"), F.lit(round(m.confidence * 10000)).alias("bp"), F.lit(p.id).alias("pack"))
-        out = F.when(hit & value.isNotNull(), fact).otherwise(out)
+        out = F.when(own & hit & value.isNotNull(), fact).otherwise(out)
     found = rows.withColumn("f", out).where("f is not null")
     # a later false gives way to a true of the same file
     once = F.max((F.col("f.value") == "true").cast("int")).over(W.partitionBy("device_id", "file", "f.path").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1))

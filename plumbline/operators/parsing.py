@@ -9,6 +9,7 @@ line numbers Spark's reader loses, is read by a function over file groups.
 
 Facts: device_id, file, line_no, sub, path, op (set or append), entity, value, secret, claim.  Members
 of list sections (interfaces, accounts, access lists) carry an ``entity``: the line that opened them.
+Secrets leave ``parse`` as fingerprints only, so no table that is staged holds one in a column.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import community_marker, hash_algorithm, wildcard_prefix
+from plumbline.functions.scalars import community_marker, credential_fingerprint, hash_algorithm, wildcard_prefix
 from plumbline.operators.panxml import SHIPPED, read_group
 from plumbline.sources.tables import staged
 
@@ -101,32 +102,47 @@ def _starts(*items: str) -> str:
     return "^(?:" + "|".join(x.replace(".", r"\.") for x in items) + ")"
 
 
-def _ace(rest: Column) -> list[Column]:
-    """Facts of an access list entry's remainder: protocol, addresses as prefixes, ports, log."""
-    address = r"(any|host \S+|\S+/\d+|\S+ \d{1,3}(?:\.\d{1,3}){3}|\S+)"
-    ports = r"((?:eq|neq|gt|lt) \S+|range \S+ \S+)?"
-    shape = rf"^(\S+)(?: {address})??(?: {ports})?(?: {address})?(?: {ports})?$"
-    clean = F.trim(F.regexp_replace(F.regexp_replace(F.concat(F.lit(" "), rest, F.lit(" ")), r"(?<= )log(?= )", ""), r"\s+", " "))
-    part = lambda i: F.nullif(F.regexp_extract(clean, shape, i), F.lit(""))
-
-    def prefix(x: Column) -> Column:
-        last = F.split_part(x, F.lit(" "), F.lit(2))
-        return (
-            F.when(x.isNull() | (x == "any") | F.contains(x, F.lit("/")), x)
-            .when(F.startswith(x, F.lit("host ")), F.concat(last, F.lit("/32")))
-            .when(F.contains(x, F.lit(" ")), F.concat(F.split_part(x, F.lit(" "), F.lit(1)), F.lit("/"), wildcard_prefix(last).cast("string")))
-            .otherwise(F.concat(x, F.lit("/32")))
-        )
-
-    def port(x: Column) -> Column:
-        return F.when(F.startswith(x, F.lit("range ")), F.concat_ws("-", F.split_part(x, F.lit(" "), F.lit(2)), F.split_part(x, F.lit(" "), F.lit(3)))).otherwise(x)
+PORT_WORDS = ["eq", "neq", "gt", "lt", "range"]
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def ace_fields(rest: Column) -> Column:
+    """protocol, src, src_port, dst, dst_port of an entry's remainder, read from its words in their order:
+    protocol, address, ports, address, ports.  What isn't there is null, and words behind are left alone."""
+
+    def address(t: Column, k: Column) -> Column:
+        """The address at word k as a prefix, and the word behind it."""
+        w, second = F.get(t, k), F.get(t, k + 1)
+        plain = (w == "any") | F.contains(w, F.lit("/"))
+        pair = F.coalesce(second.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.lit(False))
+        value = (
+            F.when(w.isNull() | plain, w).when(w == "host", F.coalesce(F.concat(second, F.lit("/32")), F.lit("any")))
+            .when(pair, F.concat(w, F.lit("/"), wildcard_prefix(second).cast("string"))).otherwise(F.concat(w, F.lit("/32")))
+        )
+        return F.struct(value.alias("v"), (k + F.when(w.isNull(), 0).when(plain, 1).when((w == "host") | pair, 2).otherwise(1)).alias("k"))
 
+    def ports(t: Column, k: Column) -> Column:
+        w, second, third = F.get(t, k), F.get(t, k + 1), F.get(t, k + 2)
+        there = F.coalesce(w.isin(*PORT_WORDS), F.lit(False))
+        span = there & (w == "range") & third.isNotNull()
+        value = F.when(span, F.concat_ws("-", second, third)).when(there & second.isNotNull(), F.concat_ws(" ", w, second))
+        return F.struct(value.alias("v"), (k + F.when(span, 3).when(there, 2).otherwise(0)).alias("k"))
+
+    words = F.filter(F.split(F.trim(rest), r"\s+"), lambda w: (w != "") & (w != "log"))
+    return _let(words, lambda t: _let(address(t, F.lit(1)), lambda a: _let(ports(t, a["k"]), lambda p: _let(address(t, p["k"]), lambda d: F.struct(
+        F.get(t, F.lit(0)).alias("protocol"), a["v"].alias("src"), p["v"].alias("src_port"), d["v"].alias("dst"), ports(t, d["k"])["v"].alias("dst_port")
+    )))))
+
+
+def _ace(rest: Column) -> list[Column]:
+    """Facts of an access list entry, whose words are read in the column ``ace``."""
     e = F.col("line_no")
-    return [
-        fact("acls.entries.protocol", part(1), entity=e), fact("acls.entries.src", prefix(part(2)), entity=e), fact("acls.entries.src_port", port(part(3)), entity=e),
-        fact("acls.entries.dst", prefix(part(4)), entity=e), fact("acls.entries.dst_port", port(part(5)), entity=e),
-        fact("acls.entries.log", rest.rlike(r"(^|\s)log(\s|$)"), entity=e),
-    ]
+    read = [fact(f"acls.entries.{k}", F.col(f"ace.{k}"), entity=e) for k in ("protocol", "src", "src_port", "dst", "dst_port")]
+    return [*read, fact("acls.entries.log", F.array_contains(F.split(rest, r"\s+"), "log"), entity=e)]
 
 
 def indented(rows: DataFrame, dialect: str) -> DataFrame:
@@ -165,6 +181,7 @@ def ios(rows: DataFrame, dialect: str = "cisco") -> DataFrame:
     acl = r"^ip access-list (?:(?:standard|extended) )?(\S+)"
     ace = r"^(?:(\d+) )?(permit|deny)\s+(.*)$"
     n = F.col("line_no")
+    rows = rows.withColumn("ace", F.when(F.col("block") == "acl", ace_fields(g(ace, 3))))
     statements = [on(".*", where=F.col("opaque"))]
     top = [
         on(r"^hostname (\S+)", fact("device.hostname", g(r"^hostname (\S+)"))),
@@ -452,7 +469,7 @@ def folded(facts: DataFrame) -> DataFrame:
 _BLANK = {"path": "string", "op": "string", "entity": "int", "value": "string", "secret": "string"}
 
 
-def parse(lines: DataFrame, vendors: DataFrame, hold_out: tuple[str, ...] = ()) -> DataFrame:
+def parse(lines: DataFrame, vendors: DataFrame, hold_out: tuple[str, ...] = (), salt: bytes = b"local") -> DataFrame:
     """Facts of all configuration lines; ``vendors`` holds device_id and vendor.
 
     What the statements write is staged once; whole-file readings are then folded from that table.  A
@@ -464,7 +481,8 @@ def parse(lines: DataFrame, vendors: DataFrame, hold_out: tuple[str, ...] = ())
     own = [parser(rows.where(F.col("vendor") == vendor)).withColumn("vendor", F.lit(vendor)) for vendor, parser in PARSERS.items() if vendor in present and vendor not in hold_out]
     if not own:
         return shows
-    raw = staged(reduce(DataFrame.unionByName, own), "statements")
+    bare = F.trim("secret")
+    raw = staged(reduce(DataFrame.unionByName, own).withColumn("secret", F.when(F.length(bare) > 0, credential_fingerprint(salt, bare))), "statements")
     more = folded(raw)
     observed = F.col("path").like("~%") & (F.col("path") != "~error")
     # an observation claims its line and is no fact

@@ -40,6 +40,16 @@ def plan(found: DataFrame) -> DataFrame:
     return steps.select("device_id", F.row_number().over(order).alias("place"), "phase", name.alias("phase_name"), "rule_id", "severity", "target", "commands")
 
 
+def by_phase(steps: DataFrame) -> DataFrame:
+    """device_id, phase, phase_name and the rules of each phase of a plan, in their order."""
+    return steps.groupBy("device_id", "phase", "phase_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "rule_id"))), lambda s: s["rule_id"]).alias("rules"))
+
+
+def by_state(found: DataFrame) -> DataFrame:
+    """How many findings are demonstrated, asserted or unknown."""
+    return found.groupBy("state").agg(F.count("*").alias("n"))
+
+
 def unsupported(found: DataFrame) -> DataFrame:
     return found.where("verdict = 'fail' and size(commands) = 0").select("device_id", "rule_id")
 
@@ -59,10 +69,10 @@ def exit_code(found: DataFrame) -> DataFrame:
     return found.agg(F.when(F.count("*") == 0, 2).when(bad > 0, 1).otherwise(0).alias("exit_code"))
 
 
-def prove_exit_code(proofs: DataFrame) -> DataFrame:
-    """One row over (available, demonstrated, closed): 2 without a sandbox, 1 if a proof stays open, else 0."""
-    p = proofs
-    return p.agg(F.when(F.count_if("available") == 0, 2).when(F.count_if(F.col("demonstrated") & ~F.col("closed")) > 0, 1).otherwise(0).alias("exit_code"))
+def prove_exit_code(proofs: DataFrame, *by: str) -> DataFrame:
+    """A row (per ``by``) over (available, demonstrated, closed): 2 without a sandbox, 1 if a proof stays
+    open, else 0."""
+    return proofs.groupBy(*by).agg(F.when(F.count_if("available") == 0, 2).when(F.count_if(F.col("demonstrated") & ~F.col("closed")) > 0, 1).otherwise(0).alias("exit_code"))
 
 
 def listing(found: DataFrame, everything: bool = False) -> DataFrame:

@@ -25,6 +25,8 @@ class Audit:
     documents: DataFrame
     coverage: DataFrame
     findings: DataFrame
+    salt: bytes = b"local"
+    members: DataFrame | None = None
 
     @property
     def errors(self) -> DataFrame:
@@ -34,13 +36,19 @@ class Audit:
         return rules.summary(self.findings)
 
     def evidence(self) -> DataFrame:
-        return documents.evidence(self.findings, self.facts, self.lines)
+        return documents.evidence(self.findings, self.facts, self.lines, self.salt)
 
     def reports(self) -> DataFrame:
         return report.audit_documents(self.findings, self.coverage.drop("unparsed_sample"))
 
     def correlations(self) -> DataFrame:
-        return fleet.correlations(self.documents)
+        return fleet.correlations(self.documents, self.graph())
+
+    def graph(self) -> DataFrame:
+        """The interfaces in their segments, staged once."""
+        if self.members is None:
+            self.members = fleet.graph(self.documents)
+        return self.members
 
     def exit_code(self) -> int:
         return report.exit_code(self.findings).first().exit_code
@@ -50,15 +58,15 @@ def run(files: DataFrame, ruleset: list[rules.Rule] | None = None, salt: bytes =
     """Audit source files (device_id, file, role, text)."""
     lines = staged(bundle.lines(files), "lines")
     devices = staged(identity.identify(files, lines), "devices")
-    facts = staged(parsing.parse(lines, devices, hold_out).withColumns({"tier": F.lit(0), "confidence_bp": F.lit(10000), "pack": F.lit(None).cast("string")}), "facts")
+    facts = staged(parsing.parse(lines, devices, hold_out, salt).withColumns({"tier": F.lit(0), "confidence_bp": F.lit(10000), "pack": F.lit(None).cast("string")}), "facts")
     if learned:
         rest = documents.residue(lines.where("role = 'config'"), facts)
         facts = staged(facts.unionByName(packs.apply(rest, devices, learned)), "facts-learned")
     left = documents.residue(lines, facts)
     facts = staged(facts.unionByName(packs.structural(left)), "facts-claimed")
-    docs = staged(documents.documents(facts.where("path is null or path <> '~error'"), devices, salt), "documents")
+    docs = staged(documents.documents(facts.where("path is null or path <> '~error'"), devices), "documents")
     found = staged(rules.findings(docs, rules.SHIPPED if ruleset is None else ruleset), "findings")
-    return Audit(lines, devices, facts, docs, documents.coverage(lines, facts), found)
+    return Audit(lines, devices, facts, docs, documents.coverage(lines, facts), found, salt)
 
 
 def audit(spark: SparkSession, path: str, **options) -> Audit:

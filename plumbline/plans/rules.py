@@ -9,9 +9,11 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.plans.assertions import Compiler, parse
+from plumbline.plans.shipped import COMMANDS, RULES, WORDS
 
 #: Fixed: severities from worst to least.
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
@@ -55,21 +57,9 @@ class Rule:
         return self.probe is not None and self.severity in ("critical", "high")
 
 
-#: Fixed: id, severity, assertion and probe of the thirteen shipped rules.
 SHIPPED = [
-    Rule("CIS-NET-1.1.1", "critical", "mgmt.telnet_enabled == false", "Telnet is off", probe="telnet_reachable"),
-    Rule("CIS-NET-1.1.2", "high", "mgmt.ssh.enabled == true and mgmt.ssh.version == 2", "SSH is on, version 2 only"),
-    Rule("CIS-NET-1.2.4", "medium", "mgmt.idle_timeout_min <= 10", "Idle sessions end within ten minutes", probe="no_session_timeout"),
-    Rule("CIS-NET-1.3.1", "high", "mgmt.http_enabled == false", "Plain HTTP management is off", probe="http_mgmt_exposed"),
-    Rule("CIS-NET-1.4.1", "critical", "defined(mgmt.mgmt_acl)", "Management access is restricted", probe="acl_bypass"),
-    Rule("CIS-NET-2.1.1", "high", "snmp.version == 3", "SNMP is version 3", probe="default_snmp_community"),
-    Rule("CIS-NET-2.1.2", "critical", "not any(snmp.communities, community in [default])", "No default community", probe="default_snmp_community"),
-    Rule("CIS-NET-3.1.1", "medium", "defined(logging.servers) and not empty(logging.servers)", "Logs leave the device"),
-    Rule("CIS-NET-4.1.1", "medium", "ntp.authenticated == true", "Time is authenticated", probe="unauthenticated_ntp"),
-    Rule("CIS-NET-5.1.1", "high", "aaa.enabled == true and not empty(aaa.servers)", "Accounts are central"),
-    Rule("CIS-NET-5.2.1", "high", "all(aaa.local_users, user.hash in [scrypt, pbkdf2, sha512])", "Local secrets are well hashed"),
-    Rule("CIS-NET-5.3.1", "high", "not any(mgmt.ssh.kex, algo in [diffie-hellman-group1-sha1, diffie-hellman-group-exchange-sha1])", "No weak key exchange", probe="weak_ssh_kex"),
-    Rule("CIS-NET-6.1.1", "medium", "all(interfaces, iface.shutdown == true or iface.is_mgmt == true or defined(iface.acl_in))", "Interfaces filter what comes in", probe="acl_bypass"),
+    Rule(f"CIS-NET-{n}", severity, assertion, WORDS[n][0], ("CIS-v8", *frameworks.split()), WORDS[n][1], {k: tuple(v) for k, v in COMMANDS[n].items()}, probe=probe)
+    for n, severity, assertion, probe, frameworks in RULES
 ]
 
 
@@ -166,9 +156,15 @@ def summary(found: DataFrame) -> DataFrame:
     )
 
 
+def placed(found: DataFrame) -> DataFrame:
+    """Findings with their place in a device's report: worst first, unknown last within a severity."""
+    order = W.partitionBy("device_id").orderBy(severity_rank(F.col("severity")), F.col("verdict") == "unknown", "rule_id")
+    return found.where(F.col("verdict").isin("fail", "unknown")).withColumn("place", F.row_number().over(order))
+
+
 def ordered(found: DataFrame) -> DataFrame:
-    """Findings as a report lists them: worst first, unknown last within a severity."""
-    return found.where(F.col("verdict").isin("fail", "unknown")).orderBy("device_id", severity_rank(F.col("severity")), F.col("verdict") == "unknown", "rule_id")
+    """Findings as a report lists them."""
+    return placed(found).orderBy("device_id", "place").drop("place")
 
 
 def project(rules: list[Rule], spark) -> DataFrame:  # noqa: ANN001
