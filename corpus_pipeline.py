@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from plumbline.llm import attention, bpe, decontaminate, neardup, rules
 from plumbline.llm.common import read_table, written
@@ -21,28 +22,38 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the attention network takes for good."""
+    """Rows that the attention network takes for good; null and empty texts are bags of one empty passage,
+    repeated rows stay or go together, and without labels all rows stay."""
     return attention.kept_rows(docs, read_table(spark, sf_dir, "labels"), read_table(spark, sf_dir, "documents"))
 
 
+def first_row(docs: DataFrame, key: str) -> DataFrame:
+    """One row per value of ``key``: the least by text, then by the other columns that have an order."""
+    own = [c for c in dict.fromkeys(("text", *docs.columns)) if c != key]
+    ordered = [c for c in own if not isinstance(docs.schema[c].dataType, (MapType, VariantType))]
+    least = F.min(F.struct(*own)) if ordered == own else F.min_by(F.struct(*own), F.struct(*ordered))
+    return docs.groupBy(key).agg(least.alias("__row")).select(*(F.col(key) if c == key else F.col(f"__row.{c}") for c in docs.columns))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest id, once if its row is repeated.
+    """One document of each group: that with the smallest id; of rows with that id the least by text.
 
-    Rows without an id stay once per text.
+    Rows without an id stay once per text: they can't be told apart otherwise.  An empty table stays empty.
     """
     kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
     kept = written(kept, "kept-ids")
-    some = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return some.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    some = first_row(docs.join(kept.hint("merge"), F.col("doc_id") == F.col("__kept"), "left_semi"), "doc_id")
+    return some.unionByName(first_row(docs.where("doc_id is null"), "text"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a window of a benchmark item."""
+    """Rows without a window of a benchmark item; null and empty texts, and all rows beside an empty
+    benchmark, stay."""
     return decontaminate.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and token_ids."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and token_ids of every row; a null text has no tokens."""
     return bpe.digests(bpe.encode(docs), "token_ids")
 
 
@@ -59,7 +70,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
+    """All stages over ``documents``, each written as Parquet and read again; an empty table passes through."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), "snappy")
