@@ -82,3 +82,13 @@ def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 100
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_one_definite_row_of_each_group(spark):
+    rows = [(1, "a b c d e f g", "x", 3), (1, "a b c d e f g", "x", 2), (1, "zz yy xx ww vv uu", "y", 1), (2, "a b c d e f g h", "x", 9), (None, "n", "q", 2), (None, "n", "p", 5), (3, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n long")
+    got = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, "a b c d e f g", "x", 2), (None, "n", "p", 5), (3, None, None, None)], key=str)
+    mapped = corpus_pipeline.first_row(docs.selectExpr("*", "map(1, 2) AS m"), "doc_id")
+    assert mapped.columns == [*docs.columns, "m"] and mapped.count() == 4
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
