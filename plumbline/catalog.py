@@ -277,7 +277,7 @@ def adjacency_self_join(spark, sf_dir):
 
 @query("""SELECT sha256(c_nationkey || ':' || c_mktsegment) AS fingerprint, count(*) AS holders, min(c_custkey) AS first, max(c_custkey) AS last FROM customer GROUP BY 1 HAVING count(*) >= 2""")
 def shared_credential(spark, sf_dir):
-    mark = F.sha2(F.concat_ws(":", F.col("c_nationkey").cast("string"), "c_mktsegment"), 256)
+    mark = F.sha2(F.concat_ws(":", F.col("c_nationkey").cast("string"), "c_mktsegment").cast("binary"), 256)
     found = table(spark, sf_dir, "customer").groupBy(mark.alias("fingerprint")).agg(F.count("*").alias("holders"), F.min("c_custkey").alias("first"), F.max("c_custkey").alias("last"))
     return found.where("holders >= 2")
 
@@ -350,13 +350,23 @@ def fact_diff_null_safe(spark, sf_dir):
 # -- hashing --------------------------------------------------------------------------------------
 
 
+_UP = "list_transform(range(0, (len(l) + 1) // 2), lambda i: CASE WHEN 2 * i + 2 <= len(l) THEN sha256('\\x01'::BLOB || unhex(l[2 * i + 1]) || unhex(l[2 * i + 2])) ELSE l[2 * i + 1] END)"
+_MERKLE = (
+    "WITH l0 AS (SELECT l_orderkey, count(*) AS n, list(sha256('\\x00'::BLOB || encode(l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey)) ORDER BY l_linenumber, sha256('\\x00'::BLOB || encode(l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey))) AS l FROM lineitem GROUP BY l_orderkey)"
+    + "".join(f", l{k + 1} AS (SELECT l_orderkey, n, CASE WHEN len(l) > 1 THEN {_UP} ELSE l END AS l FROM l{k})" for k in range(6))
+    + " SELECT l_orderkey, CAST(n AS INTEGER) AS n, l[1] AS root FROM l6"
+)
+_KEY = b"fleet".ljust(64, b"\0")
+_PADS = ["".join(f"\\x{b ^ x:02X}" for b in _KEY) for x in (0x36, 0x5C)]
+
+
 @query("""SELECT o_orderkey, sha256('\\x00'::BLOB || encode('{"id":' || o_orderkey || ',"status":"' || o_orderstatus || '"}')) AS leaf FROM orders""")
 def leaf_hash(spark, sf_dir):
     text = F.concat(F.lit('{"id":'), F.col("o_orderkey").cast("string"), F.lit(',"status":"'), F.col("o_orderstatus"), F.lit('"}'))
     return table(spark, sf_dir, "orders").select("o_orderkey", scalars.leaf_hash(text).alias("leaf"))
 
 
-@query()
+@query(_MERKLE)
 def merkle_root(spark, sf_dir):
     leaf = scalars.leaf_hash(F.concat_ws(":", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))))
     leaves = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", leaf.alias("h")))), lambda x: x["h"]).alias("leaves"))
@@ -374,7 +384,7 @@ def chain_lag_verify(spark, sf_dir):
     return chained.groupBy("user_id").agg(F.count("*").alias("entries"), F.count_if((F.col("place") == 1) | F.col("previous").isNotNull()).alias("linked"), F.max(F.when(F.col("place") == 1, F.col("entry_hash"))).alias("genesis"))
 
 
-@query()
+@query(f"SELECT c_custkey, left(sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode(c_name)))), 32) AS fingerprint FROM customer")
 def hmac_fingerprint(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", scalars.credential_fingerprint(b"fleet", F.col("c_name")).alias("fingerprint"))
 

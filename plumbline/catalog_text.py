@@ -1 +1,474 @@
+"""Queries of scalar functions, learning, the ledger, benchmarks and sources, over rows of the driver's tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline import rendered
+from plumbline.functions import scalars
+from plumbline.operators import drift, learning, ledger, packs, relational
+from plumbline.plans import rules
+from plumbline.registry import query, table
+from plumbline.rendered import sql_text
+from plumbline.sources import bundle, xccdf
+from plumbline.sources.tables import stage_dir
+
+
+def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+# -- secrets --------------------------------------------------------------------------------------
+
+#: text with a secret in [[...]], and what it becomes
+_SECRETS = [
+    ("username ops secret 9 $9$s[[k]]", "username ops secret 9 <redacted>"), ("username old password 7 08[[k]]", "username old password 7 <redacted>"), ("enable secret hush[[k]]", "enable secret <redacted>"), ("set password word[[k]] x", "set password <redacted> x"),
+    ("snmp-server community c[[k]] RO", "snmp-server community <redacted> RO"), ("/snmp community add name=n[[k]] x=1", "/snmp community add name=<redacted> x=1"), ("name=m[[k]] is a community", "name=<redacted> is a community"),
+    ("snmp-agent community read cipher c[[k]]", "snmp-agent community read cipher <redacted>"), ("hash $1$ab$x[[k]] end", "hash <redacted> end"), ("local-user x cipher y[[k]]", "local-user x cipher <redacted>"), ("tacacs key 7 z[[k]]", "tacacs key 7 <redacted>"),
+    ("pre-shared-key p[[k]]", "pre-shared-key <redacted>"), ("authentication-key a[[k]] md5", "authentication-key <redacted> md5"), ("encrypted-password e[[k]];", "encrypted-password <redacted>"), ("plain-text-password t[[k]]", "plain-text-password <redacted>"),
+    ("set passwd w[[k]]", "set passwd <redacted>"), ("set psksecret q[[k]]", "set psksecret <redacted>"), ("/ppp add password=p[[k]] x", "/ppp add password=<redacted> x"), ("add secret=s[[k]]", "add secret=<redacted>"), ("add psk=s[[k]]", "add psk=<redacted>"), ("add key=s[[k]]", "add key=<redacted>"),
+    ("interface Vlan[[k]]", "interface Vlan[[k]]"), ("ntp server 10.0.0.[[k % 250]]", "ntp server 10.0.0.[[k % 250]]"),
+]
+_UNIONED = " UNION ALL ".join(f"SELECT c_custkey AS k, {n} AS form, {sql_text(after)} AS clean FROM (SELECT *, c_custkey AS k FROM customer)" for n, (_, after) in enumerate(_SECRETS))
+
+
+@query(_UNIONED)
+def redacted_lines(spark, sf_dir):
+    """Every pattern of secrets over a line for each customer, and lines without one."""
+    forms = F.array(*(F.struct(F.lit(n).alias("form"), F.expr(sql_text(before)).alias("text")) for n, (before, _) in enumerate(_SECRETS)))
+    rows = table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey")).select("k", F.explode(forms).alias("f"))
+    return rows.select("k", "f.form", scalars.redact(F.col("f.text")).alias("clean"))
+
+
+@query("SELECT c_custkey AS k, 'note <redacted> and \"<redacted>\" of ' || c_mktsegment AS clean, 'x of ' || c_mktsegment AS short FROM customer")
+def redacted_literals(spark, sf_dir):
+    """A known secret of two letters or more goes wherever it stands, quotes aside."""
+    rows = table(spark, sf_dir, "customer")
+    secret = F.concat(F.lit("s3cr3t"), F.col("c_custkey").cast("string"))
+    text = F.concat(F.lit("note "), secret, F.lit(' and "'), secret, F.lit('" of '), "c_mktsegment")
+    return rows.select(F.col("c_custkey").alias("k"), scalars.redact_literal(text, F.concat(F.lit('"'), secret, F.lit('"'))).alias("clean"), scalars.redact_literal(F.concat(F.lit("x of "), "c_mktsegment"), F.lit("x")).alias("short"))
+
+
+@query("SELECT 'd' || s_suppkey AS device_id, 'description ring <redacted> now' AS clean FROM supplier")
+def scrubbed_lines(spark, sf_dir):
+    """A device's own secrets go from its other lines too, known by their fingerprints only."""
+    from plumbline.operators.documents import scrubbed, secrets_of
+
+    rows = rendered.devices(spark, sf_dir, False).select(F.concat(F.lit("d"), F.col("k").cast("string")).alias("device_id"), F.concat(F.lit("hush"), F.col("k").cast("string")).alias("own"))
+    facts = rows.select("device_id", scalars.credential_fingerprint(b"salt", F.col("own")).alias("secret"))
+    lines = rows.select("device_id", F.concat(F.lit("description ring '"), "own", F.lit("', now")).alias("raw"))
+    got = lines.join(secrets_of(facts), "device_id").select("device_id", scrubbed(F.col("raw"), F.col("secrets"), b"salt").alias("clean"))
+    return got.withColumn("clean", F.translate("clean", "',", ""))
+
+
+_HASHES = [("9", "x", "scrypt"), ("8", "x", "pbkdf2"), ("7", "x", "reversible"), ("5", "x", "md5"), ("4", "x", "sha256"), ("0", "x", "plaintext"), ("3", "$6$x", None), (None, "$1$x", "md5"), (None, "$5$x", "sha256"), (None, "$6$x", "sha512"), (None, "$2b$x", "bcrypt"), ("", "$9$x", "scrypt"), (None, "plain", None)]
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 13 " + " ".join(f"WHEN {k} THEN {sql_text(a) if a else 'NULL'}" for k, (_, _, a) in enumerate(_HASHES)) + " END AS algorithm FROM supplier")
+def hash_algorithms(spark, sf_dir):
+    pick = lambda i: F.get(F.array(*(F.lit(h[i]).cast("string") for h in _HASHES)), (F.col("s_suppkey") % 13).cast("int"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", scalars.hash_algorithm(pick(1), pick(0)).alias("algorithm"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'default' ELSE 'custom' END AS marker, CASE c_custkey % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS flag FROM customer")
+def markers_and_flags(spark, sf_dir):
+    """Well-known communities whatever their case; truth words, null for others."""
+    k = F.col("c_custkey")
+    word = F.when(k % 4 == 0, '"Enabled"').when(k % 4 == 1, " off ").when(k % 4 == 2, "Y").otherwise("perhaps")
+    return table(spark, sf_dir, "customer").select("c_custkey", scalars.community_marker(F.when(k % 3 == 0, "PUBLIC").otherwise("own"), scalars.COMMUNITIES).alias("marker"), scalars.to_bool(word).alias("flag"))
+
+
+_CUSTOMER = [("10.0.0.1 x", "an IPv4 address"), ("2001:db8::1", None), ("2001:db8:1:2:3:4", "an IPv6 address"), ("me@example.org", "an email address"), ("core.site.example.org", "a hostname"), ("$6$abc", "a credential hash"), ("abcdefghijklmnopqrstuvwx01", "a credential-shaped literal"), ("ntp server", None)]
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 8 " + " ".join(f"WHEN {k} THEN {sql_text(a) if a else 'NULL'}" for k, (_, a) in enumerate(_CUSTOMER)) + " END AS kind FROM supplier")
+def customer_data_kinds(spark, sf_dir):
+    text = F.get(F.array(*(F.lit(t) for t, _ in _CUSTOMER)), (F.col("s_suppkey") % 8).cast("int"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", scalars.customer_data(text).alias("kind"))
+
+
+@query("SELECT 'ip address * * on ' || lower(c_mktsegment) || ' name=*' AS shape, count(*) AS n, min(c_custkey) AS first_line FROM customer GROUP BY 1")
+def shape_families(spark, sf_dir):
+    """Unread lines by shape: data varies, grammar words stay."""
+    rows = table(spark, sf_dir, "customer").select(F.lit("d").alias("device_id"), F.lit("f").alias("file"), F.col("c_custkey").alias("line_no"), F.concat(F.lit("ip  address 10.0.0."), (F.col("c_custkey") % 250).cast("string"), F.lit(" 255.255.255.0 on "), "c_mktsegment", F.lit(" name=x"), F.col("c_custkey").cast("string")).alias("text"))
+    return learning.families(rows).select("shape", "n", "first_line")
+
+
+@query("SELECT o_orderkey, port, CASE form WHEN 0 THEN port = 22 WHEN 1 THEN port = o_orderkey % 100 WHEN 2 THEN port BETWEEN o_orderkey % 50 AND 80 ELSE false END AS hit FROM (SELECT o_orderkey, o_orderkey % 4 AS form FROM orders), (VALUES (22), (80)) x(port)")
+def port_expressions(spark, sf_dir):
+    k = F.col("o_orderkey")
+    text = F.when(k % 4 == 0, "eq ssh").when(k % 4 == 1, F.concat(F.lit("EQ "), (k % 100).cast("string"))).when(k % 4 == 2, F.concat((k % 50).cast("string"), F.lit("-www"))).otherwise("neq 22")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t"), F.explode(F.array(F.lit(22), F.lit(80))).alias("port"))
+    return rows.select("o_orderkey", "port", scalars.port_matches(F.col("t"), F.col("port")).alias("hit"))
+
+
+@query("SELECT * FROM (VALUES ('(a+)+', false), ('^x (?P<value>\\S+)', true), ('[', false), ('10.0.0.1', false), ('" + "a" * 401 + "', false), ('^ntp server \\S+$', true), ('mail me@example.org', false)) x(pattern, safe)")
+def safe_patterns(spark, sf_dir):
+    """Patterns that are long, malformed, repeat a repetition or show customer data are refused."""
+    out = []
+    for p in ("(a+)+", r"^x (?P<value>\S+)", "[", "10.0.0.1", "a" * 401, r"^ntp server \S+$", "mail me@example.org"):
+        try:
+            packs.safe_pattern(p)
+            packs.no_customer_data(p)
+            out.append((p, True))
+        except packs.PackError:
+            out.append((p, False))
+    return _values(spark, out, "pattern string, safe boolean")
+
+
+# -- learning -------------------------------------------------------------------------------------
+
+
+@query("SELECT s_suppkey, 'ip ssh-server ssh server loghost log host port no-x no s' || (s_suppkey % 7) AS found FROM supplier")
+def known_words(spark, sf_dir):
+    """Words, the parts of hyphenated ones longer than a letter, and known halves of compounds."""
+    text = F.concat(F.lit("IP ssh-server {loghost=5} port no-x 9 s"), (F.col("s_suppkey") % 7).cast("string"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(learning.words(text, ["log", "host", "server"]), " ").alias("found"))
+
+
+@query("SELECT n_nationkey, 'w:' || w AS feature, 2.0::DOUBLE AS value FROM (SELECT n_nationkey, 'n' || n_nationkey AS w FROM nation) UNION ALL SELECT n_nationkey, 't:' || substr('#' || w || '#', i, 3), 0.5 FROM (SELECT n_nationkey, 'n' || n_nationkey AS w FROM nation), UNNEST(range(1, length(w) + 1)) AS u(i)")
+def word_features(spark, sf_dir):
+    """A word at its weight and its trigrams at a quarter of it."""
+    word = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.explode(learning.features(word, F.lit(2.0))).alias("f")).select("n_nationkey", "f.*")
+
+
+#: shares of each benchmark item's words, as the query below ranks documents by them
+_WORD = "unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9+-]*'))"
+_RANKED = f"""WITH bw AS (SELECT item_id, w, count(*)::DOUBLE AS tf FROM (SELECT item_id, {_WORD} AS w FROM benchmark) GROUP BY ALL),
+idf AS (SELECT w, ln(((SELECT count(*) FROM benchmark) + 1) / (count(*) + 1)) + 1 AS idf FROM bw GROUP BY w),
+bv AS (SELECT item_id, w, tf * idf / sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY item_id)) AS v FROM bw JOIN idf USING (w)),
+dw AS (SELECT doc_id, w, count(*)::DOUBLE AS tf FROM (SELECT doc_id, {_WORD} AS w FROM documents) GROUP BY ALL),
+dv AS (SELECT doc_id, w, tf * idf / sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY doc_id)) AS v FROM dw JOIN idf USING (w)),
+s AS (SELECT doc_id, item_id, round(sum(dv.v * bv.v), 6) AS score FROM dv JOIN bv USING (w) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS place FROM s)"""
+
+
+def _words_of(df: DataFrame, ident: str) -> DataFrame:
+    return df.select(ident, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z][a-z0-9+-]*)"), F.lit(1))).alias("feature"), F.lit(1.0).alias("value"))
+
+
+@query(f"""{_RANKED}, e AS (SELECT doc_id, item_id, place, score, lead(score) OVER (PARTITION BY doc_id ORDER BY place) AS nxt, first_value(score) OVER (PARTITION BY doc_id ORDER BY place) AS best FROM r WHERE place <= 3)
+SELECT doc_id, item_id, CAST(place AS INTEGER) AS place, round((0.15 + 0.7 * least(score / 0.6, 1.0) + 0.15 * coalesce((score - coalesce(nxt, 0)) / nullif(score, 0), 0)) * CASE WHEN place = 1 THEN 1.0 ELSE 0.75 * coalesce(score / nullif(best, 0), 0) END * CASE WHEN item_id % 2 = 0 THEN 1.0 ELSE 0.5 END, 4) AS confidence FROM e""")
+def ranked_evidence(spark, sf_dir):
+    """Three best matches with the confidence that score, lead and keywords support."""
+    vocabulary = learning.vectors(_words_of(table(spark, sf_dir, "benchmark"), "item_id"), "item_id")
+    ranked = learning.rank(_words_of(table(spark, sf_dir, "documents"), "doc_id"), vocabulary, "doc_id", "item_id", 3)
+    sure = learning.evidence(ranked.withColumn("keyword", F.col("item_id") % 2 == 0), "doc_id")
+    return sure.select("doc_id", "item_id", F.col("place").cast("int").alias("place"), F.round("confidence", 4).alias("confidence"))
+
+
+#: line, field, value of lines that no grammar of an unknown vendor reads
+_UNKNOWN = [
+    ("sysname [[name]]", "device.hostname", "[[name]]"), ("telnet server enable", "mgmt.telnet_enabled", "true"), ("ssh server enable", "mgmt.ssh.enabled", "true"), ("ssh protocol version [[1 + k % 2]] only", "mgmt.ssh.version", "[[1 + k % 2]]"), ("idle-timeout [[k % 30]]", "mgmt.idle_timeout_min", "[[k % 30]]"),
+    ("ntp-service unicast-server 10.0.0.[[n]]", "ntp.servers", "10.0.0.[[n]]"), ("info-center loghost 10.0.1.[[n]]", "logging.servers", "10.0.1.[[n]]"), ("snmp-agent community read hush[[k]]", "snmp.communities", "custom"), ("lldp enable", "services.discovery_protocols", "true"),
+]
+
+
+def _unknown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "array_join(array(" + ", ".join(sql_text(t) for t, _, _ in _UNKNOWN) + "), '\\n')"
+    files = rendered.devices(spark, sf_dir, False).select(F.concat(F.lit("d"), F.col("k").cast("string")).alias("device_id"), F.lit("f").alias("file"), F.lit("config").alias("role"), F.expr(text).alias("text"))
+    return bundle.lines(files)
+
+
+_FIELDS = "SELECT 'd' || k AS device_id, f.n AS line_no, f.p AS path, f.v AS value FROM (SELECT k, unnest([" + ", ".join(f"{{'n': {n}, 'p': '{p}', 'v': {sql_text(v)}}}" for n, (_, p, v) in enumerate(_UNKNOWN, 1)) + f"]) AS f FROM {rendered.ONE})"
+
+
+@query(_FIELDS)
+def proposed_fields(spark, sf_dir):
+    """Fields and values proposed for the lines of a vendor that no grammar reads."""
+    return learning.propose(_unknown_lines(spark, sf_dir)).select("device_id", F.col("line_no").cast("long").alias("line_no"), "path", "value")
+
+
+@query(f"SELECT CAST(count(*) AS BIGINT) AS lines, CAST(count(*) AS BIGINT) AS proposed, CAST(count(*) AS BIGINT) AS right, CAST(count(*) AS BIGINT) - (SELECT count(*) FROM supplier) AS right_values, 1.0::DOUBLE AS accuracy FROM ({_FIELDS})")
+def held_out_evaluation(spark, sf_dir):
+    """Proposals against the truth of each line; one field's values are made wrong on purpose."""
+    lines = _unknown_lines(spark, sf_dir)
+    found = learning.propose(lines)
+    truth = found.select("device_id", "file", "line_no", "path", F.when(F.col("path") == "ntp.servers", "else").otherwise(F.col("value")).alias("value"))
+    return learning.held_out(found, truth).select("lines", "proposed", "right", "right_values", "accuracy")
+
+
+@query("SELECT 'd' || s_suppkey AS device_id, CAST(n AS BIGINT) AS line_no, CASE n WHEN 2 THEN 'true' END AS value, n = 2 AS applies FROM supplier, (VALUES (2), (3)) x(n)")
+def mapping_preview(spark, sf_dir):
+    """Where a mapping matches: it applies to unread lines whose value its transform can make."""
+    lines = _unknown_lines(spark, sf_dir)
+    facts = lines.where("line_no = 3").select("device_id", "file", "line_no", F.lit(True).alias("claim"))
+    mapping = packs.Mapping("mgmt.telnet_enabled", r"^(?:telnet server|ssh server) (?P<value>\w+)", "to_bool")
+    got = learning.preview(mapping, lines, facts)
+    return got.select("device_id", F.col("line_no").cast("long").alias("line_no"), F.when(F.col("applies"), F.col("value")).alias("value"), "applies")
+
+
+@query("SELECT * FROM (VALUES ('^telnet', 3), ('^ssh server', 3)) x(match, tier)")
+def confirmed_mappings(spark, sf_dir):
+    """Mappings as a person confirms them; the same pattern replaces, a withdrawn one goes, one that reads no
+    unread line is refused."""
+    lines = _unknown_lines(spark, sf_dir)
+    facts = lines.limit(0).select("device_id", "file", "line_no", F.lit(True).alias("claim"))
+    held: list = []
+    for match in ("^telnet", "^ssh server", "^telnet", "^lldp", "^never there"):
+        try:
+            held = learning.confirm(held, packs.Mapping("aaa.enabled", match, "presence"), lines, facts)
+        except packs.PackError:
+            continue
+    return _values(spark, [(m.match, m.tier) for m in learning.withdraw(held, "^lldp")], "match string, tier int")
+
+
+@query("SELECT * FROM (VALUES ('^\\s*telnet\\s+server\\b', 0.48), ('^\\s*ssh\\b', 0.48), ('^\\s*idle-timeout\\b', 0.48)) x(pattern, confidence)")
+def pack_fingerprint(spark, sf_dir):
+    """The words that begin the patterns of a taught vendor, weighed evenly."""
+    made = [packs.Mapping("aaa.enabled", p, "presence") for p in (r"^telnet\s+server\s+(?P<value>\S+)", r"^ssh\s+(?P<value>\S+)", r"^idle-timeout\s+\d+", r"^telnet\s+server\s+x")]
+    return _values(spark, list(learning.fingerprint(made)), "pattern string, confidence double")
+
+
+@query("SELECT CASE WHEN a = 'sha' THEN 'same' END AS same_digest, admitted, refused FROM (VALUES ('sha', true, true)) x(a, admitted, refused)")
+def pack_trust(spark, sf_dir):
+    """A pack's digest survives its document; trusted packs are admitted, one untrusted pack refuses all."""
+    pack = packs.Pack("p", "v", "o", (packs.Mapping("aaa.enabled", "^aaa", "presence", 2, 0.87654),), (("^x", 0.5),))
+    again = packs.from_document(packs.document(pack))
+    other = packs.Pack("q", "v", None, ())
+    try:
+        packs.admit([pack, other], {pack.digest()})
+        refused = False
+    except packs.PackError:
+        refused = True
+    row = ("same" if again.digest() == pack.digest() else None, packs.admit([again], {pack.digest()}) == [again], refused)
+    return _values(spark, [row], "same_digest string, admitted boolean, refused boolean")
+
+
+# -- ledger ---------------------------------------------------------------------------------------
+
+_LEAF = "'{\"evidence\":[],\"missing_paths\":[],\"rule_id\":\"CIS-NET-1.1.2\",\"severity\":\"high\",\"state\":\"asserted\",\"verdict\":\"pass\"}'"
+
+
+@query(f"SELECT 'd' || s_suppkey AS device_id, sha256('\\x00'::BLOB || encode({_LEAF})) AS leaf FROM supplier WHERE s_suppkey % 6 IN (2, 3)")
+def ledger_leaves(spark, sf_dir):
+    """What the ledger commits to for a finding, in canonical text."""
+    from plumbline.catalog_devices import fleet
+
+    found = fleet(spark, sf_dir).findings.where("rule_id = 'CIS-NET-1.1.2' and verdict = 'pass'").join(fleet(spark, sf_dir).devices.where("vendor in ('juniper', 'fortinet')").select("device_id"), "device_id")
+    return ledger.leaf_material(found).select("device_id", "leaf")
+
+
+def _level(l: str) -> str:
+    return f"list_transform(range(0, (len({l}) + 1) // 2), lambda i: CASE WHEN 2 * i + 2 <= len({l}) THEN sha256('\\x01'::BLOB || unhex({l}[2 * i + 1]) || unhex({l}[2 * i + 2])) ELSE {l}[2 * i + 1] END)"
+
+
+@query(f"""WITH l0 AS (SELECT l_orderkey, list(sha256('\\x00'::BLOB || encode(l_orderkey || ':' || l_linenumber || ':' || l_partkey)) ORDER BY l_linenumber, l_partkey) AS l FROM lineitem GROUP BY l_orderkey),
+l1 AS (SELECT l_orderkey, CASE WHEN len(l) > 1 THEN {_level('l')} ELSE l END AS l FROM l0), l2 AS (SELECT l_orderkey, CASE WHEN len(l) > 1 THEN {_level('l')} ELSE l END AS l FROM l1), l3 AS (SELECT l_orderkey, CASE WHEN len(l) > 1 THEN {_level('l')} ELSE l END AS l FROM l2),
+l4 AS (SELECT l_orderkey, CASE WHEN len(l) > 1 THEN {_level('l')} ELSE l END AS l FROM l3), l5 AS (SELECT l_orderkey, CASE WHEN len(l) > 1 THEN {_level('l')} ELSE l END AS l FROM l4) SELECT l_orderkey, l[1] AS root, len(l) AS left_over FROM l5""")
+def ledger_roots(spark, sf_dir):
+    """Roots over an order's lines: pairs hash together, an odd one moves up; nothing is left over."""
+    leaf = scalars.leaf_hash(F.concat_ws(":", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey"))))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", leaf.alias("h")))), lambda x: x["h"]).alias("leaves"))
+    return rows.select("l_orderkey", relational.merkle_root(F.col("leaves")).alias("root"), F.lit(1).cast("long").alias("left_over"))
+
+
+_EVENT = "'{\"id\":' || event_id || ',\"kind\":\"' || event_type || '\",\"none\":null,\"who\":[{\"a\":1,\"b\":' || user_id || '}]}'"
+
+
+@query(f"SELECT event_id, {_EVENT} AS body FROM events")
+def canonical_text(spark, sf_dir):
+    """Keys in order at every depth, nulls written, no spaces."""
+    who = F.array(F.struct(F.col("user_id").alias("b"), F.lit(1).alias("a")))
+    rows = table(spark, sf_dir, "events").select("event_id", F.struct(who.alias("who"), F.col("event_type").alias("kind"), F.lit(None).cast("string").alias("none"), F.col("event_id").alias("id")).alias("x"))
+    return rows.select("event_id", ledger.canonical_json(F.col("x"), rows.schema["x"].dataType).alias("body"))
+
+
+def _chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """A ledger of one entry per nation, written in two batches."""
+    path = stage_dir(spark, "ledger")
+    n = table(spark, sf_dir, "nation").count()
+    report = lambda k: {"timestamp": "t", "report_id": f"r{k}", "device_id": f"d{k}", "merkle_root": "0", "rule_set_digest": "x", "ir_schema_version": "1.0.0"}
+    ledger.record(spark, path, [report(k) for k in range(10)])
+    ledger.record(spark, path, [report(k) for k in range(10, n)])
+    return ledger.read(spark, path), n
+
+
+@query("SELECT * FROM (VALUES ('as written', NULL, NULL), ('rewritten', 5::BIGINT, 'the chain is broken'), ('lost', 8::BIGINT, 'entry 7 is missing'), ('repeated', 3::BIGINT, 'the entry is there more than once')) x(ledger, seq, problem)")
+def ledger_verification(spark, sf_dir):
+    """A ledger in two batches verifies; a rewritten, a lost and a repeated entry are each told."""
+    good, _ = _chain(spark, sf_dir)
+    bad = {"as written": good, "rewritten": good.withColumn("merkle_root", F.when(F.col("seq") == 4, "1").otherwise(F.col("merkle_root"))), "lost": good.where("seq <> 7"), "repeated": good.union(good.where("seq = 3"))}
+    names = _values(spark, [(k,) for k in bad], "ledger string")
+    found = None
+    for name, entries in bad.items():
+        one = ledger.verify(entries).select(F.lit(name).alias("ledger"), "seq", "problem")
+        found = one if found is None else found.unionByName(one)
+    return names.join(found, "ledger", "left")
+
+
+@query("SELECT n_nationkey + 1 AS seq, true AS included, false AS forged FROM nation")
+def ledger_inclusion(spark, sf_dir):
+    """Every leaf of a ledger's root is proved by its siblings, and no other one is."""
+    entries, _ = _chain(spark, sf_dir)
+    leaves = [r.h for r in entries.withColumn("h", ledger.entry_hash()).orderBy("seq").collect()]  # as many as nations
+    root = ledger.root_of(leaves)
+    rows = [(k + 1, ledger.included(h, ledger.proof(leaves, k), root), ledger.included(leaves[(k + 1) % len(leaves)], ledger.proof(leaves, k), root)) for k, h in enumerate(leaves)]
+    return _values(spark, rows, "seq long, included boolean, forged boolean")
+
+
+# -- benchmarks and sources -----------------------------------------------------------------------
+
+
+def _xccdf(spark: SparkSession, sf_dir: str) -> str:
+    """A benchmark of one control per nation."""
+    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25
+    severity = ["high", "medium", "low", "none"]
+    groups = "".join(
+        f'<Group id="V-{r.n_nationkey}"><Rule id="SV-{r.n_nationkey}" severity="{severity[r.n_nationkey % 4]}"><version>NET-{r.n_nationkey}</version><title>{r.n_name}</title><description>&lt;VulnDiscussion&gt;why {r.n_nationkey}&lt;/VulnDiscussion&gt;</description>'
+        f'<ident system="http://iase.disa.mil/cci">CCI-{r.n_nationkey:06d}</ident><fixtext>mend {r.n_nationkey}</fixtext></Rule></Group>'
+        for r in rows
+    )
+    return f'<?xml version="1.0"?><Benchmark xmlns="http://checklists.nist.gov/xccdf/1.1">{groups}</Benchmark>'
+
+
+@query("SELECT 'V-' || n_nationkey AS vuln_id, 'NET-' || n_nationkey AS stig_id, n_name AS title, ['critical', 'medium', 'low', 'info'][n_nationkey % 4 + 1] AS severity, 'CCI-' || lpad(CAST(n_nationkey AS VARCHAR), 6, '0') AS cci, 'why ' || n_nationkey AS discussion, 'mend ' || n_nationkey AS fix FROM nation")
+def benchmark_controls(spark, sf_dir):
+    """The controls of a benchmark, whatever its namespace."""
+    df = xccdf.benchmark(spark, _xccdf(spark, sf_dir))
+    return df.select("vuln_id", "stig_id", "title", "severity", F.get("ccis", F.lit(0)).alias("cci"), "discussion", "fix")
+
+
+_BINDINGS = [{"assert": "mgmt.telnet_enabled == false", "stig_id": "net-1", "remediation_from": "CIS-NET-1.1.1"}, {"assert": "mgmt.http_enabled == false", "stig_id": "NET-1"}, {"assert": "snmp.version == 3", "vuln_id": "v-3"}]
+
+
+@query("SELECT 'NET-' || n_nationkey AS stig_id, n_nationkey IN (1, 3) AS bound, CASE n_nationkey WHEN 1 THEN 'mgmt.telnet_enabled == false' WHEN 3 THEN 'snmp.version == 3' END AS assertion, CASE n_nationkey WHEN 1 THEN 'configure' WHEN 3 THEN 'mend 3' END AS first_command FROM nation")
+def benchmark_bindings(spark, sf_dir):
+    """The first binding of a control counts, by either id whatever the case; the rest stays manual."""
+    made, manual = xccdf.bind(xccdf.controls(_xccdf(spark, sf_dir)), [xccdf.Binding.of(b) for b in _BINDINGS], rules.SHIPPED)
+    rows = [(r.id, True, r.assertion, (r.remediation.get("panos") or r.remediation.get("manual"))[0]) for r in made] + [(m[2], False, None, None) for m in manual]
+    return _values(spark, rows, "stig_id string, bound boolean, assertion string, first_command string")
+
+
+@query("SELECT ['critical', 'medium', 'low', 'info'][n_nationkey % 4 + 1] AS severity, count(*) AS controls, count(*) FILTER (WHERE n_nationkey IN (1, 3)) AS checked FROM nation GROUP BY 1")
+def benchmark_counts(spark, sf_dir):
+    return xccdf.counts(xccdf.benchmark(spark, _xccdf(spark, sf_dir)), ["NET-1", "NET-3"])
+
+
+@query("SELECT n_nationkey, 'A-b-' || n_nationkey || '-' || repeat('x', 59 - length(CAST(n_nationkey AS VARCHAR))) AS clean FROM nation")
+def benchmark_ids(spark, sf_dir):
+    """Ids keep letters, digits, dots and dashes, 64 at most."""
+    rows = table(spark, sf_dir, "nation").collect()  # 25
+    return _values(spark, [(r.n_nationkey, xccdf.clean_id(f"A b/{r.n_nationkey} " + "x" * 80)) for r in rows], "n_nationkey int, clean string")
+
+
+def _folder(spark: SparkSession, sf_dir: str) -> str:
+    """Files of devices on disk: a folder of each supplier with a configuration, show output and a picture."""
+    path = stage_dir(spark, "bundle+x")
+    rows = rendered.devices(spark, sf_dir, False)
+    file = lambda name, text: F.struct(F.lit(name).alias("name"), F.expr(text).alias("text"))
+    made = rows.select("k", F.explode(F.array(file("running.cfg", "'hostname ' || name || '\\nend\\n'"), file("show-version.txt", "'Version 1'"), file("logo.png", "'x'"))).alias("f"))
+    system = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    disk = system.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for r in made.select("k", "f.*").collect():  # three files a supplier, as a person's folder has them
+        out = disk.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/dev{r.k}/{r['name']}"))
+        out.write(bytearray(r.text.encode("latin-1") if r.k % 2 else ("﻿" + r.text).encode()))
+        out.close()
+    return path
+
+
+@query("""SELECT 'dev' || s_suppkey AS device_id, 'running.cfg' AS file, 'config' AS role, 'hostname ' || s_name || chr(10) || 'end' || chr(10) AS text FROM supplier UNION ALL SELECT 'dev' || s_suppkey, 'show-version.txt', 'show_output', 'Version 1' FROM supplier""")
+def bundle_folder(spark, sf_dir):
+    """A folder of devices: suffixes, roles by name, byte order marks."""
+    return bundle.load(spark, _folder(spark, sf_dir))
+
+
+@query("""SELECT 'd' || s_suppkey AS device_id, 'd' || s_suppkey || suffix AS file, CASE WHEN suffix = '.cfg' THEN 'config' ELSE 'show_output' END AS role, 'naïve' AS text FROM supplier, (VALUES ('.cfg'), ('.show-version.txt')) x(suffix)""")
+def bundle_loose_files(spark, sf_dir):
+    """Loose files group by their name up to the first dot; text is UTF-8, or Latin-1 where it isn't."""
+    rows = rendered.devices(spark, sf_dir, False).select("k", F.explode(F.array(F.lit(".cfg"), F.lit(".show-version.txt"), F.lit(".exe"))).alias("s"))
+    content = F.when(F.col("k") % 2 == 0, F.encode(F.lit("naïve"), "UTF-8")).otherwise(F.encode(F.lit("naïve"), "ISO-8859-1"))
+    return bundle.source_files(rows.select(F.concat(F.lit("d"), F.col("k").cast("string"), "s").alias("path"), content.alias("content")))
+
+
+@query("SELECT 'device' AS device_id, 'core.cfg' AS file, 'config' AS role UNION ALL SELECT 'device', 'core.inventory.txt', 'show_output'")
+def bundle_single_device(spark, sf_dir):
+    """A folder with one configuration and no folders is one device."""
+    return bundle.source_files(_values(spark, [("core.cfg", b"x"), ("core.inventory.txt", b"y")], "path string, content binary")).select("device_id", "file", "role")
+
+
+@query("SELECT 'a' AS device_id, 'a.cfg' AS file, 'hostname a' AS text UNION ALL SELECT 'b', 'b.cfg', 'hostname b'")
+def bundle_archive(spark, sf_dir):
+    """A zip archive is checked, unpacked and read like a folder."""
+    import tempfile
+    import zipfile
+
+    with tempfile.TemporaryDirectory() as folder:  # read at once: the unpacked copy is in the shared folder
+        with zipfile.ZipFile(f"{folder}/x.zip", "w") as z:
+            z.writestr("a/a.cfg", "hostname a")
+            z.writestr("b/b.cfg", "hostname b")
+        return bundle.load(spark, f"{folder}/x.zip").select("device_id", "file", "text")
+
+
+@query("SELECT * FROM (VALUES ('absolute', true), ('climbing', true), ('inflating', true), ('missing', true), ('plain', false)) x(archive, refused)")
+def unsafe_archives(spark, sf_dir):
+    """Archives that climb out, start at the root or inflate too far are refused; so is what isn't there."""
+    import tempfile
+    import zipfile
+
+    out = []
+    with tempfile.TemporaryDirectory() as folder:
+        for name, member, body in (("absolute", "/etc/x.cfg", "x"), ("climbing", "a/../../x.cfg", "x"), ("inflating", "x.cfg", "0" * 5_000_000), ("plain", "x.cfg", "x")):
+            with zipfile.ZipFile(f"{folder}/{name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr(member, body)
+        for name in ("absolute", "climbing", "inflating", "missing", "plain"):
+            try:
+                bundle.check_archive(f"{folder}/{name}.zip") if name != "missing" else bundle.load(spark, f"{folder}/none")
+                out.append((name, False))
+            except bundle.BundleError:
+                out.append((name, True))
+    return _values(spark, out, "archive string, refused boolean")
+
+
+@query("SELECT doc_id, CAST(len(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E]')) - CASE WHEN regexp_matches(text, '[\\n\\r\\x0B\\x0C\\x1C-\\x1E]$') OR text = '' THEN 1 ELSE 0 END AS BIGINT) AS n FROM (SELECT doc_id, replace(text, chr(10), CASE WHEN doc_id % 2 = 0 THEN chr(13) || chr(10) ELSE chr(11) END) AS text FROM documents) WHERE text IS NOT NULL AND text <> ''")
+def line_ends(spark, sf_dir):
+    """Lines end as a text reader ends them, whatever sign ends them; an ending end starts no line."""
+    text = F.expr("replace(text, '\\n', CASE WHEN doc_id % 2 = 0 THEN '\\r\\n' ELSE '\\u000B' END)")
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("device_id"), F.lit("f").alias("file"), F.lit("config").alias("role"), text.alias("text"))
+    return bundle.lines(files).groupBy(F.col("device_id").alias("doc_id")).agg(F.count("*").alias("n"))
+
+
+# -- labels, written audits -----------------------------------------------------------------------
+
+
+@query("SELECT 'd' || n_nationkey AS device_id, 'mgmt.telnet_enabled' AS name, 'true' AS said FROM nation UNION ALL SELECT 'd' || n_nationkey, 'ntp.servers', '10.0.0.1,10.0.0.' || n_nationkey FROM nation UNION ALL SELECT 'd' || n_nationkey, 'CIS-NET-1.1.1', 'fail' FROM nation")
+def label_documents(spark, sf_dir):
+    from plumbline.operators import validation
+
+    rows = table(spark, sf_dir, "nation").collect()  # 25
+    docs = [(f"l{r.n_nationkey}.yaml", {"config_id": f"d{r.n_nationkey}", "ir_facts": {"mgmt.telnet_enabled": {"value": True, "line": 3}, "ntp.servers": {"value": ["10.0.0.1", f"10.0.0.{r.n_nationkey}"]}}, "expected_verdicts": {"CIS-NET-1.1.1": "fail"}}) for r in rows]
+    facts, verdicts = validation.labels_of(docs)
+    f, v = _values(spark, facts, validation.FACT_LABEL), _values(spark, verdicts, validation.VERDICT_LABEL)
+    return f.select("device_id", F.col("ir_path").alias("name"), F.col("value").alias("said")).unionByName(v.select("device_id", F.col("rule_id").alias("name"), F.col("expected").alias("said")))
+
+
+@query("SELECT 'd' || s_suppkey AS device_id, s_suppkey % 2 = 0 AS rules_changed FROM supplier")
+def written_audits(spark, sf_dir):
+    """Audits that were written as JSON and read again; half of them were made with other rules."""
+    from plumbline.catalog_devices import fleet
+
+    rows = fleet(spark, sf_dir).reports()
+    path = stage_dir(spark, "written")
+    rows.write.json(f"{path}/a")
+    other = F.when(F.expr("substring(device_id, 2)").cast("long") % 2 == 0, "other").otherwise(F.col("rule_set"))
+    rows.withColumn("rule_set", other).write.json(f"{path}/b")
+    a, b = drift.written_verdicts(spark, f"{path}/a"), drift.written_verdicts(spark, f"{path}/b")
+    drift.same_devices(a, b)
+    changed = drift.rules_changed(a, b).withColumn("rules_changed", F.lit(True))
+    return a.select("device_id").distinct().join(changed, "device_id", "left").select("device_id", F.coalesce("rules_changed", F.lit(False)).alias("rules_changed"))
+
+
+@query("SELECT 'd' || s_suppkey AS device_id, 'ntp.authenticated' AS ir_path, CASE WHEN s_suppkey % 2 = 0 THEN 'true' ELSE 'false' END AS before, NULL AS after FROM supplier UNION ALL SELECT 'd' || s_suppkey, 'ntp.servers', '10.0.0.1,10.0.0.2', '10.0.0.1' FROM supplier")
+def written_documents(spark, sf_dir):
+    """Facts of two tables of documents, path by path."""
+    from plumbline.catalog_devices import fleet
+
+    kind = fleet(spark, sf_dir).documents.schema
+    base = rendered.devices(spark, sf_dir, False).select(F.concat(F.lit("d"), F.col("k").cast("string")).alias("device_id"), "k")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in kind if f.name not in ("device_id", "ntp")]
+    ntp = lambda servers, auth: F.struct(servers.alias("servers"), auth.alias("authenticated"), F.lit(None).cast("string").alias("source"))
+    a = base.select("device_id", *empty, ntp(F.array(F.lit("10.0.0.1"), F.lit("10.0.0.2")), F.col("k") % 2 == 0).alias("ntp"))
+    b = base.select("device_id", *empty, ntp(F.array(F.lit("10.0.0.1")), F.lit(None).cast("boolean")).alias("ntp"))
+    return drift.document_changes(a, b)

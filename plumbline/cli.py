@@ -1,8 +1,12 @@
-"""Command line: audit, fleet, rules, show, stig-import, verify and drift."""
+"""Command line: audit, fleet, show, rules, verify, drift, stig-import, propose, train, pack, trust, validate,
+tier2-eval."""
 
 from __future__ import annotations
 
 import argparse
+import glob
+import json
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -12,41 +16,71 @@ def _session() -> SparkSession:
     return SparkSession.builder.appName("plumbline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+def _documents(path: str) -> list[tuple[str, object]]:
+    """Parsed JSON or YAML files: one, or those below a folder."""
+    names = sorted(n for kind in ("yaml", "yml", "json") for n in glob.glob(f"{path}/**/*.{kind}", recursive=True)) if os.path.isdir(path) else [path]
+    out = []
+    for name in names:
+        with open(name, encoding="utf-8") as file:
+            if name.endswith(".json"):
+                out.append((name, json.load(file)))
+                continue
+            try:
+                import yaml
+            except ImportError as e:
+                raise SystemExit("reading YAML files needs PyYAML; JSON files are read without it") from e
+            out.append((name, yaml.safe_load(file)))
+    return out
+
+
 def _rules(path: str | None):
     from plumbline.plans import rules
 
-    if path is None:
-        return rules.SHIPPED
-    try:
-        import yaml
-    except ImportError as e:
-        raise SystemExit("reading rule files needs PyYAML") from e
-    import glob
+    return rules.SHIPPED if path is None else rules.from_documents(_documents(path))
 
-    return rules.from_documents((p, yaml.safe_load(open(p, encoding="utf-8"))) for p in sorted(glob.glob(f"{path}/**/*.yaml", recursive=True)))
 
+def _trusted(path: str) -> set[str]:
+    return set(json.load(open(path, encoding="utf-8"))) if os.path.exists(path) else set()
 
-def main(arguments: list[str] | None = None) -> int:
+
+def _packs(path: str | None, store: str):
+    from plumbline.operators import packs
+
+    return packs.admit([packs.from_document(d) for _, d in _documents(path)], _trusted(store)) if path else None  # type: ignore[arg-type]
+
+
+def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="plumbline")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("audit", "fleet", "show"):
+
+    def command(name: str, *places: str, **options: dict) -> None:
         c = commands.add_parser(name)
-        c.add_argument("target")
-        c.add_argument("--rules")
-        c.add_argument("--framework")
-        c.add_argument("--out")
-        c.add_argument("--all", action="store_true")
-    commands.add_parser("rules").add_argument("--rules")
-    c = commands.add_parser("verify")
-    c.add_argument("ledger")
-    c = commands.add_parser("drift")
-    c.add_argument("before")
-    c.add_argument("after")
-    c = commands.add_parser("stig-import")
-    c.add_argument("benchmark")
-    args = parser.parse_args(arguments)
-
-    from plumbline.operators import drift, fleet, ledger, report
+        for p in places:
+            c.add_argument(p)
+        for o, more in options.items():
+            c.add_argument(f"--{o}", **more)
+
+    text: dict = {}
+    learned = {"packs": text, "trusted": {"default": "trusted.json"}}
+    for name in ("audit", "fleet", "show"):
+        command(name, "target", rules=text, framework=text, out=text, all={"action": "store_true"}, **learned)
+    command("rules", rules=text)
+    command("verify", "ledger")
+    command("drift", "before", "after")
+    command("stig-import", "benchmark")
+    command("propose", "target", **learned)
+    command("train", "target", vendor={"required": True}, os=text, id={"required": True}, out={"required": True}, least={"type": float, "default": 0.85})
+    command("pack", "file")
+    command("trust", "file", trusted={"default": "trusted.json"})
+    command("validate", "target", "labels", rules=text, **learned)
+    command("tier2-eval", "target", "vendor")
+    return parser
+
+
+def main(arguments: list[str] | None = None) -> int:
+    args = _parser().parse_args(arguments)
+
+    from plumbline.operators import documents, drift, fleet, learning, ledger, packs, report, validation
     from plumbline.plans import audit, rules
     from plumbline.sources import xccdf
 
@@ -54,6 +88,17 @@ def main(arguments: list[str] | None = None) -> int:
         for r in _rules(args.rules):
             print(r.id, r.severity, r.assertion, sep="\t")
         return 0
+    if args.command in ("pack", "trust"):
+        found = [packs.from_document(d) for _, d in _documents(args.file)]  # type: ignore[arg-type]
+        for p in found:
+            for m in p.mappings:
+                m.check()
+            print(p.id, p.vendor, p.os or "", len(p.mappings), p.digest(), sep="\t")
+        if args.command == "trust":
+            held = _trusted(args.trusted) | {p.digest() for p in found}
+            with open(args.trusted, "w", encoding="utf-8") as file:
+                json.dump(sorted(held), file, indent=1)
+        return 0
     spark = _session()
     if args.command == "verify":
         problems = ledger.verify(ledger.read(spark, args.ledger)).orderBy("seq").collect()
@@ -64,25 +109,68 @@ def main(arguments: list[str] | None = None) -> int:
         xccdf.benchmark(spark, xccdf.text_of(args.benchmark)).groupBy("severity").count().show()
         return 0
     if args.command == "drift":
+        # folders of written audits hold both documents and audits
+        if os.path.isdir(f"{args.before}/audits") and os.path.isdir(f"{args.after}/audits"):
+            a, b = (drift.written_verdicts(spark, f"{p}/audits") for p in (args.before, args.after))
+            drift.same_devices(a, b)
+            for r in drift.rules_changed(a, b).collect():
+                print(f"{r.device_id}: the rules changed between the audits")
+            drift.verdict_changes(a, b).show(200, False)
+            return 0
         a, b = audit.audit(spark, args.before), audit.audit(spark, args.after)
+        drift.same_devices(a.findings, b.findings)
         drift.verdict_changes(a.findings, b.findings).show(200, False)
         drift.fact_changes(a.facts, b.facts).show(200, False)
         return 0
+    if args.command == "tier2-eval":
+        warm, cold = audit.audit(spark, args.target), audit.audit(spark, args.target, hold_out=(args.vendor,))
+        truth = warm.facts.where("path is not null and entity is null").join(warm.devices.where(f"vendor = '{args.vendor}'").select("device_id"), "device_id")
+        rest = documents.residue(packs.tree(cold.lines), cold.facts).join(warm.devices.where(f"vendor = '{args.vendor}'").select("device_id"), "device_id")
+        learning.held_out(learning.propose(rest), truth.select("device_id", "file", "line_no", "path", "value")).show(1, False)
+        return 0
+    if args.command in ("propose", "train"):
+        result = audit.audit(spark, args.target, learned=_packs(args.packs, args.trusted) if args.command == "propose" else None)
+        found = learning.propose(documents.residue(packs.tree(result.lines), result.facts))
+        if args.command == "propose":
+            found.orderBy("device_id", "file", "line_no").show(500, False)
+            return 0
+        made = []
+        for m in learning.mappings(learning.accepted(found, args.least)):
+            try:
+                m.check()
+                made.append(m)
+            except packs.PackError as e:
+                print(f"left out {m.path}: {e}", file=sys.stderr)
+        pack = packs.Pack(args.id, args.vendor, args.os, tuple(made), learning.fingerprint(made))
+        with open(args.out, "w", encoding="utf-8") as file:
+            json.dump(packs.document(pack), file, indent=1, ensure_ascii=False)
+        print(pack.id, len(made), pack.digest(), sep="\t")
+        return 0
     chosen = _rules(args.rules)
-    result = audit.audit(spark, args.target, ruleset=rules.for_framework(chosen, args.framework) if args.framework else chosen)
+    framework = getattr(args, "framework", None)
+    result = audit.audit(spark, args.target, ruleset=rules.for_framework(chosen, framework) if framework else chosen, learned=_packs(args.packs, args.trusted))
+    if args.command == "validate":
+        facts, verdicts = validation.labels_of(_documents(args.labels))
+        validation.verdicts(result.findings, spark.createDataFrame(verdicts, validation.VERDICT_LABEL)).show(1, False)
+        validation.fact_accuracy(result.facts, spark.createDataFrame(facts, validation.FACT_LABEL)).show(1, False)
+        validation.mean_coverage(result.coverage).show()
+        return 0
     if args.command == "show":
         result.documents.show(50, False, True)
         return 0
     if args.command == "fleet":
-        found = result.correlations()
+        found = audit.staged(result.correlations(), "correlations")
+        print(fleet.headline(found).first().headline)
         found.select("severity", "id", "title").show(100, False)
-        fleet.rank(found).limit(6).show(6, False)
+        fleet.rank(found).limit(6).select("score", "action").show(6, False)
         return 0
     result.summary().show(200, False)
     report.listing(rules.ordered(result.findings), args.all).select("device_id", "severity", "rule_id", "verdict", "title").show(500, False)
     if args.out:
         audit.write(result, args.out)
-    return result.exit_code()
+    code = result.exit_code()
+    result.discard()
+    return code
 
 
 if __name__ == "__main__":

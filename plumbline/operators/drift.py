@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import relational
+from plumbline.operators.documents import SCALARS
 
 
 class DriftError(ValueError):
@@ -41,3 +42,32 @@ def fact_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
     both = values(before, "before").join(values(after, "after"), ["device_id", "ir_path"], "full")
     return both.where(~F.col("before").eqNullSafe(F.col("after"))).select("device_id", "ir_path", "before", "after", F.col("after_line").alias("line"))
+
+
+AUDIT = "device_id string, rule_set string, findings array<struct<rule_id:string,verdict:string>>, passed array<string>"
+
+
+def written_verdicts(spark: SparkSession, path: str) -> DataFrame:
+    """device_id, rule_set, rule_id, verdict of audits that were written as JSON."""
+    rows = spark.read.schema(AUDIT).option("mode", "FAILFAST").json(path)
+    none = F.array().cast("array<struct<rule_id:string,verdict:string>>")
+    held = F.transform(F.coalesce("passed", F.array().cast("array<string>")), lambda r: F.struct(r.alias("rule_id"), F.lit("pass").alias("verdict")))
+    return rows.select("device_id", "rule_set", F.explode(F.concat(F.coalesce("findings", none), held)).alias("v")).select("device_id", "rule_set", "v.*")
+
+
+def rules_changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """device_id of devices whose two audits were made with different rule sets."""
+    one = lambda df, name: df.groupBy("device_id").agg(F.max("rule_set").alias(name))
+    return one(before, "a").join(one(after, "b"), "device_id").where(~F.col("a").eqNullSafe(F.col("b"))).select("device_id")
+
+
+def document_facts(docs: DataFrame) -> DataFrame:
+    """device_id, ir_path, value of every fact path that a document resolves; lists joined by commas."""
+    made = F.array(*(F.struct(F.lit(p).alias("ir_path"), (F.array_join(p, ",") if kind == "array" else F.col(p).cast("string")).alias("value")) for p, kind in SCALARS.items()))
+    return docs.select("device_id", F.explode(F.filter(made, lambda f: f["value"].isNotNull())).alias("f")).select("device_id", "f.*")
+
+
+def document_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """device_id, ir_path, before, after of two tables of documents, null where a side has no such fact."""
+    a, b = document_facts(before).withColumnRenamed("value", "before"), document_facts(after).withColumnRenamed("value", "after")
+    return a.join(b, ["device_id", "ir_path"], "full").where(~F.col("before").eqNullSafe(F.col("after")))

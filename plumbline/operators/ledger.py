@@ -5,9 +5,13 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
+
+from plumbline.functions.scalars import leaf_hash
+from plumbline.operators.relational import merkle_root
 
 GENESIS = "0" * 64
 ENTRY = "seq long, timestamp string, report_id string, device_id string, merkle_root string, prev_entry_hash string, rule_set_digest string, ir_schema_version string, canonicalisation string, signature string, key_id string"
@@ -55,23 +59,90 @@ def linked(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def verify(entries: DataFrame) -> DataFrame:
-    """seq, problem for everything that is wrong; hashes are made in parallel, only the links need the order."""
-    rows = linked(entries.withColumn("entry_hash", entry_hash()).withColumn("ledger", F.lit(1)), ["ledger"], "seq")
+    """seq, problem for everything that is wrong: an entry that is there twice, one whose predecessor is
+    missing, and one that doesn't hold its predecessor's hash.
+
+    Hashes are made in parallel, and an entry meets its predecessor by a join on the number before it, so no
+    task holds the whole ledger.
+    """
+    rows = entries.withColumn("entry_hash", entry_hash()).select("seq", "prev_entry_hash", "entry_hash")
+    each = rows.groupBy("seq").agg(F.count("*").alias("times"), F.max("prev_entry_hash").alias("prev_entry_hash"), F.max("entry_hash").alias("entry_hash"))
+    before = each.select((F.col("seq") + 1).alias("seq"), F.col("entry_hash").alias("previous"))
+    both = each.join(before, "seq", "left")
+    first = F.col("seq") == 1
     found = F.array(
-        F.when(F.col("seq") != F.col("place"), F.concat(F.lit("expected entry "), F.col("place").cast("string"))),
-        F.when(F.col("prev_entry_hash") != F.coalesce("previous", F.lit(GENESIS)), F.lit("the chain is broken")),
+        F.when(F.col("times") > 1, F.lit("the entry is there more than once")),
+        F.when((F.col("seq") < 1) | (~first & F.col("previous").isNull()), F.concat(F.lit("entry "), (F.col("seq") - 1).cast("string"), F.lit(" is missing"))),
+        F.when(F.col("prev_entry_hash") != F.when(first, F.lit(GENESIS)).otherwise(F.col("previous")), F.lit("the chain is broken")),
     )
-    return rows.select("seq", F.explode(F.filter(found, lambda p: p.isNotNull())).alias("problem"))
+    return both.select("seq", F.explode(F.filter(found, lambda p: p.isNotNull())).alias("problem"))
+
+
+def canonical_json(column: Column, kind: DataType) -> Column:
+    """The canonical text of a struct column of that type: keys sorted at every depth, nulls written."""
+
+    def sort(c: Column, t: DataType) -> Column:
+        if isinstance(t, StructType):
+            made = F.struct(*(sort(c[f.name], f.dataType).alias(f.name) for f in sorted(t.fields, key=lambda f: f.name)))
+            return F.when(c.isNotNull(), made)
+        if isinstance(t, ArrayType) and isinstance(t.elementType, (StructType, ArrayType)):
+            return F.transform(c, lambda x: sort(x, t.elementType))
+        return c
+
+    return F.to_json(sort(column, kind), {"ignoreNullFields": "false"})
+
+
+def leaf_material(found: DataFrame, cited: DataFrame | None = None) -> DataFrame:
+    """device_id, rule_id, material, leaf: what the ledger commits to for each finding: its verdict, state,
+    severity, unresolved paths and the evidence, so that neither can be rewritten later."""
+    piece = "array<struct<file:string,ir_path:string,line:int,raw:string>>"
+    rows = found.select("device_id", "rule_id", "verdict", "state", "severity", F.col("unresolved").alias("missing_paths"))
+    if cited is None:
+        rows = rows.withColumn("evidence", F.array().cast(piece))
+    else:
+        one = F.struct("n", F.struct("file", "ir_path", F.col("line_no").alias("line"), "raw").alias("e"))
+        held = cited.groupBy("device_id", "rule_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["e"]).cast(piece).alias("evidence"))
+        rows = rows.join(held, ["device_id", "rule_id"], "left").withColumn("evidence", F.coalesce("evidence", F.array().cast(piece)))
+    body = F.struct("evidence", "missing_paths", "rule_id", "severity", "state", "verdict")
+    text = rows.withColumn("body", body)
+    return text.select("device_id", "rule_id", canonical_json(F.col("body"), text.schema["body"].dataType).alias("material")).withColumn("leaf", leaf_hash(F.col("material")))
+
+
+def roots(leaves: DataFrame) -> DataFrame:
+    """device_id, merkle_root over the leaves of a device in the order of their rules."""
+    listed = leaves.groupBy("device_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rule_id", "leaf"))), lambda x: x["leaf"]).alias("l"))
+    return listed.select("device_id", merkle_root(F.col("l")).alias("merkle_root"))
+
+
+def record(spark: SparkSession, path: str, reports: list[dict]) -> list[dict]:
+    """Append entries of a batch of reports to the ledger in ``path`` (JSON lines) and return them.
+
+    One writer at a time: the head is read, the new entries are chained to it on the driver, and they become
+    visible as one file.
+    """
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    head = [r.asDict() for r in read(spark, path).orderBy(F.col("seq").desc()).limit(1).collect()] if there else []
+    made = append(head, reports)
+    spark.createDataFrame([tuple(e.get(c.split()[0]) for c in ENTRY.split(", ")) for e in made], ENTRY).coalesce(1).write.mode("append").json(path)
+    return made
+
+
+def short_hash(text: Column) -> Column:
+    """The sixteen letters that a report prints of an entry's hash."""
+    return F.left(text, F.lit(16))
 
 
 def append(entries: list[dict], reports: list[dict]) -> list[dict]:
-    """New entries behind the old ones: serial by nature, so it runs on the driver over one batch."""
-    out, head = list(entries), hashlib.sha256(canonical({k: entries[-1][k] for k in SIGNED})).hexdigest() if entries else GENESIS
-    for r in reports:
-        entry = {"canonicalisation": "jcs-1", **r, "seq": len(out) + 1, "prev_entry_hash": head}
+    """New entries behind the old ones, of which only the last is needed: serial by nature, so it runs on the
+    driver over one batch."""
+    at = entries[-1]["seq"] if entries else 0
+    out, head = [], hashlib.sha256(canonical({k: entries[-1][k] for k in SIGNED})).hexdigest() if entries else GENESIS
+    for k, r in enumerate(reports, at + 1):
+        entry = {"canonicalisation": "jcs-1", **r, "seq": k, "prev_entry_hash": head}
         head = hashlib.sha256(canonical({k: entry[k] for k in SIGNED})).hexdigest()
         out.append({"signature": "", "key_id": "", **entry})
-    return out[len(entries) :]
+    return out
 
 
 def proof(leaves: list[str], at: int) -> list[tuple[str, str]]:

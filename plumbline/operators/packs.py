@@ -64,6 +64,23 @@ class Pack:
         return hashlib.sha256(self.material()).hexdigest()
 
 
+def document(pack: Pack) -> dict:
+    """A pack as a plain document, for a JSON or YAML file."""
+    return {
+        "id": pack.id, "vendor": pack.vendor, "os": pack.os, "fingerprint": [{"match": p, "confidence": c} for p, c in pack.fingerprint],
+        "mappings": [{"ir_path": m.path, "match": m.match, "transform": m.transform, "tier_learned": m.tier, "confidence": m.confidence, "within": m.within, "values": dict(m.values)} for m in pack.mappings],
+    }
+
+
+def from_document(raw: dict) -> Pack:
+    """The pack of a parsed document; what lacks a field is refused."""
+    try:
+        made = tuple(Mapping(m["ir_path"], m["match"], m["transform"], int(m.get("tier_learned", 2)), float(1.0 if m.get("confidence") is None else m["confidence"]), m.get("within"), dict(m.get("values") or {})) for m in raw["mappings"])
+        return Pack(raw["id"], raw["vendor"], raw.get("os"), made, tuple((f["match"], float(f["confidence"])) for f in raw.get("fingerprint") or ()))
+    except (KeyError, TypeError) as e:
+        raise PackError(f"a pack lacks {e}") from e
+
+
 def safe_pattern(pattern: str) -> None:
     """Refuses patterns that are long, malformed or repeat a repetition."""
     if len(pattern) > LONGEST:

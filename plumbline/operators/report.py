@@ -92,26 +92,46 @@ def fleet_summary(scores: DataFrame, coverage: DataFrame) -> DataFrame:
     return s.crossJoin(c).select("devices", "score", F.bround(F.coalesce(F.try_divide(100.0 * F.col("p"), F.col("t")), F.lit(0.0)), 1).alias("coverage"))
 
 
-def audit_documents(found: DataFrame, coverage: DataFrame) -> DataFrame:
-    """One JSON-ready row per device: summary, findings in order, passed rules, phases of the plan."""
-    listed = found.where("verdict in ('fail', 'unknown')").select("device_id", F.struct(severity_rank(F.col("severity")).alias("s"), (F.col("verdict") == "unknown").alias("u"), "rule_id", "title", "severity", "verdict", "state", "unresolved", "target", "commands").alias("f"))
+def audit_documents(found: DataFrame, coverage: DataFrame, cited: DataFrame | None = None, rule_set: str | None = None) -> DataFrame:
+    """One JSON-ready row per device: summary, findings in order with their evidence, passed rules, phases of
+    the plan, and the digest of the rules."""
+    piece = "array<struct<file:string,ir_path:string,line:int,raw:string>>"
+    if cited is None:
+        found = found.withColumn("evidence", F.array().cast(piece))
+    else:
+        one = F.struct("n", F.struct("file", "ir_path", F.col("line_no").alias("line"), "raw").alias("e"))
+        held = cited.groupBy("device_id", "rule_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["e"]).cast(piece).alias("evidence"))
+        found = found.join(held, ["device_id", "rule_id"], "left").withColumn("evidence", F.coalesce("evidence", F.array().cast(piece)))
+    listed = found.where("verdict in ('fail', 'unknown')").select("device_id", F.struct(severity_rank(F.col("severity")).alias("s"), (F.col("verdict") == "unknown").alias("u"), "rule_id", "title", "severity", "verdict", "state", "unresolved", "target", "commands", "evidence").alias("f"))
     listed = listed.groupBy("device_id").agg(F.transform(F.array_sort(F.collect_list("f")), lambda f: f.dropFields("s", "u")).alias("findings"))
     passed = found.where("verdict = 'pass'").groupBy("device_id").agg(F.array_sort(F.collect_list("rule_id")).alias("passed"))
     steps = plan(found).groupBy("device_id").agg(F.array_sort(F.collect_list(F.struct("place", "phase", "phase_name", "rule_id", "commands"))).alias("remediation"))
-    return projected(found).join(coverage, "device_id", "left").join(listed, "device_id", "left").join(passed, "device_id", "left").join(steps, "device_id", "left")
+    states = found.groupBy("device_id").agg(*(F.count_if(F.col("state") == s).alias(f"n_{s}") for s in ("demonstrated", "asserted", "unknown")))
+    rows = projected(found).join(states, "device_id").join(coverage, "device_id", "left").join(listed, "device_id", "left").join(passed, "device_id", "left").join(steps, "device_id", "left")
+    return rows.withColumn("rule_set", F.lit(rule_set).cast("string"))
 
 
 def markdown(audits: DataFrame) -> DataFrame:
-    """device_id and a readable report."""
-    line = lambda f: F.concat(F.lit("- **"), f["severity"], F.lit("** "), f["rule_id"], F.lit(" "), f["title"], F.lit(": "), f["verdict"])
+    """device_id and a readable report of seven sections."""
+    kind = audits.schema["findings"].dataType
+    some = F.coalesce("findings", F.array().cast(kind))
+    of = lambda verdict: F.filter(some, lambda f: f["verdict"] == verdict)
+    cite = lambda e: F.concat(F.lit("  - `"), e["file"], F.lit(":"), e["line"].cast("string"), F.lit("` "), F.trim(e["raw"]))
+    line = lambda f: F.concat_ws("\n", F.concat(F.lit("- **"), f["severity"], F.lit("** "), f["rule_id"], F.lit(" "), f["title"]), F.when(F.size(f["evidence"]) > 0, F.array_join(F.transform(f["evidence"], cite), "\n")))
+    open_ = lambda f: F.concat(F.lit("- **"), f["severity"], F.lit("** "), f["rule_id"], F.lit(" "), f["title"], F.lit(": nothing says "), F.array_join(f["unresolved"], ", "))
     step = lambda s: F.concat(F.lit("### "), s["phase_name"], F.lit(" ("), s["rule_id"], F.lit(")\n\n```\n"), F.array_join(s["commands"], "\n"), F.lit("\n```"))
+    rest = F.array_join(F.transform("unparsed_sample", lambda u: F.concat(F.lit("    "), u["file"], F.lit(":"), u["line_no"].cast("string"), F.lit(" "), u["raw"])), "\n") if "unparsed_sample" in audits.columns else F.lit("")
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0"))
+    part = lambda title, text: F.concat(F.lit(f"## {title}\n\n"), F.coalesce(text, F.lit("")))
     body = F.concat_ws(
         "\n\n",
         F.concat(F.lit("# Audit of "), "device_id"),
-        F.concat(F.lit("Score "), F.col("score").cast("string"), F.lit("%, after the plan "), F.col("projected_score").cast("string"), F.lit("%.")),
-        F.concat(F.lit("## Coverage\n\n"), F.coalesce(F.col("parsed_lines").cast("string"), F.lit("0")), F.lit(" of "), F.coalesce(F.col("total_lines").cast("string"), F.lit("0")), F.lit(" lines read.")),
-        F.concat(F.lit("## Findings\n\n"), F.array_join(F.transform(F.coalesce("findings", F.array().cast("array<struct<rule_id:string,title:string,severity:string,verdict:string,state:string,unresolved:array<string>,target:string,commands:array<string>>>")), line), "\n")),
-        F.concat(F.lit("## Passed\n\n"), F.array_join(F.coalesce("passed", F.array().cast("array<string>")), ", ")),
-        F.concat(F.lit("## Plan\n\n"), F.array_join(F.transform("remediation", step), "\n\n")),
+        part("Summary", F.concat(F.lit("Score "), number("score"), F.lit("%, after the plan "), number("projected_score"), F.lit("%."))),
+        part("Coverage", F.concat(number("parsed_lines"), F.lit(" of "), number("total_lines"), F.lit(" lines read."))),
+        part("Findings", F.array_join(F.transform(of("fail"), line), "\n")),
+        part("Not decided", F.array_join(F.transform(of("unknown"), open_), "\n")),
+        part("Passed", F.array_join(F.coalesce("passed", F.array().cast("array<string>")), ", ")),
+        part("Plan", F.array_join(F.transform("remediation", step), "\n\n")),
+        part("Not read", rest),
     )
     return audits.select("device_id", body.alias("report"))

@@ -2,12 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.relational import confusion
 
 
+VERDICTS = ["pass", "fail", "unknown", "not_applicable"]
+
+
+class LabelError(ValueError):
+    """A label that can't be used."""
+
+
+def labels_of(documents: Iterable[tuple[str, object]]) -> tuple[list[tuple], list[tuple]]:
+    """Rows (device_id, ir_path, value, line) and (device_id, rule_id, expected) of parsed label documents.
+
+    A document names its ``config_id`` and holds ``ir_facts`` (path: {value, line}) and
+    ``expected_verdicts`` (rule: verdict); lists are joined as facts are compared, by commas.
+    """
+    facts, verdicts = [], []
+    for name, raw in documents:
+        if not isinstance(raw, dict) or not raw.get("config_id"):
+            raise LabelError(f"{name}: a label needs a config_id")
+        for path, fact in (raw.get("ir_facts") or {}).items():
+            if not isinstance(fact, dict) or "value" not in fact:
+                raise LabelError(f"{name}: {path} needs a value")
+            v = fact["value"]
+            text = None if v is None else ",".join(map(str, v)) if isinstance(v, list) else str(v).lower() if isinstance(v, bool) else str(v)
+            facts.append((str(raw["config_id"]), str(path), text, fact.get("line")))
+        for rule, verdict in (raw.get("expected_verdicts") or {}).items():
+            if verdict not in VERDICTS:
+                raise LabelError(f"{name}: {rule} can't be {verdict!r}")
+            verdicts.append((str(raw["config_id"]), str(rule), str(verdict)))
+    return facts, verdicts
+
+
+FACT_LABEL, VERDICT_LABEL = "device_id string, ir_path string, value string, line int", "device_id string, rule_id string, expected string"
+
+
 def verdicts(found: DataFrame, labels: DataFrame) -> DataFrame:
     """One row of counts and rates over labels (device_id, rule_id, expected).
 

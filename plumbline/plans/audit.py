@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import documents, fleet, identity, packs, parsing, report
+from plumbline.operators.ledger import canonical_json
 from plumbline.plans import rules
 from plumbline.sources import bundle
-from plumbline.sources.tables import staged
+from plumbline.sources.tables import discard, staged
 
 
 @dataclass
@@ -27,6 +28,7 @@ class Audit:
     findings: DataFrame
     salt: bytes = b"local"
     members: DataFrame | None = None
+    rule_set: str = ""
 
     @property
     def errors(self) -> DataFrame:
@@ -39,7 +41,12 @@ class Audit:
         return documents.evidence(self.findings, self.facts, self.lines, self.salt)
 
     def reports(self) -> DataFrame:
-        return report.audit_documents(self.findings, self.coverage.drop("unparsed_sample"))
+        return report.audit_documents(self.findings, self.coverage, self.evidence(), self.rule_set)
+
+    def discard(self) -> None:
+        """Delete the stage tables: the audit can't be read after this."""
+        for df in (self.lines, self.devices, self.facts, self.documents, self.findings, *([self.members] if self.members is not None else [])):
+            discard(df)
 
     def correlations(self) -> DataFrame:
         return fleet.correlations(self.documents, self.graph())
@@ -58,6 +65,10 @@ def run(files: DataFrame, ruleset: list[rules.Rule] | None = None, salt: bytes =
     """Audit source files (device_id, file, role, text)."""
     lines = staged(bundle.lines(files), "lines")
     devices = staged(identity.identify(files, lines), "devices")
+    if learned:  # a pack names devices that no signature knows
+        own = packs.named(files, learned).select("device_id", F.col("vendor").alias("v"), F.col("os").alias("o"))
+        lost = (F.col("vendor") == "unknown") & F.col("v").isNotNull()
+        devices = staged(devices.join(own, "device_id", "left").withColumns({"vendor": F.when(lost, F.col("v")).otherwise(F.col("vendor")), "os": F.when(lost, F.col("o")).otherwise(F.col("os"))}).drop("v", "o"), "devices-named")
     facts = staged(parsing.parse(lines, devices, hold_out, salt).withColumns({"tier": F.lit(0), "confidence_bp": F.lit(10000), "pack": F.lit(None).cast("string")}), "facts")
     if learned:
         rest = documents.residue(lines.where("role = 'config'"), facts)
@@ -65,8 +76,9 @@ def run(files: DataFrame, ruleset: list[rules.Rule] | None = None, salt: bytes =
     left = documents.residue(lines, facts)
     facts = staged(facts.unionByName(packs.structural(left)), "facts-claimed")
     docs = staged(documents.documents(facts.where("path is null or path <> '~error'"), devices), "documents")
-    found = staged(rules.findings(docs, rules.SHIPPED if ruleset is None else ruleset), "findings")
-    return Audit(lines, devices, facts, docs, documents.coverage(lines, facts), found, salt)
+    chosen = rules.SHIPPED if ruleset is None else ruleset
+    found = staged(rules.findings(docs, chosen), "findings")
+    return Audit(lines, devices, facts, docs, documents.coverage(lines, facts), found, salt, rule_set=rules.digest(chosen))
 
 
 def audit(spark: SparkSession, path: str, **options) -> Audit:
@@ -74,9 +86,14 @@ def audit(spark: SparkSession, path: str, **options) -> Audit:
 
 
 def write(result: Audit, path: str) -> None:
-    """The artefacts: documents, findings, reports as JSON and text, one folder each."""
-    result.documents.write.mode("overwrite").json(f"{path}/documents")
-    result.reports().write.mode("overwrite").partitionBy("device_id").json(f"{path}/audits")
-    report.markdown(result.reports()).select("report", "device_id").write.mode("overwrite").partitionBy("device_id").option("lineSep", "\n\n").text(f"{path}/reports")
+    """The artefacts: documents, audits and fleet findings as JSON (documents with their keys sorted), reports
+    as text, coverage as a table, one folder each."""
+    docs = result.documents.withColumn("body", F.struct(*result.documents.columns))
+    docs.select("device_id", canonical_json(F.col("body"), docs.schema["body"].dataType).alias("value")).write.mode("overwrite").partitionBy("device_id").text(f"{path}/documents")
+    audits = staged(result.reports(), "audits")
+    audits.write.mode("overwrite").json(f"{path}/audits")
+    report.markdown(audits).select("report", "device_id").write.mode("overwrite").partitionBy("device_id").option("lineSep", "\n\n").text(f"{path}/reports")
     result.coverage.write.mode("overwrite").parquet(f"{path}/coverage")
-    result.correlations().write.mode("overwrite").json(f"{path}/fleet")
+    found = staged(result.correlations(), "correlations")
+    found.write.mode("overwrite").json(f"{path}/fleet")
+    fleet.report(found).write.mode("overwrite").text(f"{path}/fleet-report")

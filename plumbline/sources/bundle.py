@@ -13,6 +13,8 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.tables import stage_dir
+
 #: Fixed: suffixes that are read, fragments of names that mark show output, and limits.
 SUFFIXES = [".cfg", ".conf", ".config", ".txt", ".log", ".xml", ".json", ".rsc", ".boot", ".set", ""]
 SHOW = ["show-version", "show_version", "showversion", "version", "inventory", "sysinfo"]
@@ -64,15 +66,18 @@ def role_of(name: Column) -> Column:
 def source_files(raw: DataFrame) -> DataFrame:
     """device_id, file, role, text of ``raw`` (path relative to the bundle, content).
 
-    Rows over the size limit or with other suffixes are left out.  Repeated paths stay repeated.
+    Rows with other suffixes are left out; one over the size limit fails the read.  Repeated paths stay
+    repeated.
     """
     name = F.element_at(F.split("path", "/"), -1)
-    kept = raw.where(suffix_of(name).isin(*SUFFIXES) & (F.length("content") <= MOST_BYTES))
+    large = F.length("content") > MOST_BYTES
+    content = F.when(large, F.raise_error(F.concat(F.col("path"), F.lit(f" is larger than {MOST_BYTES} bytes"))).cast("binary")).otherwise(F.col("content"))
+    kept = raw.where(suffix_of(name).isin(*SUFFIXES)).withColumn("content", content)
     parts = F.split("path", "/")
     kept = kept.select("path", decoded(F.col("content")).alias("text"), name.alias("name"), F.when(F.size(parts) > 1, parts[0]).alias("folder"))
     kept = kept.withColumn("role", role_of(F.col("name")))
     # loose files are one device if at most one of them is a configuration and there are no folders
-    counted = kept.agg(F.count_if(F.col("folder").isNull() & (F.col("role") == "config")).alias("n_configs"), F.max(F.col("folder").isNotNull()).alias("any_folder"))
+    counted = raw.where(suffix_of(name).isin(*SUFFIXES)).agg(F.count_if((F.size(parts) <= 1) & (role_of(name) == "config")).alias("n_configs"), F.max(F.size(parts) > 1).alias("any_folder"))
     kept = kept.crossJoin(F.broadcast(counted))  # one row
     single = F.col("folder").isNull() & (F.col("n_configs") <= 1) & ~F.col("any_folder")
     stem = F.split_part("name", F.lit("."), F.lit(1))
@@ -81,13 +86,58 @@ def source_files(raw: DataFrame) -> DataFrame:
     return kept.select(device.alias("device_id"), file.alias("file"), "role", "text")
 
 
+def _status(spark: SparkSession, path: str):  # noqa: ANN202
+    """The qualified path and whether it is a folder; a missing one is refused."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        raise BundleError(f"{path} isn't there")
+    return system.makeQualified(place).toString().rstrip("/"), system.getFileStatus(place).isDirectory()
+
+
+def relative(root: str) -> Column:
+    """A file's path below ``root``, which is qualified."""
+    return F.substring("path", len(root) + 2, 1 << 30)
+
+
+def binary_files(spark: SparkSession, *paths: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+
+
+def extracted(spark: SparkSession, path: str) -> str:
+    """A folder with the members of a zip archive that is safe to unpack."""
+    from pyarrow import fs
+
+    names = check_archive(path)
+    folder = stage_dir(spark, "archive")
+    system, root = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+    with zipfile.ZipFile(path) as archive:
+        for name in names:
+            target = f"{root}/{name.replace(chr(92), '/')}"
+            system.create_dir(posixpath.dirname(target), recursive=True)
+            with archive.open(name) as source, system.open_output_stream(target) as out:
+                while block := source.read(1 << 20):
+                    out.write(block)
+    return folder
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """Source files below a folder (any file system Spark reads)."""
-    root = path.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = posixpath.basename(root)
-    relative = F.regexp_extract("path", f"/{base}/(.*)$", 1)
-    return source_files(raw.select(relative.alias("path"), "content"))
+    """Source files of a folder, of one file or of a zip archive (any file system Spark reads; archives are
+    unpacked by the driver and so must be where it can open them).  A missing or empty target is refused."""
+    if path.endswith(".zip"):
+        path = extracted(spark, path)
+    root, folder = _status(spark, path)
+    if folder:
+        raw = binary_files(spark, root).select(relative(root).alias("path"), "content")
+    else:
+        raw = binary_files(spark, root).select(F.lit(posixpath.basename(root)).alias("path"), "content")
+    name = F.element_at(F.split("path", "/"), -1)
+    if raw.where(suffix_of(name).isin(*SUFFIXES)).select("path").isEmpty():
+        raise BundleError(f"{path} holds no configuration")
+    files = source_files(raw)
+    if not folder:
+        files = files.withColumn("device_id", F.split_part("file", F.lit("."), F.lit(1)))
+    return files
 
 
 def lines(files: DataFrame) -> DataFrame:

@@ -10,11 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: dict[str, str] = {}
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster without ``spark.checkpoint.dir``: a local folder would not be seen by all."""
+
+
 def stage_dir(spark: SparkSession, name: str) -> str:
-    """A new folder where driver and executors both write: below ``spark.checkpoint.dir``, and only where
-    that is unset, as on one machine, in a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _OWN.setdefault("root", tempfile.mkdtemp(prefix="plumbline-stages-"))
-    return f"{root.rstrip('/')}/stages/{name}-{uuid.uuid4().hex}"
+    """A new folder where driver and executors both write: below ``spark.checkpoint.dir``.  Where that is
+    unset, a local session takes a temporary folder, and one on a cluster fails."""
+    return f"{_root(spark)}/stages/{name}-{uuid.uuid4().hex}"
+
+
+def _root(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = _OWN.setdefault("root", tempfile.mkdtemp(prefix="plumbline-stages-"))
+    return root.rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -22,3 +34,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = stage_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folders of a staged table, which is not to be read again; other files stay."""
+    spark = df.sparkSession
+    inside = f"{_root(spark)}/stages/".split(":", 1)[-1].lstrip("/")
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in folders:
+        if inside in folder:
+            place = path(folder)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -16,13 +16,19 @@ def arrivals(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run(spark: SparkSession, path: str, out: str, checkpoint: str, ruleset: list[rules.Rule] | None = None):
-    """Audit what is new and stop; findings of batch n replace any earlier try of batch n."""
-    base = path.rstrip("/").rsplit("/", 1)[-1]
+    """Audit what is new and stop; findings of batch n replace any earlier try of batch n.
+
+    A device whose folder has a new file is audited with all its files, also those of earlier batches, so
+    no device is ever audited in part.
+    """
+    root, _ = bundle._status(spark, path)
 
     def one(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
+        fresh = batch.select(bundle.relative(root).alias("path")).select(F.split_part("path", F.lit("/"), F.lit(1)).alias("device")).distinct()
+        devices = [r.device for r in fresh.collect()]  # folders of one batch, whose size the stream bounds
+        if not devices:
             return
-        raw = batch.select(F.regexp_extract("path", f"/{base}/(.*)$", 1).alias("path"), "content")
+        raw = bundle.binary_files(spark, *(f"{root}/{d}" for d in devices)).select(bundle.relative(root).alias("path"), "content")
         result = audit.run(bundle.source_files(raw), ruleset)
         result.findings.write.mode("overwrite").parquet(f"{out}/findings/batch={number}")
         result.summary().write.mode("overwrite").parquet(f"{out}/summary/batch={number}")
