@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.functions.reuse import per_session
 from plumbline.functions.scalars import address_digits, digits_address, leading_bits, port_matches
 from plumbline.operators.relational import pairs_within
 from plumbline.sources.tables import staged
@@ -66,9 +67,8 @@ def members(docs: DataFrame) -> DataFrame:
     words before a global IPv4 network before internal.
     """
     rows = interfaces(docs).select("device_id", "place", "name", "zone", "description", "shutdown", "is_mgmt", "entries", F.posexplode("addresses").alias("n", "address"))
-    digits = address_digits(F.split_part("address", F.lit("/"), F.lit(1)))
     bits = F.length("digits") * 4
-    rows = rows.withColumn("digits", digits).withColumn("length", F.when(F.contains("address", F.lit("/")), F.split_part("address", F.lit("/"), F.lit(2)).try_cast("int")))
+    rows = rows.withColumn("digits", _digits()).withColumn("length", F.when(F.contains("address", F.lit("/")), F.split_part("address", F.lit("/"), F.lit(2)).try_cast("int")))
     rows = rows.where((F.col("digits").isNotNull()) & (F.col("length").isNull() | ((F.col("length") >= 0) & (F.col("length") <= bits)) & F.contains("address", F.lit("/"))))
     own = rows.where("length is not null").withColumn("bits", leading_bits(F.col("digits"), F.col("length")))
     declared = own.groupBy(F.length("digits").alias("size"), "length", "bits").agg(F.min(F.struct("device_id", "place", "n")).alias("order"))
@@ -81,7 +81,7 @@ def members(docs: DataFrame) -> DataFrame:
     found = found.withColumn("net", F.coalesce("net", F.struct(usual.alias("length"), leading_bits(F.col("digits"), usual).alias("bits")))).withColumn("inf", F.lit(True))
     every = own.withColumn("net", F.struct("length", "bits")).withColumn("inf", F.lit(False)).select(*found.columns).unionByName(found)
     base = F.rpad("net.bits", F.length("digits"), F.lit("0"))
-    every = every.withColumn("base", base).withColumn("segment", F.concat(digits_address(F.col("base")), F.lit("/"), F.col("net.length").cast("string")))
+    every = every.withColumn("base", base).withColumn("segment", _segment_text())
     w = W.partitionBy("device_id", "place")
     every = every.withColumn("inferred", F.max("inf").over(w)).withColumn("outside", F.max(is_global(F.col("base"))).over(w))
     every = every.withColumn("trust", _trust(F.col("outside")))
@@ -89,6 +89,22 @@ def members(docs: DataFrame) -> DataFrame:
     return every.withColumn("k", once).where("k = 1").select("device_id", "place", "name", "segment", "base", "inferred", "trust", "shutdown", "entries")
 
 
+@per_session
+def _digits() -> Column:
+    return address_digits(F.split_part("address", F.lit("/"), F.lit(1)))
+
+
+@per_session
+def _open_ports() -> Column:
+    """The ports that an interface lets in."""
+    return F.filter(F.array(*(F.when(F.coalesce(permits(F.col("entries"), F.lit(p)), F.lit(True)), F.lit(p)) for _, p in SERVICES.values())), lambda p: p.isNotNull())
+
+
+@per_session
+def _segment_text() -> Column:
+    return F.concat(digits_address(F.col("base")), F.lit("/"), F.col("net.length").cast("string"))
+
+
 def _trust(outside: Column) -> Column:
     text = F.concat_ws(" ", F.coalesce("zone", F.lit("")), F.coalesce("description", F.lit("")))
     return F.when(F.col("is_mgmt") | text.rlike(MANAGEMENT), "management").when(text.rlike(UNTRUSTED) | F.coalesce(outside, F.lit(False)), "untrusted").otherwise("internal")
@@ -209,8 +225,7 @@ def sweeps(held: DataFrame) -> DataFrame:
     ports = [p for _, p in SERVICES.values()]
     m = held.where("not shutdown")
     # which ports an interface lets in is worked out once, before the sweeps
-    open_ = F.filter(F.array(*(F.when(F.coalesce(permits(F.col("entries"), F.lit(p)), F.lit(True)), F.lit(p)) for p in ports)), lambda p: p.isNotNull())
-    m = staged(m.select("segment", "device_id", "place", "name", F.col("inferred").alias("inf"), "trust", open_.alias("ports")), "ways")
+    m = staged(m.select("segment", "device_id", "place", "name", F.col("inferred").alias("inf"), "trust", _open_ports().alias("ports")), "ways")
     starts = m.where("trust = 'untrusted'").select(F.col("segment").alias("start")).distinct().withColumn("port", F.explode(F.array(*map(F.lit, ports))))
     front = starts.select("start", "port", F.col("start").alias("segment"), F.array("start").alias("hops"), F.lit(False).alias("inferred"))
     seen, found = front.select("start", "port", "segment"), None
@@ -290,11 +305,16 @@ def covers(a: Column, b: Column) -> Column:
     return out
 
 
+@per_session
+def _covering() -> Column:
+    """The first earlier entry of ``e`` that covers ``late``."""
+    return F.get(F.filter(F.slice("e", F.lit(1), F.col("k")), lambda x: covers(x, F.col("late"))), F.lit(0))
+
+
 def shadows(docs: DataFrame) -> DataFrame:
     """Entries that never fire: for each the first earlier one that covers it, found inside the array."""
     rows = docs.select("device_id", F.explode("acls").alias("a")).select("device_id", F.col("a.name").alias("acl"), F.col("a.entries").alias("e"), F.posexplode("a.entries").alias("k", "late"))
-    first = F.get(F.filter(F.slice("e", F.lit(1), F.col("k")), lambda x: covers(x, F.col("late"))), F.lit(0))
-    hit = rows.withColumn("early", first).where("early is not null")
+    hit = rows.withColumn("early", _covering()).where("early is not null")
     number = lambda c: F.col(f"{c}.seq").cast("string")
     same = F.col("early.action") == F.col("late.action")
     return hit.select(

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.functions.reuse import per_session
+
 LEAST = 0.45
 
 #: Fixed: vendor, system, and the patterns that speak for it with their weights.
@@ -36,6 +38,11 @@ def signature_scores(text: Column, signatures: list = SIGNATURES) -> Column:
     return F.reverse(F.array_sort(F.filter(F.array(*made), lambda s: s["score"] > 0)))
 
 
+@per_session
+def _signatures() -> Column:
+    return signature_scores(F.col("text"))
+
+
 def confidence(ranked: Column) -> Column:
     """Strength of the best score times its lead over the second; null without scores."""
     best, second = F.get(ranked, F.lit(0))["score"], F.coalesce(F.get(ranked, F.lit(1))["score"], F.lit(0))
@@ -52,7 +59,7 @@ def main_file(files: DataFrame) -> DataFrame:
 
 def identify(files: DataFrame, lines: DataFrame) -> DataFrame:
     """device_id, vendor, os, confidence_bp, hostname, version, model, serial."""
-    scored = main_file(files).select("device_id", signature_scores(F.col("text")).alias("ranked"))
+    scored = main_file(files).select("device_id", _signatures().alias("ranked"))
     best = F.get("ranked", F.lit(0))
     sure = F.coalesce(confidence(F.col("ranked")), F.lit(0.0))
     named = scored.select(
@@ -62,8 +69,9 @@ def identify(files: DataFrame, lines: DataFrame) -> DataFrame:
     return named.join(identity_values(lines), "device_id", "left")
 
 
-def identity_values(lines: DataFrame) -> DataFrame:
-    """The first match per value: pattern before file before line."""
+@per_session
+def _identity_hits() -> Column:
+    """The identity values that a line shows, as an array of (key, rank, value)."""
     made = []
     for key, patterns, show_only in PATTERNS:
         for k, p in enumerate(patterns):
@@ -72,7 +80,12 @@ def identity_values(lines: DataFrame) -> DataFrame:
             made.append(F.when(allowed & (hit != ""), F.struct(F.lit(key).alias("key"), F.lit(k).alias("rank"), hit.alias("value"))))
     last = F.regexp_extract("raw", COMMENT_SERIAL, 1)
     made.append(F.when(last != "", F.struct(F.lit("serial").alias("key"), F.lit(99).alias("rank"), last.alias("value"))))
-    found = lines.select("device_id", "file", "line_no", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("x")).select("device_id", "file", "line_no", "x.*")
+    return F.filter(F.array(*made), lambda x: x.isNotNull())
+
+
+def identity_values(lines: DataFrame) -> DataFrame:
+    """The first match per value: pattern before file before line."""
+    found = lines.select("device_id", "file", "line_no", F.explode(_identity_hits()).alias("x")).select("device_id", "file", "line_no", "x.*")
     order = F.struct("rank", "file", "line_no")
     pick = lambda key: F.min_by(F.when(F.col("key") == key, F.col("value")), F.when(F.col("key") == key, order)).alias(key)
     return found.groupBy("device_id").agg(*(pick(k) for k, _, _ in PATTERNS))

@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+from plumbline.functions.reuse import per_session
 from plumbline.functions.scalars import community_marker, credential_fingerprint, hash_algorithm, wildcard_prefix
 from plumbline.operators.panxml import SHIPPED, read_group
 from plumbline.sources.tables import staged
@@ -78,17 +79,29 @@ def on(pattern: str, *facts: Column, where: Column | None = None, claim: bool =
     return On(pattern, facts, where, claim)
 
 
-def apply(rows: DataFrame, statements: list[On]) -> DataFrame:
-    """Facts of the first statement that matches each line."""
+@dataclass(frozen=True)
+class Compiled:
+    """What a grammar's statements come to: the number of the one that matches, its facts, whether it claims."""
+
+    number: Column
+    facts: Column
+    claims: Column
+
+
+def compiled(statements: list[On]) -> Compiled:
     # one flat conditional each: nested ones would cost the optimiser more than the data costs
     number = reduce(lambda acc, ks: acc.when(ks[1].test(), ks[0]), enumerate(statements), F.when(F.lit(False), -1))
-    hit = rows.withColumn("k", number).where("k is not null")
-    made = reduce(lambda acc, ks: acc.when(F.col("k") == ks[0], F.array(*ks[1].facts)) if ks[1].facts else acc, enumerate(statements), F.when(F.lit(False), F.array().cast(f"array<{FACT}>")))
-    made = F.coalesce(made, F.array().cast(f"array<{FACT}>"))
-    claims = F.col("k").isin(*[k for k, s in enumerate(statements) if s.claim])
-    out = hit.select("device_id", "file", "line_no", F.explode_outer(F.filter(made, lambda f: f["path"].isNotNull())).alias("f"), claims.alias("claim"))
-    sub = F.row_number().over(W.partitionBy("device_id", "file", "line_no").orderBy(F.lit(0))) - 1
-    return out.select("device_id", "file", "line_no", sub.alias("sub"), "f.path", "f.op", "f.entity", "f.value", "f.secret", "claim")
+    none = F.array().cast(f"array<{FACT}>")
+    made = reduce(lambda acc, ks: acc.when(F.col("k") == ks[0], F.array(*ks[1].facts)) if ks[1].facts else acc, enumerate(statements), F.when(F.lit(False), none))
+    made = F.filter(F.coalesce(made, none), lambda f: f["path"].isNotNull())
+    return Compiled(number, made, F.col("k").isin(*[k for k, s in enumerate(statements) if s.claim]))
+
+
+def apply(rows: DataFrame, grammar: Compiled) -> DataFrame:
+    """Facts of the first statement that matches each line."""
+    hit = rows.withColumn("k", grammar.number).where("k is not null")
+    out = hit.select("device_id", "file", "line_no", F.posexplode_outer(grammar.facts).alias("sub", "f"), grammar.claims.alias("claim"))
+    return out.select("device_id", "file", "line_no", F.coalesce("sub", F.lit(0)).alias("sub"), "f.path", "f.op", "f.entity", "f.value", "f.secret", "claim")
 
 
 # -- indented grammars ---------------------------------------------------------------------------
@@ -166,9 +179,18 @@ def indented(rows: DataFrame, dialect: str) -> DataFrame:
     return rows.withColumn("block", F.when(F.col("indent") > 0, F.coalesce(block, F.lit("")))).withColumn("entity", F.col("head.line_no"))
 
 
+#: An entry of an access list: its number, action and remainder.
+ACE = r"^(?:(\d+) )?(permit|deny)\s+(.*)$"
+
+
 def ios(rows: DataFrame, dialect: str = "cisco") -> DataFrame:
+    rows = indented(rows, dialect).withColumn("ace", F.when(F.col("block") == "acl", ace_fields(g(ACE, 3))))
+    return apply(rows, _ios(dialect))
+
+
+@per_session
+def _ios(dialect: str) -> Compiled:
     text = F.col("text")
-    rows = indented(rows, dialect)
     flat, e = F.col("block").isNull(), F.col("entity")
     within = lambda name: F.col("block") == name
     iface = lambda field, value: fact(f"interfaces.{field}", value, entity=e)
@@ -179,9 +201,8 @@ def ios(rows: DataFrame, dialect: str = "cisco") -> DataFrame:
     community = r"(?i)^snmp-server community (\S+)"
     marker = community_marker(g(community), SHIPPED["cisco"])
     acl = r"^ip access-list (?:(?:standard|extended) )?(\S+)"
-    ace = r"^(?:(\d+) )?(permit|deny)\s+(.*)$"
+    ace = ACE
     n = F.col("line_no")
-    rows = rows.withColumn("ace", F.when(F.col("block") == "acl", ace_fields(g(ace, 3))))
     statements = [on(".*", where=F.col("opaque"))]
     top = [
         on(r"^hostname (\S+)", fact("device.hostname", g(r"^hostname (\S+)"))),
@@ -252,24 +273,25 @@ def ios(rows: DataFrame, dialect: str = "cisco") -> DataFrame:
         on(r"^address ipv4 (\S+)", add("aaa.servers", g(r"^address ipv4 (\S+)")), where=within("aaa-server")),
         on(_starts(*BENIGN), where=F.col("block").isin("line", "m-ssh", "m-api", "interface", "acl", "aaa-server", "vlan")),
     ]
-    return apply(rows, statements)
+    return compiled(statements)
 
 
 # -- nested grammars -----------------------------------------------------------------------------
 
 
-def nested(rows: DataFrame, opens: Column, header: Column, closes: Column, levels: int = 8) -> DataFrame:
+def nested(rows: DataFrame, opens: Column, header: Column, closes: Column, levels: int = 16) -> DataFrame:
     """Lines with ``depth`` and ``path``: the headers of the blocks that are open above a line.
 
     A closing line belongs to the block that it closes.  The header of a level is the last one opened
-    there, so no stack is carried along.
+    there, so no stack is carried along.  Lines below ``levels`` blocks are left out: they stay unread, and
+    so are counted, rather than being read in a wrong place.
     """
     step = F.when(opens, 1).when(closes, -1).otherwise(0)
     above = F.coalesce(F.sum(step).over(_above()), F.lit(0))
-    rows = rows.withColumn("depth", F.greatest(above, F.lit(0)).cast("int")).withColumn("opens", opens).withColumn("header", header).withColumn("closes", closes)
+    rows = rows.withColumns({"depth": F.greatest(above, F.lit(0)).cast("int"), "opens": opens, "header": header})
     heads = [F.last(F.when(F.col("opens") & (F.col("depth") == k), F.struct("line_no", "header")), True).over(_above()) for k in range(levels)]
     stack = F.slice(F.array(*heads), F.lit(1), F.least(F.col("depth"), F.lit(levels)))
-    return rows.withColumn("stack", stack).withColumn("path", F.array_join(F.transform("stack", lambda h: h["header"]), " "))
+    return rows.withColumn("stack", stack).where(F.col("depth") <= levels).withColumn("path", F.array_join(F.transform("stack", lambda h: h["header"]), " "))
 
 
 #: Fixed: words that begin statements without a security fact.
@@ -278,13 +300,20 @@ FORTIOS_QUIET = ["vdom", "type", "schedule", "srcintf", "dstintf", "action", "na
 
 
 def junos(rows: DataFrame) -> DataFrame:
-    text = F.col("text")
+    text, path, header = F.col("text"), F.col("path"), F.col("header")
+    full = F.when(path == "", header).otherwise(F.concat_ws(" ", path, header))
     rows = nested(rows, text.rlike(r"^.+\{$") & ~text.rlike(r"^(#|/\*)"), F.trim(F.regexp_extract("text", r"^(.+?)\s*\{$", 1)), text == "}")
+    user = F.when(F.col("opens") & header.rlike("^user ") & F.startswith(full, F.lit("system login user")), F.element_at(F.split(header, r"\s+"), -1))
+    return apply(rows.withColumn("user", F.last(user, True).over(_above())), _junos())
+
+
+@per_session
+def _junos() -> Compiled:
+    text = F.col("text")
     path, e = F.col("path"), F.get("stack", F.lit(1))["line_no"]
     at = lambda p: path == p
     under = lambda p: F.startswith(path, F.lit(p))
     n, header = F.col("line_no"), F.col("header")
-    opened = F.col("opens")
     full = F.when(path == "", header).otherwise(F.concat_ws(" ", path, header))
     community = r"^community (\S+)\s*\{$"
     inside = F.get("stack", F.lit(0))["header"].eqNullSafe(F.lit("interfaces")) & (F.size("stack") >= 2)
@@ -292,7 +321,6 @@ def junos(rows: DataFrame) -> DataFrame:
     password = r'^(?:encrypted-password|plain-text-password)\s*"?([^";]*)"?;'
     algorithm = F.when(text.rlike("^plain-text-password"), "plaintext").otherwise(hash_algorithm(g(password), F.lit(None).cast("string")))
     level = r"(\S+);$"
-    rows = rows.withColumn("user", F.last(F.when(opened & header.rlike("^user ") & F.startswith(full, F.lit("system login user")), F.element_at(F.split(header, r"\s+"), -1)), True).over(_above()))
     word = lambda w, p=r"\s+(\S+?);$": g(f"^{w}{p}")
     statements = [
         on(r"^$|^(#|/\*)|^\}$"),
@@ -324,7 +352,7 @@ def junos(rows: DataFrame) -> DataFrame:
         on(".*", where=under("firewall family inet filter ")),
         on("^(" + "|".join(JUNOS_QUIET) + r")\b"),
     ]
-    return apply(rows, statements)
+    return compiled(statements)
 
 
 def fortios(rows: DataFrame) -> DataFrame:
@@ -334,6 +362,11 @@ def fortios(rows: DataFrame) -> DataFrame:
         text.isin("next", "end"), F.struct("line_no", F.lit("").alias("name"), F.lit(False).alias("open"))
     )
     rows = rows.withColumn("edit", F.last(edit, True).over(_order()))
+    return apply(rows, _fortios())
+
+
+@per_session
+def _fortios() -> Compiled:
     path, n, e = F.col("path"), F.col("line_no"), F.col("edit.line_no")
     at = lambda p: path == p
     value = F.regexp_replace(F.trim(g(r"^set \S+\s*(.*)$")), '^"+|"+$', "")
@@ -367,7 +400,7 @@ def fortios(rows: DataFrame) -> DataFrame:
         on(key("accprofile"), where=at("system admin") & F.col("edit.open")),
         on("^set (" + "|".join(FORTIOS_QUIET) + r")(?:\s|$)"),
     ]
-    return apply(rows, statements)
+    return compiled(statements)
 
 
 # -- flat grammar --------------------------------------------------------------------------------
@@ -376,11 +409,8 @@ def fortios(rows: DataFrame) -> DataFrame:
 SERVICES = {"telnet": "mgmt.telnet_enabled", "ssh": "mgmt.ssh.enabled", "www": "mgmt.http_enabled", "www-ssl": "mgmt.https_enabled"}
 
 
-def routeros(rows: DataFrame) -> DataFrame:
-    command = r"^(/\S+(?:\s+\S+)*?)\s+(set|add|remove)\s+(.*)$"
-    rest = F.regexp_extract("text", command, 3)
-    pairs = F.transform(F.regexp_extract_all(rest, F.lit(r'(\S+?=(?:"[^"]*"|\S+))'), F.lit(1)), lambda p: F.struct(F.split_part(p, F.lit("="), F.lit(1)).alias("k"), F.regexp_replace(F.regexp_replace(p, "^[^=]*=", ""), '^"+|"+$', "").alias("v")))
-    rows = rows.withColumn("command", F.regexp_extract("text", command, 1)).withColumn("rest", rest).withColumn("pairs", pairs)
+@per_session
+def _routeros() -> Compiled:
     value = lambda k: F.try_element_at(F.filter("pairs", lambda p: p["k"] == k), F.lit(-1))["v"]
     has = lambda *ks: [value(k).isNotNull() for k in ks]
     path, n = F.col("command"), F.col("line_no")
@@ -406,7 +436,15 @@ def routeros(rows: DataFrame) -> DataFrame:
         on("^/", where=under("/user")),
         on("^/", where=known & path.rlike(r"^/(system|interface)(\s|$)")),
     ]
-    out = apply(rows, statements)
+    return compiled(statements)
+
+
+def routeros(rows: DataFrame) -> DataFrame:
+    command = r"^(/\S+(?:\s+\S+)*?)\s+(set|add|remove)\s+(.*)$"
+    rest = F.regexp_extract("text", command, 3)
+    pairs = F.transform(F.regexp_extract_all(rest, F.lit(r'(\S+?=(?:"[^"]*"|\S+))'), F.lit(1)), lambda p: F.struct(F.split_part(p, F.lit("="), F.lit(1)).alias("k"), F.regexp_replace(F.regexp_replace(p, "^[^=]*=", ""), '^"+|"+$', "").alias("v")))
+    rows = rows.withColumn("command", F.regexp_extract("text", command, 1)).withColumn("rest", rest).withColumn("pairs", pairs)
+    out = apply(rows, _routeros())
     # addresses name their interface; comments, wherever they stand, describe it
     seen = out.where("path in ('~address', '~comment')").select("*", F.split_part("value", F.lit(" "), F.lit(1)).alias("port"), F.regexp_replace("value", r"^\S+\s?", "").alias("rest"))
     by = W.partitionBy("device_id", "file", "port")

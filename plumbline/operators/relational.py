@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.sources.tables import staged
+
 
 def first_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key: the first in an order that has no ties."""
@@ -43,7 +45,7 @@ def first_band(values: DataFrame, bands: DataFrame, value: str, order: str = "or
     nothing grows with the values.
     """
     out: Column = F.lit(None).cast("string")
-    rows = sorted(bands.collect(), key=lambda r: r[order], reverse=True)
+    rows = sorted(bands.limit(10_001).collect(), key=lambda r: r[order], reverse=True)
     if len(rows) > 10_000:
         raise ValueError("too many bands for one expression")
     for r in rows:
@@ -52,12 +54,17 @@ def first_band(values: DataFrame, bands: DataFrame, value: str, order: str = "or
 
 
 def reach(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
-    """(start, node, depth): every node within ``hops`` directed steps, with its least depth."""
-    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))
-    front = seen
+    """(start, node, depth): every node within ``hops`` directed steps, with its least depth.
+
+    Each front is staged, so a step reads the fronts before it and works none of them out again.
+    """
+    front = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))
+    seen = front
     for d in range(1, hops + 1):
         step = front.join(edges, front["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct()
-        front = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(d))
+        front = staged(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(d)), "front")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 

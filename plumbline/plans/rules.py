@@ -11,7 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from plumbline.functions.reuse import per_session
 from plumbline.plans.assertions import Compiler, parse
 from plumbline.plans.shipped import COMMANDS, RULES, WORDS
 
@@ -106,16 +108,36 @@ def severity_rank(column: Column) -> Column:
     return reduce(lambda acc, kv: acc.when(column == kv[1], kv[0]), enumerate(SEVERITIES), F.when(F.lit(False), 0)).otherwise(9)
 
 
-FINDING = "struct<rule_id:string,title:string,severity:string,verdict:string,state:string,touched:array<string>,unresolved:array<string>,target:string,commands:array<string>>"
+FINDING = {
+    "rule_id": "string", "title": "string", "severity": "string", "verdict": "string", "state": "string", "touched": "array<string>", "unresolved": "array<string>", "target": "string", "commands": "array<string>",
+}
 
 
-def findings(devices: DataFrame, rules: list[Rule], role: str | None = None, vendor: str = "device.vendor") -> DataFrame:
+def findings(devices: DataFrame, rules: list[Rule], role: str | None = None, vendor: str = "device.vendor", fields: tuple[str, ...] = ()) -> DataFrame:
     """One row per device and rule: a single projection of compiled columns, unpivoted without shuffle.
 
     ``devices`` holds a document per row; columns besides the compiled ones' are kept as they are named
-    ``device_id``.  Verdicts are pass, fail, unknown and not_applicable.
+    ``device_id``.  Verdicts are pass, fail, unknown and not_applicable.  ``fields`` names what is wanted of
+    a finding; the rest is then not worked out.
     """
-    compiler = Compiler(devices.schema)
+    made = _made(devices.schema, Same(tuple(rules)), role, vendor, tuple(fields))
+    return devices.select("device_id", F.explode(made).alias("f")).select("device_id", "f.*")
+
+
+class Same(tuple):
+    """Rules that are the same only if they are the same objects: their commands take no part in a hash."""
+
+    def __hash__(self) -> int:
+        return hash(tuple(map(id, self)))
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Same) and len(self) == len(other) and all(a is b for a, b in zip(self, other, strict=True))
+
+
+@per_session
+def _made(schema: StructType, rules: Same, role: str | None, vendor: str, fields: tuple[str, ...]) -> Column:
+    """The findings of a document, as an array."""
+    compiler = Compiler(schema)
     made = []
     who = F.coalesce(F.col(vendor), F.lit("unknown")) if vendor else F.lit("unknown")
     for rule in rules:
@@ -135,14 +157,12 @@ def findings(devices: DataFrame, rules: list[Rule], role: str | None = None, ven
         for key, lines in rule.remediation.items():
             commands = F.when(target == key, F.array(*map(F.lit, lines))).otherwise(commands)
         failed = verdict == "fail"
-        made.append(
-            F.struct(
-                F.lit(rule.id).alias("rule_id"), F.lit(rule.title).alias("title"), F.lit(rule.severity).alias("severity"), verdict.alias("verdict"),
-                F.when(verdict == "unknown", "unknown").otherwise("asserted").alias("state"), c.touched.alias("touched"), unresolved.alias("unresolved"),
-                F.when(failed, target).alias("target"), F.when(failed, commands).otherwise(F.array()).alias("commands"),
-            ).cast(FINDING)
-        )
-    return devices.select("device_id", F.explode(F.array(*made)).alias("f")).select("device_id", "f.*")
+        whole = {
+            "rule_id": F.lit(rule.id), "title": F.lit(rule.title), "severity": F.lit(rule.severity), "verdict": verdict, "state": F.when(verdict == "unknown", "unknown").otherwise("asserted"),
+            "touched": c.touched, "unresolved": unresolved, "target": F.when(failed, target), "commands": F.when(failed, commands).otherwise(F.array()),
+        }
+        made.append(F.struct(*(whole[k].cast(t).alias(k) for k, t in FINDING.items() if not fields or k in fields)))
+    return F.array(*made)
 
 
 def summary(found: DataFrame) -> DataFrame:

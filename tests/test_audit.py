@@ -94,13 +94,16 @@ def test_fleet(result):
     assert {"FLEET-SHADOW-ios-MGMT-20": "high", "FLEET-SHADOW-ios-MGMT-30": "medium"}.items() <= {r.id: r.severity for r in found}.items()
     ranked = fleet.rank(result.correlations()).collect()
     assert [r.score for r in ranked] == sorted((r.score for r in ranked), reverse=True)
-    segments = {(r.device_id, r.segment) for r in fleet.memberships(result.documents).collect()}
+    segments = {(r.device_id, r.segment) for r in result.graph().collect()}
     assert ("fortios", "10.0.0.0/24") in segments and ("ios", "10.9.0.0/24") in segments
 
 
 def test_reports(result):
     text = {r.device_id: r.report for r in report.markdown(result.reports()).collect()}
     assert "## Findings" in text["ios"] and "CIS-NET-1.1.1" in text["ios"] and len(text) == 8
+    assert text["ios"].count("\n## ") == 7 and "transport input telnet ssh" in text["ios"] and "no ip telnet server" in text["ios"] and "unknown-thing 7" in text["ios"]
+    assert "0822455D0A16" not in text["ios"] and "$9$abc" not in text["ios"]
+    assert "# Fleet" in fleet.report(result.correlations()).first().report
 
 
 def test_drift_and_holdout(spark, result):
@@ -150,3 +153,84 @@ def test_residue_and_rules(result):
     left = documents.residue(result.lines, result.facts)
     assert left.count() == sum(r.unparsed_lines for r in result.coverage.collect())
     assert len(rules.SHIPPED) == 13 and rules.digest(rules.SHIPPED) == rules.digest(rules.SHIPPED[::-1])
+
+
+def test_secrets_are_fingerprints(result):
+    assert result.facts.where("secret is not null and (length(secret) <> 32 or secret rlike '[^0-9a-f]')").isEmpty()
+    assert result.facts.where("secret is not null").count() > 4
+
+
+def test_deep_blocks_stay_unread(spark):
+    text = "version 1.0R1;\n" + "".join(f"{'    ' * k}b{k} {{\n" for k in range(20)) + "host-name x;\n" + "".join("}\n" for _ in range(20)) + "system {\n    host-name y;\n}\n"
+    got = audit.run(files(spark, {"deep": text + "interfaces {\n    ge-0/0/0 {\n        unit 0 {\n        }\n    }\n}\n"}))
+    c = got.coverage.first()
+    assert got.documents.first().device.hostname == "y" and 0 < c.unparsed_lines < c.total_lines / 2
+
+
+def test_files_on_disk(spark, tmp_path):
+    from plumbline.sources import bundle
+    from plumbline.streaming import watch
+
+    root = tmp_path / "a+b" / "data" / "data"
+    for name in ("x", "y"):
+        (root / name).mkdir(parents=True)
+        (root / name / "running.cfg").write_text(ALL["ios"] if name == "x" else ALL["eos"])
+    assert {(r.device_id, r.file) for r in bundle.load(spark, str(root)).collect()} == {("x", "running.cfg"), ("y", "running.cfg")}
+    assert [(r.device_id, r.file) for r in bundle.load(spark, str(root / "x" / "running.cfg")).collect()] == [("running", "running.cfg")]
+    for bad in (str(tmp_path / "none"), str(tmp_path / "empty")):
+        (tmp_path / "empty").mkdir(exist_ok=True)
+        with pytest.raises(bundle.BundleError):
+            bundle.load(spark, bad)
+    big = spark.createDataFrame([("d/a.cfg", b"x" * 20)], "path string, content binary")
+    old, bundle.MOST_BYTES = bundle.MOST_BYTES, 10
+    try:
+        with pytest.raises(Exception, match="larger than"):
+            bundle.source_files(big).collect()
+    finally:
+        bundle.MOST_BYTES = old
+    # a device whose files arrive apart is audited whole each time
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    watch.run(spark, str(root), out, check).awaitTermination()
+    (root / "x" / "show-version.txt").write_text("Processor board ID FTX9\n")
+    watch.run(spark, str(root), out, check).awaitTermination()
+    later = spark.read.parquet(f"{out}/findings/batch=1")
+    assert {r.device_id for r in later.select("device_id").distinct().collect()} == {"x"} and later.where("verdict = 'fail'").count() > 3
+
+
+def test_artefacts_and_commands(spark, tmp_path, capsys):
+    import json
+
+    from plumbline import cli
+
+    root = tmp_path / "fleet"
+    for name, text in ALL.items():
+        (root / name).mkdir(parents=True)
+        (root / name / ("running.xml" if name == "panos" else "running.cfg")).write_text(text)
+    out = str(tmp_path / "out")
+    a = audit.audit(spark, str(root))
+    audit.write(a, out)
+    assert drift.rules_changed(*[drift.written_verdicts(spark, f"{out}/audits")] * 2).isEmpty()
+    docs = [json.loads(r.value) for r in spark.read.text(f"{out}/documents").collect()]
+    assert len(docs) == len(ALL) and all(list(d) == sorted(d) for d in docs)
+    a.discard()
+    with pytest.raises(Exception):
+        a.lines.count()
+    pack = {"id": "p", "vendor": "v", "mappings": [{"ir_path": "aaa.enabled", "match": "^aaa", "transform": "presence"}]}
+    (tmp_path / "p.json").write_text(json.dumps(pack))
+    assert cli.main(["pack", str(tmp_path / "p.json")]) == 0 and cli.main(["trust", str(tmp_path / "p.json"), "--trusted", str(tmp_path / "t.json")]) == 0
+    assert len(json.loads((tmp_path / "t.json").read_text())) == 1 and cli.main(["rules"]) == 0
+    assert "CIS-NET-6.1.1" in capsys.readouterr().out
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from plumbline.sources import tables
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(tables.NoSharedFolder):
+        tables.stage_dir(Cluster, "x")
