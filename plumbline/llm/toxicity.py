@@ -15,6 +15,10 @@ by a logistic curve over its largest sentence margin and over how many sentences
 
 Only words with a kernel value of at least ``ACTIVE`` of some landmark count; the others' values are
 zero, in training and in scoring.  So most words cost one table look-up.
+
+A word's value against a landmark is k(word, landmark) / k(landmark, landmark), at most 1.5: what the word
+holds of the landmark, whatever else it holds.  That is not the cosine which the landmarks' own matrix is
+made of; with the cosine for both, an insult with an inserted letter falls below the threshold.
 """
 
 from __future__ import annotations
@@ -378,7 +382,8 @@ def _score(scorer_of):
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, modulus: int = 3, held: int = 1) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs`` (doc_id, text).
 
-    A null text is empty; a text without active words gets the lowest score.  Without labelled rows of
+    A null text is empty; a text without active words gets the lowest score.  Texts are scored whole however
+    long they are, equal texts alike, and a score on the threshold is predicted 1.  Without labelled rows of
     both classes the score is the (smoothed) share of toxic rows.  Repeated rows are scored each; other
     columns are never read.
     """

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -60,6 +62,31 @@ def test_kernel_like_enumeration():
             assert k not in got
 
 
+def test_scores_like_loops():
+    docs, labels = corpus(300)
+    scorer = fit([t.encode() for _, t in docs], np.array([x for _, x in labels]) != 0)
+    marks, direct = scorer.kernel.landmarks, scorer.kernel.root @ scorer.weights
+
+    def values(word):
+        raw = np.array([min(both / own, 1.5) for both, own in (brute(ended(word), y) for y in marks)])
+        return raw**POWER if raw.max() >= toxicity.ACTIVE else np.zeros(len(marks))
+
+    odd = ["", "b l o r k h e a d", "BLORKHEAD!\nvexling. x y", "an " * 50 + "blork.head"]
+    for text in [t for _, t in docs[:25]] + odd:
+        words, margins = text.lower().encode().split(), []
+        sentences = [s for line in text.lower().encode().split(b"\n") for s in re.split(rb"(?<=[.!?])\s+", line)]
+        run = [w for w in words if len(w) == 1]
+        sentences += [b"".join(run)] if len(run) == len(words) and len(run) >= 4 else []
+        for sentence in sentences:
+            best = np.max([values(w) for w in sentence.split()] or [np.zeros(len(marks))], axis=0)
+            if best.any():
+                margins.append(max(float(best @ direct) + scorer.bias, scorer.bias))
+        near = sum(1 / (1 + math.exp(-4 * m)) for m in margins)
+        z = [max(margins, default=scorer.bias), math.log1p(near), 10 * math.sqrt(near / (len(words) + 20)), 1.0]
+        want = 1 / (1 + math.exp(-sum(a * b for a, b in zip(z, scorer.curve, strict=True))))
+        assert scorer.scores([text.encode()])[0] == pytest.approx(want, abs=1e-4), text
+
+
 def test_gaps_and_inserted_characters():
     docs, labels = corpus()
     scorer = fit([t.encode() for _, t in docs], np.array([x for _, x in labels]) != 0)
