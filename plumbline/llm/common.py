@@ -14,10 +14,12 @@ _OWN: dict[str, str] = {}
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder in the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in tests on one machine, a temporary folder stands in.
+    Where that setting is absent, a local session takes a temporary folder, and one on a cluster fails.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = _OWN.setdefault("root", tempfile.mkdtemp(prefix="plumbline-"))
     return f"{root.rstrip('/')}/plumbline/{name}-{uuid.uuid4().hex}"
 
@@ -55,7 +57,9 @@ BATCH_ROWS = 2000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """A table of the registered queries; Arrow batches are made smaller unless the user has set their size."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
