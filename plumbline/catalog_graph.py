@@ -9,7 +9,6 @@ from plumbline import rendered
 from plumbline.functions import scalars
 from plumbline.operators import fleet
 from plumbline.registry import query, table
-from plumbline.sources.tables import staged
 
 #: place, name, address, description, zone, list, shutdown, is_mgmt of a device's interfaces, in both dialects
 _IFACES = [
@@ -205,7 +204,7 @@ def graph_fixes(spark, sf_dir):
 @query(f"""{_FOUND} SELECT count(*) AS findings, {', '.join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s in ('critical', 'high', 'medium', 'low'))}, CAST(sum(paths) AS BIGINT) AS attack_paths FROM found""")
 def graph_headline(spark, sf_dir):
     found = fleet.correlations(_docs(spark, sf_dir), _members(spark, sf_dir))
-    return fleet.headline(staged(found, "found")).drop("headline")
+    return fleet.headline(found).drop("headline")
 
 
 @query(f"{_FOUND} SELECT '# Fleet' AS title, CAST(least(count(*), 200) AS BIGINT) AS listed FROM found")

@@ -10,6 +10,8 @@ staged once (``graph``) and handed on.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -337,9 +339,14 @@ def reuse(docs: DataFrame) -> DataFrame:
 
 
 def correlations(docs: DataFrame, held: DataFrame | None = None) -> DataFrame:
-    """All findings across devices, worst first."""
+    """All findings across devices, worst first.
+
+    Each kind is staged before they are united and sorted: the sort samples its input, which would work all
+    of it out twice.
+    """
     held = graph(docs) if held is None else held
-    out = exposures(docs, held).unionByName(ntp_drift(docs), True).unionByName(reuse(docs), True).unionByName(shadows(docs).drop("covered_by"), True)
+    kinds = {"exposures": exposures(docs, held), "drift": ntp_drift(docs), "reuse": reuse(docs), "shadows": shadows(docs).drop("covered_by")}
+    out = reduce(lambda a, b: a.unionByName(b, True), [staged(df, name) for name, df in kinds.items()])
     order = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).when(F.col("severity") == "medium", 2).otherwise(3)
     return out.orderBy(order, "id")
 
@@ -381,7 +388,6 @@ def headline(found: DataFrame) -> DataFrame:
 
 def report(found: DataFrame) -> DataFrame:
     """One row: the fleet's report as text. Findings and fixes are as many as are shown: a page of each."""
-    found = staged(found, "correlations")
     line = F.concat(F.lit("- **"), "severity", F.lit("** "), "id", F.lit(": "), "title", F.lit("\n  "), F.coalesce("summary", F.lit("")), F.lit("\n  "), F.array_join(F.coalesce("remediation", F.array().cast("array<string>")), "; "))
     order = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).when(F.col("severity") == "medium", 2).otherwise(3)
     page = lambda df, by, c, name: df.orderBy(*by).limit(200).agg(F.transform(F.array_sort(F.collect_list(F.struct(*by_cols(by), c.alias("t")))), lambda x: x["t"]).alias(name))

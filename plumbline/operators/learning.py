@@ -66,9 +66,11 @@ def rank(queries: DataFrame, vocabulary: DataFrame, query_id: str, ident: str, t
     names = [r[0] for r in vocabulary.select(ident).distinct().orderBy(ident).limit(BESIDE + 1).collect()]
     few = 0 < len(names) <= BESIDE
     idf = vocabulary.select("feature", "idf").distinct()
-    # features that no identity has go before anything is shuffled
-    known = queries.join(F.broadcast(idf) if few else idf, "feature")
-    sums = known.groupBy(query_id, "feature", "idf").agg(F.sum("value").alias("tf")).withColumn("w", F.col("tf") * F.col("idf"))
+    if few:  # features that no identity has go before anything is shuffled
+        known = queries.join(F.broadcast(idf), "feature").groupBy(query_id, "feature", "idf").agg(F.sum("value").alias("tf"))
+    else:
+        known = queries.groupBy(query_id, "feature").agg(F.sum("value").alias("tf")).join(idf, "feature")
+    sums = known.withColumn("w", F.col("tf") * F.col("idf"))
     if few:
         held = vocabulary.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct(ident, "v"))).alias("vs"))
         at = F.array(*(F.coalesce(F.try_element_at("vs", F.lit(n)), F.lit(0.0)) for n in names))
