@@ -71,12 +71,30 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(document_paths(read_table(spark, sf_dir, "documents")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.negatives import hard_negatives
+
+    return hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.trie import prefix_trie
+
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.linededup import report
+
+    return report(read_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def llm_oracles() -> dict[str, str]:
-    from plumbline.llm import decontaminate, licences, neardup, rollup, warc
+    from plumbline.llm import decontaminate, licences, linededup, neardup, negatives, rollup, trie, warc
 
     return {
         "op3_warc_source": warc.ORACLE,
@@ -84,4 +102,7 @@ def llm_oracles() -> dict[str, str]:
         "op7_token_rollup": rollup.ORACLE,
         "op9_minmax_near_duplicates": neardup.ORACLE,
         "op10_licence_scan": licences.ORACLE,
+        "op11_hard_negatives": negatives.ORACLE,
+        "op12_prefix_trie": trie.ORACLE,
+        "op13_line_dedup": linededup.ORACLE,
     }
