@@ -400,14 +400,11 @@ def block_grammar(spark, sf_dir):
     return packs.grammar(a.lines.where("role = 'config'")).select("device_id", "grammar")
 
 
-@query(f"""{_WITH}, t AS ({_TEXTS.replace('l.vendor, ', '')}) SELECT device_id, line_no, CASE WHEN text LIKE ' %' THEN 1 ELSE 0 END AS depth,
-CASE WHEN text LIKE ' %' THEN last_value(CASE WHEN text NOT LIKE ' %' AND text NOT LIKE '!%' AND text NOT LIKE '#%' THEN trim(text) END IGNORE NULLS) OVER (PARTITION BY device_id ORDER BY line_no) ELSE '' END AS context
-FROM t JOIN devices USING (device_id) WHERE vendor IN ('cisco', 'arista')""")
+@query(f"SELECT 'd' || k AS device_id, line_no, context FROM ({rendered.FLEET_CONTEXTS})")
 def structure_tree(spark, sf_dir):
-    """Depth and enclosing headers of the lines of indented files."""
+    """The enclosing headers of every line of the fleet, in braces, indents, flat paths and XML."""
     a = fleet(spark, sf_dir)
-    lines = a.lines.where("role = 'config'").join(a.devices.where("vendor in ('cisco', 'arista')").select("device_id"), "device_id")
-    return packs.tree(lines).select("device_id", F.col("line_no").cast("long").alias("line_no"), "depth", F.array_join("context", " / ").alias("context"))
+    return packs.tree(a.lines.where("role = 'config'")).select("device_id", F.col("line_no").cast("long").alias("line_no"), F.array_join("context", " / ").alias("context"))
 
 
 @query(f"{_WITH} SELECT device_id, count(*) AS total_lines, CAST(0 AS BIGINT) AS tier0 FROM lines WHERE vendor = 'cisco' GROUP BY device_id")

@@ -163,6 +163,10 @@ def ranked_evidence(spark, sf_dir):
 _UNKNOWN = [
     ("sysname [[name]]", "device.hostname", "[[name]]"), ("telnet server enable", "mgmt.telnet_enabled", "true"), ("ssh server enable", "mgmt.ssh.enabled", "true"), ("ssh protocol version [[1 + k % 2]] only", "mgmt.ssh.version", "[[1 + k % 2]]"), ("idle-timeout [[k % 30]]", "mgmt.idle_timeout_min", "[[k % 30]]"),
     ("ntp-service unicast-server 10.0.0.[[n]]", "ntp.servers", "10.0.0.[[n]]"), ("info-center loghost 10.0.1.[[n]]", "logging.servers", "10.0.1.[[n]]"), ("snmp-agent community read hush[[k]]", "snmp.communities", "custom"), ("lldp enable", "services.discovery_protocols", "true"),
+    ("undo telnet server enable", "mgmt.telnet_enabled", "false"), ("undo lldp enable", "services.discovery_protocols", "false"), ("no ip http server", "mgmt.http_enabled", "false"), ("http server [[CASE WHEN k % 2 = 0 THEN 'off' ELSE 'on' END]]", "mgmt.http_enabled", "[[CASE WHEN k % 2 = 0 THEN 'false' ELSE 'true' END]]"),
+    ("/ip service set telnet disabled=[[CASE WHEN k % 2 = 0 THEN 'no' ELSE 'yes' END]]", "mgmt.telnet_enabled", "[[CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END]]"), ("snmp community add name=[[CASE WHEN k % 3 = 0 THEN 'public' ELSE 'hush' || k END]] x=1", "snmp.communities", "[[CASE WHEN k % 3 = 0 THEN 'default' ELSE 'custom' END]]"),
+    ("snmp-agent community hush[[k]]", "snmp.communities", "custom"), ("ssh version [[1 + k % 2]] password hush7", "mgmt.ssh.version", "[[1 + k % 2]]"), ("password minimum length [[8 + k % 9]]", "aaa.password_policy.min_length", "[[8 + k % 9]]"),
+    ("info-center loghost log.site.example.org", "logging.servers", "log.site.example.org"), ("ntp source-interface LoopBack[[k]]", "ntp.source", "LoopBack[[k]]"), ("snmp-agent community cipher hush[[k]]", None, None), ("strange words", None, None),
 ]
 
 
@@ -172,7 +176,7 @@ def _unknown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundle.lines(files)
 
 
-_FIELDS = "SELECT 'd' || k AS device_id, f.n AS line_no, f.p AS path, f.v AS value FROM (SELECT k, unnest([" + ", ".join(f"{{'n': {n}, 'p': '{p}', 'v': {sql_text(v)}}}" for n, (_, p, v) in enumerate(_UNKNOWN, 1)) + f"]) AS f FROM {rendered.ONE})"
+_FIELDS = "SELECT 'd' || k AS device_id, f.n AS line_no, f.p AS path, f.v AS value FROM (SELECT k, unnest([" + ", ".join(f"{{'n': {n}, 'p': '{p}', 'v': {sql_text(v)}}}" for n, (_, p, v) in enumerate(_UNKNOWN, 1) if p) + f"]) AS f FROM {rendered.ONE})"
 
 
 @query(_FIELDS)
@@ -181,13 +185,32 @@ def proposed_fields(spark, sf_dir):
     return learning.propose(_unknown_lines(spark, sf_dir)).select("device_id", F.col("line_no").cast("long").alias("line_no"), "path", "value")
 
 
-@query(f"SELECT CAST(count(*) AS BIGINT) AS lines, CAST(count(*) AS BIGINT) AS proposed, CAST(count(*) AS BIGINT) AS right, CAST(count(*) AS BIGINT) - (SELECT count(*) FROM supplier) AS right_values, 1.0::DOUBLE AS accuracy FROM ({_FIELDS})")
+#: What a person says of the lines: as they mean, but for devices by seven, whose servers differ, and for the
+#: last line, which only the person can read.
+_LABELLED = f"SELECT device_id, line_no, path, CASE WHEN path = 'ntp.servers' AND CAST(substr(device_id, 2) AS BIGINT) % 7 = 0 THEN 'else' ELSE value END AS value, value AS said FROM ({_FIELDS}) UNION ALL SELECT 'd' || k, {len(_UNKNOWN)}, 'aaa.enabled', 'true', NULL FROM {rendered.ONE}"
+
+
+@query(f"SELECT count(*) AS lines, count(said) AS proposed, count(said) AS right, count(*) FILTER (WHERE said = value) AS right_values, round_even(count(said) / count(*)::DOUBLE, 4)::DOUBLE AS accuracy, round_even(count(*) FILTER (WHERE said = value) / count(*)::DOUBLE, 4)::DOUBLE AS value_agreement FROM ({_LABELLED})")
 def held_out_evaluation(spark, sf_dir):
-    """Proposals against the truth of each line; one field's values are made wrong on purpose."""
-    lines = _unknown_lines(spark, sf_dir)
-    found = learning.propose(lines)
-    truth = found.select("device_id", "file", "line_no", "path", F.when(F.col("path") == "ntp.servers", "else").otherwise(F.col("value")).alias("value"))
-    return learning.held_out(found, truth).select("lines", "proposed", "right", "right_values", "accuracy")
+    """Proposals against the truth of each line, which is told without them."""
+    base = rendered.devices(spark, sf_dir, False)
+    told = [(n, p, v) for n, (_, p, v) in enumerate(_UNKNOWN, 1) if p]
+    rows = F.array(*(F.struct(F.lit(n).alias("line_no"), F.lit(p).alias("path"), F.expr(sql_text(v)).alias("value")) for n, p, v in told), F.struct(F.lit(len(_UNKNOWN)).alias("line_no"), F.lit("aaa.enabled").alias("path"), F.lit("true").alias("value")))
+    truth = base.select("k", F.concat(F.lit("d"), F.col("k").cast("string")).alias("device_id"), F.lit("f").alias("file"), F.explode(rows).alias("r")).select("k", "device_id", "file", "r.*")
+    truth = truth.withColumn("value", F.when((F.col("path") == "ntp.servers") & (F.col("k") % 7 == 0), "else").otherwise(F.col("value")))
+    return learning.held_out(learning.propose(_unknown_lines(spark, sf_dir)), truth).select("lines", "proposed", "right", "right_values", "accuracy", "value_agreement")
+
+
+@query(f"""WITH t AS (SELECT * FROM (VALUES {", ".join(f"({n}, '{p}', '{t}', '{m}')" for n, p, t, m in [
+    (2, "mgmt.telnet_enabled", "to_bool", "^telnet\\s+server\\s+(?P<value>enable|disable)$"), (10, "mgmt.telnet_enabled", "negated_presence", "^undo\\s+telnet\\s+server\\s+enable$"),
+    (6, "ntp.servers", "collect", "^ntp-service\\s+unicast-server\\s+(?P<value>[0-9A-Fa-f:./]+)$"), (14, "mgmt.telnet_enabled", "invert_yes_no", "^/ip\\s+service\\s+set\\s+telnet\\s+disabled=(?P<value>yes|no)$"),
+    (15, "snmp.communities", "collect_redacted", "^snmp\\s+community\\s+add\\s+name=(?P<value>[^\\s;]+)\\s+x=\\S+$"), (17, "mgmt.ssh.version", "to_int", "^ssh\\s+version\\s+(?P<value>\\d+)\\s+password\\s+\\S+$"),
+    (20, "ntp.source", "identity", "^ntp\\s+source-interface\\s+(?P<value>[^\\s;]+)$")])}) x(line_no, path, transform, match))
+SELECT path, transform, match, count(*) AS devices FROM t, supplier GROUP BY ALL""")
+def synthesised_rules(spark, sf_dir):
+    """The rules that proposals become: polarity, pairs of truth words, open data, no secrets."""
+    found = learning.propose(_unknown_lines(spark, sf_dir)).where(F.col("line_no").isin(2, 6, 10, 14, 15, 17, 20))
+    return found.groupBy("path", "transform", "match").agg(F.count("*").alias("devices"))
 
 
 @query("SELECT 'd' || s_suppkey AS device_id, CAST(n AS BIGINT) AS line_no, CASE n WHEN 2 THEN 'true' END AS value, n = 2 AS applies FROM supplier, (VALUES (2), (3)) x(n)")

@@ -156,40 +156,36 @@ def field_vectors(spark) -> DataFrame:
 
 
 def propose(residue: DataFrame) -> DataFrame:
-    """device_id, file, line_no, path, transform, match, value, place, confidence for unread lines that a field
-    resembles.
+    """device_id, file, line_no, path, transform, match, within, value, place, confidence for unread lines that a
+    field resembles.
 
-    The last two headers above a line (column ``context``, where there is one) count a third.  The better of
-    the two best fields for which the line has a word of the right shape is proposed: a number for a
-    number, any second word for a name.  ``match`` keeps the line's grammar words and lets its data vary.
+    The last two headers above a line (column ``context``, where there is one) count a third.  Of the two best
+    fields the first one counts for which the line has a word of the right shape that its transform takes, and
+    whose pattern shows no customer's data; a line whose best field is too far gets none.
     """
-    from plumbline.functions.scalars import is_data, transform
+    from plumbline.operators import synthesis
 
     spark = residue.sparkSession
     ident = F.concat_ws("\x1f", "device_id", "file", F.col("line_no").cast("string"))
-    rows = residue.where("text <> ''").withColumn("line", ident)
-    above = F.slice("context", F.greatest(F.size("context") - 1, F.lit(1)), F.lit(2)) if "context" in residue.columns else F.array().cast("array<string>")
+    context = F.col("context") if "context" in residue.columns else F.array().cast("array<string>")
+    rows = residue.where("text <> ''").withColumns({"line": ident, "above": F.slice(context, F.greatest(F.size(context) - 1, F.lit(1)), F.lit(2))})
     weigh = lambda text, v: F.flatten(F.transform(words(text, KNOWN), lambda w: features(w, F.lit(v))))
-    asked = rows.select("line", F.explode(F.concat(weigh(F.col("text"), 1.0), F.flatten(F.transform(above, lambda h: weigh(h, CONTEXT))))).alias("f")).select("line", "f.*")
+    asked = rows.select("line", F.explode(F.concat(weigh(F.col("text"), 1.0), F.flatten(F.transform("above", lambda h: weigh(h, CONTEXT))))).alias("f")).select("line", "f.*")
     ranked = rank(asked, field_vectors(spark), "line", "path", 3)
-    fields = spark.createDataFrame([(p, t, n.split()) for p, t, n, _ in VOCABULARY], "path string, transform string, names array<string>")
-    tokens = F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")
-    own = rows.select("line", "device_id", "file", "line_no", tokens.alias("tokens"), words(F.col("text"), KNOWN).alias("own"))
+    fields = spark.createDataFrame([(p, synthesis.KINDS[t], n.split()) for p, t, n, _ in VOCABULARY], "path string, kind string, names array<string>")
+    own = rows.select("line", "device_id", "file", "line_no", "text", "above", synthesis.tokens(F.col("text")).alias("tokens"), words(F.col("text"), KNOWN).alias("own"))
     ranked = evidence(ranked.join(F.broadcast(fields), "path").join(own, "line").withColumn("keyword", F.arrays_overlap("own", "names")), "line")
-    last = F.size("tokens") - 1
-    numbers = F.filter(F.sequence(F.lit(0), last), lambda k: F.get("tokens", k).rlike(r"^\d+$"))
-    bare = F.col("transform").isin("presence", "negated_presence")
-    at = F.when(bare, F.lit(-1)).when(F.col("transform") == "to_int", F.coalesce(F.array_max(numbers), F.lit(-2))).otherwise(F.when(last > 0, last).otherwise(F.lit(-2)))
-    fit = ranked.withColumn("at", at).where((F.col("place") <= 2) & (F.col("at") > -2) & (F.col("score") >= LEAST_SIMILAR) & (F.col("confidence") >= LEAST_SURE))
-    first = F.row_number().over(W.partitionBy("line").orderBy("place"))
-    best = fit.withColumn("k", first).where("k = 1")
-    escaped = lambda w: F.regexp_replace(w, r"([\\.^$|?*+()\[\]{}])", r"\\$1")
-    part = lambda w, i: F.when(i == F.col("at"), r"(?P<value>\S+)").when(is_data(w), r"\S+").otherwise(escaped(w))
-    pattern = F.concat(F.lit("^"), F.array_join(F.transform("tokens", part), r"\s+"))
-    raw, value = F.when(F.col("at") >= 0, F.get("tokens", F.col("at"))), F.lit(None).cast("string")
-    for name in sorted({t for _, t, _, _ in VOCABULARY}):
-        value = F.when(F.col("transform") == name, transform(name, raw)).otherwise(value)
-    return best.select("device_id", "file", "line_no", "path", "transform", pattern.alias("match"), value.alias("value"), "place", F.round("confidence", 4).alias("confidence"))
+    near = F.first("score").over(W.partitionBy("line").orderBy("place")) >= LEAST_SIMILAR
+    tried = ranked.withColumn("near", near).where((F.col("place") <= 2) & F.col("near") & (F.col("confidence") >= LEAST_SURE))
+    # each step's columns pass a generator, which keeps the optimiser from copying them into all their uses
+    t, choice = F.col("tokens"), F.col("choice")
+    held = tried.select("*", F.explode(F.array(synthesis.chosen(F.col("kind"), t))).alias("choice")).where("choice is not null")
+    rule = F.struct(synthesis.pattern(F.col("text"), t, choice).alias("match"), synthesis.within(F.col("above")).alias("within"), synthesis.value_of(t, choice).alias("value"))
+    made = held.select("*", F.explode(F.array(rule)).alias("rule")).select("*", "rule.*")
+    fit = made.where(F.col("value").isNotNull() & synthesis.publishable(F.col("match")) & synthesis.publishable(F.col("within")))
+    best = fit.withColumn("k", F.row_number().over(W.partitionBy("line").orderBy("place"))).where("k = 1")
+    sure = F.round(F.least("confidence", F.lit(0.99)), 4)
+    return best.select("device_id", "file", "line_no", "path", "choice.transform", "match", "within", "value", "place", sure.alias("confidence"))
 
 
 def preview(mapping, lines: DataFrame, facts: DataFrame, secrets: DataFrame | None = None) -> DataFrame:
@@ -200,14 +196,12 @@ def preview(mapping, lines: DataFrame, facts: DataFrame, secrets: DataFrame | No
     """
     from plumbline.functions.scalars import redact
     from plumbline.operators.documents import residue
-    from plumbline.operators.packs import matched
+    from plumbline.operators.packs import matched, with_context
 
     mapping.check()
     free = residue(lines, facts).select("device_id", "file", "line_no", F.lit(True).alias("free"))
     hit, value = matched(mapping)
-    from plumbline.operators.packs import with_header
-
-    hits = with_header(lines.where("text <> ''")).where(hit).withColumn("value", value)
+    hits = with_context(lines).where("text <> ''").where(hit).withColumn("value", value)
     joined = hits.join(free, ["device_id", "file", "line_no"], "left")
     return joined.select("device_id", "file", "line_no", redact(F.col("text")).alias("text"), "value", (F.col("value").isNotNull() & F.coalesce("free", F.lit(False))).alias("applies"))
 
@@ -252,10 +246,11 @@ def mappings(proposals: DataFrame, most: int = 1000) -> list:
     """Distinct mappings of proposals, for a pack; more than ``most`` are refused."""
     from plumbline.operators.packs import Mapping, PackError
 
-    rows = proposals.groupBy("path", "match", "transform").agg(F.max("confidence").alias("c")).orderBy(F.col("c").desc(), "path", "match").limit(most + 1).collect()
+    keys = ["path", "match", "transform", "within"]
+    rows = proposals.groupBy(*keys).agg(F.max("confidence").alias("c")).orderBy(F.col("c").desc(), *keys).limit(most + 1).collect()
     if len(rows) > most:
         raise PackError("too many mappings for one pack")
-    return [Mapping(r.path, r.match, r.transform, 2, r.c) for r in rows]
+    return [Mapping(r.path, r.match, r.transform, 2, r.c, r.within) for r in rows]
 
 
 def held_out(proposals: DataFrame, truth: DataFrame, least: float = ACCEPTED) -> DataFrame:

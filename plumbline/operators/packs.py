@@ -10,6 +10,8 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalars import DETECTORS, transform
 from plumbline.operators.documents import SCALARS
 from plumbline.operators.ledger import canonical
+from plumbline.operators.structure import CLOSERS, COMMENTS, grammar, tree  # noqa: F401
 
 LONGEST = 400
 
@@ -125,25 +128,28 @@ def _java(pattern: str) -> str:
     return pattern.replace("(?P<", "(?<")
 
 
-def with_header(lines: DataFrame) -> DataFrame:
-    """Lines with the unindented line above an indented one."""
-    above = F.last(F.when(F.col("indent") == 0, F.col("text")), True).over(W.partitionBy("device_id", "file").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1))
-    return lines.withColumn("header", F.when(F.col("indent") > 0, above))
+def with_context(lines: DataFrame) -> DataFrame:
+    """Lines with the headers of all blocks around them, if they don't have these yet."""
+    return lines if "context" in lines.columns else tree(lines)
 
 
 def matched(m: Mapping) -> tuple[Column, Column]:
-    """Whether a mapping matches a line (text, header), and the value it makes of it, null if it can't."""
+    """Whether a mapping matches a line (text, context), and the value it makes of it, null if it can't.
+
+    Its block may be any of those around the line."""
     hit = F.col("text").rlike(_java(m.match))
     if m.within:
-        hit = hit & F.coalesce(F.col("header").rlike(_java(m.within)), F.lit(False))
+        hit = hit & F.coalesce(F.exists("context", lambda h: h.rlike(_java(m.within))), F.lit(False))
     group = re.compile(m.match).groupindex.get("value")
     raw = F.regexp_extract("text", _java(m.match), group) if group else F.lit("")
     return hit, transform(m.transform, raw, dict(m.values))
 
 
 def apply(residue: DataFrame, devices: DataFrame, packs: list[Pack]) -> DataFrame:
-    """Facts of the lines that mappings read; booleans that a line asserts stay true."""
-    rows = with_header(residue.where("text <> ''")).join(devices.select("device_id", "vendor", "os"), "device_id")
+    """Facts of the lines that mappings read; booleans that a line asserts stay true.
+
+    Blocks are known whose headers are among ``residue``, or all, if it has the column ``context``."""
+    rows = with_context(residue).where("text <> ''").join(devices.select("device_id", "vendor", "os"), "device_id")
     out: Column = F.lit(None).cast("struct<path:string,op:string,value:string,tier:int,bp:int,pack:string>")
     ordered = [(p, m) for p in packs for m in p.mappings]
     for p, m in reversed(ordered):
@@ -165,61 +171,9 @@ def apply(residue: DataFrame, devices: DataFrame, packs: list[Pack]) -> DataFram
     )
 
 
-#: Fixed: lines that close a block, and what comments begin with.
-CLOSERS = ["}", "};", "end", "exit", "quit", "return", "next", "exit-address-family", "!"]
-COMMENTS = r"^(!|#|//|/\*|\*|;)"
-
-
 def structural(residue: DataFrame) -> DataFrame:
     """Claims of unread lines whose meaning is their place: blanks, comments, separators and closers."""
     text = F.col("text")
-    hit = (text == "") | text.rlike(COMMENTS) | F.lower(text).isin(*CLOSERS)
+    hit = (text == "") | reduce(or_, (text.startswith(c) for c in COMMENTS)) | F.lower(text).isin(*CLOSERS)
     none = {"path": "string", "op": "string", "entity": "int", "value": "string", "secret": "string"}
     return residue.where(hit).select("device_id", "file", "line_no", F.lit(0).alias("sub"), *(F.lit(None).cast(t).alias(n) for n, t in none.items()), F.lit(True).alias("claim"), F.lit(1).alias("tier"), F.lit(10000).alias("confidence_bp"), F.lit(None).cast("string").alias("pack"))
-
-
-def grammar(lines: DataFrame) -> DataFrame:
-    """device_id, file, grammar, score, confidence: which block grammar explains a file best."""
-    s = F.col("text")
-    content = lines.where(s != "")
-    c = lambda x: F.count_if(x).cast("double")
-    a = content.groupBy("device_id", "file").agg(
-        F.count("*").alias("n"), c(s.endswith("{")).alias("opens"), c(s.isin("}", "};")).alias("closes"), c(s.endswith(";")).alias("semis"),
-        c(s.startswith("/") & ~s.rlike(r"^(//|/\*)")).alias("slash"), c(s.rlike(r"^(set|delete|deactivate)\s+\S+")).alias("sets"), c(s == "#").alias("hashes"), c(s == "!").alias("bangs"),
-        c(F.col("raw").rlike(r"^[ \t]")).alias("indented"), F.min_by("text", "line_no").alias("head"), F.max(F.contains("raw", F.lit("</"))).alias("tags"),
-    )
-    v = F.col
-    scores = F.array(
-        F.struct(F.when((v("opens") > 0) & (v("closes") > 0), (F.least("opens", "closes") * 2 + v("semis")) / v("n")).otherwise(0.0).alias("s"), F.lit(0).alias("o"), F.lit("brace").alias("g")),
-        F.struct((F.greatest("slash", "sets") / v("n")).alias("s"), F.lit(-1).alias("o"), F.lit("flat").alias("g")),
-        F.struct(F.when(v("hashes") >= 2, (v("hashes") * 3 + v("indented")) / v("n")).otherwise(0.0).alias("s"), F.lit(-2).alias("o"), F.lit("marker").alias("g")),
-        F.struct(((v("indented") + v("bangs") * 2) / v("n")).alias("s"), F.lit(-3).alias("o"), F.lit("indent").alias("g")),
-    )
-    a = a.withColumn("r", F.reverse(F.array_sort(scores)))
-    best, second = F.get("r", F.lit(0)), F.get("r", F.lit(1))["s"]
-    xml = v("head").startswith("<?xml") | (v("head").startswith("<") & v("tags"))
-    margin = F.coalesce(F.try_divide(best["s"] - second, best["s"]), F.lit(0.0))
-    confidence = F.bround(F.least(F.lit(1.0), F.lit(0.35) + F.lit(0.35) * F.least(best["s"], F.lit(1.0)) + F.lit(0.3) * margin), 3)
-    return a.select(
-        "device_id", "file", F.when(xml, "xml").when(best["s"] < 0.15, "unknown").otherwise(best["g"]).alias("grammar"), F.bround(best["s"], 3).alias("score"),
-        F.when(xml, 0.99).when(best["s"] < 0.15, F.bround(best["s"], 3)).otherwise(confidence).alias("confidence"),
-    )
-
-
-def tree(lines: DataFrame, levels: int = 24) -> DataFrame:
-    """Lines of indented files with kind, depth and context: the headers of strictly lesser indent above.
-
-    The header of an indent is open while the last statement with at most that indent is the last one
-    with exactly that indent; so the chain follows from two running values per indent, without a stack.
-    Indents of ``levels`` and more count as ``levels - 1``.
-    """
-    w = W.partitionBy("device_id", "file").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    kind = F.when(F.col("text") == "", "blank").when(F.col("text").rlike(COMMENTS), "comment").otherwise("statement")
-    kept = lines.withColumn("kind", kind).withColumn("__i", F.least("indent", F.lit(levels - 1)))
-    at = lambda test: F.last(F.when((F.col("kind") == "statement") & test, F.struct("line_no", "text")), True).over(w)
-    own = [at(F.col("__i") == k) for k in range(levels - 1)]
-    upto = [at(F.col("__i") <= k) for k in range(levels - 1)]
-    kept = kept.withColumn("__own", F.array(*own)).withColumn("__upto", F.array(*(u["line_no"] for u in upto)))
-    places = F.filter(F.sequence(F.lit(0), F.lit(levels - 2)), lambda k: (k < F.col("__i")) & F.coalesce(F.get("__own", k)["line_no"] == F.get("__upto", k), F.lit(False)))
-    context = F.when(F.col("kind") == "statement", F.transform(places, lambda k: F.get("__own", k)["text"])).otherwise(F.array().cast("array<string>"))
-    return kept.withColumn("context", context).withColumn("depth", F.size("context")).drop("__i", "__own", "__upto")

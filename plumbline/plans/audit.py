@@ -71,7 +71,7 @@ def run(files: DataFrame, ruleset: list[rules.Rule] | None = None, salt: bytes =
         devices = staged(devices.join(own, "device_id", "left").withColumns({"vendor": F.when(lost, F.col("v")).otherwise(F.col("vendor")), "os": F.when(lost, F.col("o")).otherwise(F.col("os"))}).drop("v", "o"), "devices-named")
     facts = staged(parsing.parse(lines, devices, hold_out, salt).withColumns({"tier": F.lit(0), "confidence_bp": F.lit(10000), "pack": F.lit(None).cast("string")}), "facts")
     if learned:
-        rest = documents.residue(lines.where("role = 'config'"), facts)
+        rest = documents.residue(packs.tree(lines.where("role = 'config'")), facts)
         facts = staged(facts.unionByName(packs.apply(rest, devices, learned)), "facts-learned")
     left = documents.residue(lines, facts)
     facts = staged(facts.unionByName(packs.structural(left)), "facts-claimed")

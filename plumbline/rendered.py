@@ -232,6 +232,37 @@ def facts_sql(vendor: str, source: str) -> str:
     return f"SELECT l.k, l.vendor, l.line_no, f.path AS path, f.value AS value, f.late AS late FROM (SELECT k, unnest([{structs}]) AS f FROM {source}) fk JOIN ({lines_sql(vendor, source)}) l ON l.k = fk.k AND l.i = f.i WHERE f.ok"
 
 
+def contexts(vendor: str) -> list[list[str]]:
+    """The headers around each line, as the list of lines nests them by its own indents or braces."""
+    out: list[list[str]] = []
+    open_: list[tuple[int, str]] = []
+    for x in VENDORS[vendor]:
+        text, indent = x.text.strip(), len(x.text) - len(x.text.lstrip())
+        if vendor == "paloalto":
+            out.append([])
+        elif vendor == "mikrotik":
+            out.append([] if text[0] == "#" else re.split(" (?:set|add) ", text, maxsplit=1)[:1])
+        elif text[0] in "!#":
+            out.append([])
+            open_ = [] if text == "!" else open_
+        elif vendor == "juniper":
+            closing = text == "}"
+            out.append([] if closing else [h for _, h in open_])
+            open_ = open_[:-1] if closing else open_ + [(indent, text[:-2])] if text.endswith("{") else open_
+        else:
+            open_ = [o for o in open_ if o[0] < indent]
+            closing = text in ("end", "next")
+            out.append([] if closing else [h for _, h in open_])
+            open_ = open_ if closing else open_ + [(indent, text)]
+    return out
+
+
+def contexts_sql(vendor: str, source: str) -> str:
+    """k, line_no, context of a vendor's devices in ``source``."""
+    structs = ", ".join(f"{{'i': {i}, 'context': {_duck(sql_text(' / '.join(c)))}}}" for i, c in enumerate(contexts(vendor)))
+    return f"SELECT l.k, l.line_no, f.context AS context FROM (SELECT k, unnest([{structs}]) AS f FROM {source}) fk JOIN ({lines_sql(vendor, source)}) l ON l.k = fk.k AND l.i = f.i"
+
+
 ONE = f"(SELECT {NUMBERS}, s_suppkey AS q FROM supplier)"
 
 
@@ -242,3 +273,4 @@ def _part(v: int) -> str:
 #: All lines and facts of the mixed fleet.
 FLEET_LINES = " UNION ALL ".join(lines_sql(vendor, _part(v)) for v, vendor in enumerate(VENDORS))
 FLEET_FACTS = " UNION ALL ".join(facts_sql(vendor, _part(v)) for v, vendor in enumerate(VENDORS))
+FLEET_CONTEXTS = " UNION ALL ".join(contexts_sql(vendor, _part(v)) for v, vendor in enumerate(VENDORS))

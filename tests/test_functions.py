@@ -115,3 +115,53 @@ def test_stream_of_files(spark, tmp_path):
     for _ in range(2):
         watch.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out" / "findings")).count() == 13
+
+
+def _tree(spark, text):
+    df = spark.createDataFrame([("d", "f", "config", text)], "device_id string, file string, role string, text string")
+    rows = packs.tree(bundle.lines(df)).orderBy("line_no").collect()
+    return [(r.text, r.kind, r.depth, list(r.context)) for r in rows]
+
+
+def test_structure_of_every_grammar(spark):
+    assert _tree(spark, "a {\n  b c {\n    x;\n\n    # n\n  }\n  y;\n}\n}\nz;\n") == [
+        ("a {", "block_open", 0, []), ("b c {", "block_open", 1, ["a"]), ("x;", "statement", 2, ["a", "b c"]), ("", "blank", 2, []), ("# n", "comment", 2, []),
+        ("}", "block_close", 1, []), ("y;", "statement", 1, ["a"]), ("}", "block_close", 0, []), ("}", "block_close", 0, []), ("z;", "statement", 0, []),
+    ]
+    assert _tree(spark, "#\ninterface 1\n ip x\n  more\n#\n left\nquit\nquit\n") == [
+        ("#", "separator", 0, []), ("interface 1", "block_open", 0, []), ("ip x", "block_open", 1, ["interface 1"]), ("more", "statement", 2, ["interface 1", "ip x"]),
+        ("#", "separator", 0, []), ("left", "statement", 0, []), ("quit", "block_close", 0, []), ("quit", "statement", 0, []),
+    ]
+    assert _tree(spark, "line vty\n login\nexit\n!\n other\n") == [("line vty", "block_open", 0, []), ("login", "statement", 1, ["line vty"]), ("exit", "block_close", 0, []), ("!", "separator", 0, []), ("other", "statement", 0, [])]
+    assert _tree(spark, "/ip service set telnet\n/odd\nset system host-name x\n/a b add c=d\n") == [
+        ("/ip service set telnet", "statement", 0, ["/ip service"]), ("/odd", "statement", 0, []), ("set system host-name x", "statement", 0, ["set system host-name"]), ("/a b add c=d", "statement", 0, ["/a b"]),
+    ]
+    assert {k for _, k, d, c in _tree(spark, '{"a": 1,\n "b": [\n  2]}\n')} == {"statement"}
+    assert _tree(spark, "{\n a;\n}\n")[1][3] == [""]
+
+
+def test_structure_of_any_depth(spark):
+    import random
+
+    rng = random.Random(4)
+    indents = list(range(40)) + [rng.randint(0, 60) for _ in range(400)]
+    text = "\n".join(" " * n + f"w{k}" for k, n in enumerate(indents))
+    got = {t: c for t, _, _, c in _tree(spark, text)}
+    for k, n in enumerate(indents):
+        above, low = [], n
+        for j in range(k - 1, -1, -1):
+            if indents[j] < low:
+                above.insert(0, f"w{j}")
+                low = indents[j]
+        assert got[f"w{k}"] == above
+    braces = "".join(f"{' ' * (k % 3)}b{k} {{\n" for k in range(45)) + "x;\n" + "}\n" * 45
+    assert _tree(spark, braces)[45] == ("x;", "statement", 45, [f"b{k}" for k in range(45)])
+
+
+def test_blocks_of_mappings_are_any_around(spark):
+    text = "top one\n middle\n  low 5\nother\n low 6\n"
+    lines = bundle.lines(spark.createDataFrame([("d", "f", "config", text)], "device_id string, file string, role string, text string"))
+    devices = spark.createDataFrame([("d", "v", None)], "device_id string, vendor string, os string")
+    for block, read in (("^top", 3), ("^middle", 3), ("^other", 5)):
+        pack = packs.Pack("p", "v", None, (packs.Mapping("mgmt.idle_timeout_min", r"^low (?P<value>\d+)", "to_int", within=block),))
+        assert [r.line_no for r in packs.apply(lines, devices, [pack]).collect()] == [read]
