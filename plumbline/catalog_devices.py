@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plumbline import rendered
 from plumbline.operators import documents, drift, identity, packs, parsing, report, validation
@@ -439,6 +440,56 @@ def fleet_fact_drift(spark, sf_dir):
     return drift.fact_changes(fleet(spark, sf_dir).facts, _changed(spark, sf_dir)[1]).select("device_id", "ir_path", "before", "after")
 
 
+def _members_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts a day later: other lists on interfaces, lesser accounts, entries that permit, another address, and no
+    descriptions any more."""
+    path, value = F.col("path"), F.col("value")
+    new = F.when((path == "interfaces.acl_in") & (value == "MGMT"), "NEW").when((path == "aaa.local_users.privilege") & (value == "15"), "1").when((path == "acls.entries.action") & (value == "deny"), "permit")
+    new = new.when((path == "interfaces.addresses") & value.endswith("/24") & value.startswith("10."), F.concat(value, F.lit("9"))).otherwise(value)
+    return fleet(spark, sf_dir).facts.where("path is null or path <> 'interfaces.description'").withColumn("value", new)
+
+
+#: What these changes are by device, from what its lines mean; v is the vendor's number.
+_MEMBERS = """WITH d AS (SELECT 'd' || s_suppkey AS device_id, s_suppkey % 6 AS v, s_nationkey AS nat, s_suppkey % 250 + 1 AS n FROM supplier)
+SELECT device_id, 'interfaces[1].acl_in' AS ir_path, 'MGMT' AS before, 'NEW' AS after FROM d WHERE v = 0
+UNION ALL SELECT device_id, 'aaa.local_users[0].privilege', '15', '1' FROM d WHERE v IN (0, 1)
+UNION ALL SELECT device_id, 'acls[0].entries[' || i || '].action', 'deny', 'permit' FROM d, (VALUES (1), (4), (6)) x(i) WHERE v = 0
+UNION ALL SELECT device_id, 'interfaces[' || CASE v WHEN 1 THEN 0 WHEN 5 THEN 0 ELSE 1 END || '].addresses', a, a || '9' FROM (SELECT *, '10.' || nat || '.' || CASE v WHEN 0 THEN '9' WHEN 5 THEN '7' ELSE '0' END || '.' || n || '/24' AS a FROM d WHERE v IN (0, 1, 2, 5))
+UNION ALL SELECT device_id, 'interfaces[0].description', CASE v WHEN 0 THEN 'uplink to internet' WHEN 2 THEN 'wan' WHEN 3 THEN 'management lan' WHEN 4 THEN 'wan side' ELSE 'dedicated management port' END, NULL FROM d WHERE v <> 1"""
+
+
+@query(_MEMBERS)
+def fleet_list_drift(spark, sf_dir):
+    """Changes inside lists, index by index, from two tables of facts."""
+    return drift.fact_changes(fleet(spark, sf_dir).facts, _members_changed(spark, sf_dir)).select("device_id", "ir_path", "before", "after")
+
+
+@query(_MEMBERS)
+def fleet_document_drift(spark, sf_dir):
+    """The same from two tables of documents, flattened to paths."""
+    a = fleet(spark, sf_dir)
+    return drift.document_changes(a.documents, documents.documents(_members_changed(spark, sf_dir), a.devices))
+
+
+@query(_MEMBERS)
+def fleet_written_drift(spark, sf_dir):
+    """And from documents as they are written, in canonical JSON, read without a schema."""
+    from plumbline.operators.ledger import canonical_json
+
+    a = fleet(spark, sf_dir)
+    text = lambda df: df.select("device_id", canonical_json(F.struct(*(c for c in df.columns if c != "device_id")), StructType([f for f in df.schema if f.name != "device_id"])).alias("value"))
+    return drift.written_document_changes(text(a.documents), text(documents.documents(_members_changed(spark, sf_dir), a.devices)))
+
+
+@query("""WITH d AS (SELECT s_suppkey % 6 AS v FROM supplier), c AS (SELECT count(*) AS n, count(*) FILTER (v = 0) AS acl, count(*) FILTER (v < 2) AS level, count(*) FILTER (v IN (0, 1, 2, 4)) AS ops, count(*) FILTER (v = 1) AS cited FROM d)
+SELECT 3 * n AS facts, acl + level + ops AS right, round_even((acl + level + ops) / (3 * n)::DOUBLE, 6)::DOUBLE AS fact_accuracy, round_even(cited / ops::DOUBLE, 6)::DOUBLE AS citation_agreement FROM c""")
+def list_fact_accuracy(spark, sf_dir):
+    """Labels of members: an interface's list, an account's level and its name with its line."""
+    a = fleet(spark, sf_dir)
+    truth = spark.createDataFrame([("interfaces[1].acl_in", "MGMT", None), ("aaa.local_users[0].privilege", "15", None), ("aaa.local_users[0].name", "ops", 4)], "ir_path string, value string, line int")
+    return validation.fact_accuracy(a.facts, a.devices.select("device_id").crossJoin(F.broadcast(truth)))
+
+
 @query(f"""{_VERDICTS}, labels AS (SELECT device_id, rule_id, verdict, CASE WHEN rule_id = 'CIS-NET-1.1.1' THEN 'fail' WHEN rule_id = 'CIS-NET-1.2.4' THEN 'pass' WHEN rule_id = 'CIS-NET-4.1.1' THEN 'fail' ELSE 'unknown' END AS expected FROM verdicts WHERE rule_id IN ('CIS-NET-1.1.1', 'CIS-NET-1.2.4', 'CIS-NET-4.1.1', 'CIS-NET-5.3.1')),
 c AS (SELECT count(*) FILTER (WHERE expected = 'fail' AND verdict = 'fail') AS tp, count(*) FILTER (WHERE expected = 'pass' AND verdict = 'fail') AS fp, count(*) FILTER (WHERE expected = 'fail' AND verdict = 'pass') AS fn, count(*) FILTER (WHERE expected = 'fail' AND verdict = 'unknown') AS cautious,
 count(*) FILTER (WHERE verdict = expected) AS same, count(*) FILTER (WHERE verdict = 'unknown') AS unknown, count(*) AS n FROM labels)

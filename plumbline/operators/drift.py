@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import relational
-from plumbline.operators.documents import SCALARS
+from plumbline.operators.paths import document_paths, indexed, json_paths
 
 
 class DriftError(ValueError):
@@ -31,14 +31,18 @@ def verdict_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def fact_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """device_id, ir_path, before, after, line of facts whose value differs; a missing fact is null."""
+    """device_id, ir_path, before, after, line of facts whose value differs; a missing fact is null.
+
+    Members of lists are compared index by index: interfaces, accounts, access lists and their entries.  The
+    line is that of the later audit, null for what is gone.
+    """
 
     def values(facts: DataFrame, name: str) -> DataFrame:
         order = F.struct("file", "line_no", "sub")
-        own = facts.where("path is not null and entity is null").groupBy("device_id", F.col("path").alias("ir_path"))
+        own = indexed(facts).groupBy("device_id", "ir_path")
         last = F.when(F.max("op") == "set", F.max_by("value", order))
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "value"))), lambda x: x["value"]), ",")
-        return own.agg(F.coalesce(last, joined).alias(name), F.max("line_no").alias(f"{name}_line"))
+        return own.agg(F.when(F.max("op") == "set", last).otherwise(joined).alias(name), F.max("line_no").alias(f"{name}_line"))
 
     both = values(before, "before").join(values(after, "after"), ["device_id", "ir_path"], "full")
     return both.where(~F.col("before").eqNullSafe(F.col("after"))).select("device_id", "ir_path", "before", "after", F.col("after_line").alias("line"))
@@ -61,13 +65,14 @@ def rules_changed(before: DataFrame, after: DataFrame) -> DataFrame:
     return one(before, "a").join(one(after, "b"), "device_id").where(~F.col("a").eqNullSafe(F.col("b"))).select("device_id")
 
 
-def document_facts(docs: DataFrame) -> DataFrame:
-    """device_id, ir_path, value of every fact path that a document resolves; lists joined by commas."""
-    made = F.array(*(F.struct(F.lit(p).alias("ir_path"), (F.array_join(p, ",") if kind == "array" else F.col(p).cast("string")).alias("value")) for p, kind in SCALARS.items()))
-    return docs.select("device_id", F.explode(F.filter(made, lambda f: f["value"].isNotNull())).alias("f")).select("device_id", "f.*")
-
-
 def document_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """device_id, ir_path, before, after of two tables of documents, null where a side has no such fact."""
-    a, b = document_facts(before).withColumnRenamed("value", "before"), document_facts(after).withColumnRenamed("value", "after")
+    """device_id, ir_path, before, after of two tables of documents, at any depth and index; null where a side has
+    no such value."""
+    a, b = document_paths(before).withColumnRenamed("value", "before"), document_paths(after).withColumnRenamed("value", "after")
     return a.join(b, ["device_id", "ir_path"], "full").where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def written_document_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The same of documents that were written as JSON (device_id, value), whatever their schema was."""
+    a, b = (json_paths(df, "device_id", "value") for df in (before, after))
+    return a.withColumnRenamed("value", "before").join(b.withColumnRenamed("value", "after"), ["device_id", "ir_path"], "full").where(~F.col("before").eqNullSafe(F.col("after")))

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.paths import indexed
 from plumbline.operators.relational import confusion
 
 
@@ -58,12 +59,13 @@ def verdicts(found: DataFrame, labels: DataFrame) -> DataFrame:
 def fact_accuracy(facts: DataFrame, labels: DataFrame) -> DataFrame:
     """One row over labels (device_id, ir_path, value, line): values right, citations right.
 
-    A null value holds if nothing was written; list values are compared as their joined members.
+    A null value holds if nothing was written; list values are compared as their joined members, and members of
+    lists have an index in their path (``interfaces[0].name``).
     """
     order = F.struct("file", "line_no", "sub")
-    own = facts.where("path is not null and entity is null")
-    scalar = own.where("op = 'set'").groupBy("device_id", F.col("path").alias("ir_path")).agg(F.max_by("value", order).alias("said"), F.max_by("line_no", order).alias("at"))
-    listed = own.where("op = 'append'").groupBy("device_id", F.col("path").alias("ir_path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "value"))), lambda x: x["value"]), ",").alias("said"), F.min_by("line_no", order).alias("at"))
+    own = indexed(facts)
+    scalar = own.where("op = 'set'").groupBy("device_id", "ir_path").agg(F.max_by("value", order).alias("said"), F.max_by("line_no", order).alias("at"))
+    listed = own.where("op = 'append'").groupBy("device_id", "ir_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "value"))), lambda x: x["value"]), ",").alias("said"), F.min_by("line_no", order).alias("at"))
     rows = labels.join(scalar.unionByName(listed), ["device_id", "ir_path"], "left")
     right = F.col("value").eqNullSafe(F.col("said"))
     cited = F.col("line").isNotNull() & right
