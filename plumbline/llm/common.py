@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 _OWN: dict[str, str] = {}
 
@@ -71,3 +72,23 @@ def text_bytes(name: str = "text") -> Column:
 def fold_of(modulus: int, name: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty string."""
     return F.pmod(F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")), F.lit(modulus)).cast("int")
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of a table, whatever their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or that name with a number if the table has it already."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}{k}" for k in range(len(taken) + 1))) if n.lower() not in taken)
+
+
+def over_text(df: DataFrame, run, added: list[StructField] = []) -> DataFrame:  # noqa: B006
+    """``df`` after an Arrow function of all its columns and the text's bytes, the last one; it returns the
+    columns, some rows of them, and the ``added`` ones.  Inside columns have plain names, so any name passes."""
+    slots = [f"c{k}" for k in range(len(df.columns))]
+    rows = df.select(*own_columns(df), text_bytes().alias(free_name(df, "text_bytes"))).toDF(*slots, "bytes")
+    fields = [StructField(s, f.dataType) for s, f in zip(slots, df.schema.fields, strict=True)]
+    return rows.mapInArrow(run, StructType([*fields, *added])).toDF(*df.columns, *(f.name for f in added))

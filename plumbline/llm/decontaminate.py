@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from plumbline.llm.common import text_bytes, written
+from plumbline.llm.common import over_text, own_columns, text_bytes
 from plumbline.llm.textvec import LOWER, Words, doc_chunks, windows
 
 WINDOW = 10
@@ -57,10 +58,26 @@ class Windows:
         self.count += len(hashes)
 
 
+#: Windows of an item that travel together; each piece goes on for the rest of its last window.
+PIECE = 50_000
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items as runs of folded words of a bounded number of windows."""
+    for batch in batches:
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            words = words_of(text.as_py())
+            more = max(0, min(WINDOW, len(words)) - 1)
+            for a in range(0, max(len(words) - more, min(1, len(words))), PIECE):
+                part = b" ".join(words[a : a + PIECE + more])
+                yield pa.RecordBatch.from_arrays([pa.array([item]), pa.array([part], pa.binary())], ["item", "text"])
+
+
 def _slices(benchmark: DataFrame) -> Iterator[Windows]:
+    """The benchmark's windows in slices: executors fold and cut the items, the driver holds one slice."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), text_bytes().alias("text"))
     held = Windows()
-    for r in rows.toLocalIterator():
+    for r in rows.mapInArrow(_pieces, "item string, text binary").toLocalIterator():
         held.add(r.item, bytes(r.text))
         if held.count >= MOST:
             yield held
@@ -89,51 +106,45 @@ def find(sought: Windows, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
     return words.counts, found
 
 
-def _scan(windows_of):
+def _marked(windows_of):
+    """Adds one slice's hits: the last columns are the text's bytes, n_words, items and spans."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sought = windows_of()
         for batch in batches:
-            for i, j, data, offsets in doc_chunks(batch.column(batch.num_columns - 1)):
-                n = j - i
+            names = batch.schema.names
+            for i, j, data, offsets in doc_chunks(batch.column(batch.num_columns - 4)):
+                part = batch.slice(i, j - i)
                 counts, found = find(sought, data, offsets)
-                items: list[list[str]] = [[] for _ in range(n)]
-                spans: list[list[dict]] = [[] for _ in range(n)]
-                for d, (ranges, names) in found.items():
-                    items[d] = sorted(names)
-                    spans[d] = [{"first": a, "last": b} for a, b in merged(ranges)]
-                arrays = [batch.column(c).slice(i, n) for c in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [*arrays, pa.array(counts, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPANS)],
-                    [*batch.schema.names[:-1], "n_words", "items", "spans"],
-                )
+                items, spans = part.column(part.num_columns - 2), part.column(part.num_columns - 1)
+                if found:
+                    all_items, all_spans = items.to_pylist(), spans.to_pylist()
+                    for d, (ranges, named) in found.items():
+                        all_items[d] = sorted({*all_items[d], *named})
+                        before = [(x["first"], x["last"]) for x in all_spans[d]]
+                        all_spans[d] = [{"first": a, "last": b} for a, b in merged([*before, *ranges])]
+                    items, spans = pa.array(all_items, pa.list_(pa.string())), pa.array(all_spans, _SPANS)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-3], pa.array(counts, pa.int64()), items, spans], names)
 
     return run
 
 
-def cleaned(data: np.ndarray, offsets: np.ndarray, sought: Windows) -> Iterator[bytes]:
-    """The texts of a chunk without the words of their hits, from the first word's first byte to the last
-    word's last; what stood before and behind stays as it is."""
-    words = Words(data, offsets, FOLD)
-    found = find(sought, data, offsets)[1]
-    raw = data.tobytes()
-    for d in range(len(offsets) - 1):
-        a, b = int(offsets[d]), int(offsets[d + 1])
-        parts = []
-        for first, last in merged(found[d][0]) if d in found else []:
-            k = int(words.first[d])
-            parts.append(raw[a : int(words.starts[k + first])])
-            a = int(words.ends[k + last - 1])
-        yield b"".join([*parts, raw[a:b]])
-
-
-def _cut(windows_of):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sought = windows_of()
-        for batch in batches:
-            texts = [t for _, _, data, offsets in doc_chunks(batch.column(batch.num_columns - 1)) for t in cleaned(data, offsets, sought)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())], batch.schema.names)
-
-    return run
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text's bytes without the words of the spans, from the first word's first byte to the last word's
+    last; what stood before and behind stays as it is."""
+    for batch in batches:
+        texts = []
+        spans = batch.column(batch.num_columns - 1)
+        for i, j, data, offsets in doc_chunks(batch.column(batch.num_columns - 4)):
+            words, raw = Words(data, offsets, FOLD), data.tobytes()
+            for d in range(j - i):
+                a, b, k = int(offsets[d]), int(offsets[d + 1]), int(words.first[d])
+                parts = []
+                for span in spans[i + d].as_py():
+                    parts.append(raw[a : int(words.starts[k + span["first"]])])
+                    a = int(words.ends[k + span["last"] - 1])
+                texts.append(b"".join([*parts, raw[a:b]]))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-4], pa.array(texts, pa.binary())], batch.schema.names[:-3])
 
 
 def _without(windows_of):
@@ -176,6 +187,20 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _hits(rows: DataFrame, benchmark: DataFrame | None) -> DataFrame:
+    """``rows``, whose last column is a text's bytes, with n_words, items and spans.
+
+    One scan after the other adds the hits of its slice, all told in the text as it is; no shuffle.
+    """
+    spark = rows.sparkSession
+    out = rows.select(*own_columns(rows), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<first:long,last:long>>").alias("spans"))
+    schema = StructType([StructField(f.name, f.dataType) for f in out.schema])
+    for held in _slices(benchmark) if benchmark is not None else [Windows()]:
+        shared = spark.sparkContext.broadcast(held)
+        out = out.mapInArrow(_marked(lambda b=shared: b.value), schema)
+    return out
+
+
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, items, spans for each row of ``docs`` (doc_id, text).
 
@@ -184,36 +209,8 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     the empty string; items of one id count once.  Repeated rows are scanned each.  Other columns are
     ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    parts = []
-    slices = list(_slices(benchmark)) if benchmark is not None else [Windows()]
-    if len(slices) > 1:
-        rows = written(rows.withColumn("uid", F.monotonically_increasing_id()).select("uid", "doc_id", "text"), "rows")
-    schema = ("uid long, " if len(slices) > 1 else "") + "doc_id long, n_words long, items array<string>, spans array<struct<first:long,last:long>>"
-    for held in slices:
-        shared = spark.sparkContext.broadcast(held)
-        parts.append(rows.mapInArrow(_scan(lambda b=shared: b.value), schema))
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    grouped = every.groupBy("uid", "doc_id", "n_words").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")
-    )
-    joined = F.aggregate(
-        "spans",
-        F.array().cast("array<struct<first:long,last:long>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (s["first"] <= F.try_element_at(acc, F.lit(-1))["last"]),
-            F.concat(
-                F.slice(acc, F.lit(1), F.size(acc) - 1),
-                F.array(F.struct(F.try_element_at(acc, F.lit(-1))["first"].alias("first"), F.greatest(F.try_element_at(acc, F.lit(-1))["last"], s["last"]).alias("last"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
-    return grouped.select("doc_id", "n_words", "items", joined.alias("spans"))
+    return _hits(rows, benchmark).select("doc_id", "n_words", "items", "spans")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -227,28 +224,29 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` none of whose words is hit, with all their columns; no shuffle."""
+    """The rows of ``docs`` none of whose words is hit, with all their columns of any names; no shuffle."""
     spark = docs.sparkSession
     out = docs
     for held in _slices(benchmark):
         shared = spark.sparkContext.broadcast(held)
-        out = out.withColumn("__text_bytes", text_bytes()).mapInArrow(_without(lambda b=shared: b.value), docs.schema)
+        out = over_text(out, _without(lambda b=shared: b.value))
     return out
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """All rows of ``docs`` with their columns; hit words are cut out of the text, null texts stay null.
+    """All rows of ``docs`` with their columns of any names; hit words are cut out of the text, null texts stay
+    null.
 
-    Words are told to be hit in the text as it was, one slice of the benchmark after the other, so a cut
-    never makes a new hit within a slice.  No shuffle.
+    All words are told to be hit in the text as it was, then they are cut at once: the result is the same
+    however many slices the benchmark has.  No shuffle.
     """
-    spark = docs.sparkSession
-    raw = docs.withColumn("__text_bytes", text_bytes())
-    for held in _slices(benchmark):
-        shared = spark.sparkContext.broadcast(held)
-        raw = raw.mapInArrow(_cut(lambda b=shared: b.value), raw.schema)
-    text = F.when(F.col("text").isNotNull(), F.col("__text_bytes").cast(docs.schema["text"].dataType))
-    return raw.withColumn("text", text).select(*docs.columns)
+    slots = [f"c{k}" for k in range(len(docs.columns))]
+    plain = docs.toDF(*slots)
+    at = slots[docs.columns.index("text")]
+    found = _hits(plain.select(*slots, text_bytes(at).alias("bytes")), benchmark)
+    cut = found.mapInArrow(_cut, StructType([StructField(f.name, f.dataType) for f in found.schema.fields[:-3]]))
+    text = F.when(F.col(at).isNotNull(), F.col("bytes").cast(docs.schema["text"].dataType))
+    return cut.select(*((text if s == at else F.col(s)).alias(c) for s, c in zip(slots, docs.columns, strict=True)))
 
 
 def sha256_of(items: list[str]) -> str:

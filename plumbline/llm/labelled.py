@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fold_of, text_bytes, written
+from plumbline.llm.common import fold_of, over_text, text_bytes, written
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, modulus: int | None = None, held: int | None = None) -> DataFrame:
@@ -41,17 +41,40 @@ def fitting(sizes: dict[int, int], most_bytes: int) -> int:
     return max(sizes, default=0)
 
 
+def whole_ones(rows: list[tuple], most_bytes: int) -> set:
+    """Which of the rows (key, label, size) are taken, so that all texts are whole and fit ``most_bytes``.
+
+    Each of two classes has half of the bytes, and what the other one leaves; the shortest texts come first.
+    """
+    classes = [sorted((size, key) for key, label, size in rows if (label == 0) is none) for none in (True, False)]
+    totals = [sum(size for size, _ in c) for c in classes]
+    half = most_bytes // 2
+    bounds = [max(half, most_bytes - totals[1]), max(half, most_bytes - totals[0])]
+    taken = set()
+    for c, left in zip(classes, bounds, strict=True):
+        for size, key in c:
+            if size > left:
+                break
+            left -= size
+            taken.add(key)
+    return taken
+
+
 def to_driver(sample: DataFrame, most_bytes: int) -> tuple[list[bytes], np.ndarray]:
-    """The sample's texts and labels, in the order of their ids' hash: all rows, in so many bytes.
+    """The sample's texts and labels, in the order of their ids' hash: whole texts, in so many bytes.
 
-    Where the whole texts don't fit, the longest are read up to one length, so no text costs another
-    its place; a text of at most ``most_bytes`` over the number of rows is always whole.
+    Where they don't all fit, the longest texts of a class are not learned from; no text is cut, and none costs
+    a shorter one its place.
     """
-    sample = written(sample, "labelled", "zstd")
-    sizes = {r.size: r.n for r in sample.groupBy(F.length("text").alias("size")).agg(F.count("*").alias("n")).collect()}
+    key = F.xxhash64("__id", "text")
+    sample = written(sample.withColumn("key", key), "labelled", "zstd")
+    sizes = [(r.key, r.label, r["size"]) for r in sample.select("key", "label", F.length("text").alias("size")).distinct().collect()]
+    chosen = whole_ones(sizes, most_bytes)
+    if len(chosen) < len(sizes):
+        few = sample.sparkSession.createDataFrame([(k,) for k in sorted(chosen)], "key long")
+        sample = sample.join(F.broadcast(few), "key", "left_semi")
     texts, labels = [], []
-    order = (F.xxhash64("__id"), "__id", "text")
-    for row in sample.withColumn("text", F.substring("text", 1, fitting(sizes, most_bytes))).orderBy(*order).toLocalIterator():
+    for row in sample.orderBy(F.xxhash64("__id"), "__id", "text").toLocalIterator():
         texts.append(bytes(row.text))
         labels.append(row.label)
     return texts, np.array(labels, dtype=np.int64)
@@ -65,4 +88,4 @@ def kept_by(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFram
             kept = batch.filter(pa.array(keep(batch.column(batch.num_columns - 1))))
             yield pa.RecordBatch.from_arrays(kept.columns[:-1], schema=pa.schema(list(kept.schema)[:-1]))
 
-    return docs.withColumn("__text_bytes", text_bytes()).mapInArrow(run, docs.schema)
+    return over_text(docs, run)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import text_bytes
+from plumbline.llm.common import free_name, over_text, own_columns
 from plumbline.llm.labelled import labelled_sample
 from plumbline.llm.textvec import KEEP, Words, _lut, doc_chunks, mix, windows
 
@@ -102,13 +102,12 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, data, offsets in doc_chunks(batch.column(batch.num_columns - 1)):
             table = counts_of(data, offsets)
             stats = pa.StructArray.from_arrays([pa.array(table[:, k]) for k in range(len(COUNTS))], names=COUNTS)
-            yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in range(batch.num_columns - 1)] + [stats], [*batch.schema.names[:-1], "__stats"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in range(batch.num_columns - 1)] + [stats], [*batch.schema.names[:-1], "stats"])
 
 
-def with_stats(docs: DataFrame) -> DataFrame:
-    """``docs`` with a struct column ``__stats``; null texts have no words."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__stats", STATS, False)])
-    return docs.withColumn("__text_bytes", text_bytes()).mapInArrow(_stats, schema)
+def with_stats(docs: DataFrame, name: str = "__stats") -> DataFrame:
+    """``docs`` with a struct column of that name; null texts have no words."""
+    return over_text(docs, _stats, [T.StructField(name, STATS, False)])
 
 
 def features(stats: str = "__stats") -> dict[str, Column]:
@@ -257,4 +256,5 @@ def apply_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def kept_rows(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of ``docs`` that base and list keep, with all their columns."""
-    return with_stats(docs).where(~base_failed() & expression(rules, features())).select(*(F.col(f"`{c}`") for c in docs.columns))
+    name = free_name(docs, "stats")
+    return with_stats(docs, name).where(~base_failed(name) & expression(rules, features(name))).select(*own_columns(docs))

@@ -106,3 +106,31 @@ def test_cut_texts_keep_all_other_words(spark):
     for r in without_spans(df, bench).collect():
         left.setdefault(r.doc_id, []).append(len(WORD.findall(lower(r.text))))
     assert {d: sorted(v) for d, v in left.items()} == {d: sorted(v) for d, v in hit.items()}
+def test_cuts_are_the_same_in_slices(spark, monkeypatch):
+    words = [f"w{k}" for k in range(20)]
+    items = [(1, " ".join(words[:10])), (2, " ".join(words[5:15]))]
+    docs = [(1, " ".join(words[:15])), (2, "x, " + " ".join(words[:10]) + "; y"), (3, " ".join(words[4:14])), (4, None), (5, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    cut = lambda: [r.text for r in without_spans(df, spark.createDataFrame(items, "item_id long, text string")).orderBy("doc_id").collect()]
+    whole = cut()
+    assert whole == ["", "x, ; y", " ".join(words[4:14]), None, ""]
+    monkeypatch.setattr(decontaminate, "MOST", 1)
+    assert cut() == whole
+    docs, items = tables(8)
+    assert result(spark, docs, items) == brute(docs, items)
+
+
+def test_long_items_come_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 7)
+    docs, items = tables(9)
+    assert result(spark, docs, items) == brute(docs, items)
+    monkeypatch.setattr(decontaminate, "MOST", 10)
+    assert result(spark, docs, items) == brute(docs, items)
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "one two", "a", 1, b"z"), (2, "three", "b", 2, b"y")], "doc_id long, text string, `a.b``c` string, text_bytes int, __text_bytes binary")
+    items = spark.createDataFrame([(1, "three")], "item_id long, text string")
+    assert [tuple(r) for r in without_contaminated(df, items).collect()] == [(1, "one two", "a", 1, b"z")]
+    cut = without_spans(df, items)
+    assert cut.columns == df.columns and sorted(map(tuple, cut.collect())) == [(1, "one two", "a", 1, b"z"), (2, "", "b", 2, b"y")]

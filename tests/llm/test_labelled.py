@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.llm import attention
-from plumbline.llm.labelled import fitting, labelled_sample, to_driver
+from plumbline.llm.labelled import fitting, labelled_sample, to_driver, whole_ones
 
 
 def test_fitting():
@@ -23,10 +23,18 @@ def test_a_text_above_the_budget_costs_no_other_row(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
     texts, truth = to_driver(labelled_sample(frame, labels, "quality", 100), 1000)
-    assert len(texts) == len(truth) == 40 and sum(truth) == 20
-    assert sum(map(len, texts)) <= 1000
-    assert sorted(t for t in texts if not t.startswith(b"x")) == sorted(t.encode() for k, t in docs if k != first)
-    assert texts[0] == b"x" * (1000 - 39 * 7)
+    assert len(texts) == len(truth) == 39 and sum(map(len, texts)) <= 1000
+    assert sorted(texts) == sorted(t.encode() for k, t in docs if k != first)
+    texts, truth = to_driver(labelled_sample(frame, labels, "quality", 100), 6000)
+    assert len(texts) == 40 and sum(truth) == 20 and texts[0] == b"x" * 5000
+
+
+def test_whole_texts_of_both_classes():
+    assert whole_ones([], 5) == set()
+    rows = [(k, 0, 10) for k in range(5)] + [(k + 10, 1, 30) for k in range(5)]
+    assert whole_ones(rows, 1000) == {k for k, _, _ in rows}
+    assert whole_ones(rows, 120) == {0, 1, 2, 3, 4, 10, 11}  # 50 bytes of one class, 70 for the other
+    assert whole_ones(rows, 40) == {0, 1} and whole_ones([(1, 0, 99)], 40) == set()
 
 
 def test_a_model_is_learned_beside_a_huge_text(spark, monkeypatch):
