@@ -92,3 +92,10 @@ def test_one_definite_row_of_each_group(spark):
     mapped = corpus_pipeline.first_row(docs.selectExpr("*", "map(1, 2) AS m"), "doc_id")
     assert mapped.columns == [*docs.columns, "m"] and mapped.count() == 4
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, folder):
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven", "x", 3, b"q"), (1, "short", "y", 2, None)], "doc_id long, text string, `a.b``c` string, __row int, __text_bytes binary")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and set(map(tuple, out.collect())) <= set(map(tuple, docs.collect()))
