@@ -30,9 +30,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def first_row(docs: DataFrame, key: str) -> DataFrame:
     """One row per value of ``key``: the least by text, then by the other columns that have an order."""
     own = [c for c in dict.fromkeys(("text", *docs.columns)) if c != key]
-    ordered = [c for c in own if not isinstance(docs.schema[c].dataType, (MapType, VariantType))]
-    least = F.min(F.struct(*own)) if ordered == own else F.min_by(F.struct(*own), F.struct(*ordered))
-    return docs.groupBy(key).agg(least.alias("__row")).select(*(F.col(key) if c == key else F.col(f"__row.{c}") for c in docs.columns))
+    slots = [f"c{k}" for k in range(len(own))]
+    plain = docs.select(F.col(f"`{key}`").alias("key"), *(F.col(f"`{c.replace('`', '``')}`").alias(s) for s, c in zip(slots, own, strict=True)))
+    ordered = [s for s in slots if not isinstance(plain.schema[s].dataType, (MapType, VariantType))]
+    least = F.min(F.struct(*slots)) if ordered == slots else F.min_by(F.struct(*slots), F.struct(*ordered))
+    found = plain.groupBy("key").agg(least.alias("row"))
+    return found.select(*((F.col("key") if c == key else F.col(f"row.{slots[own.index(c)]}")).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +43,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows without an id stay once per text: they can't be told apart otherwise.  An empty table stays empty.
     """
-    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = written(kept, "kept-ids")
-    some = first_row(docs.join(kept.hint("merge"), F.col("doc_id") == F.col("__kept"), "left_semi"), "doc_id")
+    found = neardup.near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null")
+    kept = written(found.select("doc_id").distinct(), "kept-ids")
+    some = first_row(docs.join(kept.hint("merge"), "doc_id", "left_semi"), "doc_id")
     return some.unionByName(first_row(docs.where("doc_id is null"), "text"))
 
 
