@@ -283,9 +283,7 @@ l1 AS (SELECT l_orderkey, CASE WHEN len(l) > 1 THEN {_level('l')} ELSE l END AS
 l4 AS (SELECT l_orderkey, CASE WHEN len(l) > 1 THEN {_level('l')} ELSE l END AS l FROM l3), l5 AS (SELECT l_orderkey, CASE WHEN len(l) > 1 THEN {_level('l')} ELSE l END AS l FROM l4) SELECT l_orderkey, l[1] AS root, len(l) AS left_over FROM l5""")
 def ledger_roots(spark, sf_dir):
     """Roots over an order's lines: pairs hash together, an odd one moves up; nothing is left over."""
-    leaf = scalars.leaf_hash(F.concat_ws(":", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey"))))
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", leaf.alias("h")))), lambda x: x["h"]).alias("leaves"))
-    return rows.select("l_orderkey", relational.merkle_root(F.col("leaves")).alias("root"), F.lit(1).cast("long").alias("left_over"))
+    return _order_trees(spark, sf_dir).select("l_orderkey", relational.merkle_root(F.col("leaves")).alias("root"), F.lit(1).cast("long").alias("left_over"))
 
 
 _EVENT = "'{\"id\":' || event_id || ',\"kind\":\"' || event_type || '\",\"none\":null,\"who\":[{\"a\":1,\"b\":' || user_id || '}]}'"
@@ -322,14 +320,37 @@ def ledger_verification(spark, sf_dir):
     return names.join(found, "ledger", "left")
 
 
-@query("SELECT n_nationkey + 1 AS seq, true AS included, false AS forged FROM nation")
+def _order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaf = scalars.leaf_hash(F.concat_ws(":", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey"))))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", leaf.alias("h")))), lambda x: x["h"]).alias("leaves"))
+
+
+@query("""WITH leaves AS (SELECT l_orderkey AS o, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY l_orderkey) AS n, sha256('\\x00'::BLOB || encode(l_orderkey || ':' || l_linenumber || ':' || l_partkey)) AS leaf FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)),
+steps AS (SELECT o, k, count(*) FILTER (xor(k >> i, 1) < ((n - 1) >> i) + 1 AND ((n - 1) >> i) > 0) AS steps FROM leaves, range(40) x(i) GROUP BY ALL)
+SELECT a.o AS l_orderkey, a.k AS place, a.leaf, steps, b.leaf AS beside, true AS included, false AS forged FROM leaves a JOIN steps s ON s.o = a.o AND s.k = a.k LEFT JOIN leaves b ON b.o = a.o AND b.k = xor(a.k, 1)""")
 def ledger_inclusion(spark, sf_dir):
-    """Every leaf of a ledger's root is proved by its siblings, and no other one is."""
-    entries, _ = _chain(spark, sf_dir)
-    leaves = [r.h for r in entries.withColumn("h", ledger.entry_hash()).orderBy("seq").collect()]  # as many as nations
-    root = ledger.root_of(leaves)
-    rows = [(k + 1, ledger.included(h, ledger.proof(leaves, k), root), ledger.included(leaves[(k + 1) % len(leaves)], ledger.proof(leaves, k), root)) for k, h in enumerate(leaves)]
-    return _values(spark, rows, "seq long, included boolean, forged boolean")
+    """Every line of every order is proved by its siblings up to the order's root, and no other line is."""
+    made = ledger.proofs(_order_trees(spark, sf_dir), ["l_orderkey"])
+    forged = F.sha2(F.concat("leaf", F.lit("x")), 256)
+    beside = F.when((F.size("proof") > 0) & (F.col("at").bitwiseXOR(F.lit(1)) < F.col("n")), F.get("proof", F.lit(0))["hash"])
+    sizes = _order_trees(spark, sf_dir).select("l_orderkey", F.size("leaves").alias("n"))
+    rows = made.join(sizes, "l_orderkey")
+    return rows.select(
+        "l_orderkey", F.col("at").cast("long").alias("place"), "leaf", F.size("proof").cast("long").alias("steps"), beside.alias("beside"),
+        ledger.proves(F.col("leaf"), F.col("proof"), F.col("root")).alias("included"), ledger.proves(forged, F.col("proof"), F.col("root")).alias("forged"),
+    )
+
+
+@query("SELECT 'd' || s_suppkey AS device_id, true AS proved, true AS same_root, false AS swapped FROM supplier")
+def finding_inclusion(spark, sf_dir):
+    """Every finding of every device is proved to the device's root; with another finding's siblings it isn't."""
+    from plumbline.catalog_devices import fleet
+
+    leaves = ledger.leaf_material(fleet(spark, sf_dir).findings.where("verdict <> 'not_applicable'"))
+    made = ledger.finding_proofs(leaves)
+    roots = ledger.roots(leaves)
+    rows = made.join(roots, "device_id").withColumn("swapped", ledger.proves(F.sha2("leaf", 256), F.col("proof"), F.col("root")))
+    return rows.groupBy("device_id").agg(F.bool_and(ledger.proves(F.col("leaf"), F.col("proof"), F.col("merkle_root"))).alias("proved"), F.bool_and(F.col("root") == F.col("merkle_root")).alias("same_root"), F.bool_or("swapped").alias("swapped"))
 
 
 # -- benchmarks and sources -----------------------------------------------------------------------

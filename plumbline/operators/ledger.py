@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
 from plumbline.functions.scalars import leaf_hash
-from plumbline.operators.relational import merkle_root
+from plumbline.operators.relational import merkle_levels, merkle_root
 
 GENESIS = "0" * 64
 ENTRY = "seq long, timestamp string, report_id string, device_id string, merkle_root string, prev_entry_hash string, rule_set_digest string, ir_schema_version string, canonicalisation string, signature string, key_id string"
@@ -114,6 +114,45 @@ def roots(leaves: DataFrame) -> DataFrame:
     return listed.select("device_id", merkle_root(F.col("l")).alias("merkle_root"))
 
 
+PROOF = "array<struct<left:boolean,hash:string>>"
+
+
+def proofs(trees: DataFrame, keys: list[str], leaves: str = "leaves") -> DataFrame:
+    """keys, at, leaf, root, proof of every leaf of every tree: the siblings on its way to the root.
+
+    All levels of a tree are worked out once; a leaf's sibling on a level is the place beside its own, whose
+    number halves from level to level.  An odd one that moves up has none there.  No task but that of the tree
+    itself holds its leaves, and nothing comes to the driver.
+    """
+    rows = trees.where(F.size(leaves) > 0).select(*keys, merkle_levels(F.col(leaves)).alias("levels"))
+    each = rows.select(*keys, "levels", F.posexplode(F.get("levels", F.lit(0))).alias("at", "leaf"))
+    half = lambda k, i: F.call_function("shiftright", k, i)
+
+    def step(level, i):
+        place = half(F.col("at"), i)
+        beside = place.bitwiseXOR(F.lit(1))
+        return F.struct((beside < place).alias("left"), F.get(level, beside).alias("hash"))
+
+    below = F.slice("levels", F.lit(1), F.size("levels") - 1)
+    found = F.filter(F.transform(below, step), lambda s: s["hash"].isNotNull())
+    return each.select(*keys, "at", "leaf", F.get(F.element_at("levels", -1), F.lit(0)).alias("root"), found.alias("proof"))
+
+
+def proves(leaf: Column, proof_: Column, root: Column) -> Column:
+    """Whether the siblings lead from a leaf to a root; a null leaf or root is never proved."""
+    pair = lambda a, b: F.sha2(F.concat(F.lit(b"\x01"), F.unhex(a), F.unhex(b)), 256)
+    top = F.aggregate(proof_, leaf, lambda h, s: F.when(s["left"], pair(s["hash"], h)).otherwise(pair(h, s["hash"])))
+    return F.coalesce(top == root, F.lit(False))
+
+
+def finding_proofs(leaves: DataFrame) -> DataFrame:
+    """device_id, rule_id, leaf, root, proof of every finding of a fleet, as ``roots`` orders the leaves."""
+    rows = F.array_sort(F.collect_list(F.struct("rule_id", "leaf")))
+    trees = leaves.groupBy("device_id").agg(rows.alias("rows")).select("device_id", F.transform("rows", lambda x: x["rule_id"]).alias("rules"), F.transform("rows", lambda x: x["leaf"]).alias("leaves"))
+    made = proofs(trees, ["device_id", "rules"])
+    return made.select("device_id", F.get("rules", F.col("at")).alias("rule_id"), "leaf", "root", "proof")
+
+
 def record(spark: SparkSession, path: str, reports: list[dict]) -> list[dict]:
     """Append entries of a batch of reports to the ledger in ``path`` (JSON lines) and return them.
 

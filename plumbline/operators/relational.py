@@ -106,15 +106,28 @@ def confusion(df: DataFrame, truth: Column, said: Column) -> DataFrame:
     )
 
 
-def merkle_root(leaves: Column) -> Column:
-    """Root over an array of leaf hashes in hex: pairs hash as 01 | left | right, an odd one moves up."""
-    up = lambda level: F.transform(
+def _paired(level: Column) -> Column:
+    """The level above: pairs hash as 01 | left | right, an odd one moves up."""
+    return F.transform(
         F.sequence(F.lit(0), F.ceil(F.size(level) / 2).cast("int") - 1),
         lambda i: F.when(
             2 * i + 1 < F.size(level),
             F.sha2(F.concat(F.lit(b"\x01"), F.unhex(F.get(level, 2 * i)), F.unhex(F.get(level, 2 * i + 1))), 256),
         ).otherwise(F.get(level, 2 * i)),
     )
-    levels = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(F.size(leaves), F.lit(1)).cast("double"))).cast("int")))
-    folded = F.aggregate(levels, leaves, lambda level, _: F.when(F.size(level) > 1, up(level)).otherwise(level))
+
+
+def _heights(leaves: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(F.size(leaves), F.lit(1)).cast("double"))).cast("int")))
+
+
+def merkle_levels(leaves: Column) -> Column:
+    """All levels of a tree, from the leaves to the root alone; of one leaf just that level."""
+    up = lambda levels: F.concat(levels, F.array(_paired(F.element_at(levels, -1))))
+    return F.aggregate(_heights(leaves), F.array(leaves), lambda levels, _: F.when(F.size(F.element_at(levels, -1)) > 1, up(levels)).otherwise(levels))
+
+
+def merkle_root(leaves: Column) -> Column:
+    """Root over an array of leaf hashes in hex; of no leaves the hash of nothing."""
+    folded = F.aggregate(_heights(leaves), leaves, lambda level, _: F.when(F.size(level) > 1, _paired(level)).otherwise(level))
     return F.when(F.size(leaves) == 0, F.sha2(F.lit(b""), 256)).otherwise(F.get(folded, F.lit(0)))

@@ -55,3 +55,20 @@ def test_merkle_root_like_hashlib(spark):
     assert [r.r for r in df.select(merkle_root(F.col("l")).alias("r")).collect()] == [root_of(x) for x in leaves]
     assert all(included(x[k], proof(x, k), root_of(x)) for x in leaves for k in range(len(x)))
     assert not included(leaves[3][0], proof(leaves[3], 1), root_of(leaves[3]))
+
+
+def test_proofs_like_the_plain_ones(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from plumbline.operators import ledger
+
+    trees = [(n, [hashlib.sha256(bytes([k, n])).hexdigest() for k in range(n)]) for n in range(20)]
+    made = ledger.proofs(spark.createDataFrame(trees, "n int, leaves array<string>"), ["n"])
+    good = made.withColumns({"good": ledger.proves(F.col("leaf"), F.col("proof"), F.col("root")), "none": ledger.proves(F.lit(None).cast("string"), F.col("proof"), F.col("root"))})
+    rows = good.collect()
+    assert len(rows) == sum(range(20)) and all(r.good and not r.none for r in rows)
+    for r in rows:
+        leaves = trees[r.n][1]
+        assert r.root == ledger.root_of(leaves) and [("left" if s.left else "right", s.hash) for s in r.proof] == ledger.proof(leaves, r["at"])
