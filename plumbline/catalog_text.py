@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline import rendered
 from plumbline.functions import scalars
+from plumbline.functions import ed25519
 from plumbline.operators import drift, learning, ledger, packs, relational
 from plumbline.plans import rules
 from plumbline.registry import query, table
@@ -320,6 +321,29 @@ def ledger_verification(spark, sf_dir):
     return names.join(found, "ledger", "left")
 
 
+_SIGNED_CASES = "CASE WHEN s_suppkey % 5 = 0 THEN 'unsigned' WHEN s_suppkey % 7 = 0 THEN 'signed by a key that isn''t known' WHEN s_suppkey % 3 = 0 THEN 'the signature doesn''t verify' END"
+
+
+@query(f"SELECT * FROM (SELECT CAST(s_suppkey AS BIGINT) AS seq, {_SIGNED_CASES} AS problem FROM supplier) WHERE problem IS NOT NULL")
+def ledger_signatures(spark, sf_dir):
+    """An entry per supplier, signed: some are altered afterwards, some signed by a stranger, some not at all."""
+    import pandas as pd
+
+    own, stranger = ed25519.SigningKey(b"ours".ljust(32)), ed25519.SigningKey(b"theirs".ljust(32))  # keys of this example only
+
+    def signatures(texts: pd.Series, strange: pd.Series) -> pd.Series:
+        made = {k: key.sign_all([t.encode() for t in texts]) for k, key in ((False, own), (True, stranger))}
+        return pd.Series([made[bool(x)][k].hex() for k, x in enumerate(strange)])
+
+    sign = F.pandas_udf(signatures, "string")
+    seq, strange = F.col("s_suppkey").cast("long"), F.col("seq") % 7 == 0
+    fixed = {"timestamp": "t", "merkle_root": "0", "prev_entry_hash": ledger.GENESIS, "rule_set_digest": "x", "ir_schema_version": "1.0.0", "canonicalisation": "jcs-1"}
+    rows = table(spark, sf_dir, "supplier").select(seq.alias("seq"), F.col("s_name").alias("device_id"), F.concat(F.lit("r"), seq.cast("string")).alias("report_id"), *(F.lit(v).alias(k) for k, v in fixed.items()))
+    signed = rows.withColumn("signature", F.when(F.col("seq") % 5 == 0, "").otherwise(sign(ledger.entry_text(), strange))).withColumn("key_id", F.when(strange, stranger.key_id).otherwise(own.key_id))
+    altered = signed.withColumn("device_id", F.when(F.col("seq") % 3 == 0, F.concat("device_id", F.lit("!"))).otherwise(F.col("device_id")))
+    return ledger.unsigned(altered, {own.key_id: own.public})
+
+
 def _order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaf = scalars.leaf_hash(F.concat_ws(":", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey"))))
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", leaf.alias("h")))), lambda x: x["h"]).alias("leaves"))

@@ -1,4 +1,4 @@
-"""Command line: audit, fleet, show, rules, verify, drift, stig-import, propose, train, pack, trust, validate,
+"""Command line: audit, fleet, show, rules, keygen, verify, drift, stig-import, propose, train, pack, trust, validate,
 tier2-eval."""
 
 from __future__ import annotations
@@ -44,10 +44,12 @@ def _trusted(path: str) -> set[str]:
     return set(json.load(open(path, encoding="utf-8"))) if os.path.exists(path) else set()
 
 
-def _packs(path: str | None, store: str):
+def _packs(path: str | None, store: str, keys: str | None = None):
+    from plumbline.functions.ed25519 import trusted_keys
     from plumbline.operators import packs
 
-    return packs.admit([packs.from_document(d) for _, d in _documents(path)], _trusted(store)) if path else None  # type: ignore[arg-type]
+    held = None if keys is None else trusted_keys(keys)
+    return packs.admit([packs.from_document(d) for _, d in _documents(path)], _trusted(store), held) if path else None  # type: ignore[arg-type]
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -62,16 +64,17 @@ def _parser() -> argparse.ArgumentParser:
             c.add_argument(f"--{o}", **more)
 
     text: dict = {}
-    learned = {"packs": text, "trusted": {"default": "trusted.json"}}
+    learned = {"packs": text, "trusted": {"default": "trusted.json"}, "keys": text}
     for name in ("audit", "fleet", "show"):
         command(name, "target", rules=text, framework=text, out=text, all={"action": "store_true"}, **learned)
     command("rules", rules=text)
-    command("verify", "ledger")
+    command("keygen", "file")
+    command("verify", "ledger", key=text)
     command("drift", "before", "after")
     command("stig-import", "benchmark")
     command("propose", "target", **learned)
     command("train", "target", vendor={"required": True}, os=text, id={"required": True}, out={"required": True}, least={"type": float, "default": 0.85})
-    command("pack", "file")
+    command("pack", "file", sign=text, out=text)
     command("trust", "file", trusted={"default": "trusted.json"})
     command("validate", "target", "labels", rules=text, **learned)
     command("tier2-eval", "target", "vendor")
@@ -81,6 +84,7 @@ def _parser() -> argparse.ArgumentParser:
 def main(arguments: list[str] | None = None) -> int:
     args = _parser().parse_args(arguments)
 
+    from plumbline.functions import ed25519
     from plumbline.operators import documents, drift, fleet, learning, ledger, packs, report, validation
     from plumbline.plans import audit, rules
     from plumbline.sources import xccdf
@@ -89,12 +93,22 @@ def main(arguments: list[str] | None = None) -> int:
         for r in _rules(args.rules):
             print(r.id, r.severity, r.assertion, sep="\t")
         return 0
+    if args.command == "keygen":
+        key = ed25519.SigningKey.generate()
+        key.save(args.file)
+        print(key.key_id)
+        return 0
     if args.command in ("pack", "trust"):
         found = [packs.from_document(d) for _, d in _documents(args.file)]  # type: ignore[arg-type]
         for p in found:
             for m in p.mappings:
                 m.check()
             print(p.id, p.vendor, p.os or "", len(p.mappings), p.digest(), sep="\t")
+        if args.command == "pack" and args.sign:
+            if len(found) != 1 or not args.out:
+                raise SystemExit("one pack is signed at a time, into the file that --out names")
+            with open(args.out, "w", encoding="utf-8") as file:
+                json.dump(packs.document(found[0].signed(ed25519.SigningKey.load(args.sign))), file, indent=1, ensure_ascii=False)
         if args.command == "trust":
             held = _trusted(args.trusted) | {p.digest() for p in found}
             with open(args.trusted, "w", encoding="utf-8") as file:
@@ -102,7 +116,8 @@ def main(arguments: list[str] | None = None) -> int:
         return 0
     spark = _session()
     if args.command == "verify":
-        problems = ledger.verify(ledger.read(spark, args.ledger)).orderBy("seq").collect()
+        public = ed25519.load_public(args.key) if args.key else None
+        problems = ledger.verify(ledger.read(spark, args.ledger), {ed25519.key_id(public): public} if public else None).orderBy("seq").collect()
         for p in problems:
             print(f"entry {p.seq}: {p.problem}")
         return int(bool(problems))
@@ -130,7 +145,7 @@ def main(arguments: list[str] | None = None) -> int:
         learning.held_out(learning.propose(rest), truth.select("device_id", "file", "line_no", "path", "value")).show(1, False)
         return 0
     if args.command in ("propose", "train"):
-        result = audit.audit(spark, args.target, learned=_packs(args.packs, args.trusted) if args.command == "propose" else None)
+        result = audit.audit(spark, args.target, learned=_packs(args.packs, args.trusted, args.keys) if args.command == "propose" else None)
         found = learning.propose(documents.residue(packs.tree(result.lines), result.facts))
         if args.command == "propose":
             found.orderBy("device_id", "file", "line_no").show(500, False)
@@ -149,7 +164,7 @@ def main(arguments: list[str] | None = None) -> int:
         return 0
     chosen = _rules(args.rules)
     framework = getattr(args, "framework", None)
-    result = audit.audit(spark, args.target, ruleset=rules.for_framework(chosen, framework) if framework else chosen, learned=_packs(args.packs, args.trusted))
+    result = audit.audit(spark, args.target, ruleset=rules.for_framework(chosen, framework) if framework else chosen, learned=_packs(args.packs, args.trusted, args.keys))
     if args.command == "validate":
         facts, verdicts = validation.labels_of(_documents(args.labels))
         validation.verdicts(result.findings, spark.createDataFrame(verdicts, validation.VERDICT_LABEL)).show(1, False)

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from plumbline.functions.ed25519 import SigningKey, verified
 from plumbline.functions.scalars import leaf_hash
 from plumbline.operators.relational import merkle_levels, merkle_root
 
@@ -39,7 +40,7 @@ def entry_text(columns: list[str] = SIGNED) -> Column:
     """The canonical text of an entry's signed fields, as a column."""
     parts = []
     for k, c in enumerate(sorted(columns)):
-        parts += [F.lit(("," if k else "{") + f'"{c}":'), F.expr(f"substring(to_json(named_struct('x', {c})), 6, length(to_json(named_struct('x', {c}))) - 6)")]
+        parts += [F.lit(("," if k else "{") + f'"{c}":'), F.expr(f"regexp_extract(to_json(named_struct('x', {c}), map('ignoreNullFields', 'false')), '(?s)^.{{5}}(.*).$', 1)")]
     return F.concat(*parts, F.lit("}"))
 
 
@@ -58,13 +59,29 @@ def linked(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w)).withColumn("previous", F.lag("entry_hash").over(w))
 
 
-def verify(entries: DataFrame) -> DataFrame:
+def unsigned(entries: DataFrame, keys: dict[str, bytes]) -> DataFrame:
+    """seq, problem of entries whose signature doesn't hold: there is none, its key isn't one of ``keys``
+    (key id -> public key), or it is of another text.  Each entry is judged by itself, without a shuffle."""
+    known = F.create_map(*(x for k, v in keys.items() for x in (F.lit(k), F.lit(v)))) if keys else F.create_map().cast("map<string,binary>")
+    blank = F.coalesce(F.col("signature"), F.lit("")) == ""
+    rows = entries.withColumns({"public": known[F.coalesce(F.col("key_id"), F.lit(""))], "none": blank})
+    rows = rows.withColumn("good", verified(entry_text().cast("binary"), F.unhex("signature"), F.col("public")))
+    problem = F.when(F.col("none"), "unsigned").when(F.col("public").isNull(), "signed by a key that isn't known").when(~F.col("good"), "the signature doesn't verify")
+    return rows.select("seq", problem.alias("problem")).where("problem is not null")
+
+
+def verify(entries: DataFrame, keys: dict[str, bytes] | None = None) -> DataFrame:
     """seq, problem for everything that is wrong: an entry that is there twice, one whose predecessor is
-    missing, and one that doesn't hold its predecessor's hash.
+    missing, one that doesn't hold its predecessor's hash and, where public keys are given, a bad signature.
 
     Hashes are made in parallel, and an entry meets its predecessor by a join on the number before it, so no
     task holds the whole ledger.
     """
+    chained = _chained(entries)
+    return chained if keys is None else chained.unionByName(unsigned(entries, keys))
+
+
+def _chained(entries: DataFrame) -> DataFrame:
     rows = entries.withColumn("entry_hash", entry_hash()).select("seq", "prev_entry_hash", "entry_hash")
     each = rows.groupBy("seq").agg(F.count("*").alias("times"), F.max("prev_entry_hash").alias("prev_entry_hash"), F.max("entry_hash").alias("entry_hash"))
     before = each.select((F.col("seq") + 1).alias("seq"), F.col("entry_hash").alias("previous"))
@@ -153,8 +170,9 @@ def finding_proofs(leaves: DataFrame) -> DataFrame:
     return made.select("device_id", F.get("rules", F.col("at")).alias("rule_id"), "leaf", "root", "proof")
 
 
-def record(spark: SparkSession, path: str, reports: list[dict]) -> list[dict]:
-    """Append entries of a batch of reports to the ledger in ``path`` (JSON lines) and return them.
+def record(spark: SparkSession, path: str, reports: list[dict], key: SigningKey | None = None) -> list[dict]:
+    """Append entries of a batch of reports to the ledger in ``path`` (JSON lines) and return them, signed if
+    there is a key.
 
     One writer at a time: the head is read, the new entries are chained to it on the driver, and they become
     visible as one file.
@@ -162,7 +180,7 @@ def record(spark: SparkSession, path: str, reports: list[dict]) -> list[dict]:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
     head = [r.asDict() for r in read(spark, path).orderBy(F.col("seq").desc()).limit(1).collect()] if there else []
-    made = append(head, reports)
+    made = append(head, reports, key)
     spark.createDataFrame([tuple(e.get(c.split()[0]) for c in ENTRY.split(", ")) for e in made], ENTRY).coalesce(1).write.mode("append").json(path)
     return made
 
@@ -172,15 +190,19 @@ def short_hash(text: Column) -> Column:
     return F.left(text, F.lit(16))
 
 
-def append(entries: list[dict], reports: list[dict]) -> list[dict]:
+def append(entries: list[dict], reports: list[dict], key: SigningKey | None = None) -> list[dict]:
     """New entries behind the old ones, of which only the last is needed: serial by nature, so it runs on the
-    driver over one batch."""
+    driver over one batch; so do signatures, because the key stays there."""
     at = entries[-1]["seq"] if entries else 0
     out, head = [], hashlib.sha256(canonical({k: entries[-1][k] for k in SIGNED})).hexdigest() if entries else GENESIS
     for k, r in enumerate(reports, at + 1):
         entry = {"canonicalisation": "jcs-1", **r, "seq": k, "prev_entry_hash": head}
         head = hashlib.sha256(canonical({k: entry[k] for k in SIGNED})).hexdigest()
         out.append({"signature": "", "key_id": "", **entry})
+    if key is not None:
+        name = key.key_id
+        for entry, signature in zip(out, key.sign_all([canonical({k: e[k] for k in SIGNED}) for e in out]), strict=True):
+            entry |= {"signature": signature.hex(), "key_id": name}
     return out
 
 

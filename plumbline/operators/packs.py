@@ -7,9 +7,10 @@ next mapping.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import or_
 
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.functions.ed25519 import SigningKey, verify_all
 from plumbline.functions.scalars import DETECTORS, transform
 from plumbline.operators.documents import SCALARS
 from plumbline.operators.ledger import canonical
@@ -57,6 +59,7 @@ class Pack:
     os: str | None
     mappings: tuple[Mapping, ...]
     fingerprint: tuple[tuple[str, float], ...] = ()
+    signature: tuple[str, str] | None = field(default=None, compare=False)  # key id, base64
 
     def material(self) -> bytes:
         """What a signature covers; confidences as text of four places."""
@@ -66,10 +69,32 @@ class Pack:
     def digest(self) -> str:
         return hashlib.sha256(self.material()).hexdigest()
 
+    def signed(self, key: SigningKey) -> Pack:
+        """The same pack with a signature of its material; what is not well formed isn't signed."""
+        for m in self.mappings:
+            m.check()
+        return replace(self, signature=(key.key_id, base64.b64encode(key.sign(self.material())).decode()))
+
+    def signed_by(self, keys: dict[str, bytes]) -> str:
+        """The id of the trusted key that signed the pack; anything else is refused."""
+        if self.signature is None:
+            raise PackError(f"{self.id} isn't signed")
+        name, value = self.signature
+        if name not in keys:
+            raise PackError(f"{self.id} is signed by {name or 'a key without a name'}, which isn't trusted")
+        try:
+            raw = base64.b64decode(value, validate=True)
+        except ValueError as e:
+            raise PackError(f"{self.id} has a malformed signature") from e
+        if not verify_all([self.material()], [raw], [keys[name]])[0]:
+            raise PackError(f"{self.id} was altered after it was signed")
+        return name
+
 
 def document(pack: Pack) -> dict:
     """A pack as a plain document, for a JSON or YAML file."""
-    return {
+    own = {"signature": {"algorithm": "ed25519", "key_id": pack.signature[0], "value": pack.signature[1]}} if pack.signature else {}
+    return own | {
         "id": pack.id, "vendor": pack.vendor, "os": pack.os, "fingerprint": [{"match": p, "confidence": c} for p, c in pack.fingerprint],
         "mappings": [{"ir_path": m.path, "match": m.match, "transform": m.transform, "tier_learned": m.tier, "confidence": m.confidence, "within": m.within, "values": dict(m.values)} for m in pack.mappings],
     }
@@ -79,7 +104,11 @@ def from_document(raw: dict) -> Pack:
     """The pack of a parsed document; what lacks a field is refused."""
     try:
         made = tuple(Mapping(m["ir_path"], m["match"], m["transform"], int(m.get("tier_learned", 2)), float(1.0 if m.get("confidence") is None else m["confidence"]), m.get("within"), dict(m.get("values") or {})) for m in raw["mappings"])
-        return Pack(raw["id"], raw["vendor"], raw.get("os"), made, tuple((f["match"], float(f["confidence"])) for f in raw.get("fingerprint") or ()))
+        s = raw.get("signature")
+        if s and s.get("algorithm") != "ed25519":
+            raise PackError("a signature of an unknown kind")
+        signature = (str(s.get("key_id", "")), str(s.get("value", ""))) if s else None
+        return Pack(raw["id"], raw["vendor"], raw.get("os"), made, tuple((f["match"], float(f["confidence"])) for f in raw.get("fingerprint") or ()), signature)
     except (KeyError, TypeError) as e:
         raise PackError(f"a pack lacks {e}") from e
 
@@ -105,10 +134,13 @@ def no_customer_data(pattern: str) -> None:
                 raise PackError(f"a pattern holds {name}")
 
 
-def admit(packs: list[Pack], trusted: set[str]) -> list[Pack]:
-    """All packs, if every one of them has a trusted digest; none otherwise."""
+def admit(packs: list[Pack], trusted: set[str], keys: dict[str, bytes] | None = None) -> list[Pack]:
+    """All packs, if every one of them has a trusted digest or, where keys are given, is signed by one of them;
+    none otherwise.  A signature that is there must hold even if the digest is trusted."""
     for p in packs:
-        if p.digest() not in trusted:
+        if keys is not None and (p.signature is not None or p.digest() not in trusted):
+            p.signed_by(keys)
+        elif p.digest() not in trusted:
             raise PackError(f"{p.id} isn't trusted")
         for m in p.mappings:
             m.check()
