@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import rendered
-from plumbline.functions import scalars
-from plumbline.functions import ed25519
+from plumbline.functions import ed25519, scalars
 from plumbline.operators import drift, learning, ledger, packs, relational
 from plumbline.plans import rules
 from plumbline.registry import query, table
@@ -327,8 +327,6 @@ _SIGNED_CASES = "CASE WHEN s_suppkey % 5 = 0 THEN 'unsigned' WHEN s_suppkey % 7
 @query(f"SELECT * FROM (SELECT CAST(s_suppkey AS BIGINT) AS seq, {_SIGNED_CASES} AS problem FROM supplier) WHERE problem IS NOT NULL")
 def ledger_signatures(spark, sf_dir):
     """An entry per supplier, signed: some are altered afterwards, some signed by a stranger, some not at all."""
-    import pandas as pd
-
     own, stranger = ed25519.SigningKey(b"ours".ljust(32)), ed25519.SigningKey(b"theirs".ljust(32))  # keys of this example only
 
     def signatures(texts: pd.Series, strange: pd.Series) -> pd.Series:
