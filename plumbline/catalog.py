@@ -459,4 +459,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the queries over rendered configurations register themselves
-from plumbline import catalog_devices, catalog_graph, catalog_text  # noqa: E402, F401
+from plumbline import catalog_devices, catalog_graph, catalog_streams, catalog_text  # noqa: E402, F401

@@ -387,13 +387,18 @@ def headline(found: DataFrame) -> DataFrame:
 
 
 def report(found: DataFrame) -> DataFrame:
-    """One row: the fleet's report as text. Findings and fixes are as many as are shown: a page of each."""
+    """One row: the fleet's report as text: a page of 200 findings and one of 200 fixes, and how many more there are
+    (all findings are in the table itself)."""
     line = F.concat(F.lit("- **"), "severity", F.lit("** "), "id", F.lit(": "), "title", F.lit("\n  "), F.coalesce("summary", F.lit("")), F.lit("\n  "), F.array_join(F.coalesce("remediation", F.array().cast("array<string>")), "; "))
     order = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).when(F.col("severity") == "medium", 2).otherwise(3)
+    many = lambda df, name: df.agg(F.count("*").alias(name))
+    more = lambda name: F.when(F.col(name) > 200, F.concat((F.col(name) - 200).cast("string"), F.lit(" more are not shown here.")))
     page = lambda df, by, c, name: df.orderBy(*by).limit(200).agg(F.transform(F.array_sort(F.collect_list(F.struct(*by_cols(by), c.alias("t")))), lambda x: x["t"]).alias(name))
     by_cols = lambda by: [b.alias(f"k{k}") for k, b in enumerate(by)]
     lines = page(found, [order, F.col("id")], line, "lines")
     fix = F.concat(F.lit("1. "), "action", F.lit(" (cuts "), F.col("paths_severed").cast("string"), F.lit(" paths)"))
-    fixes = page(rank(found).withColumn("down", -F.col("score")), [F.col("down"), F.col("fix")], fix, "fixes")
-    body = F.concat_ws("\n\n", F.lit("# Fleet"), "headline", F.lit("## Findings"), F.array_join("lines", "\n"), F.lit("## Fixes"), F.array_join("fixes", "\n"))
-    return headline(found).crossJoin(F.broadcast(lines)).crossJoin(F.broadcast(fixes)).select(body.alias("report"))
+    ranked = rank(found)
+    fixes = page(ranked.withColumn("down", -F.col("score")), [F.col("down"), F.col("fix")], fix, "fixes")
+    body = F.concat_ws("\n\n", F.lit("# Fleet"), "headline", F.lit("## Findings"), F.array_join("lines", "\n"), more("n_lines"), F.lit("## Fixes"), F.array_join("fixes", "\n"), more("n_fixes"))
+    counts = many(found, "n_lines").crossJoin(many(ranked, "n_fixes"))
+    return headline(found).crossJoin(F.broadcast(lines)).crossJoin(F.broadcast(fixes)).crossJoin(F.broadcast(counts)).select(body.alias("report"))

@@ -9,12 +9,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.operators import documents, fleet, identity, packs, parsing, report
 from plumbline.operators.ledger import canonical_json
 from plumbline.plans import rules
-from plumbline.sources import bundle
+from plumbline.sources import artefacts, bundle
 from plumbline.sources.tables import discard, staged
 
 
@@ -85,15 +86,44 @@ def audit(spark: SparkSession, path: str, **options) -> Audit:
     return run(bundle.load(spark, path), **options)
 
 
+def device_files(result: Audit, audits: DataFrame) -> DataFrame:
+    """name, value: ``<device>.ir.json`` and ``<device>.audit.json`` in canonical text (keys sorted, the same bytes
+    for the same input) and ``<device>.md``."""
+
+    def text(df: DataFrame) -> DataFrame:
+        rows = df.withColumn("body", F.struct(*df.columns))
+        return rows.select("device_id", canonical_json(F.col("body"), rows.schema["body"].dataType).alias("value"))
+
+    name = lambda end: F.concat("device_id", F.lit(end)).alias("name")
+    parts = [text(result.documents).select(name(".ir.json"), "value"), text(audits).select(name(".audit.json"), "value"), report.markdown(audits).select(name(".md"), F.col("report").alias("value"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def fleet_file(found: DataFrame) -> DataFrame:
+    """name, value: the pieces of ``fleet.json``, an array of findings in canonical text, the most severe first.  It
+    is one file by nature: one task sorts (and spills) and streams its lines, and holds none of them."""
+    rows = found.withColumn("body", F.struct(*found.columns))
+    line = canonical_json(F.col("body"), rows.schema["body"].dataType)
+    pieces = rows.select(F.lit(False).alias("end"), report.severity_rank(F.col("severity")).alias("s"), "id", line.alias("text"))
+    pieces = pieces.unionByName(found.sparkSession.range(1).select(F.lit(True).alias("end"), F.lit("]\n").alias("text")), allowMissingColumns=True)
+    ordered = pieces.withColumn("n", F.row_number().over(W.orderBy("end", "s", "id", "text")))
+    sign = F.when(F.col("n") == 1, "[").when(F.col("end"), "").otherwise(",\n")
+    return ordered.select(F.lit("fleet.json").alias("name"), F.concat(sign, "text").alias("value"))
+
+
 def write(result: Audit, path: str) -> None:
     """The artefacts: documents, audits and fleet findings as JSON (documents with their keys sorted), reports
-    as text, coverage as a table, one folder each."""
+    as text, coverage as a table, one folder each, and a file of each kind per device in ``devices``."""
     docs = result.documents.withColumn("body", F.struct(*result.documents.columns))
     docs.select("device_id", canonical_json(F.col("body"), docs.schema["body"].dataType).alias("value")).write.mode("overwrite").partitionBy("device_id").text(f"{path}/documents")
     audits = staged(result.reports(), "audits")
     audits.write.mode("overwrite").json(f"{path}/audits")
     report.markdown(audits).select("report", "device_id").write.mode("overwrite").partitionBy("device_id").option("lineSep", "\n\n").text(f"{path}/reports")
     result.coverage.write.mode("overwrite").parquet(f"{path}/coverage")
-    found = result.correlations()
+    artefacts.write_files(device_files(result, audits), f"{path}/devices")
+    found = staged(result.correlations(), "correlations")
     found.write.mode("overwrite").json(f"{path}/fleet")
-    fleet.report(found).write.mode("overwrite").text(f"{path}/fleet-report")
+    report_text = fleet.report(found).select(F.lit("fleet.md").alias("name"), F.col("report").alias("value"))
+    artefacts.write_files(fleet_file(found).unionByName(report_text), f"{path}/fleet-report")
+    for df in (audits, found):
+        discard(df)
