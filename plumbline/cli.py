@@ -71,7 +71,7 @@ def _parser() -> argparse.ArgumentParser:
     command("keygen", "file")
     command("verify", "ledger", key=text)
     command("drift", "before", "after")
-    command("stig-import", "benchmark")
+    command("stig-import", "benchmark", bindings=text, rules=text, out=text)
     command("propose", "target", **learned)
     command("train", "target", vendor={"required": True}, os=text, id={"required": True}, out={"required": True}, least={"type": float, "default": 0.85})
     command("pack", "file", sign=text, out=text)
@@ -122,7 +122,15 @@ def main(arguments: list[str] | None = None) -> int:
             print(f"entry {p.seq}: {p.problem}")
         return int(bool(problems))
     if args.command == "stig-import":
-        xccdf.benchmark(spark, xccdf.text_of(args.benchmark)).groupBy("severity").count().show()
+        rows = xccdf.controls(xccdf.text_of(args.benchmark))
+        bound = [b for _, d in _documents(args.bindings) for b in xccdf.bindings(d)] if args.bindings else []
+        made, manual = xccdf.bind(rows, bound, _rules(args.rules))
+        xccdf.counts(spark.createDataFrame(rows, xccdf.COLUMNS), [r[2] for r in rows if r not in manual]).show()
+        if args.out:
+            os.makedirs(args.out, exist_ok=True)
+            for name, body in (("rules", rules.to_documents(made)), ("catalogue", xccdf.catalogue(rows, manual))):
+                with open(f"{args.out}/{name}.json", "w", encoding="utf-8") as file:
+                    json.dump(body, file, indent=1, ensure_ascii=False)
         return 0
     if args.command == "drift":
         # folders of written audits hold both documents and audits

@@ -89,6 +89,16 @@ def from_documents(documents: Iterable[tuple[str, object]]) -> list[Rule]:
     return [out[k] for k in sorted(out)]
 
 
+def to_documents(rules: list[Rule]) -> list[dict]:
+    """Rules as a plain document, which ``from_documents`` reads again."""
+    out = []
+    for r in rules:
+        one = {"id": r.id, "title": r.title, "frameworks": list(r.frameworks), "severity": r.severity, "assert": r.assertion, "rationale": r.rationale, "remediation": {k: list(v) for k, v in r.remediation.items()}}
+        scope = {k: list(v) for k, v in (("vendor", r.vendors), ("role", r.roles)) if v}
+        out.append(one | ({"applies_to": scope} if scope else {}) | ({"verify": {"probe": r.probe}} if r.probe else {}))
+    return out
+
+
 def for_framework(rules: list[Rule], prefix: str) -> list[Rule]:
     """Rules with an identifier that begins so, whatever the case."""
     return [r for r in rules if any(f.lower().startswith(prefix.lower()) for f in r.frameworks)]

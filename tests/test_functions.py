@@ -97,6 +97,28 @@ def test_benchmarks(spark):
             xccdf.controls(bad)
 
 
+def test_import_of_a_benchmark(spark, tmp_path):
+    import json
+
+    from plumbline import cli
+
+    (tmp_path / "b.xml").write_text(BENCH)
+    own = {"bindings": [{"vuln_id": "v-1", "assert": "mgmt.telnet_enabled == false", "remediation": {"cisco_ios": ["no telnet"]}, "frameworks": ["OWN:1"], "applies_to": {"vendor": ["cisco"]}, "severity": "LOW"}, {"stig_id": "NET-1", "assert": "mgmt.http_enabled == false"}]}
+    (tmp_path / "own.json").write_text(json.dumps(own))
+    assert cli.main(["stig-import", str(tmp_path / "b.xml"), "--bindings", str(tmp_path / "own.json"), "--out", str(tmp_path / "out")]) == 0
+    made = rules.from_documents([("rules.json", json.loads((tmp_path / "out" / "rules.json").read_text()))])
+    assert made == [rules.Rule("NET-1", "low", "mgmt.telnet_enabled == false", "T", ("STIG:NET-1", "STIG-VULN:V-1", "CCI:CCI-1", "OWN:1"), "why", {"cisco_ios": ("no telnet",)}, ("cisco",))]
+    assert rules.families(made) == ["CCI", "DISA-STIG", "OWN"]
+    listed = json.loads((tmp_path / "out" / "catalogue.json").read_text())
+    assert [(c["vuln_id"], c["bound"], c["status"], c.get("rule")) for c in listed] == [("V-1", True, "evaluated", "NET-1"), ("V-2", False, "manual review", None)]
+    for bad in ([], {"bindings": {}}, {"bindings": [{"assert": "x"}]}, {"bindings": ["x"]}):
+        with pytest.raises(rules.RuleError):
+            xccdf.bindings(bad)
+    with pytest.raises(rules.RuleError):
+        xccdf.bind(xccdf.controls(BENCH), [xccdf.Binding("mgmt.telnet_enabled == false", "NET-1", remediation_from="none")], rules.SHIPPED)
+    assert rules.from_documents([("x.json", rules.to_documents(rules.SHIPPED))]) == sorted(rules.SHIPPED, key=lambda r: r.id)
+
+
 def test_rules_as_documents():
     raw = {"id": "A", "title": "t", "frameworks": ["STIG-1", "NIST:AC"], "severity": "high", "assert": "a.b == 1", "rationale": "r", "remediation": {}}
     got = rules.from_documents([("x.yaml", [raw]), ("_skip.yaml", [{}]), ("_template/y.yaml", [{}])])
