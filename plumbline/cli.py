@@ -85,9 +85,8 @@ def main(arguments: list[str] | None = None) -> int:
     args = _parser().parse_args(arguments)
 
     from plumbline.functions import ed25519
-    from plumbline.operators import documents, drift, fleet, learning, ledger, packs, report, validation
-    from plumbline.plans import audit, rules
-    from plumbline.sources import xccdf
+    from plumbline.operators import packs
+    from plumbline.sources.tables import scope
 
     if args.command == "rules":
         for r in _rules(args.rules):
@@ -115,6 +114,17 @@ def main(arguments: list[str] | None = None) -> int:
                 json.dump(sorted(held), file, indent=1)
         return 0
     spark = _session()
+    with scope(spark):  # lines with secrets in clear are staged: none stays, whatever the command
+        return _on_tables(args, spark)
+
+
+def _on_tables(args: argparse.Namespace, spark: SparkSession) -> int:
+    """The commands that need a session."""
+    from plumbline.functions import ed25519
+    from plumbline.operators import documents, drift, fleet, learning, ledger, packs, report, validation
+    from plumbline.plans import audit, rules
+    from plumbline.sources import xccdf
+
     if args.command == "verify":
         public = ed25519.load_public(args.key) if args.key else None
         problems = ledger.verify(ledger.read(spark, args.ledger), {ed25519.key_id(public): public} if public else None).orderBy("seq").collect()
@@ -192,9 +202,7 @@ def main(arguments: list[str] | None = None) -> int:
     report.listing(rules.ordered(result.findings), args.all).select("device_id", "severity", "rule_id", "verdict", "title").show(500, False)
     if args.out:
         audit.write(result, args.out)
-    code = result.exit_code()
-    result.discard()
-    return code
+    return result.exit_code()
 
 
 if __name__ == "__main__":

@@ -294,16 +294,19 @@ def ntp_drift(docs: DataFrame) -> DataFrame:
 
 
 def covers(a: Column, b: Column) -> Column:
-    """Whether entry ``a`` matches everything that ``b`` matches; no address counts as any."""
+    """Whether entry ``a`` matches everything that ``b`` matches; no address counts as any, and one that can't be
+    read is covered by nothing."""
     early, late = F.coalesce(F.lower(a["protocol"]), F.lit("")), F.coalesce(F.lower(b["protocol"]), F.lit(""))
     out = (early.isin("ip", "any") | (early == late)) & (a["dst_port"].isNull() | a["dst_port"].eqNullSafe(b["dst_port"]))
     for f in ("src", "dst"):
         x, y = F.coalesce(a[f], F.lit("any")), F.coalesce(b[f], F.lit("any"))
         net = lambda t: F.when(t == "any", "0.0.0.0/0").otherwise(t)
-        n = lambda t: F.split_part(net(t), F.lit("/"), F.lit(2)).try_cast("int")
+        one = lambda t: F.when(~F.contains(net(t), F.lit("/")), F.when(F.contains(t, F.lit(":")), 128).otherwise(32))
+        n = lambda t: F.coalesce(F.split_part(net(t), F.lit("/"), F.lit(2)).try_cast("int"), one(t))
         ip = lambda t: address_digits(F.split_part(net(t), F.lit("/"), F.lit(1)))
         inside = (F.length(ip(x)) == F.length(ip(y))) & (n(x) <= n(y)) & (leading_bits(ip(x), n(x)) == leading_bits(ip(y), n(x)))
-        out = out & ((x == "any") | F.coalesce(inside, F.lit(False)))
+        readable = n(y).isNotNull() & ip(y).isNotNull()
+        out = out & (((x == "any") & readable) | F.coalesce(inside, F.lit(False)))
     return out
 
 

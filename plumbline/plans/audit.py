@@ -6,7 +6,7 @@ an error row and leaves the others alone.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,7 +16,7 @@ from plumbline.operators import documents, fleet, identity, packs, parsing, repo
 from plumbline.operators.ledger import canonical_json
 from plumbline.plans import rules
 from plumbline.sources import artefacts, bundle
-from plumbline.sources.tables import discard, staged
+from plumbline.sources.tables import delete, discard, recorded, staged
 
 
 @dataclass
@@ -30,6 +30,7 @@ class Audit:
     salt: bytes = b"local"
     members: DataFrame | None = None
     rule_set: str = ""
+    folders: list[str] = field(default_factory=list, repr=False)
 
     @property
     def errors(self) -> DataFrame:
@@ -45,17 +46,23 @@ class Audit:
         return report.audit_documents(self.findings, self.coverage, self.evidence(), self.rule_set)
 
     def discard(self) -> None:
-        """Delete the stage tables: the audit can't be read after this."""
-        for df in (self.lines, self.devices, self.facts, self.documents, self.findings, *([self.members] if self.members is not None else [])):
-            discard(df)
+        """Delete all that the audit and its correlations staged: the audit can't be read after this."""
+        delete(self.lines.sparkSession, self.folders)
+        self.folders.clear()
 
     def correlations(self) -> DataFrame:
-        return fleet.correlations(self.documents, self.graph())
+        with recorded() as made:
+            try:
+                return fleet.correlations(self.documents, self.graph())
+            finally:
+                self.folders += made
 
     def graph(self) -> DataFrame:
         """The interfaces in their segments, staged once."""
         if self.members is None:
-            self.members = fleet.graph(self.documents)
+            with recorded() as made:
+                self.members = fleet.graph(self.documents)
+            self.folders += made
         return self.members
 
     def exit_code(self) -> int:
@@ -63,7 +70,18 @@ class Audit:
 
 
 def run(files: DataFrame, ruleset: list[rules.Rule] | None = None, salt: bytes = b"local", hold_out: tuple[str, ...] = (), learned: list[packs.Pack] | None = None) -> Audit:
-    """Audit source files (device_id, file, role, text)."""
+    """Audit source files (device_id, file, role, text).  What a failed audit has staged is deleted."""
+    with recorded() as made:
+        try:
+            result = _run(files, ruleset, salt, hold_out, learned)
+        except BaseException:
+            delete(files.sparkSession, made)
+            raise
+    result.folders = made
+    return result
+
+
+def _run(files: DataFrame, ruleset: list[rules.Rule] | None, salt: bytes, hold_out: tuple[str, ...], learned: list[packs.Pack] | None) -> Audit:
     lines = staged(bundle.lines(files), "lines")
     devices = staged(identity.identify(files, lines), "devices")
     if learned:  # a pack names devices that no signature knows

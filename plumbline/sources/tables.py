@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_ACTIVE = threading.local()
 
 
 class NoSharedFolder(RuntimeError):
@@ -17,7 +21,39 @@ class NoSharedFolder(RuntimeError):
 def stage_dir(spark: SparkSession, name: str) -> str:
     """A new folder where driver and executors both write: below ``spark.checkpoint.dir``.  Where that is
     unset, a local session takes a temporary folder, and one on a cluster fails."""
-    return f"{_root(spark)}/stages/{name}-{uuid.uuid4().hex}"
+    path = f"{_root(spark)}/stages/{name}-{uuid.uuid4().hex}"
+    for made in getattr(_ACTIVE, "lists", ()):
+        made.append(path)
+    return path
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders that this thread stages within, also those that a later step replaces."""
+    lists = _ACTIVE.__dict__.setdefault("lists", [])
+    made: list[str] = []
+    lists.append(made)
+    try:
+        yield made
+    finally:
+        lists[:] = [x for x in lists if x is not made]
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes all that is staged within, whether the work ends well or not."""
+    with recorded() as made:
+        try:
+            yield
+        finally:
+            delete(spark, made)
+
+
+def delete(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders; those that are gone already are passed over."""
+    for folder in folders:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def _root(spark: SparkSession) -> str:
@@ -41,8 +77,4 @@ def discard(df: DataFrame) -> None:
     spark = df.sparkSession
     inside = f"{_root(spark)}/stages/".split(":", 1)[-1].lstrip("/")
     folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for folder in folders:
-        if inside in folder:
-            place = path(folder)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    delete(spark, [f for f in folders if inside in f])

@@ -32,5 +32,6 @@ def run(spark: SparkSession, path: str, out: str, checkpoint: str, ruleset: list
         result = audit.run(bundle.source_files(raw), ruleset)
         result.findings.write.mode("overwrite").parquet(f"{out}/findings/batch={number}")
         result.summary().write.mode("overwrite").parquet(f"{out}/summary/batch={number}")
+        result.discard()
 
     return arrivals(spark, path).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
