@@ -68,7 +68,7 @@ def test_ledger(spark):
     assert told(hexless, {key.key_id: key.public}) == [(1, "the signature doesn't verify")]
 
 
-def test_packs():
+def test_packs(spark):
     key, other = ed25519.SigningKey(b"a" * 32), ed25519.SigningKey(b"b" * 32)
     pack = packs.Pack("p", "v", None, (packs.Mapping("aaa.enabled", "^aaa", "presence"),))
     signed = packs.from_document(json.loads(json.dumps(packs.document(pack.signed(key)))))
