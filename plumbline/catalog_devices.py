@@ -13,7 +13,7 @@ from plumbline import rendered
 from plumbline.operators import documents, drift, identity, packs, parsing, report, validation
 from plumbline.plans import audit, rules
 from plumbline.plans.shipped import COMMANDS
-from plumbline.registry import query
+from plumbline.registry import query, table
 from plumbline.rendered import FLEET_FACTS, FLEET_LINES, ONE, SHOW, VENDORS, facts_sql, sql_text
 from plumbline.sources import bundle
 
@@ -372,6 +372,27 @@ def pack_facts(spark, sf_dir):
     return got.where("path is not null").select("device_id", F.col("line_no").cast("long").alias("line_no"), "path", "value")
 
 
+FEATURES = 1000
+
+
+@query(f"""WITH l AS (SELECT DISTINCT 'd' || l_suppkey AS device_id, concat_ws('-', l_orderkey, l_partkey, CAST(l_quantity AS INTEGER)) AS file, CAST(l_linenumber AS BIGINT) AS line_no, l_partkey % {FEATURES} AS f, l_linenumber % 5 AS kind, CAST(l_quantity AS INTEGER) AS q FROM lineitem)
+SELECT device_id, file, line_no, CASE kind WHEN 0 THEN 'mgmt.idle_timeout_min' WHEN 1 THEN 'logging.level' WHEN 2 THEN 'ntp.servers' ELSE 'services.proxy_arp' END AS path, CASE kind WHEN 0 THEN CAST(q AS VARCHAR) WHEN 1 THEN 'l' || q WHEN 2 THEN 's' || q ELSE 'false' END AS value
+FROM l WHERE kind < 3 OR kind = 3 AND f % 2 = 0""")
+def pack_facts_by_index(spark, sf_dir):
+    """Lines read by three and a half thousand mappings, each meeting only those it shares a word or letters with: a
+    failed transform leaves a line to a later mapping, blocks and alternatives count, the last kind fits no block."""
+    made = []
+    for k in range(FEATURES):
+        made += [packs.Mapping("mgmt.idle_timeout_min", rf"^feature{k} level (?P<value>\w+)$", "to_int"), packs.Mapping("logging.level", rf"(?i)^FEATURE{k}\s+level\s+(?P<value>\w+)", "identity"), packs.Mapping("ntp.servers", rf"limit{k}=(?P<value>\w+)", "collect")]
+        made += [packs.Mapping("services.proxy_arp", rf"^(?:no|undo) feature{k}$", "negated_presence", within="^even")] if k % 2 == 0 else []
+    text = "CASE l_linenumber % 5 WHEN 0 THEN 'feature' || f || ' level ' || q WHEN 1 THEN 'feature' || f || ' level l' || q WHEN 2 THEN 'set xlimit' || f || '=s' || q WHEN 3 THEN 'undo feature' || f ELSE 'no feature' || f || ' at all' END"
+    rows = table(spark, sf_dir, "lineitem").selectExpr("'d' || l_suppkey AS device_id", "concat_ws('-', l_orderkey, l_partkey, CAST(l_quantity AS INT)) AS file", "l_linenumber AS line_no", f"l_partkey % {FEATURES} AS f", "CAST(l_quantity AS INT) AS q", "l_linenumber").distinct()
+    lines = rows.selectExpr("device_id", "file", "line_no", f"{text} AS text", "array('top', IF(f % 2 = 0, 'even', 'odd')) AS context")
+    devices = table(spark, sf_dir, "supplier").selectExpr("'d' || s_suppkey AS device_id", "'v' AS vendor", "CAST(NULL AS STRING) AS os")
+    got = packs.apply(lines, devices, [packs.Pack("many", "v", None, tuple(made))])
+    return got.where("path is not null").select("device_id", "file", F.col("line_no").cast("long").alias("line_no"), "path", "value")
+
+
 @query("SELECT 'd' || s_suppkey AS device_id, 'unknown' AS vendor FROM supplier")
 def pack_names_device(spark, sf_dir):
     """A fingerprint of 0.5 and 0.3 reaches the 0.6 that names a device."""

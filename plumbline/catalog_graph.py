@@ -150,6 +150,25 @@ def graph_sweeps(spark, sf_dir):
     return fleet.sweeps(_members(spark, sf_dir)).select("start", "port", "device_id", "depth")
 
 
+def _levels(n: int) -> str:
+    """Sweeps level by level: of the ways to a segment that is new the first in the order of all steps so far."""
+    out = ["l0 AS (SELECT start, port, start AS segment, [start] AS hops, false AS inf, []::STRUCT(d VARCHAR, p INTEGER, o INTEGER)[] AS ord FROM starts, ports)", "s0 AS (SELECT start, port, segment FROM l0)"]
+    for k in range(n):
+        out.append(f"h{k} AS MATERIALIZED (SELECT l.start, l.port, w.device_id, w.name, w.place, l.hops, l.inf OR w.inferred AS inf, l.ord, {k} AS depth FROM l{k} l JOIN ways w ON w.segment = l.segment AND w.port = l.port)")
+        if k < n - 1:
+            out.append(f"""l{k + 1} AS MATERIALIZED (SELECT * FROM (SELECT h.start, h.port, o.segment, list_concat(h.hops, [h.device_id || ':' || o.name, o.segment]) AS hops, h.inf OR o.inferred AS inf, list_append(h.ord, {{'d': h.device_id, 'p': CAST(h.place AS INTEGER), 'o': CAST(o.place AS INTEGER)}}) AS ord
+  FROM h{k} h JOIN members o ON o.device_id = h.device_id AND o.place <> h.place AND NOT o.down ANTI JOIN s{k} s ON s.start = h.start AND s.port = h.port AND s.segment = o.segment) QUALIFY row_number() OVER (PARTITION BY start, port, segment ORDER BY ord) = 1),
+s{k + 1} AS MATERIALIZED (SELECT * FROM s{k} UNION ALL SELECT start, port, segment FROM l{k + 1})""")
+    return ", ".join(out) + ", found AS (" + " UNION ALL ".join(f"SELECT * FROM h{k}" for k in range(n)) + ")"
+
+
+@query(f"""{_WITH}, {_levels(fleet.HOPS)} SELECT start, port, device_id, name AS interface, array_to_string(list_append(hops, device_id || ':' || name), ' > ') AS hops, inf AS inferred
+FROM found QUALIFY row_number() OVER (PARTITION BY start, port, device_id ORDER BY depth, ord, place) = 1""")
+def graph_sweep_hops(spark, sf_dir):
+    """The way of each first arrival, and whether a step of it is inferred."""
+    return fleet.sweeps(_members(spark, sf_dir)).select("start", "port", "device_id", "interface", F.array_join("hops", " > ").alias("hops"), "inferred")
+
+
 _TITLE = "name || ': ' || service || ' management is reachable from ' || sources || ' untrusted entry point' || CASE WHEN sources = 1 THEN '' ELSE 's' END"
 
 

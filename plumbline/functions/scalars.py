@@ -214,6 +214,20 @@ def transform(name: str, value: Column, table: dict[str, str] | None = None) ->
     raise ValueError(f"unknown transform {name!r}")
 
 
+#: Fixed: the transforms of learned mappings.
+TRANSFORMS = ("identity", "collect", "to_int", "to_bool", "invert_yes_no", "minutes_from_seconds", "presence", "negated_presence", "collect_redacted", "lookup")
+
+
+def transform_named(name: Column, value: Column, table: Column) -> Column:
+    """``transform`` where the transform's name and its table (keys in lower case) are columns."""
+    bare = F.regexp_replace(F.trim(value), '^"+|"+$', "")
+    out: Column = F.lit(None).cast("string")
+    for known in TRANSFORMS:
+        made = F.try_element_at(table, F.lower(bare)) if known == "lookup" else transform(known, value)
+        out = F.when(name == known, made).otherwise(out)
+    return out
+
+
 def hmac_sha256(key: bytes, message: Column) -> Column:
     """HMAC-SHA256 in lower-case hex, composed of two hashes with pads made on the driver."""
     block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")

@@ -22,6 +22,8 @@ from plumbline.operators.relational import pairs_within
 from plumbline.sources.tables import staged
 
 HOPS, ENTRIES, PATHS, DEVICES = 6, 8, 10, 12
+#: The place of a step in a sweep: the device, the interfaces in and out, the address of the way out.
+ORDER = "array<struct<device_id:string,place:int,out:int,n:int>>"
 #: Fixed: words that mark an interface, the services that are looked for, and weights of findings.
 UNTRUSTED = r"(?i)\b(untrust|internet|isp|wan|outside|public|external|uplink-to-isp|transit)\b"
 MANAGEMENT = r"(?i)\b(mgmt|management|oob|out-of-band)\b"
@@ -62,7 +64,7 @@ def graph(docs: DataFrame) -> DataFrame:
 
 
 def members(docs: DataFrame) -> DataFrame:
-    """device_id, place, name, segment, inferred, trust, shutdown, entries: interfaces in their networks.
+    """device_id, place, n (of the address), name, segment, inferred, trust, shutdown, entries: interfaces in their networks.
 
     A bare address joins the first declared network that holds it, else its /24 (/64 in IPv6).  An
     interface with one inferred network is inferred in all of them.  Trust: management before untrusted
@@ -88,7 +90,7 @@ def members(docs: DataFrame) -> DataFrame:
     every = every.withColumn("inferred", F.max("inf").over(w)).withColumn("outside", F.max(is_global(F.col("base"))).over(w))
     every = every.withColumn("trust", _trust(F.col("outside")))
     once = F.row_number().over(W.partitionBy("device_id", "place", "segment").orderBy("n"))
-    return every.withColumn("k", once).where("k = 1").select("device_id", "place", "name", "segment", "base", "inferred", "trust", "shutdown", "entries")
+    return every.withColumn("k", once).where("k = 1").select("device_id", "place", "n", "name", "segment", "base", "inferred", "trust", "shutdown", "entries")
 
 
 @per_session
@@ -221,34 +223,39 @@ def entry_groups(held: DataFrame) -> DataFrame:
 def sweeps(held: DataFrame) -> DataFrame:
     """start, port, device_id, interface, hops, inferred, depth: first arrivals of all sweeps over ``members``.
 
-    Sweeps start on the segments of untrusted interfaces that are up, one per segment and port; a
-    segment is entered once per sweep, over its first interface in the order of devices.
-    """
+    Sweeps start on the segments of untrusted interfaces that are up, one per segment and port, and go breadth first:
+    segments in the order in which they were found, interfaces of a segment by device and place, and the ways out of a
+    device by place and address.  A segment is entered once per sweep, on the first way to it.  ``order`` carries that
+    order along: the places of all steps so far, compared from the first one on, as a queue would serve them."""
     ports = [p for _, p in SERVICES.values()]
     m = held.where("not shutdown")
+    if "n" not in m.columns:
+        m = m.withColumn("n", F.lit(0))
     # which ports an interface lets in is worked out once, before the sweeps
-    m = staged(m.select("segment", "device_id", "place", "name", F.col("inferred").alias("inf"), "trust", _open_ports().alias("ports")), "ways")
+    m = staged(m.select("segment", "device_id", "place", "n", "name", F.col("inferred").alias("inf"), "trust", _open_ports().alias("ports")), "ways")
     starts = m.where("trust = 'untrusted'").select(F.col("segment").alias("start")).distinct().withColumn("port", F.explode(F.array(*map(F.lit, ports))))
-    front = starts.select("start", "port", F.col("start").alias("segment"), F.array("start").alias("hops"), F.lit(False).alias("inferred"))
+    front = starts.select("start", "port", F.col("start").alias("segment"), F.array("start").alias("hops"), F.lit(False).alias("inferred"), F.array().cast(ORDER).alias("order"))
     seen, found = front.select("start", "port", "segment"), None
-    outs = m.select("device_id", F.col("place").alias("out"), F.col("name").alias("out_name"), "segment", F.col("inf").alias("out_inf"))
+    outs = m.select("device_id", F.col("place").alias("out"), F.col("n").alias("out_n"), F.col("name").alias("out_name"), "segment", F.col("inf").alias("out_inf"))
     for depth in range(HOPS):
-        enter = front.join(m.drop("trust"), "segment").where(F.array_contains("ports", F.col("port")))
+        enter = front.join(m.drop("trust", "n"), "segment").where(F.array_contains("ports", F.col("port")))
         here = enter.select(
-            "start", "port", "device_id", F.col("name").alias("interface"), "place", F.concat("hops", F.array(F.concat_ws(":", "device_id", "name"))).alias("way"), "hops", (F.col("inferred") | F.col("inf")).alias("inferred"), F.lit(depth).alias("depth")
+            "start", "port", "device_id", F.col("name").alias("interface"), "place", F.concat("hops", F.array(F.concat_ws(":", "device_id", "name"))).alias("way"), "hops", (F.col("inferred") | F.col("inf")).alias("inferred"), "order", F.lit(depth).alias("depth")
         )
         found = here if found is None else found.unionByName(here)
         if depth == HOPS - 1:
             break
         onward = here.join(outs, "device_id").where("out <> place").join(seen, ["start", "port", "segment"], "left_anti")
-        order = F.struct("device_id", "place", "out")
-        step = onward.groupBy("start", "port", "segment").agg(F.min_by(F.struct(F.concat("hops", F.array(F.concat_ws(":", "device_id", "out_name"), F.col("segment"))).alias("hops"), (F.col("inferred") | F.col("out_inf")).alias("inferred")), order).alias("x"))
+        order = F.concat("order", F.array(F.struct("device_id", "place", "out", F.col("out_n").alias("n"))).cast(ORDER))
+        way = F.struct(F.concat("hops", F.array(F.concat_ws(":", "device_id", "out_name"), F.col("segment"))).alias("hops"), (F.col("inferred") | F.col("out_inf")).alias("inferred"), order.alias("order"))
+        step = onward.groupBy("start", "port", "segment").agg(F.min_by(way, order).alias("x"))
         front = staged(step.select("start", "port", "segment", "x.*"), "front")
         if front.isEmpty():
             break
         seen = seen.unionByName(front.select("start", "port", "segment"))
-    first = F.row_number().over(W.partitionBy("start", "port", "device_id").orderBy("depth", F.size("way"), "place"))
-    return found.withColumn("n", first).where("n = 1").select("start", "port", "device_id", "interface", F.col("way").alias("hops"), "inferred", "depth")
+    arrival = F.struct("interface", F.col("way").alias("hops"), "inferred", "depth")
+    first = found.groupBy("start", "port", "device_id").agg(F.min_by(arrival, F.struct("depth", "order", "place")).alias("x"))
+    return first.select("start", "port", "device_id", "x.*")
 
 
 EVIDENCE = "array<struct<device:string,ir_path:string,detail:string>>"

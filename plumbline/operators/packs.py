@@ -19,12 +19,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.ed25519 import SigningKey, verify_all
-from plumbline.functions.scalars import DETECTORS, transform
+from plumbline.functions.scalars import DETECTORS, transform, transform_named
+from plumbline.operators.anchors import keys_of, text_keys
 from plumbline.operators.documents import SCALARS
 from plumbline.operators.ledger import canonical
 from plumbline.operators.structure import CLOSERS, COMMENTS, grammar, tree  # noqa: F401
 
 LONGEST = 400
+#: Up to so many mappings are tried as one conditional; an index of up to so many bytes is broadcast.
+FEW, INDEX_BYTES = 64, 64 << 20
 
 
 class PackError(ValueError):
@@ -180,19 +183,11 @@ def matched(m: Mapping) -> tuple[Column, Column]:
 def apply(residue: DataFrame, devices: DataFrame, packs: list[Pack]) -> DataFrame:
     """Facts of the lines that mappings read; booleans that a line asserts stay true.
 
-    Blocks are known whose headers are among ``residue``, or all, if it has the column ``context``."""
+    Blocks are known whose headers are among ``residue``, or all, if it has the column ``context``.  Up to ``FEW``
+    mappings are one conditional; more are a table that lines meet by words (``first_by_index``), with the same facts
+    and a plan that doesn't grow with them."""
     rows = with_context(residue).where("text <> ''").join(devices.select("device_id", "vendor", "os"), "device_id")
-    out: Column = F.lit(None).cast("struct<path:string,op:string,value:string,tier:int,bp:int,pack:string>")
-    ordered = [(p, m) for p in packs for m in p.mappings]
-    for p, m in reversed(ordered):
-        own = F.col("vendor") == p.vendor
-        if p.os is not None:
-            own = own & (F.col("os").isNull() | (F.col("os") == p.os))
-        hit, value = matched(m)
-        op = "append" if SCALARS.get(m.path) == "array" else "set"
-        fact = F.struct(F.lit(m.path).alias("path"), F.lit(op).alias("op"), value.alias("value"), F.lit(m.tier).alias("tier"), F.lit(round(m.confidence * 10000)).alias("bp"), F.lit(p.id).alias("pack"))
-        out = F.when(own & hit & value.isNotNull(), fact).otherwise(out)
-    found = rows.withColumn("f", out).where("f is not null")
+    found = first_by_index(rows, packs) if sum(len(p.mappings) for p in packs) > FEW else first_in_turn(rows, packs)
     # a later false gives way to a true of the same file
     once = F.max((F.col("f.value") == "true").cast("int")).over(W.partitionBy("device_id", "file", "f.path").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1))
     boolean = F.col("f.path").isin(*[k for k, v in SCALARS.items() if v == "boolean"])
@@ -203,6 +198,56 @@ def apply(residue: DataFrame, devices: DataFrame, packs: list[Pack]) -> DataFram
     )
 
 
+def first_in_turn(rows: DataFrame, packs: list[Pack]) -> DataFrame:
+    """The fact ``f`` of each row that a mapping reads: one conditional of all mappings."""
+    out: Column = F.lit(None).cast("struct<path:string,op:string,value:string,tier:int,bp:int,pack:string>")
+    ordered = [(p, m) for p in packs for m in p.mappings]
+    for p, m in reversed(ordered):
+        own = F.col("vendor") == p.vendor
+        if p.os is not None:
+            own = own & (F.col("os").isNull() | (F.col("os") == p.os))
+        hit, value = matched(m)
+        fact = F.struct(F.lit(m.path).alias("path"), F.lit(_written(m)).alias("op"), value.alias("value"), F.lit(m.tier).alias("tier"), F.lit(round(m.confidence * 10000)).alias("bp"), F.lit(p.id).alias("pack"))
+        out = F.when(own & hit & value.isNotNull(), fact).otherwise(out)
+    return rows.withColumn("f", out).where("f is not null")
+
+
+def _written(m: Mapping) -> str:
+    return "append" if SCALARS.get(m.path) == "array" else "set"
+
+
+_INDEX = "vendor string, key string, place int, pack_os string, match string, value_group int, within string, transform string, lookup map<string,string>, path string, op string, tier int, bp int, pack string"
+
+
+def index(packs: list[Pack]) -> list[tuple]:
+    """The mappings of packs as rows of ``_INDEX``, one per key that a line must have to match."""
+    ordered = [(p, m) for p in packs for m in p.mappings]
+    out = []
+    for place, ((p, m), keys) in enumerate(zip(ordered, keys_of([m.match for _, m in ordered]), strict=True)):
+        group, values = re.compile(m.match).groupindex.get("value"), {k.lower(): str(v) for k, v in m.values.items()}
+        for key in sorted(keys):
+            out.append((p.vendor, key, place, p.os, _java(m.match), group, m.within and _java(m.within), m.transform, values, m.path, _written(m), m.tier, round(m.confidence * 10000), p.id))
+    return out
+
+
+def first_by_index(rows: DataFrame, packs: list[Pack]) -> DataFrame:
+    """device_id, file, line_no and the fact ``f`` of each line that a mapping reads, lines being known by these columns.
+
+    A line meets only the mappings with which it shares a key (``anchors``); the first in the packs' order that
+    matches and transforms counts.  The index is broadcast up to ``INDEX_BYTES``, and joined by its keys beyond."""
+    made = index(packs)
+    mappings = rows.sparkSession.createDataFrame(made, _INDEX)
+    if sum(len(str(x)) for row in made for x in row) <= INDEX_BYTES:
+        mappings = F.broadcast(mappings)
+    kinds = {row[1][:1] for row in made}
+    keyed = rows.select("device_id", "file", "line_no", "text", "context", "vendor", "os", F.explode(text_keys(F.col("text"), kinds)).alias("key"))
+    met = keyed.join(mappings, ["vendor", "key"]).where(F.col("pack_os").isNull() | F.col("os").isNull() | (F.col("os") == F.col("pack_os")))
+    inside = F.col("within").isNull() | F.coalesce(F.exists("context", lambda h: F.rlike(h, F.col("within"))), F.lit(False))
+    raw = F.when(F.col("value_group").isNull(), "").otherwise(F.expr("regexp_extract(text, match, value_group)"))
+    hits = met.where(F.rlike("text", F.col("match")) & inside).withColumn("value", transform_named(F.col("transform"), raw, F.col("lookup"))).where("value is not null")
+    return hits.groupBy("device_id", "file", "line_no").agg(F.min_by(F.struct("path", "op", "value", "tier", "bp", "pack"), "place").alias("f"))
+
+
 def structural(residue: DataFrame) -> DataFrame:
     """Claims of unread lines whose meaning is their place: blanks, comments, separators and closers."""
     text = F.col("text")
