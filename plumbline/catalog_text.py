@@ -12,7 +12,7 @@ from plumbline.operators import drift, learning, ledger, packs, relational
 from plumbline.plans import rules
 from plumbline.registry import query, table
 from plumbline.rendered import sql_text
-from plumbline.sources import bundle, xccdf
+from plumbline.sources import benchmarks, bundle, xccdf
 from plumbline.sources.tables import stage_dir
 
 
@@ -378,46 +378,64 @@ def finding_inclusion(spark, sf_dir):
 # -- benchmarks and sources -----------------------------------------------------------------------
 
 
-def _xccdf(spark: SparkSession, sf_dir: str) -> str:
-    """A benchmark of one control per nation."""
-    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25
-    severity = ["high", "medium", "low", "none"]
-    groups = "".join(
-        f'<Group id="V-{r.n_nationkey}"><Rule id="SV-{r.n_nationkey}" severity="{severity[r.n_nationkey % 4]}"><version>NET-{r.n_nationkey}</version><title>{r.n_name}</title><description>&lt;VulnDiscussion&gt;why {r.n_nationkey}&lt;/VulnDiscussion&gt;</description>'
-        f'<ident system="http://iase.disa.mil/cci">CCI-{r.n_nationkey:06d}</ident><fixtext>mend {r.n_nationkey}</fixtext></Rule></Group>'
-        for r in rows
-    )
-    return f'<?xml version="1.0"?><Benchmark xmlns="http://checklists.nist.gov/xccdf/1.1">{groups}</Benchmark>'
+#: A benchmark of every fifty parts: in some files names have a prefix, others have a document type or never end.
+_PARTS = "SELECT p_partkey AS k, p_partkey // 50 AS f, p_name FROM part"
+_CONTROLS = f"""(SELECT 'b' || f || '.xml' AS file, k, p_name, ['critical', 'medium', 'low', 'info'][k % 4 + 1] AS severity FROM ({_PARTS}) WHERE f % 7 NOT IN (3, 5))"""
 
 
-@query("SELECT 'V-' || n_nationkey AS vuln_id, 'NET-' || n_nationkey AS stig_id, n_name AS title, ['critical', 'medium', 'low', 'info'][n_nationkey % 4 + 1] AS severity, 'CCI-' || lpad(CAST(n_nationkey AS VARCHAR), 6, '0') AS cci, 'why ' || n_nationkey AS discussion, 'mend ' || n_nationkey AS fix FROM nation")
+def _benchmark_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS k", "p_partkey div 50 AS f", "p_name", "IF(p_partkey div 50 % 2 = 1, 'x:', '') AS x")
+    group = F.expr("""concat('<', x, 'Group id="V-', k, '"><', x, 'Rule id="SV-', k, '" severity="', element_at(array('high', 'MEDIUM', 'low', 'none'), int(k % 4 + 1)), '"><', x, 'version>PART-', k, '</', x, 'version><', x, 'title>', p_name, '</', x, 'title><', x, 'description>&lt;VulnDiscussion&gt;why ', k, '&lt;/VulnDiscussion&gt;</', x,
+ 'description><', x, 'ident system="http://iase.disa.mil/cci">CCI-', lpad(k, 6, '0'), '</', x, 'ident><', x, 'fixtext>', IF(k % 9 = 0, '', concat('mend <b>', k, '</b>')), '</', x, 'fixtext></', x, 'Rule></', x, 'Group>')""")
+    made = rows.withColumn("g", group).groupBy("f", "x").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "g"))), lambda r: r["g"]), "").alias("groups"))  # fifty
+    return made.selectExpr("concat('b', f, '.xml') AS file", """concat('<?xml version="1.0"?>', IF(f % 7 = 3, '<!DOCTYPE x>', ''), '<', x, 'Benchmark xmlns', IF(x = '', '', ':x'), '="http://checklists.nist.gov/xccdf/1.1">', groups, IF(f % 7 = 5, '', concat('</', x, 'Benchmark>'))) AS text""")
+
+
+@query(f"SELECT file, 'V-' || k AS vuln_id, 'PART-' || k AS stig_id, p_name AS title, severity, 'CCI-' || lpad(CAST(k AS VARCHAR), 6, '0') AS cci, 'why ' || k AS discussion, CASE WHEN k % 9 = 0 THEN '' ELSE 'mend ' || k END AS fix FROM {_CONTROLS}")
 def benchmark_controls(spark, sf_dir):
-    """The controls of a benchmark, whatever its namespace."""
-    df = xccdf.benchmark(spark, _xccdf(spark, sf_dir))
-    return df.select("vuln_id", "stig_id", "title", "severity", F.get("ccis", F.lit(0)).alias("cci"), "discussion", "fix")
+    """The controls of many benchmarks, whatever their namespaces."""
+    df = benchmarks.parse(_benchmark_files(spark, sf_dir)).where("error is null")
+    return df.select("file", "vuln_id", "stig_id", "title", "severity", F.get("ccis", F.lit(0)).alias("cci"), "discussion", "fix")
+
+
+@query(f"SELECT 'b' || f || '.xml' AS file, CASE WHEN f % 7 = 3 THEN 'a document type is refused' ELSE 'not well-formed' END AS error FROM ({_PARTS}) WHERE f % 7 IN (3, 5) GROUP BY f")
+def benchmark_failures(spark, sf_dir):
+    """A benchmark that can't be read is told, and the others are read."""
+    return benchmarks.parse(_benchmark_files(spark, sf_dir)).where("error is not null").select("file", "error")
 
 
-_BINDINGS = [{"assert": "mgmt.telnet_enabled == false", "stig_id": "net-1", "remediation_from": "CIS-NET-1.1.1"}, {"assert": "mgmt.http_enabled == false", "stig_id": "NET-1"}, {"assert": "snmp.version == 3", "vuln_id": "v-3"}]
+def _bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bindings of the first thousand numbers, by either id: those by fours come first, then by threes, then by twos."""
+    made = [{"assert": "mgmt.telnet_enabled == false", "vuln_id": f"v-{k}", "remediation_from": "CIS-NET-1.1.1"} for k in range(0, 1000, 4)]
+    made += [{"assert": "mgmt.http_enabled == false", "stig_id": f"Part-{k}", "frameworks": ["OWN:1"], "severity": "LOW"} for k in range(0, 1000, 3)]
+    made += [{"assert": "snmp.version == 3", "vuln_id": f"V-{k}", "stig_id": f"PART-{k}", "remediation": {"own": [f"do {k}"]}} for k in range(0, 1000, 2)]
+    return benchmarks.bind(benchmarks.parse(_benchmark_files(spark, sf_dir)), [xccdf.Binding.of(b) for b in made], rules.SHIPPED)
 
 
-@query("SELECT 'NET-' || n_nationkey AS stig_id, n_nationkey IN (1, 3) AS bound, CASE n_nationkey WHEN 1 THEN 'mgmt.telnet_enabled == false' WHEN 3 THEN 'snmp.version == 3' END AS assertion, CASE n_nationkey WHEN 1 THEN 'configure' WHEN 3 THEN 'mend 3' END AS first_command FROM nation")
+_WAY = "CASE WHEN k >= 1000 THEN 0 WHEN k % 4 = 0 THEN 1 WHEN k % 3 = 0 THEN 2 WHEN k % 2 = 0 THEN 3 ELSE 0 END"
+
+
+@query(f"""SELECT file, stig_id, way > 0 AS bound, CASE WHEN way > 0 THEN stig_id END AS rule, ['mgmt.telnet_enabled == false', 'mgmt.http_enabled == false', 'snmp.version == 3'][way] AS assertion, CASE way WHEN 2 THEN 'low' WHEN 0 THEN NULL ELSE severity END AS rule_severity,
+CASE way WHEN 1 THEN 'configure' WHEN 2 THEN CASE WHEN k % 9 = 0 THEN 'See the benchmark fix text.' ELSE 'mend ' || k END WHEN 3 THEN 'do ' || k END AS first_command,
+CASE WHEN way > 0 THEN 'STIG:' || stig_id || ',STIG-VULN:V-' || k || ',CCI:CCI-' || lpad(CAST(k AS VARCHAR), 6, '0') || CASE way WHEN 2 THEN ',OWN:1' ELSE '' END END AS frameworks
+FROM (SELECT *, 'PART-' || k AS stig_id, {_WAY} AS way FROM {_CONTROLS})""")
 def benchmark_bindings(spark, sf_dir):
     """The first binding of a control counts, by either id whatever the case; the rest stays manual."""
-    made, manual = xccdf.bind(xccdf.controls(_xccdf(spark, sf_dir)), [xccdf.Binding.of(b) for b in _BINDINGS], rules.SHIPPED)
-    rows = [(r.id, True, r.assertion, (r.remediation.get("panos") or r.remediation.get("manual"))[0]) for r in made] + [(m[2], False, None, None) for m in manual]
-    return _values(spark, rows, "stig_id string, bound boolean, assertion string, first_command string")
+    steps = lambda vendor: F.get(F.filter("fixes", lambda x: x["vendor"] == vendor), F.lit(0))["steps"]
+    told = F.coalesce(*map(steps, ("panos", "manual", "own")))
+    return _bound(spark, sf_dir).select("file", "stig_id", "bound", "rule", "assertion", "rule_severity", F.get(told, F.lit(0)).alias("first_command"), F.array_join("frameworks", ",").alias("frameworks"))
 
 
-@query("SELECT ['critical', 'medium', 'low', 'info'][n_nationkey % 4 + 1] AS severity, count(*) AS controls, count(*) FILTER (WHERE n_nationkey IN (1, 3)) AS checked FROM nation GROUP BY 1")
+@query(f"SELECT file, severity, count(*) AS controls, count(*) FILTER (WHERE {_WAY} > 0) AS checked FROM {_CONTROLS} GROUP BY ALL")
 def benchmark_counts(spark, sf_dir):
-    return xccdf.counts(xccdf.benchmark(spark, _xccdf(spark, sf_dir)), ["NET-1", "NET-3"])
+    return benchmarks.counts(_bound(spark, sf_dir))
 
 
-@query("SELECT n_nationkey, 'A-b-' || n_nationkey || '-' || repeat('x', 59 - length(CAST(n_nationkey AS VARCHAR))) AS clean FROM nation")
+@query("SELECT p_partkey, left('A-b-' || p_partkey || '-' || replace(p_name, ' ', '-') || '-' || repeat('x', 60), 64) AS clean FROM part")
 def benchmark_ids(spark, sf_dir):
     """Ids keep letters, digits, dots and dashes, 64 at most."""
-    rows = table(spark, sf_dir, "nation").collect()  # 25
-    return _values(spark, [(r.n_nationkey, xccdf.clean_id(f"A b/{r.n_nationkey} " + "x" * 80)) for r in rows], "n_nationkey int, clean string")
+    raw = F.concat(F.lit("/ A b/"), F.col("p_partkey").cast("string"), F.lit(" + "), "p_name", F.lit("//"), F.repeat(F.lit("x"), 60), F.lit("!"))
+    return table(spark, sf_dir, "part").select("p_partkey", benchmarks.clean_id(raw).alias("clean"))
 
 
 def _folder(spark: SparkSession, sf_dir: str) -> str:
