@@ -517,15 +517,23 @@ def line_ends(spark, sf_dir):
 # -- labels, written audits -----------------------------------------------------------------------
 
 
-@query("SELECT 'd' || n_nationkey AS device_id, 'mgmt.telnet_enabled' AS name, 'true' AS said FROM nation UNION ALL SELECT 'd' || n_nationkey, 'ntp.servers', '10.0.0.1,10.0.0.' || n_nationkey FROM nation UNION ALL SELECT 'd' || n_nationkey, 'CIS-NET-1.1.1', 'fail' FROM nation")
+_LABELLED = "(SELECT 'l' || s_suppkey || '.json' AS file, s_suppkey AS k FROM supplier)"
+
+
+@query(f"""SELECT file, NULL AS device_id, NULL AS name, NULL AS said, NULL AS line, 'a label needs a config_id' AS error FROM {_LABELLED} WHERE k % 11 IN (3, 4)
+UNION ALL SELECT file, 'd' || k, 'mgmt.telnet_enabled', CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END, 3, NULL FROM {_LABELLED} WHERE k % 11 NOT IN (3, 4)
+UNION ALL SELECT file, 'd' || k, 'ntp.servers', '10.0.0.1,10.0.0.' || k, NULL, NULL FROM {_LABELLED} WHERE k % 11 NOT IN (3, 4)
+UNION ALL SELECT file, 'd' || k, 'mgmt.idle_timeout_min', CASE WHEN k % 5 <> 0 THEN CAST(k AS VARCHAR) END, NULL, CASE WHEN k % 5 = 1 THEN 'mgmt.idle_timeout_min needs a value' END FROM {_LABELLED} WHERE k % 11 NOT IN (3, 4) AND k % 5 <> 1
+UNION ALL SELECT file, 'd' || k, 'mgmt.idle_timeout_min', NULL, 9, 'mgmt.idle_timeout_min needs a value' FROM {_LABELLED} WHERE k % 11 NOT IN (3, 4) AND k % 5 = 1
+UNION ALL SELECT file, 'd' || k, 'CIS-NET-1.1.1', CASE WHEN k % 7 <> 2 THEN 'fail' END, NULL, CASE WHEN k % 7 = 2 THEN 'CIS-NET-1.1.1 can''t be failed' END FROM {_LABELLED} WHERE k % 11 NOT IN (3, 4)""")
 def label_documents(spark, sf_dir):
+    """Label files of all suppliers: values of any kind as text; what can't be used is told, and the rest counts."""
     from plumbline.operators import validation
 
-    rows = table(spark, sf_dir, "nation").collect()  # 25
-    docs = [(f"l{r.n_nationkey}.yaml", {"config_id": f"d{r.n_nationkey}", "ir_facts": {"mgmt.telnet_enabled": {"value": True, "line": 3}, "ntp.servers": {"value": ["10.0.0.1", f"10.0.0.{r.n_nationkey}"]}}, "expected_verdicts": {"CIS-NET-1.1.1": "fail"}}) for r in rows]
-    facts, verdicts = validation.labels_of(docs)
-    f, v = _values(spark, facts, validation.FACT_LABEL), _values(spark, verdicts, validation.VERDICT_LABEL)
-    return f.select("device_id", F.col("ir_path").alias("name"), F.col("value").alias("said")).unionByName(v.select("device_id", F.col("rule_id").alias("name"), F.col("expected").alias("said")))
+    timeout = "CASE k % 5 WHEN 0 THEN '{\"value\": null}' WHEN 1 THEN '{\"line\": 9}' ELSE concat('{\"value\": ', k, '}') END"
+    body = f"""concat('{{"config_id": "d', k, '", "ir_facts": {{"mgmt.telnet_enabled": {{"value": ', IF(k % 2 = 0, 'true', 'false'), ', "line": 3}}, "ntp.servers": {{"value": ["10.0.0.1", "10.0.0.', k, '"]}}, "mgmt.idle_timeout_min": ', {timeout}, '}}, "expected_verdicts": {{"CIS-NET-1.1.1": "', IF(k % 7 = 2, 'failed', 'fail'), '"}}}}')"""
+    files = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS k").selectExpr("concat('l', k, '.json') AS file", f"CASE k % 11 WHEN 3 THEN '{{\"ir_facts\": {{}}}}' WHEN 4 THEN 'no json' ELSE {body} END AS text")
+    return validation.labels(files).select("file", "device_id", "name", F.col("value").alias("said"), "line", "error")
 
 
 @query("SELECT 'd' || s_suppkey AS device_id, s_suppkey % 2 = 0 AS rules_changed FROM supplier")

@@ -123,7 +123,8 @@ def _on_tables(args: argparse.Namespace, spark: SparkSession) -> int:
     from plumbline.functions import ed25519
     from plumbline.operators import documents, drift, fleet, learning, ledger, packs, report, validation
     from plumbline.plans import audit, rules
-    from plumbline.sources import xccdf
+    from plumbline.sources import benchmarks, xccdf
+    from plumbline.sources.tables import staged
 
     if args.command == "verify":
         public = ed25519.load_public(args.key) if args.key else None
@@ -131,6 +132,17 @@ def _on_tables(args: argparse.Namespace, spark: SparkSession) -> int:
         for p in problems:
             print(f"entry {p.seq}: {p.problem}")
         return int(bool(problems))
+    if args.command == "stig-import" and os.path.isdir(args.benchmark):  # every benchmark of a folder
+        bound = [b for _, d in _documents(args.bindings) for b in xccdf.bindings(d)] if args.bindings else []
+        parsed = staged(benchmarks.parse(benchmarks.files(spark, args.benchmark)), "benchmarks")
+        made = benchmarks.bind(parsed, bound, _rules(args.rules))
+        benchmarks.counts(made).orderBy("file", "severity").show(1000, False)
+        bad = parsed.where("error is not null").select("file", "error").collect()  # one row of a bad file
+        for r in bad:
+            print(f"{r.file}: {r.error}")
+        if args.out:
+            benchmarks.write(made, args.out)
+        return int(bool(bad))
     if args.command == "stig-import":
         rows = xccdf.controls(xccdf.text_of(args.benchmark))
         bound = [b for _, d in _documents(args.bindings) for b in xccdf.bindings(d)] if args.bindings else []

@@ -44,6 +44,38 @@ def labels_of(documents: Iterable[tuple[str, object]]) -> tuple[list[tuple], lis
 FACT_LABEL, VERDICT_LABEL = "device_id string, ir_path string, value string, line int", "device_id string, rule_id string, expected string"
 
 
+_LABEL = "config_id string, ir_facts map<string,struct<value:variant,line:int>>, expected_verdicts map<string,string>"
+
+
+def labels(files: DataFrame) -> DataFrame:
+    """file, device_id, kind (fact or verdict), name, value, line, error of label files in JSON (file, text).
+
+    What ``labels_of`` makes of parsed documents, on executors.  A file that isn't JSON or names no ``config_id`` is one
+    row with ``error``, as is each fact without a value (a null is one) and each verdict of another name; the rest of
+    such a file counts.  Facts and verdicts that are null or empty give no rows; a file that comes twice is read twice."""
+    rows = files.select("file", F.from_json("text", _LABEL, {"mode": "PERMISSIVE"}).alias("d")).select("file", "d.*")
+    named = F.coalesce("config_id", F.lit("")) != ""
+    lost = rows.where(~named).select("file", F.lit("a label needs a config_id").alias("error"))
+    facts = rows.where(named).select("file", F.col("config_id").alias("device_id"), F.explode("ir_facts").alias("name", "f"))
+    value = F.col("f.value")
+    text = F.coalesce(F.array_join(F.try_variant_get(value, "$", "array<string>"), ","), F.try_variant_get(value, "$", "string"))
+    valued = facts.select("file", "device_id", F.lit("fact").alias("kind"), "name", text.alias("value"), F.col("f.line").alias("line"), F.when(value.isNull(), F.concat("name", F.lit(" needs a value"))).alias("error"))
+    expected = rows.where(named).select("file", F.col("config_id").alias("device_id"), F.explode("expected_verdicts").alias("name", "value"))
+    wrong = ~F.coalesce(F.col("value").isin(*VERDICTS), F.lit(False))
+    said = expected.select("file", "device_id", F.lit("verdict").alias("kind"), "name", F.when(~wrong, F.col("value")).alias("value"), F.lit(None).cast("int").alias("line"), F.when(wrong, F.concat("name", F.lit(" can't be "), F.coalesce("value", F.lit("null")))).alias("error"))
+    return valued.unionByName(said).unionByName(lost, allowMissingColumns=True)
+
+
+def fact_labels(found: DataFrame) -> DataFrame:
+    """The facts of ``labels`` as ``fact_accuracy`` takes them."""
+    return found.where("kind = 'fact' and error is null").select("device_id", F.col("name").alias("ir_path"), "value", "line")
+
+
+def verdict_labels(found: DataFrame) -> DataFrame:
+    """The verdicts of ``labels`` as ``verdicts`` takes them."""
+    return found.where("kind = 'verdict' and error is null").select("device_id", F.col("name").alias("rule_id"), F.col("value").alias("expected"))
+
+
 def verdicts(found: DataFrame, labels: DataFrame) -> DataFrame:
     """One row of counts and rates over labels (device_id, rule_id, expected).
 

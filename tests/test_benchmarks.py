@@ -68,3 +68,29 @@ def test_written_rules_and_catalogue(spark, tmp_path):
     assert lost.where("bound").first().problem == "remediation of unknown rule none"
     with pytest.raises(Exception, match="unknown rule"):
         benchmarks.write(lost, f"file://{tmp_path}/lost")
+
+
+def test_command_over_a_folder(spark, tmp_path, capsys):
+    from plumbline import cli
+
+    (tmp_path / "in").mkdir()
+    for name, text in (("a.xml", TEXT), ("b.xml", TEXT[:-4])):
+        (tmp_path / "in" / name).write_text(text)
+    (tmp_path / "own.json").write_text(json.dumps({"bindings": OWN}))
+    assert cli.main(["stig-import", str(tmp_path / "in"), "--bindings", str(tmp_path / "own.json"), "--out", str(tmp_path / "out")]) == 1
+    assert "b.xml: not well-formed" in capsys.readouterr().out
+    assert sum(len(f.read_text().splitlines()) for f in (tmp_path / "out" / "rules").glob("part-*")) == 2
+
+
+def test_labels_like_the_plain_ones(spark):
+    from plumbline.operators import validation
+
+    docs = [{"config_id": "d", "ir_facts": {"a.b": {"value": v, "line": k}, "c": {"value": None}}, "expected_verdicts": {"R": "pass", "S": "unknown"}} for k, v in enumerate(["x, [y]", "[1]", True, 7, 1.5, [], ["a", "b"], [1, 2], ""])] + [{"config_id": "e"}, {"config_id": "f", "ir_facts": {}, "expected_verdicts": None}]
+    facts, verdicts = validation.labels_of([(str(k), d) for k, d in enumerate(docs)])
+    found = validation.labels(spark.createDataFrame([(str(k), json.dumps(d), 1) for k, d in enumerate(docs)], "file string, text string, name int"))
+    assert sorted(map(str, (tuple(r) for r in validation.fact_labels(found).collect()))) == sorted(map(str, facts))
+    assert sorted(tuple(r) for r in validation.verdict_labels(found).collect()) == sorted(verdicts)
+    bad = [("a", None), ("b", ""), ("c", "[1]"), ("d", '{"config_id": ""}'), ("e", '{"config_id": "x", "ir_facts": {"p": {"line": 1}}, "expected_verdicts": {"R": "maybe", "S": null, "T": "pass"}}')]
+    got = validation.labels(spark.createDataFrame(bad, "file string, text string"))
+    assert sorted((r.file, r.error) for r in got.collect() if r.error) == [(f, "a label needs a config_id") for f in "abcd"] + [("e", "R can't be maybe"), ("e", "S can't be null"), ("e", "p needs a value")]
+    assert [tuple(r) for r in validation.verdict_labels(got).collect()] == [("x", "T", "pass")] and validation.labels(spark.createDataFrame([], "file string, text string")).count() == 0
