@@ -135,11 +135,14 @@ def transform_lib_casts(spark, sf_dir):
 # -- the assertion language -----------------------------------------------------------------------
 
 
-@query("""SELECT a, b, a AND b AS both, a OR b AS either, NOT a AS no FROM (VALUES (true), (false), (NULL::BOOLEAN)) x(a), (VALUES (true), (false), (NULL::BOOLEAN)) y(b)""")
+@query("""SELECT a, b, a AND b AS both, a OR b AS either, NOT a AS no, count(*) AS n FROM (SELECT CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS a, CASE user_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS b FROM events) GROUP BY ALL""")
 def kleene_truth_table(spark, sf_dir):
-    grid = spark.createDataFrame([((a, b),) for a in (True, False, None) for b in (True, False, None)], "d struct<a:boolean,b:boolean>")
-    c = lambda s: compile_assertion(s, grid.schema).value
-    return grid.select("d.a", "d.b", c("d.a and d.b").alias("both"), c("d.a or d.b").alias("either"), c("not d.a").alias("no"))
+    """The connectives over every event, by what they give."""
+    truth = lambda c: f"CASE {c} % 3 WHEN 0 THEN true WHEN 1 THEN false END"
+    rows = table(spark, sf_dir, "events").selectExpr(f"named_struct('a', {truth('event_id')}, 'b', {truth('user_id')}) AS d")
+    c = lambda s: compile_assertion(s, rows.schema).value
+    made = rows.select("d.a", "d.b", c("d.a and d.b").alias("both"), c("d.a or d.b").alias("either"), c("not d.a").alias("no"))
+    return made.groupBy("a", "b", "both", "either", "no").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT CASE WHEN quality IS NULL THEN 'unknown' WHEN quality <= 0 THEN 'pass' ELSE 'fail' END AS verdict, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")

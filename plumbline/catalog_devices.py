@@ -192,28 +192,32 @@ def rules_in_scope(spark, sf_dir):
     return rules.findings(fleet(spark, sf_dir).documents, [*chosen, own]).select("device_id", "rule_id", "verdict")
 
 
-def _frameworks_sql() -> str:
-    rows = ", ".join(f"('{r.id}', '{f}')" for r in rules.SHIPPED for f in r.frameworks)
-    return f"(VALUES {rows}) x(rule_id, framework)"
+#: Rule sets of fifty parts each: id, severity, assertion, probe, frameworks.
+_RULE_ROWS = """(SELECT 's' || (p_partkey // 50) AS rule_set, 'R-' || p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity, 'device.model == "' || p_name || '"' AS assertion, p_partkey % 3 = 0 AS probed,
+['CIS-v8', 'NIST-SP800-53:' || CASE WHEN p_partkey % 5 = 0 THEN 'AC' ELSE 'SC' END || '-' || (p_partkey % 9), CASE WHEN p_partkey % 50 < 10 AND p_partkey // 50 % 2 = 0 THEN 'STIG-VULN:V-' || p_partkey ELSE 'OWN:1' END] AS frameworks FROM part)"""
 
 
-@query(f"SELECT DISTINCT rule_id, framework FROM {_frameworks_sql()} WHERE rule_id IN (SELECT rule_id FROM {_frameworks_sql()} WHERE lower(framework) LIKE 'nist-sp800-53:ac%')")
+def _rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr(
+        "concat('s', p_partkey div 50) AS rule_set", "concat('R-', p_partkey) AS rule_id", "element_at(array('critical', 'high', 'medium', 'low'), int(p_partkey % 4 + 1)) AS severity", "concat('device.model == \"', p_name, '\"') AS assertion", "IF(p_partkey % 3 = 0, 'ping', NULL) AS probe",
+        "array('CIS-v8', concat('NIST-SP800-53:', IF(p_partkey % 5 = 0, 'AC', 'SC'), '-', p_partkey % 9), IF(p_partkey % 50 < 10 AND p_partkey div 50 % 2 = 0, concat('STIG-VULN:V-', p_partkey), 'OWN:1')) AS frameworks",
+    )
+
+
+@query(f"SELECT rule_set, id AS rule_id, unnest(frameworks) AS framework FROM {_RULE_ROWS} WHERE frameworks[2] LIKE 'NIST-SP800-53:AC%'")
 def rules_of_framework(spark, sf_dir):
     """Rules with an identifier that begins so, whatever the case."""
-    table = rules.project(rules.for_framework(rules.SHIPPED, "nist-sp800-53:ac"), spark)
-    return table.select("rule_id", F.explode("frameworks").alias("framework"))
+    return rules.of_framework(_rule_rows(spark, sf_dir), "nist-sp800-53:ac").select("rule_set", "rule_id", F.explode("frameworks").alias("framework"))
 
 
-@query(f"SELECT DISTINCT CASE WHEN split_part(framework, ':', 1) LIKE 'STIG%' THEN 'DISA-STIG' ELSE split_part(framework, ':', 1) END AS family FROM {_frameworks_sql()}")
+@query(f"SELECT DISTINCT rule_set, CASE WHEN f LIKE 'STIG%' THEN 'DISA-STIG' ELSE split_part(f, ':', 1) END AS family FROM (SELECT rule_set, unnest(frameworks) AS f FROM {_RULE_ROWS})")
 def rule_families(spark, sf_dir):
-    return spark.createDataFrame([(f,) for f in rules.families(rules.SHIPPED)], "family string")
+    return rules.families_of(_rule_rows(spark, sf_dir), "rule_set")
 
 
-@query("SELECT left(sha256('[' || string_agg('{\"assert\":\"' || a || '\",\"id\":\"' || id || '\",\"severity\":\"' || s || '\"}', ',' ORDER BY id) || ']'), 16) AS digest, count(*) FILTER (WHERE p AND s IN ('critical', 'high')) AS verifiable FROM (VALUES "
-       + ", ".join(f"('{r.id}', '{r.assertion}', '{r.severity}', {r.probe is not None})" for r in rules.SHIPPED) + ") x(id, a, s, p)")
+@query(f"""SELECT rule_set, left(sha256('[' || string_agg('{{"assert":"' || replace(assertion, '"', '\\"') || '","id":"' || id || '","severity":"' || severity || '"}}', ',' ORDER BY id) || ']'), 16) AS digest, count(*) FILTER (WHERE probed AND severity IN ('critical', 'high')) AS verifiable FROM {_RULE_ROWS} GROUP BY rule_set""")
 def rule_set_digest(spark, sf_dir):
-    table = rules.project(rules.SHIPPED, spark)
-    return table.agg(F.lit(rules.digest(rules.SHIPPED)).alias("digest"), F.count_if("verifiable").alias("verifiable"))
+    return rules.digests(_rule_rows(spark, sf_dir), "rule_set").select("rule_set", "digest", "verifiable")
 
 
 # -- evidence and remediation ---------------------------------------------------------------------
@@ -406,14 +410,16 @@ def structural_lines(spark, sf_dir):
     return packs.structural(lines).select("device_id", F.col("line_no").cast("long").alias("line_no"))
 
 
-@query("SELECT pack_id, CAST(n AS BIGINT) AS devices FROM (VALUES ('any', 3), ('cisco', 2), ('eos', 1)) x(pack_id, n)")
+@query("""SELECT 'd' || s_suppkey AS device_id, p.pack_id FROM supplier JOIN (VALUES (0, 'cisco'), (1, 'cisco'), (3, 'eos'), (4, 'any'), (5, 'any'), (6, 'any')) p(kind, pack_id) ON s_suppkey % 7 = p.kind""")
 def pack_selection(spark, sf_dir):
     """A pack reads devices of its vendor and system; a system that either side leaves open fits."""
-    devices = spark.createDataFrame([(f"d{k}", v, o) for k, (v, o) in enumerate([("cisco", "IOS"), ("cisco", None), ("cisco", "NX-OS"), ("arista", "EOS"), ("x", "A"), ("x", "B"), ("x", None)])], "device_id string, vendor string, os string")
+    kinds = [("cisco", "IOS"), ("cisco", None), ("cisco", "NX-OS"), ("arista", "EOS"), ("x", "A"), ("x", "B"), ("x", None)]
+    one_of = lambda at: "CASE s_suppkey % 7 " + " ".join(f"WHEN {k} THEN '{v[at]}'" for k, v in enumerate(kinds) if v[at]) + " END"
+    devices = table(spark, sf_dir, "supplier").selectExpr("concat('d', s_suppkey) AS device_id", f"{one_of(0)} AS vendor", f"{one_of(1)} AS os")
     lines = devices.select("device_id", F.lit("f").alias("file"), F.lit(1).alias("line_no"), F.lit("known").alias("raw"), F.lit("known").alias("text"), F.lit(0).alias("indent"))
     one = (packs.Mapping("aaa.enabled", "^known", "presence"),)
     made = [packs.Pack("any", "x", None, one), packs.Pack("cisco", "cisco", "IOS", one), packs.Pack("eos", "arista", "EOS", one)]
-    return packs.apply(lines, devices, made).groupBy(F.col("pack").alias("pack_id")).agg(F.count("*").alias("devices"))
+    return packs.apply(lines, devices, made).select("device_id", F.col("pack").alias("pack_id"))
 
 
 @query(f"{_WITH} SELECT device_id, CASE vendor WHEN 'juniper' THEN 'brace' WHEN 'mikrotik' THEN 'flat' WHEN 'paloalto' THEN 'xml' ELSE 'indent' END AS grammar FROM devices")

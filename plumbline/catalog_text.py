@@ -104,18 +104,14 @@ def port_expressions(spark, sf_dir):
     return rows.select("o_orderkey", "port", scalars.port_matches(F.col("t"), F.col("port")).alias("hit"))
 
 
-@query("SELECT * FROM (VALUES ('(a+)+', false), ('^x (?P<value>\\S+)', true), ('[', false), ('10.0.0.1', false), ('" + "a" * 401 + "', false), ('^ntp server \\S+$', true), ('mail me@example.org', false)) x(pattern, safe)")
+@query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'a pattern repeats a repetition' WHEN 2 THEN 'malformed pattern' WHEN 3 THEN 'a pattern holds an address' WHEN 4 THEN 'a pattern is too long' WHEN 6 THEN 'a pattern holds an address' END AS refused FROM part""")
 def safe_patterns(spark, sf_dir):
     """Patterns that are long, malformed, repeat a repetition or show customer data are refused."""
-    out = []
-    for p in ("(a+)+", r"^x (?P<value>\S+)", "[", "10.0.0.1", "a" * 401, r"^ntp server \S+$", "mail me@example.org"):
-        try:
-            packs.safe_pattern(p)
-            packs.no_customer_data(p)
-            out.append((p, True))
-        except packs.PackError:
-            out.append((p, False))
-    return _values(spark, out, "pattern string, safe boolean")
+    forms = ["concat('(a', k, '+)+')", r"concat('^x', k, ' (?P<value>\\S+)')", "concat('[', k)", "concat('10.0.0.', k % 200)", "repeat(concat('a', k), 401)", r"concat('^ntp ', k, ' \\S+$')", "concat('ntp 192.168.7.', k % 200)", "concat('word', k)"]
+    pattern = "CASE p_partkey % 8 " + " ".join(f"WHEN {n} THEN {f.replace('k', 'p_partkey')}" for n, f in enumerate(forms)) + " END"
+    told = packs.refusals(F.col("pattern"))
+    kind = F.when(told.rlike("^a pattern holds"), "a pattern holds an address").otherwise(F.split_part(told, F.lit(":"), F.lit(1)))
+    return table(spark, sf_dir, "part").selectExpr("p_partkey", f"{pattern} AS pattern").select("p_partkey", kind.alias("refused"))
 
 
 # -- learning -------------------------------------------------------------------------------------
@@ -239,26 +235,23 @@ def confirmed_mappings(spark, sf_dir):
     return _values(spark, [(m.match, m.tier) for m in learning.withdraw(held, "^lldp")], "match string, tier int")
 
 
-@query("SELECT * FROM (VALUES ('^\\s*telnet\\s+server\\b', 0.48), ('^\\s*ssh\\b', 0.48), ('^\\s*idle-timeout\\b', 0.48)) x(pattern, confidence)")
+@query(r"""WITH heads AS (SELECT p_brand AS pack, replace(p_name, ' ', '\s+') AS head, min(p_partkey) AS place FROM part GROUP BY ALL), five AS (SELECT * FROM heads QUALIFY row_number() OVER (PARTITION BY pack ORDER BY place) <= 5)
+SELECT pack, '^\s*' || head || '\b' AS pattern, round(least(0.9, 1 / count(*) OVER (PARTITION BY pack) + 0.15), 2) AS confidence FROM five""")
 def pack_fingerprint(spark, sf_dir):
-    """The words that begin the patterns of a taught vendor, weighed evenly."""
-    made = [packs.Mapping("aaa.enabled", p, "presence") for p in (r"^telnet\s+server\s+(?P<value>\S+)", r"^ssh\s+(?P<value>\S+)", r"^idle-timeout\s+\d+", r"^telnet\s+server\s+x")]
-    return _values(spark, list(learning.fingerprint(made)), "pattern string, confidence double")
+    """The words that begin the patterns of each taught vendor, five at most, weighed evenly."""
+    match = F.concat(F.lit("^"), F.regexp_replace("p_name", " ", r"\\s+"), F.lit(r" (?P<value>\S+)"))
+    return learning.fingerprints(table(spark, sf_dir, "part").select(F.col("p_brand").alias("pack"), F.col("p_partkey").alias("place"), match.alias("match")))
 
 
-@query("SELECT CASE WHEN a = 'sha' THEN 'same' END AS same_digest, admitted, refused FROM (VALUES ('sha', true, true)) x(a, admitted, refused)")
+@query(r"""WITH f AS (SELECT DISTINCT p_partkey // 5 AS k FROM part) SELECT 'p' || k || '.json' AS file, CASE WHEN k % 7 = 3 THEN NULL ELSE sha256('{"fingerprint":[],"id":"pack' || k || '","mappings":[{"confidence":"0.8765","match":"^feature' || k || '$","path":"aaa.enabled","tier":2,"transform":"presence","values":{},"within":""}],"os":"","vendor":"v"}') END AS digest,
+k % 2 = 0 AND k % 7 <> 3 AND k < 200 AS admitted, CASE WHEN k % 7 = 3 THEN 'a pack lacks' WHEN k % 2 = 0 AND k < 200 THEN NULL ELSE 'isn''t trusted' END AS problem FROM f""")
 def pack_trust(spark, sf_dir):
-    """A pack's digest survives its document; trusted packs are admitted, one untrusted pack refuses all."""
-    pack = packs.Pack("p", "v", "o", (packs.Mapping("aaa.enabled", "^aaa", "presence", 2, 0.87654),), (("^x", 0.5),))
-    again = packs.from_document(packs.document(pack))
-    other = packs.Pack("q", "v", None, ())
-    try:
-        packs.admit([pack, other], {pack.digest()})
-        refused = False
-    except packs.PackError:
-        refused = True
-    row = ("same" if again.digest() == pack.digest() else None, packs.admit([again], {pack.digest()}) == [again], refused)
-    return _values(spark, [row], "same_digest string, admitted boolean, refused boolean")
+    """Packs of a registry, one per five parts: digests of what they say, those trusted, and what is wrong with the rest."""
+    trusted = {packs.Pack(f"pack{k}", "v", None, (packs.Mapping("aaa.enabled", f"^feature{k}$", "presence", 2, 0.87654),)).digest() for k in range(0, 200, 2)}
+    body = """concat('{"id": "pack', k, '", ', IF(k % 7 = 3, '', '"vendor": "v", '), '"mappings": [{"ir_path": "aaa.enabled", "match": "^feature', k, '$", "transform": "presence", "tier_learned": 2, "confidence": 0.87654}]}')"""
+    files = table(spark, sf_dir, "part").selectExpr("p_partkey div 5 AS k").distinct().selectExpr("concat('p', k, '.json') AS file", f"{body} AS text")
+    got = packs.checked(files, trusted)
+    return got.select("file", "digest", "admitted", F.when(F.col("problem").rlike("lacks"), "a pack lacks").when(F.col("problem").isNotNull(), F.regexp_extract("problem", "isn't trusted", 0)).alias("problem"))
 
 
 # -- ledger ---------------------------------------------------------------------------------------
@@ -467,10 +460,12 @@ def bundle_loose_files(spark, sf_dir):
     return bundle.source_files(rows.select(F.concat(F.lit("d"), F.col("k").cast("string"), "s").alias("path"), content.alias("content")))
 
 
-@query("SELECT 'device' AS device_id, 'core.cfg' AS file, 'config' AS role UNION ALL SELECT 'device', 'core.inventory.txt', 'show_output'")
+@query("SELECT 'device' AS device_id, 'core.cfg' AS file, 'config' AS role UNION ALL SELECT 'device', 'core.inventory-' || s_suppkey || '.txt', 'show_output' FROM supplier")
 def bundle_single_device(spark, sf_dir):
-    """A folder with one configuration and no folders is one device."""
-    return bundle.source_files(_values(spark, [("core.cfg", b"x"), ("core.inventory.txt", b"y")], "path string, content binary")).select("device_id", "file", "role")
+    """A folder with one configuration and no folders is one device, however many outputs lie beside it."""
+    rows = table(spark, sf_dir, "supplier")
+    names = rows.select(F.concat(F.lit("core.inventory-"), F.col("s_suppkey").cast("string"), F.lit(".txt")).alias("path")).unionByName(rows.agg(F.lit("core.cfg").alias("path")))
+    return bundle.source_files(names.withColumn("content", F.encode("path", "UTF-8"))).select("device_id", "file", "role")
 
 
 @query("SELECT 'a' AS device_id, 'a.cfg' AS file, 'hostname a' AS text UNION ALL SELECT 'b', 'b.cfg', 'hostname b'")

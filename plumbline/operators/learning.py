@@ -226,17 +226,29 @@ def withdraw(held: list, match: str) -> list:
     return [m for m in held if m.match != match]
 
 
+HEAD = r"^\^([A-Za-z/][\w/-]*(?:\\s\+[A-Za-z][\w-]*)?)"
+
+
 def fingerprint(held: list) -> tuple[tuple[str, float], ...]:
     """What tells a taught vendor: the one or two words that begin its patterns, five at most."""
     heads: list[str] = []
     for m in held:
-        found = re.match(r"\^([A-Za-z/][\w/-]*(?:\\s\+[A-Za-z][\w-]*)?)", m.match)
+        found = re.match(HEAD, m.match)
         if found and found[1] not in heads:
             heads.append(found[1])
     weight = round(min(0.9, 1 / max(len(heads[:5]), 1) + 0.15), 2)
     return tuple((rf"^\s*{h}\b", weight) for h in heads[:5])
 
 
+def fingerprints(held: DataFrame) -> DataFrame:
+    """pack, pattern, confidence: the ``fingerprint`` of every pack of a table of mappings (pack, place, match)."""
+    head = F.regexp_extract("match", HEAD, 1)
+    first = held.select("pack", "place", head.alias("head")).where("head <> ''").groupBy("pack", "head").agg(F.min("place").alias("place"))
+    five = first.withColumn("n", F.row_number().over(W.partitionBy("pack").orderBy("place"))).where("n <= 5")
+    weight = F.round(F.least(F.lit(0.9), 1 / F.count("*").over(W.partitionBy("pack")) + 0.15), 2)
+    return five.select("pack", F.concat(F.lit(r"^\s*"), "head", F.lit(r"\b")).alias("pattern"), weight.alias("confidence"))
+
+
 def accepted(proposals: DataFrame, least: float = ACCEPTED) -> DataFrame:
     """Proposals sure enough to apply without a person."""
     return proposals.where(F.col("confidence") >= least)

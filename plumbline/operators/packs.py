@@ -9,17 +9,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.ed25519 import SigningKey, verify_all
-from plumbline.functions.scalars import DETECTORS, transform, transform_named
+from plumbline.functions.scalars import DETECTORS, TRANSFORMS, transform, transform_named
 from plumbline.operators.anchors import keys_of, text_keys
 from plumbline.operators.documents import SCALARS
 from plumbline.operators.ledger import canonical
@@ -52,7 +55,8 @@ class Mapping:
             no_customer_data(p)
         for text in (x for kv in self.values.items() for x in kv):
             no_customer_data(str(text))
-        transform(self.transform, F.lit("x"), self.values)
+        if self.transform not in TRANSFORMS:
+            raise PackError(f"unknown transform {self.transform!r}")
 
 
 @dataclass(frozen=True)
@@ -137,6 +141,51 @@ def no_customer_data(pattern: str) -> None:
                 raise PackError(f"a pattern holds {name}")
 
 
+def refusals(patterns: Column) -> Column:
+    """Why each pattern of a column is refused; null for those that aren't, and for null."""
+
+    @F.pandas_udf("string")
+    def why(texts: pd.Series) -> pd.Series:
+        return texts.map(_refusal)
+
+    return why(patterns)
+
+
+def _refusal(pattern: str | None) -> str | None:
+    if pattern is None:
+        return None
+    try:
+        safe_pattern(pattern)
+        no_customer_data(pattern)
+    except PackError as e:
+        return str(e)
+    return None
+
+
+def checked(files: DataFrame, trusted: set[str], keys: dict[str, bytes] | None = None) -> DataFrame:
+    """file, id, digest, admitted, problem of packs in JSON (file, text), each checked by executors as ``admit`` does.
+
+    Null and empty texts, bad JSON and packs that lack a field are told as ``problem`` and leave the others alone."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for file, text in zip(batch["file"], batch["text"], strict=True):
+                pack, problem = None, None
+                try:
+                    raw = json.loads(text or "")
+                    if not isinstance(raw, dict):
+                        raise PackError("a pack is a mapping")
+                    pack = from_document(raw)
+                    admit([pack], trusted, keys)
+                except ValueError as e:  # also PackError and bad JSON
+                    problem = str(e)
+                rows.append((file, pack and pack.id, pack and pack.digest(), problem is None, problem))
+            yield pd.DataFrame(rows, columns=["file", "id", "digest", "admitted", "problem"])
+
+    return files.select("file", "text").mapInPandas(read, "file string, id string, digest string, admitted boolean, problem string")
+
+
 def admit(packs: list[Pack], trusted: set[str], keys: dict[str, bytes] | None = None) -> list[Pack]:
     """All packs, if every one of them has a trusted digest or, where keys are given, is signed by one of them;
     none otherwise.  A signature that is there must hold even if the digest is trusted."""

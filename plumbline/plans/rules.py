@@ -11,9 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from plumbline.functions.reuse import per_session
+from plumbline.operators.ledger import canonical_json
 from plumbline.plans.assertions import Compiler, parse
 from plumbline.plans.shipped import COMMANDS, RULES, WORDS
 
@@ -114,6 +115,31 @@ def digest(rules: list[Rule]) -> str:
     return hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()[:16]
 
 
+def of_framework(table: DataFrame, prefix: str) -> DataFrame:
+    """Rules of a table (frameworks) with an identifier that begins so, whatever the case."""
+    return table.where(F.exists("frameworks", lambda f: F.lower(f).startswith(prefix.lower())))
+
+
+def families_of(table: DataFrame, by: str) -> DataFrame:
+    """The column ``by`` and family: the families of the rules (frameworks) of each rule set."""
+    head = F.split_part("f", F.lit(":"), F.lit(1))
+    return table.select(by, F.explode("frameworks").alias("f")).select(by, F.when(head.startswith("STIG"), "DISA-STIG").otherwise(head).alias("family")).distinct()
+
+
+_SAID = StructType([StructField(n, StringType()) for n in ("assert", "id", "severity")])
+
+
+def digests(table: DataFrame, by: str) -> DataFrame:
+    """The column ``by``, n, verifiable and digest (as ``digest``) of rule sets (rule_id, severity, assertion, probe).
+
+    A hash takes a rule set in order, so each is one task's array of short texts; sets are spread over tasks."""
+    one = F.struct(F.col("assertion").alias("assert"), F.col("rule_id").alias("id"), "severity")
+    texts = table.withColumn("t", F.struct("rule_id", canonical_json(one, _SAID).alias("json")))
+    body = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["json"]), ","), F.lit("]"))
+    sure = F.col("probe").isNotNull() & F.col("severity").isin("critical", "high")
+    return texts.groupBy(by).agg(F.count("*").alias("n"), F.count_if(sure).alias("verifiable"), F.left(F.sha2(body, 256), F.lit(16)).alias("digest"))
+
+
 def severity_rank(column: Column) -> Column:
     return reduce(lambda acc, kv: acc.when(column == kv[1], kv[0]), enumerate(SEVERITIES), F.when(F.lit(False), 0)).otherwise(9)
 

@@ -95,3 +95,45 @@ def test_nothing_to_read(spark):
     many = Pack("p", "v", None, tuple(Mapping("aaa.enabled", f"^w{k}$", "presence") for k in range(packs.FEW + 1)))
     assert packs.apply(df.limit(0), devices, [many]).count() == 0 and packs.apply(df, devices.limit(0), [many]).count() == 0
     assert packs.apply(df, devices, []).count() == 0 and packs.apply(df, devices, [many]).count() == 0
+
+
+def test_packs_of_a_registry_like_admit(spark):
+    import json
+
+    from plumbline.functions.ed25519 import SigningKey
+
+    key, other = SigningKey.generate(), SigningKey.generate()
+    one = Pack("one", "v", None, (Mapping("aaa.enabled", "^aaa", "presence", 2, 0.87654),), (("^x", 0.5),))
+    leaky = Pack("leaky", "v", None, (Mapping("aaa.enabled", "^ntp 10.0.0.1", "presence"),))
+    named = {"trusted": one, "signed": one.signed(key), "stranger": Pack("two", "v", None, one.mappings).signed(other), "plain": Pack("three", "v", None, ()), "leaky": leaky}
+    files = [(k, json.dumps(packs.document(p)), k) for k, p in named.items()] + [("null", None, ""), ("empty", "", ""), ("list", "[]", ""), ("bare", "{}", ""), ("odd", json.dumps(packs.document(one) | {"mappings": [{"ir_path": "aaa.enabled", "match": "x", "transform": "none"}]}), "")]
+    df = spark.createDataFrame(files, "file string, text string, id string")
+    got = {r.file: r for r in packs.checked(df, {one.digest(), leaky.digest()}, {key.key_id: key.public}).collect()}
+    assert {k for k, r in got.items() if r.admitted} == {"trusted", "signed"} and got["signed"].digest == one.digest() == got["trusted"].digest
+    assert all(r.problem for k, r in got.items() if not r.admitted) and len(got) == len(files)
+    assert "isn't trusted" in got["stranger"].problem and "holds" in got["leaky"].problem
+    assert packs.checked(df.limit(0), set()).count() == 0
+
+
+def test_tables_like_lists(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from plumbline.operators import learning
+    from plumbline.plans import rules
+
+    table = rules.project(rules.SHIPPED, spark)
+    rows = spark.createDataFrame([("s", r.id, r.severity, r.assertion, r.probe, list(r.frameworks)) for r in rules.SHIPPED] + [("t", "R", "low", 'a == "ü\\n"', None, [])], "rule_set string, rule_id string, severity string, assertion string, probe string, frameworks array<string>")
+    sums = {r.rule_set: r for r in rules.digests(rows, "rule_set").collect()}
+    assert sums["s"].digest == rules.digest(rules.SHIPPED) and sums["s"].verifiable == table.where("verifiable").count()
+    assert sums["t"].digest == rules.digest([rules.Rule("R", "low", 'a == "ü\\n"')])
+    assert sorted(r.family for r in rules.families_of(rows, "rule_set").collect()) == rules.families(rules.SHIPPED)
+    assert sorted(r.rule_id for r in rules.of_framework(rows, "nist-SP800-53:ac").collect()) == sorted(r.id for r in rules.for_framework(rules.SHIPPED, "nist-sp800-53:ac"))
+    held = [Mapping("aaa.enabled", p, "presence") for p in (r"^telnet\s+server\s+(?P<value>\S+)", r"^ssh\s+(?P<value>\S+)", r"^idle-timeout\s+\d+", r"^telnet\s+server\s+x", "loose", r"^/a/b", "^c", "^d", "^e")]
+    made = spark.createDataFrame([("p", k, m.match) for k, m in enumerate(held)] + [("q", 0, "^x"), ("r", 0, "loose")], "pack string, place int, match string")
+    got = learning.fingerprints(made).collect()
+    assert {(r.pattern, r.confidence) for r in got if r.pack == "p"} == set(learning.fingerprint(held)) and {r.pack for r in got} == {"p", "q"}
+    why = spark.createDataFrame([("(a+)+",), ("^x",), (None,), ("[",), ("10.0.0.1",), ("a" * 401,)], "p string").select(packs.refusals(F.col("p")).alias("w")).collect()
+    assert [r.w is None for r in why] == [False, True, True, False, False, False]
+    with pytest.raises(packs.PackError):
+        Mapping("aaa.enabled", "^x", "none").check()
