@@ -468,37 +468,44 @@ def bundle_single_device(spark, sf_dir):
     return bundle.source_files(names.withColumn("content", F.encode("path", "UTF-8"))).select("device_id", "file", "role")
 
 
-@query("SELECT 'a' AS device_id, 'a.cfg' AS file, 'hostname a' AS text UNION ALL SELECT 'b', 'b.cfg', 'hostname b'")
-def bundle_archive(spark, sf_dir):
-    """A zip archive is checked, unpacked and read like a folder."""
-    import tempfile
-    import zipfile
+def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive per supplier: two devices each; some climb out, start at the root, inflate too far or are damaged."""
+
+    def packed(batches):  # noqa: ANN001, ANN202
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for k in batch["k"]:
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr(f"a{k}/a.cfg", f"hostname a{k}")
+                    z.writestr({1: "/etc/x.cfg", 2: "a/../../x.cfg"}.get(k % 7, f"b{k}.show-version.txt"), "0" * 5_000_000 if k % 7 == 3 else f"Version {k}")
+                    z.writestr(f"b{k}/logo.png", "x")
+                content = held.getvalue()
+                out.append((f"z{k}.zip", content[:40] if k % 7 == 4 else content))
+            yield pd.DataFrame(out, columns=["archive", "content"])
 
-    with tempfile.TemporaryDirectory() as folder:  # read at once: the unpacked copy is in the shared folder
-        with zipfile.ZipFile(f"{folder}/x.zip", "w") as z:
-            z.writestr("a/a.cfg", "hostname a")
-            z.writestr("b/b.cfg", "hostname b")
-        return bundle.load(spark, f"{folder}/x.zip").select("device_id", "file", "text")
+    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS k").mapInPandas(packed, "archive string, content binary")
+
+
+@query("SELECT 'z' || s_suppkey || '.zip' AS archive, 'a' || s_suppkey AS device_id, 'a.cfg' AS file, 'config' AS role, 'hostname a' || s_suppkey AS text FROM supplier WHERE s_suppkey % 7 NOT IN (1, 2, 3, 4) UNION ALL SELECT 'z' || s_suppkey || '.zip', 'b' || s_suppkey, 'b' || s_suppkey || '.show-version.txt', 'show_output', 'Version ' || s_suppkey FROM supplier WHERE s_suppkey % 7 NOT IN (1, 2, 3, 4)")
+def bundle_archive(spark, sf_dir):
+    """Zip archives are checked, unpacked and read by executors."""
+    return bundle.bundles(_archives(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('absolute', true), ('climbing', true), ('inflating', true), ('missing', true), ('plain', false)) x(archive, refused)")
+@query("SELECT 'z' || s_suppkey || '.zip' AS archive, CASE s_suppkey % 7 WHEN 3 THEN 'inflates' WHEN 4 THEN 'damaged' ELSE 'unsafe path' END AS refused FROM supplier WHERE s_suppkey % 7 IN (1, 2, 3, 4)")
 def unsafe_archives(spark, sf_dir):
-    """Archives that climb out, start at the root or inflate too far are refused; so is what isn't there."""
-    import tempfile
-    import zipfile
-
-    out = []
-    with tempfile.TemporaryDirectory() as folder:
-        for name, member, body in (("absolute", "/etc/x.cfg", "x"), ("climbing", "a/../../x.cfg", "x"), ("inflating", "x.cfg", "0" * 5_000_000), ("plain", "x.cfg", "x")):
-            with zipfile.ZipFile(f"{folder}/{name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr(member, body)
-        for name in ("absolute", "climbing", "inflating", "missing", "plain"):
-            try:
-                bundle.check_archive(f"{folder}/{name}.zip") if name != "missing" else bundle.load(spark, f"{folder}/none")
-                out.append((name, False))
-            except bundle.BundleError:
-                out.append((name, True))
-    return _values(spark, out, "archive string, refused boolean")
+    """Archives that climb out, start at the root, inflate too far or are damaged are refused, and nothing of them is read."""
+    told = F.col("error")
+    why = F.when(F.contains(told, F.lit("inflates")), "inflates").when(F.contains(told, F.lit("unsafe path")), "unsafe path").otherwise("damaged")
+    made = bundle.unpacked(_archives(spark, sf_dir))
+    refused = made.groupBy("archive").agg(F.max("error").alias("error"), F.count("path").alias("read")).where("error is not null")
+    return refused.select("archive", F.when(F.col("read") == 0, why).alias("refused"))
 
 
 @query("SELECT doc_id, CAST(len(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E]')) - CASE WHEN regexp_matches(text, '[\\n\\r\\x0B\\x0C\\x1C-\\x1E]$') OR text = '' THEN 1 ELSE 0 END AS BIGINT) AS n FROM (SELECT doc_id, replace(text, chr(10), CASE WHEN doc_id % 2 = 0 THEN chr(13) || chr(10) ELSE chr(11) END) AS text FROM documents) WHERE text IS NOT NULL AND text <> ''")

@@ -7,9 +7,14 @@ their name before the first dot; a directory with at most one configuration is o
 
 from __future__ import annotations
 
+import io
 import posixpath
 import zipfile
+import zlib
+from collections.abc import Iterator
+from typing import BinaryIO
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +33,7 @@ class BundleError(ValueError):
     """A bundle that can't be read safely."""
 
 
-def check_archive(path: str) -> list[str]:
+def check_archive(path: str | BinaryIO) -> list[str]:
     """Names of a zip archive's files; refuses rather than repairs."""
     with zipfile.ZipFile(path) as archive:
         members = archive.infolist()
@@ -45,6 +50,40 @@ def check_archive(path: str) -> list[str]:
         return [m.filename for m in members if not m.is_dir()]
 
 
+def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["archive", "path", "content", "error"]
+    for batch in batches:
+        for name, content in zip(batch["archive"], batch["content"], strict=True):
+            try:
+                held = io.BytesIO(bytes(content or b""))
+                names = check_archive(held)
+                with zipfile.ZipFile(held) as archive:
+                    for member in names:  # one member in memory at a time
+                        yield pd.DataFrame([(name, member.replace("\\", "/"), archive.read(member), None)], columns=columns)
+            except (BundleError, zipfile.BadZipFile, zlib.error, RuntimeError) as e:
+                yield pd.DataFrame([(name, None, None, str(e))], columns=columns)
+
+
+def unpacked(archives: DataFrame) -> DataFrame:
+    """archive, path, content, error: the files of many zip archives (archive, content), each unpacked by one task.
+
+    An archive that is null, damaged, locked or unsafe (``check_archive``) is one row with ``error`` and leaves the
+    others alone; a damaged member ends its archive there, with such a row.  An empty archive gives no rows."""
+    return archives.select("archive", "content").mapInPandas(_unpack, "archive string, path string, content binary, error string")
+
+
+def bundles(archives: DataFrame) -> DataFrame:
+    """archive, device_id, file, role, text: the source files of many archives, each with folders of devices.
+
+    A file outside of folders belongs to the device of its name up to the first dot."""
+    files = unpacked(archives).where("error is null")
+    name = F.element_at(F.split("path", "/"), -1)
+    deep = F.contains("path", F.lit("/"))
+    device = F.when(deep, F.split_part("path", F.lit("/"), F.lit(1))).otherwise(F.split_part("path", F.lit("."), F.lit(1)))
+    kept = files.where(suffix_of(name).isin(*SUFFIXES))
+    return kept.select("archive", device.alias("device_id"), F.when(deep, F.regexp_replace("path", "^[^/]*/", "")).otherwise(F.col("path")).alias("file"), role_of(name).alias("role"), decoded(F.col("content")).alias("text"))
+
+
 def decoded(content: Column) -> Column:
     """Text of bytes: UTF-8 with or without a mark, else Latin-1."""
     utf8 = F.regexp_replace(F.decode(content, "UTF-8"), "^﻿", "")
