@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 from collections import deque
 
+from pyspark.sql import functions as F
+
 from plumbline.operators import fleet
 
 MEMBERS = "device_id string, place int, n int, name string, segment string, inferred boolean, trust string, shutdown boolean, entries array<struct<action:string,protocol:string,dst_port:string>>"
@@ -61,3 +63,24 @@ def test_sweeps_of_nothing(spark):
     assert fleet.sweeps(spark.createDataFrame([], MEMBERS)).count() == 0
     lonely = spark.createDataFrame([("d", 0, 0, "a", "s", False, "untrusted", True, None), ("e", 0, 0, "b", "t", False, "internal", False, None)], MEMBERS)
     assert fleet.sweeps(lonely).count() == 0
+
+
+def test_sweeps_go_over_segments(spark):
+    """Many devices between two segments are one link for each set of ports, however many there are."""
+    rows = [(f"d{k:03}", p, 0, f"if{p}", f"s{p}", False, "internal", False, DENY_SSH if k % 2 else None) for k in range(200) for p in (0, 1)]
+    m = spark.createDataFrame(rows, MEMBERS).withColumn("inf", F.col("inferred")).withColumn("ports", fleet._open_ports())
+    found = {(r.port, r.segment, r.to): (r.x.device_id, r.x.place, r.x.out) for r in fleet.links(m).collect()}
+    ports = [p for _, p in fleet.SERVICES.values()]
+    assert found == {(p, a, b): ("d000", int(a[1]), int(b[1])) for p in ports for a, b in (("s0", "s1"), ("s1", "s0"))}
+
+
+def test_bare_addresses_meet_declared_lengths_only(spark):
+    """A bare address joins the first network that holds it, and is looked up at no other lengths."""
+    body = "array(named_struct('name', 'a', 'description', CAST(NULL AS STRING), 'addresses', array({}), 'acl_in', CAST(NULL AS STRING), 'zone', CAST(NULL AS STRING), 'shutdown', false, 'is_mgmt', false))"
+    rows = ["'10.0.0.1/20'", "'10.0.0.2/24'", "'10.0.1.7'", "'10.0.0.7', '192.0.2.9'", "'2001:db8::5'", "'10.0.1.7'"]
+    acls = "CAST(array() AS array<struct<name:string,entries:array<struct<action:string,protocol:string,dst_port:string>>>>)"
+    docs = spark.sql(" UNION ALL ".join(f"SELECT 'd{k}' AS device_id, {body.format(r)} AS interfaces, {acls} AS acls" for k, r in enumerate(rows)))
+    got = {(r.device_id, r.n): (r.segment, r.inferred) for r in fleet.members(docs).collect()}
+    assert got == {("d0", 0): ("10.0.0.0/20", False), ("d1", 0): ("10.0.0.0/24", False), ("d2", 0): ("10.0.0.0/20", True), ("d3", 0): ("10.0.0.0/20", True), ("d3", 1): ("192.0.2.0/24", True), ("d4", 0): ("2001:db8::/64", True), ("d5", 0): ("10.0.0.0/20", True)}
+    made = [x for x in fleet.members(docs)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode(sequence" in x]
+    assert not made
