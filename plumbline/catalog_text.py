@@ -12,8 +12,8 @@ from plumbline.operators import drift, learning, ledger, packs, relational
 from plumbline.plans import rules
 from plumbline.registry import query, table
 from plumbline.rendered import sql_text
-from plumbline.sources import benchmarks, bundle, xccdf
-from plumbline.sources.tables import stage_dir
+from plumbline.sources import artefacts, benchmarks, bundle, xccdf
+from plumbline.sources.tables import spread, stage_dir
 
 
 def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -38,7 +38,7 @@ _UNIONED = " UNION ALL ".join(f"SELECT c_custkey AS k, {n} AS form, {sql_text(af
 def redacted_lines(spark, sf_dir):
     """Every pattern of secrets over a line for each customer, and lines without one."""
     forms = F.array(*(F.struct(F.lit(n).alias("form"), F.expr(sql_text(before)).alias("text")) for n, (before, _) in enumerate(_SECRETS)))
-    rows = table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey")).select("k", F.explode(forms).alias("f"))
+    rows = spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), "k").select("k", F.explode(forms).alias("f"))
     return rows.select("k", "f.form", scalars.redact(F.col("f.text")).alias("clean"))
 
 
@@ -437,12 +437,8 @@ def _folder(spark: SparkSession, sf_dir: str) -> str:
     rows = rendered.devices(spark, sf_dir, False)
     file = lambda name, text: F.struct(F.lit(name).alias("name"), F.expr(text).alias("text"))
     made = rows.select("k", F.explode(F.array(file("running.cfg", "'hostname ' || name || '\\nend\\n'"), file("show-version.txt", "'Version 1'"), file("logo.png", "'x'"))).alias("f"))
-    system = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    disk = system.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for r in made.select("k", "f.*").collect():  # three files a supplier, as a person's folder has them
-        out = disk.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/dev{r.k}/{r['name']}"))
-        out.write(bytearray(r.text.encode("latin-1") if r.k % 2 else ("﻿" + r.text).encode()))
-        out.close()
+    text = F.when(F.col("k") % 2 == 0, F.concat(F.lit("\ufeff"), "f.text")).otherwise(F.col("f.text"))
+    artefacts.write_folders(made.select(F.concat(F.lit("dev"), F.col("k").cast("string")).alias("folder"), "f.name", text.alias("value")), path)
     return path
 
 
@@ -489,7 +485,7 @@ def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append((f"z{k}.zip", content[:40] if k % 7 == 4 else content))
             yield pd.DataFrame(out, columns=["archive", "content"])
 
-    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS k").mapInPandas(packed, "archive string, content binary")
+    return spread(table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS k"), "k").mapInPandas(packed, "archive string, content binary")
 
 
 @query("SELECT 'z' || s_suppkey || '.zip' AS archive, 'a' || s_suppkey AS device_id, 'a.cfg' AS file, 'config' AS role, 'hostname a' || s_suppkey AS text FROM supplier WHERE s_suppkey % 7 NOT IN (1, 2, 3, 4) UNION ALL SELECT 'z' || s_suppkey || '.zip', 'b' || s_suppkey, 'b' || s_suppkey || '.show-version.txt', 'show_output', 'Version ' || s_suppkey FROM supplier WHERE s_suppkey % 7 NOT IN (1, 2, 3, 4)")

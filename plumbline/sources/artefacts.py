@@ -1,6 +1,7 @@
 """A sink of named files: ``spark.dataSource.register(Files)``, then ``df.write.format("named_files")``.
 
-Rows are (name string, value string); those of one name that follow each other in a task are one file, so that
+Rows are (name string, value string), or (folder string, name string, value string) for files in folders of their
+own; those of one name that follow each other in a task are one file, so that
 a long file is a stream and never held.  Names otherwise are distinct (the last one stays).  A task writes each value under a name of its own attempt and moves it
 into place, which is atomic; a task that runs again, or twice at a time, puts the same bytes there again.  So
 lost executors leave no half file, and ``_SUCCESS`` appears only when all are there.  Nothing but counts goes
@@ -9,6 +10,7 @@ to the driver.  Append replaces files of the same name; overwrite empties the fo
 
 from __future__ import annotations
 
+import posixpath
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -58,8 +60,8 @@ class Files(DataSource):
         return "name string, value string"
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        if schema.fieldNames() != ["name", "value"]:
-            raise ValueError("rows are (name, value)")
+        if schema.fieldNames() not in (["name", "value"], ["folder", "name", "value"]):
+            raise ValueError("rows are (name, value) or (folder, name, value)")
         disk, root = _place(self.options["path"])
         if overwrite and disk.get_file_info(root).type != fs.FileType.NotFound:
             disk.delete_dir_contents(root)
@@ -74,11 +76,16 @@ class FilesWriter(DataSourceWriter):
     def write(self, iterator: Iterator[Row]) -> Written:
         disk, root = _place(self.path)
         pending, count = f"{root}/{PENDING}/{uuid.uuid4().hex}", 0
-        for name, rows in groupby(iterator, lambda row: row["name"]):
+        made: set[str] = set()
+        for name, rows in groupby(iterator, lambda row: "/".join(map(file_name, row[:-1]))):
             with disk.open_output_stream(pending) as out:
                 for row in rows:
                     out.write((row["value"] or "").encode())
-            disk.move(pending, f"{root}/{file_name(name)}")
+            folder = posixpath.dirname(name)
+            if folder and folder not in made:
+                disk.create_dir(f"{root}/{folder}", recursive=True)
+                made = {folder}  # rows of one folder mostly follow each other
+            disk.move(pending, f"{root}/{name}")
             count += 1
         return Written(count)
 
@@ -98,3 +105,9 @@ def write_files(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write (name, value) rows, a file each."""
     rows.sparkSession.dataSource.register(Files)
     rows.select("name", "value").write.format("named_files").mode(mode).option("path", path).save()
+
+
+def write_folders(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write (folder, name, value) rows, a file each in its folder."""
+    rows.sparkSession.dataSource.register(Files)
+    rows.select("folder", "name", "value").write.format("named_files").mode(mode).option("path", path).save()
