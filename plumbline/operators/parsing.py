@@ -5,7 +5,7 @@ config/end grammars, the last unindented line of indented ones.  A statement is
 context and the text, and the facts that it writes; the first statement that matches wins, and lines
 that no statement matches stay unclaimed.  Readings that need the whole file (a minimum, a closed
 world) are facts whose path begins with ``~`` and are folded per file afterwards.  Only XML, whose
-line numbers Spark's reader loses, is read by a function over file groups.
+line numbers Spark's reader loses, is read by a function over whole files.
 
 Facts: device_id, file, line_no, sub, path, op (set or append), entity, value, secret, claim.  Members
 of list sections (interfaces, accounts, access lists) carry an ``entity``: the line that opened them.
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.reuse import per_session
 from plumbline.functions.scalars import community_marker, credential_fingerprint, hash_algorithm, wildcard_prefix
-from plumbline.operators.panxml import SHIPPED, read_group
-from plumbline.sources.tables import staged
+from plumbline.operators.panxml import SHIPPED, read_files
+from plumbline.sources.tables import spread, staged
 
 FACT = "struct<path:string,op:string,entity:int,value:string,secret:string>"
 FACTS = "device_id string, file string, line_no int, sub int, path string, op string, entity int, value string, secret string, claim boolean"
@@ -462,8 +462,12 @@ def routeros(rows: DataFrame) -> DataFrame:
 
 
 def panos(rows: DataFrame) -> DataFrame:
-    """A failing document yields one ``~error`` row instead of an exception."""
-    return rows.select("device_id", "file", "line_no", "raw").groupBy("device_id", "file").applyInPandas(read_group, FACTS)
+    """A failing document yields one ``~error`` row instead of an exception.
+
+    Files are dealt over all cores by number: few bytes of lines, which a shuffle would join into one task, are much work."""
+    line = F.struct("line_no", "raw")
+    texts = spread(rows.select("device_id", "file", "line_no", "raw"), "device_id", "file").groupBy("device_id", "file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["raw"]), "\n").alias("text"))
+    return texts.mapInPandas(read_files, FACTS)
 
 
 PARSERS = {"cisco": ios, "arista": lambda rows: ios(rows, "arista"), "juniper": junos, "fortinet": fortios, "mikrotik": routeros, "paloalto": panos}

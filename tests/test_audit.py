@@ -3,8 +3,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import documents, drift, fleet, ledger, packs, report, validation
+from plumbline.operators import documents, drift, fleet, ledger, packs, parsing, report, validation
 from plumbline.plans import audit, rules
+from plumbline.sources import bundle
 from tests.fleet_configs import ALL, files
 
 
@@ -234,3 +235,11 @@ def test_no_local_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(tables.NoSharedFolder):
         tables.stage_dir(Cluster, "x")
+
+
+def test_documents_in_xml_are_read_by_many_tasks(spark):
+    rows = files(spark, {f"p{k}": ALL["panos"] for k in range(40)})
+    read = parsing.panos(bundle.lines(rows))
+    assert read.select(F.spark_partition_id()).distinct().count() > 1
+    per = read.where("path is not null").groupBy("device_id").agg(F.count("*").alias("n")).collect()
+    assert len(per) == 40 and len({r.n for r in per}) == 1 and per[0].n > 5
