@@ -160,9 +160,12 @@ def evidence(found: DataFrame, facts: DataFrame, lines: DataFrame, salt: bytes =
     hits = hits.withColumn("n", F.row_number().over(W.partitionBy("device_id", "rule_id").orderBy("k"))).where(F.col("n") <= EVIDENCE)
     hits = hits.select("device_id", "rule_id", "ir_path", "n", F.col("at.file").alias("file"), F.col("at.line_no").alias("line_no"))
     around = hits.withColumn("near", F.explode(F.sequence(F.col("line_no") - RADIUS, F.col("line_no") + RADIUS)))
+    # findings share lines: each is scrubbed once, then goes to all that cite it
+    around = around.groupBy("device_id", "file", "near").agg(F.collect_list(F.struct("rule_id", "ir_path", "n", "line_no")).alias("cites"))
     near = lines.select("device_id", "file", F.col("line_no").alias("near"), "raw")
-    joined = around.join(near, ["device_id", "file", "near"]).join(secrets_of(facts), "device_id", "left").withColumn("clean", scrubbed(F.col("raw"), F.col("secrets"), salt))
-    return joined.groupBy("device_id", "rule_id", "ir_path", "n", "file", "line_no").agg(
-        F.max(F.when(F.col("near") == F.col("line_no"), F.col("clean"))).alias("raw"),
-        F.array_sort(F.collect_list(F.struct(F.col("near").alias("line"), F.col("clean").alias("text"), (F.col("near") == F.col("line_no")).alias("cited")))).alias("excerpt"),
-    )
+    clean = around.join(near, ["device_id", "file", "near"]).join(secrets_of(facts), "device_id", "left").withColumn("clean", scrubbed(F.col("raw"), F.col("secrets"), salt))
+    joined = clean.select("device_id", "file", "near", "clean", F.inline("cites"))
+    piece = F.struct(F.col("near").alias("line"), F.col("clean").alias("text"), (F.col("near") == F.col("line_no")).alias("cited"))
+    held = joined.groupBy("device_id", "rule_id", "ir_path", "n", "file", "line_no").agg(F.array_sort(F.collect_list(piece)).alias("excerpt"))
+    raw = F.array_max(F.transform(F.filter("excerpt", lambda x: x["cited"]), lambda x: x["text"]))
+    return held.select("device_id", "rule_id", "ir_path", "n", "file", "line_no", raw.alias("raw"), "excerpt")

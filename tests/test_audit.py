@@ -243,3 +243,17 @@ def test_documents_in_xml_are_read_by_many_tasks(spark):
     assert read.select(F.spark_partition_id()).distinct().count() > 1
     per = read.where("path is not null").groupBy("device_id").agg(F.count("*").alias("n")).collect()
     assert len(per) == 40 and len({r.n for r in per}) == 1 and per[0].n > 5
+
+
+def test_lines_that_findings_share_are_scrubbed_once(result):
+    plan = result.evidence()._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline(" in plan and plan.index("inline(") < plan.index("regexp_replace(")
+
+
+def test_written_audits_are_made_once(spark):
+    from plumbline.catalog_text import written_audits
+    from plumbline.sources.tables import recorded
+
+    with recorded() as made:
+        assert written_audits(spark, "/root/testdata/sf0.001").count() > 0
+    assert any("/audits-" in folder for folder in made)
