@@ -111,7 +111,7 @@ def coverage(lines: DataFrame, facts: DataFrame) -> DataFrame:
     """
     tier = F.col("tier") if "tier" in facts.columns else F.lit(0)
     claims = facts.where("claim").groupBy("device_id", "file", "line_no").agg(F.min(tier).alias("tier"))
-    rows = lines.select("device_id", "file", "line_no", "raw").join(claims, ["device_id", "file", "line_no"], "left")
+    rows = lines.select("device_id", "file", "line_no", "raw").join(claims.hint("merge"), ["device_id", "file", "line_no"], "left")
     rank = F.row_number().over(W.partitionBy("device_id", F.col("tier").isNull()).orderBy("file", "line_no"))
     rows = rows.withColumn("k", rank)
     rest = F.when(F.col("tier").isNull() & (F.col("k") <= SAMPLE), F.struct("file", "line_no", redact(F.col("raw")).alias("raw")))
@@ -124,8 +124,9 @@ def coverage(lines: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def residue(lines: DataFrame, facts: DataFrame) -> DataFrame:
-    """Lines that nothing claims."""
-    return lines.join(facts.where("claim").select("device_id", "file", "line_no").distinct(), ["device_id", "file", "line_no"], "left_anti")
+    """Lines that nothing claims.  Staged tables compress well, so their sizes would pass for ones to broadcast: what
+    grows with the lines is merged."""
+    return lines.join(facts.where("claim").select("device_id", "file", "line_no").distinct().hint("merge"), ["device_id", "file", "line_no"], "left_anti")
 
 
 def scrubbed(line: Column, secrets: Column, salt: bytes) -> Column:
@@ -156,14 +157,14 @@ def evidence(found: DataFrame, facts: DataFrame, lines: DataFrame, salt: bytes =
     cited = facts.where("path is not null").select("device_id", base.alias("ir_path"), "file", "line_no", "sub", member.alias("member"))
     order = F.struct("file", "line_no", "sub")
     best = cited.groupBy("device_id", "ir_path").agg(F.coalesce(F.max(F.when(~F.col("member"), order)), F.min(order)).alias("at"))
-    hits = touched.join(best, ["device_id", "ir_path"])
+    hits = touched.join(best.hint("merge"), ["device_id", "ir_path"])
     hits = hits.withColumn("n", F.row_number().over(W.partitionBy("device_id", "rule_id").orderBy("k"))).where(F.col("n") <= EVIDENCE)
     hits = hits.select("device_id", "rule_id", "ir_path", "n", F.col("at.file").alias("file"), F.col("at.line_no").alias("line_no"))
     around = hits.withColumn("near", F.explode(F.sequence(F.col("line_no") - RADIUS, F.col("line_no") + RADIUS)))
     # findings share lines: each is scrubbed once, then goes to all that cite it
     around = around.groupBy("device_id", "file", "near").agg(F.collect_list(F.struct("rule_id", "ir_path", "n", "line_no")).alias("cites"))
     near = lines.select("device_id", "file", F.col("line_no").alias("near"), "raw")
-    clean = around.join(near, ["device_id", "file", "near"]).join(secrets_of(facts), "device_id", "left").withColumn("clean", scrubbed(F.col("raw"), F.col("secrets"), salt))
+    clean = around.join(near.hint("merge"), ["device_id", "file", "near"]).join(secrets_of(facts).hint("merge"), "device_id", "left").withColumn("clean", scrubbed(F.col("raw"), F.col("secrets"), salt))
     joined = clean.select("device_id", "file", "near", "clean", F.inline("cites"))
     piece = F.struct(F.col("near").alias("line"), F.col("clean").alias("text"), (F.col("near") == F.col("line_no")).alias("cited"))
     held = joined.groupBy("device_id", "rule_id", "ir_path", "n", "file", "line_no").agg(F.array_sort(F.collect_list(piece)).alias("excerpt"))

@@ -257,3 +257,9 @@ def test_written_audits_are_made_once(spark):
     with recorded() as made:
         assert written_audits(spark, "/root/testdata/sf0.001").count() > 0
     assert any("/audits-" in folder for folder in made)
+
+
+def test_what_grows_with_the_lines_is_not_broadcast(result):
+    left = documents.residue(result.lines, result.facts)
+    for df in (left, result.coverage, result.evidence(), result.reports()):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
