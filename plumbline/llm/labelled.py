@@ -17,7 +17,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, m
 
     Rows are taken in the order of a hash of the id, so the sample is the same at every run; a document
     labelled twice counts with its least label, one without label or id not at all.  Rows of the fold
-    ``held`` are left out.  The sample is the only broadcast: its bound is ``2 * most`` rows of ids.
+    ``held`` are left out.  Rows of equal id and text count once, so repeats don't grow what is learned from.
+    The sample is the only broadcast: its bound is ``2 * most`` rows of ids.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if modulus is not None:
@@ -26,7 +27,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, m
     parts = [known.where(c).orderBy(F.xxhash64("__id"), "__id").limit(most) for c in ("__label = 0", "__label <> 0")]
     chosen = parts[0].union(parts[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("__id"), text_bytes().alias("text"))
-    return texts.join(F.broadcast(chosen), "__id").select("__id", "text", F.col("__label").alias("label"))
+    return texts.join(F.broadcast(chosen), "__id").select("__id", "text", F.col("__label").alias("label")).distinct()
 
 
 def fitting(sizes: dict[int, int], most_bytes: int) -> int:

@@ -238,8 +238,8 @@ def learn_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", most
     """Rules that tell rows with ``label`` 0 from the others, from a bounded sample."""
     sample = with_stats(labelled_sample(docs, labels, label, most))
     of = features()
-    rows = sample.select(*(v.alias(k) for k, v in of.items()), "label", "__id").toArrow()
-    order = np.argsort(rows.column("__id").to_numpy(), kind="stable")
+    rows = sample.select(*(v.alias(k) for k, v in of.items()), "label", "__id", F.xxhash64("text").alias("__key")).toArrow()
+    order = np.lexsort((rows.column("__key").to_numpy(), rows.column("__id").to_numpy()))
     table = {k: rows.column(k).to_numpy()[order] for k in of}
     return learn(table, rows.column("label").to_numpy()[order] == 0)
 

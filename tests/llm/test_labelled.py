@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import attention
+from plumbline.llm import attention, rules
 from plumbline.llm.labelled import fitting, labelled_sample, to_driver, whole_ones
 
 
@@ -45,3 +45,16 @@ def test_a_model_is_learned_beside_a_huge_text(spark, monkeypatch):
     labels = spark.createDataFrame([(k, int(k % 3 != 0)) for k in range(60)], "doc_id long, quality int")
     monkeypatch.setattr(attention, "MOST_BYTES", 10_000)
     assert attention.train(frame, labels, modulus=None) is not None
+
+
+def test_repeated_rows_count_once(spark):
+    docs = [(k, f"text {k:02d} " + "word " * k) for k in range(40)]
+    docs.append((7, "another version"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    once = spark.createDataFrame(docs, "doc_id long, text string")
+    often = spark.createDataFrame(docs * 30, "doc_id long, text string").repartition(5)
+    assert labelled_sample(often, labels, "quality", 100).count() == 41
+    (texts, truth), (more, again) = (to_driver(labelled_sample(d, labels, "quality", 100), 10_000) for d in (once, often))
+    assert more == texts and len(texts) == 41 and (again == truth).all()
+    assert sum(map(len, to_driver(labelled_sample(often, labels, "quality", 100), 1000)[0])) <= 1000
+    assert rules.learn_rules(often, labels) == rules.learn_rules(once, labels)
