@@ -323,14 +323,16 @@ def ledger_signatures(spark, sf_dir):
     own, stranger = ed25519.SigningKey(b"ours".ljust(32)), ed25519.SigningKey(b"theirs".ljust(32))  # keys of this example only
 
     def signatures(texts: pd.Series, strange: pd.Series) -> pd.Series:
-        made = {k: key.sign_all([t.encode() for t in texts]) for k, key in ((False, own), (True, stranger))}
-        return pd.Series([made[bool(x)][k].hex() for k, x in enumerate(strange)])
+        out = pd.Series("", index=texts.index, dtype=object)
+        for key, its in ((own, ~strange & texts.notna()), (stranger, strange & texts.notna())):
+            out[its] = [s.hex() for s in key.sign_all([t.encode() for t in texts[its]])]
+        return out
 
     sign = F.pandas_udf(signatures, "string")
-    seq, strange = F.col("s_suppkey").cast("long"), F.col("seq") % 7 == 0
+    seq, strange, signs = F.col("s_suppkey").cast("long"), F.coalesce(F.col("seq") % 7 == 0, F.lit(False)), F.coalesce(F.col("seq") % 5 != 0, F.lit(True))
     fixed = {"timestamp": "t", "merkle_root": "0", "prev_entry_hash": ledger.GENESIS, "rule_set_digest": "x", "ir_schema_version": "1.0.0", "canonicalisation": "jcs-1"}
-    rows = table(spark, sf_dir, "supplier").select(seq.alias("seq"), F.col("s_name").alias("device_id"), F.concat(F.lit("r"), seq.cast("string")).alias("report_id"), *(F.lit(v).alias(k) for k, v in fixed.items()))
-    signed = rows.withColumn("signature", F.when(F.col("seq") % 5 == 0, "").otherwise(sign(ledger.entry_text(), strange))).withColumn("key_id", F.when(strange, stranger.key_id).otherwise(own.key_id))
+    rows = spread(table(spark, sf_dir, "supplier").select(seq.alias("seq"), F.col("s_name").alias("device_id")), "seq").select("seq", "device_id", F.concat(F.lit("r"), F.col("seq").cast("string")).alias("report_id"), *(F.lit(v).alias(k) for k, v in fixed.items()))
+    signed = rows.withColumn("signature", sign(F.when(signs, ledger.entry_text()), strange)).withColumn("key_id", F.when(strange, stranger.key_id).otherwise(own.key_id))
     altered = signed.withColumn("device_id", F.when(F.col("seq") % 3 == 0, F.concat("device_id", F.lit("!"))).otherwise(F.col("device_id")))
     return ledger.unsigned(altered, {own.key_id: own.public})
 

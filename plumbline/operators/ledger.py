@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, DataType, StructType
 from plumbline.functions.ed25519 import SigningKey, verified
 from plumbline.functions.scalars import leaf_hash
 from plumbline.operators.relational import merkle_levels, merkle_root
+from plumbline.sources.tables import spread
 
 GENESIS = "0" * 64
 ENTRY = "seq long, timestamp string, report_id string, device_id string, merkle_root string, prev_entry_hash string, rule_set_digest string, ir_schema_version string, canonicalisation string, signature string, key_id string"
@@ -61,10 +62,11 @@ def linked(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def unsigned(entries: DataFrame, keys: dict[str, bytes]) -> DataFrame:
     """seq, problem of entries whose signature doesn't hold: there is none, its key isn't one of ``keys``
-    (key id -> public key), or it is of another text.  Each entry is judged by itself, without a shuffle."""
+    (key id -> public key), or it is of another text.  Each entry is judged by itself; they are dealt over all
+    cores, since a small file holds many and each costs far more than its move."""
     known = F.create_map(*(x for k, v in keys.items() for x in (F.lit(k), F.lit(v)))) if keys else F.create_map().cast("map<string,binary>")
     blank = F.coalesce(F.col("signature"), F.lit("")) == ""
-    rows = entries.withColumns({"public": known[F.coalesce(F.col("key_id"), F.lit(""))], "none": blank})
+    rows = spread(entries, "seq").withColumns({"public": known[F.coalesce(F.col("key_id"), F.lit(""))], "none": blank})
     rows = rows.withColumn("good", verified(entry_text().cast("binary"), F.unhex("signature"), F.col("public")))
     problem = F.when(F.col("none"), "unsigned").when(F.col("public").isNull(), "signed by a key that isn't known").when(~F.col("good"), "the signature doesn't verify")
     return rows.select("seq", problem.alias("problem")).where("problem is not null")

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline import cli
+from plumbline.catalog import QUERIES
 from plumbline.functions import ed25519
 from plumbline.operators import ledger, packs
 
@@ -40,6 +41,49 @@ def test_bad_signatures_are_told_row_by_row():
     assert list(ed25519.verify_all([], [], [])) == [] and key.sign_all([]) == []
 
 
+def test_many_rows_of_a_key_are_judged_like_single_ones():
+    """A key of many rows has a table; beside it stand keys of few rows, points of small order and no points."""
+    small = [bytes(32), (1).to_bytes(32, "little"), bytes.fromhex("26e8958fc2b227b045c3f489f2ef98f0d5dfac05d3c63339b13802886d53fc05")]
+    key, other = ed25519.SigningKey(b"a" * 32), ed25519.SigningKey(b"b" * 32)
+    rows = []
+    for k in range(ed25519.MANY + 8):
+        m = b"%d" % k
+        rows.append((m, key.sign(m) if k % 3 else bytes(64), key.public, bool(k % 3)))
+        rows += [(m, small[1] + bytes(32), small[k % 2], None), (m, small[1] + bytes(32), b"\xff" * 32, False), (m, small[1] + bytes(32), (2).to_bytes(32, "little"), False)]
+        if not k % 9:
+            rows += [(m, other.sign(m), other.public, True), (m, other.sign(m), key.public, False), (m, small[1] + bytes(32), small[2], None)]
+    single = [bool(ed25519.verify_all([m], [s], [a])[0]) for m, s, a, _ in rows]
+    assert list(ed25519.verify_all(*([r[i] for r in rows] for i in range(3)))) == single
+    assert all(told in (None, got) for got, (*_, told) in zip(single, rows, strict=True)) and len({g for g, r in zip(single, rows, strict=True) if r[3] is None}) == 2
+
+
+def test_tables_hold_multiples():
+    scalars = ed25519._array([0, 1, 2, 255, 256, ed25519.ORDER - 1, ed25519.ORDER, 2**252 + 12345, 2**256 - 1])
+    n = len(scalars)
+    base = ed25519._base(n)
+    ladder = ed25519._encoded(ed25519._twice(scalars % ed25519.ORDER, base, scalars * 0, base))
+    assert ed25519._times_base(list(scalars)) == ladder
+    assert ed25519._encoded(ed25519._plus(base, scalars, ed25519._base_multiples())) == ed25519._times_base([int(v) + 1 for v in scalars % ed25519.ORDER])
+    for k in range(1, 10):
+        z = ed25519._array([3**i for i in range(1, k + 1)])
+        assert list(z * ed25519._inverted(z) % ed25519.P) == [1] * k
+
+
+def test_a_small_file_is_signed_and_verified_once_on_all_cores(spark, tmp_path):
+    spark.range(300).selectExpr("id AS s_suppkey", "'s' || id AS s_name").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    df = QUERIES["ledger_signatures"](spark, str(tmp_path))
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2  # one signs, one verifies
+    assert df.select(F.spark_partition_id()).distinct().count() > 1
+    case = lambda k: "unsigned" if k % 5 == 0 else "signed by a key that isn't known" if k % 7 == 0 else "the signature doesn't verify" if k % 3 == 0 else None
+    assert sorted(map(tuple, df.collect())) == [(k, case(k)) for k in range(300) if case(k)]
+    key = ed25519.SigningKey(b"a" * 32)
+    report = {"timestamp": "t", "report_id": "r", "device_id": "d", "merkle_root": "0", "rule_set_digest": "x", "ir_schema_version": "1.0.0"}
+    path = str(tmp_path / "ledger")
+    ledger.record(spark, path, [report] * 20)
+    told = ledger.unsigned(ledger.read(spark, path), {key.key_id: key.public})
+    assert told.select(F.spark_partition_id()).distinct().count() > 1 and told.count() == 20
+
+
 def test_column(spark):
     key = ed25519.SigningKey(bytes(range(32)))
     messages = [f"é{k}".encode() for k in range(40)]
