@@ -333,7 +333,7 @@ def ledger_signatures(spark, sf_dir):
     fixed = {"timestamp": "t", "merkle_root": "0", "prev_entry_hash": ledger.GENESIS, "rule_set_digest": "x", "ir_schema_version": "1.0.0", "canonicalisation": "jcs-1"}
     rows = spread(table(spark, sf_dir, "supplier").select(seq.alias("seq"), F.col("s_name").alias("device_id")), "seq").select("seq", "device_id", F.concat(F.lit("r"), F.col("seq").cast("string")).alias("report_id"), *(F.lit(v).alias(k) for k, v in fixed.items()))
     signed = rows.withColumn("signature", sign(F.when(signs, ledger.entry_text()), strange)).withColumn("key_id", F.when(strange, stranger.key_id).otherwise(own.key_id))
-    altered = signed.withColumn("device_id", F.when(F.col("seq") % 3 == 0, F.concat("device_id", F.lit("!"))).otherwise(F.col("device_id")))
+    altered = signed.withColumn("device_id", F.when(F.col("seq") % 3 == 0, F.concat(F.coalesce("device_id", F.lit("")), F.lit("!"))).otherwise(F.col("device_id")))
     return ledger.unsigned(altered, {own.key_id: own.public})
 
 

@@ -84,6 +84,13 @@ def test_a_small_file_is_signed_and_verified_once_on_all_cores(spark, tmp_path):
     assert told.select(F.spark_partition_id()).distinct().count() > 1 and told.count() == 20
 
 
+def test_entries_without_a_name_are_altered_too(spark, tmp_path):
+    rows = [(3, None), (6, "s"), (1, None), (5, None), (7, None), (None, "s")]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = sorted(map(tuple, QUERIES["ledger_signatures"](spark, str(tmp_path)).collect()))
+    assert got == [(3, "the signature doesn't verify"), (5, "unsigned"), (6, "the signature doesn't verify"), (7, "signed by a key that isn't known")]
+
+
 def test_column(spark):
     key = ed25519.SigningKey(bytes(range(32)))
     messages = [f"é{k}".encode() for k in range(40)]
